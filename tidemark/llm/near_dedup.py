@@ -8,13 +8,14 @@ Method
        values only: to share a part t of the sketch with another class it must share one of its
        k - ceil(t k) + 1 rarest values (t is the similarity less ``SLACK``). Values of one class
        need no list.
-    3. In a list, a few leaders are compared with all the others, so the pairs grow with the list
-       and not with its square. What is left over is settled in further rounds until all members of
-       each list are in one component or all its pairs are settled. Leaders come from the smallest
-       component of a list first. No list is cut.
+    3. In a list, the leader - the class whose values are the commonest, as an original's are - is
+       compared with all the others, so the pairs grow with the list and not with its square.
     4. The sketch of the union of two classes estimates their similarity and filters; the exact
        Jaccard similarity of the full shingle sets, made again from the texts, decides.
-    5. Links give components by large-star and small-star steps, round by round.
+    5. Lists whose members are not in one component after that are settled block by block: a task
+       compares two blocks of members by exact similarity and returns a spanning forest of the links. No list
+       is cut.
+    6. Links give components by large-star and small-star steps, round by round.
 
 Defined results: null and empty texts, and texts of separators only, have an empty set and are linked
 with nothing. Rows with the same ``doc_id`` are rows of their own, each with the component of its
@@ -39,8 +40,8 @@ from tidemark.llm.common import SPACES, Workspace, shingle_sets, slices
 SKETCH = 64
 #: The estimate of a pair may be this much below the similarity asked for (4.5 standard errors).
 SLACK = 0.20
-#: Leaders of a list: in the first round one, then so many.
-LEADERS = 8
+#: Members of a block when what the leaders left open is settled.
+BLOCK_ROWS = 64
 
 
 def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id", k: int = SKETCH) -> DataFrame:
@@ -66,17 +67,20 @@ def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_
 
 
 def prefix_lists(classes: DataFrame, similarity: float, k: int) -> DataFrame:
-    """(v, cid, n): each class under its rarest sketch values that other classes have too."""
+    """(v, cid, n, central): each class under its rarest sketch values that other classes have too.
+
+    central: how common the class's values are on average; the original of a group of copies leads.
+    """
     values = classes.select("cid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     least = F.ceil(F.lit(round(similarity - SLACK, 6)) * F.col("s"))
     met = values.join(shared, "v")
     own = Window.partitionBy("cid")
     ranked = met.withColumns(
-        {"rank": F.row_number().over(own.orderBy("df", "v")), "alone": F.col("s") - F.count("*").over(own)},
+        {"rank": F.row_number().over(own.orderBy("df", "v")), "alone": F.col("s") - F.count("*").over(own), "central": F.sum("df").over(own) / F.col("s")},
     )
     # the values without a list come first in the order of rarity
-    return ranked.filter(F.col("rank") + F.col("alone") <= F.col("s") - least + 1).select("v", "cid", "n")
+    return ranked.filter(F.col("rank") + F.col("alone") <= F.col("s") - least + 1).select("v", "cid", "n", "central")
 
 
 def _least_neighbours(edges: DataFrame) -> DataFrame:
@@ -143,27 +147,84 @@ def _exact(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _leader_pairs(lists: DataFrame, labels: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of leaders and other members, and the leaders (v, cid).
+def _leader_pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) of each list's leader and its other members, and the leaders (v, cid).
 
-    lists: (v, cid, n). Members of a leader's own component need no comparison, nor do those whose
-    sizes differ too much to be similar.
+    lists: (v, cid, n, central). Members whose sizes differ too much to be similar need no comparison.
     """
-    if labels is None:
-        first = lists.groupBy("v").agg(F.min(F.struct("cid", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1")
-        leaders = first.select("v", F.col("l.cid").alias("a"), F.col("l.n").alias("na"), F.col("l.cid").alias("ra"))
-        members = lists.withColumn("root", F.col("cid"))
-    else:
-        members = lists.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        per_root = members.groupBy("v", "root").agg(F.count("*").alias("c"))
-        open_lists = per_root.groupBy("v").agg(F.count("*").alias("roots")).filter("roots > 1").select("v")
-        order = Window.partitionBy("v").orderBy("c", "cid")
-        ranked = members.join(per_root.join(open_lists, "v", "left_semi"), ["v", "root"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS)
-        leaders = ranked.select("v", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    met = members.join(leaders, "v").filter("cid <> a and root <> ra")
+    first = lists.groupBy("v").agg(F.max(F.struct("central", "cid", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1")
+    leaders = first.select("v", F.col("l.cid").alias("a"), F.col("l.n").alias("na"))
+    met = lists.select("v", "cid", "n").join(leaders, "v").filter("cid <> a")
     near = met.filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
-    pairs = near.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
-    return pairs, leaders.select("v", F.col("a").alias("cid"))
+    # the leader stays first: its set is made once for all its pairs
+    return near.select("a", F.col("cid").alias("b")).distinct(), leaders.select("v", F.col("a").alias("cid"))
+
+
+def _open_members(lists: DataFrame, leaders: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """(cluster, cid, root): members of lists that are not settled, by clusters of lists with common members.
+
+    A leader has met all the others of its list; a list whose other members are of one component is settled.
+    """
+    rest = lists.select("v", "cid").join(leaders, ["v", "cid"], "left_anti")
+    members = rest.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("cid").alias("hub")).filter("lo <> hi").select("v", "hub")
+    kept = work.put(members.join(open_lists, "v").select("cid", "root", "hub").distinct(), "open")
+    clusters = components(kept.select(F.col("hub").alias("u"), F.col("cid").alias("v")), work, "clusters")
+    return kept.select("cid", "root").distinct().join(clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "cid")
+
+
+def _block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components of a cluster, by exact Jaccard similarity.
+
+    The members of the cluster's largest component and the others are dealt into blocks of about
+    ``BLOCK_ROWS``; a task gets two blocks of others, or one of the others and one of the largest, so no
+    task holds a whole cluster and pairs inside the largest component are never looked at. Of the
+    links in its blocks a task gives a spanning forest.
+    """
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("c"))
+    shape = sizes.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS)).cast("int")
+    shape = shape.select("cluster", F.col("m.root").alias("main"), blocks(F.col("m.c")).alias("mains"), blocks(F.col("all") - F.col("m.c")).alias("others"))
+    dealt = members.join(shape, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    own, other = F.col("block"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_others = lambda f: F.transform(other("others"), f)
+    tasks = F.when(F.col("in_main"), with_others(lambda o: F.struct(o.alias("i"), (-1 - own).alias("j")))).otherwise(
+        F.concat(with_others(lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))), F.transform(other("mains"), lambda m: F.struct(own.alias("i"), (-1 - m).alias("j"))))
+    )
+    sent = dealt.select("cluster", "cid", "root", F.explode(tasks).alias("task")).select("cluster", "task.i", "task.j", "cid", "root").join(texts, "cid")
+
+    def run(table: pa.Table) -> pa.Table:
+        # members that come from both blocks of a pair (i, i) come once
+        table = table.combine_chunks()
+        cids, roots = table.column("cid").to_pylist(), table.column("root").to_pylist()
+        sets = [x for part in slices(table.select(["text"]).to_batches()[0], "text", 4 << 20) for x in shingle_sets(part.column("text"), width)]
+        both, size = overlaps(sets), np.asarray([len(x) for x in sets])
+        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        links, tree = [], list(roots)  # a member stands for its component so far
+        for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            p, q = tree[x], tree[y]
+            if p != q:
+                links.append((cids[x], cids[y]))
+                tree = [p if t == q else t for t in tree]
+        return pa.table({"u": pa.array([x for x, _ in links], pa.binary()), "v": pa.array([y for _, y in links], pa.binary())})
+
+    return sent.groupBy("cluster", "i", "j").applyInArrow(run, "u binary, v binary")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by matrix products over slices of the values."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for lo in range(0, len(values), 1 << 15):
+        a, b = np.searchsorted(column, [lo, lo + (1 << 15)])
+        has = np.zeros((len(sets), min(1 << 15, len(values) - lo)), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        out += has @ has.T
+    return np.rint(out).astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", k: int = SKETCH) -> DataFrame:
@@ -178,46 +239,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     full = signed.filter("cid is not null")
     # copies of one set become one class; its sketch is that of any of them
     classes = work.put(full.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = work.put(prefix_lists(classes, similarity, k), "lists-0")
-    labels, links, turn = None, None, 0
+    lists = work.put(prefix_lists(classes, similarity, k), "lists")
     asked = work.put(lists.select("cid").distinct().join(classes.select("cid", "least"), "cid"), "asked")
     # one text of each class that is in a list; doc_ids may repeat, so the set's digest decides
     sources = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = work.put(_one_text(sources, asked, width), "texts")
-    while True:
-        pairs, leaders = _leader_pairs(lists, labels, percent)
-        pairs = work.put(pairs, f"pairs-{turn}")
-        if pairs.isEmpty():
-            if labels is not None or turn:
-                break
-        found = work.put(_exact(_estimated(pairs, classes, similarity - SLACK, k), texts, width, percent), f"links-{turn}")
-        fresh = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = components(links, work, f"comp-{turn}")
-        # a leader has met all the others of its list, and a list of one component is settled
-        rest = lists.join(leaders, ["v", "cid"], "left_anti")
-        turn += 1
-        following = work.put(_still_open(rest, labels), f"lists-{turn}")
-        work.drop(f"lists-{turn - 1}", f"pairs-{turn - 1}")
-        lists = following
-        if lists.isEmpty():
-            break
+    pairs, leaders = _leader_pairs(lists, percent)
+    links = work.put(_exact(_estimated(pairs, classes, similarity - SLACK, k), texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    labels = components(links, work, "linked")
+    members = work.put(_open_members(lists, leaders, labels, work), "members")
+    more = work.put(_block_links(members, texts, width, percent), "more")
+    labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), work, "all")
     named = classes.select("cid", "least").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = work.put(named.join(least, "root").select("cid", "component_id"), "by-class")
-    work.drop("lists-0", "texts", "classes", "asked", *(f"lists-{i}" for i in range(turn + 1)))
+    work.drop("lists", "texts", "classes", "asked", "links", "open", "members", "more")
     out = signed.select("doc_id", "n", "cid").join(by_class, "cid", "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
-def _still_open(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that hold members of more than one component."""
-    members = lists.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("v")
-    return lists.join(open_lists, "v", "left_semi")
-
-
 def _one_text(sources: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """(cid, text) of each class asked for: the text of its first document whose set has that digest."""
 
