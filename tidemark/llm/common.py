@@ -148,6 +148,14 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    if len(values) < 2:
+        return values.copy()
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])]
+
+
 def hashed_words(column: pa.Array, separator: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased, and each text's first index (n + 1 entries)."""
     data, offsets = text_bytes(column)
@@ -169,7 +177,7 @@ def shingle_sets(column: pa.Array, width: int, separator: np.ndarray = SPACES) -
     full = mix(full)
     for lo, hi in zip(first[:-1], first[1:], strict=True):
         if hi - lo >= width:
-            yield np.unique(full[lo : hi - width + 1].view(np.int64))
+            yield distinct(full[lo : hi - width + 1].view(np.int64))
         elif hi > lo:
             short = np.uint64(hi - lo)
             for k in range(hi - lo):

@@ -6,9 +6,8 @@ Method
        match), the largest share of the list, and the largest share in each block of ``SPAN`` units.
     2. Every document is read as passages of 2 * ``UNIT`` words, ``UNIT`` apart, so each unit that
        occurs lies whole in one. A passage searches the index by block-max WAND with a fixed
-       threshold and gets all units above it; there is no top k. Most passages fail the bound
-       that WAND tests first; it is computed for all passages at once: a block's largest shares of the
-       rarer terms plus the list maxima of the commoner ones.
+       threshold and gets all units above it; there is no top k. Most passages reach the threshold in
+       no block even with each term's largest share there; that bound is computed for all passages at once.
     3. A document and an item that met are verified: parts of the question's and of the answer's word
        trigrams that the whole document has. The answer is the item's last sentence; an item of one
        sentence has its last third as answer.
@@ -33,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NOT_WORD, Workspace, mix, slices, span_hashes, text_bytes, word_spans
+from tidemark.llm.common import NOT_WORD, Workspace, distinct, mix, slices, span_hashes, text_bytes, word_spans
 
-UNIT, SPAN, LEAST = 64, 8, 5
+UNIT, SPAN, LEAST = 64, 4, 5
 K1, LENGTH = 1.2, 0.75
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 _ODD = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
@@ -57,7 +56,7 @@ def grams(words: np.ndarray) -> np.ndarray:
     found = np.zeros(n, np.uint64)
     for k in range(width):
         found += words[k : k + n] * _ODD[k]
-    return np.unique(mix(found))
+    return distinct(mix(found))
 
 
 def answer_start(text: str) -> int:
@@ -122,7 +121,14 @@ class Index:
         self.blocks, self.block_most = block[fresh], np.maximum.reduceat(share, fresh)
         self.block_first = np.searchsorted(fresh, self.first)
         self.n_blocks = int(block.max()) + 1
-        self.common = np.diff(self.block_first) > max(2, self.n_blocks // 8)
+        # block maxima of the commoner terms, one dense row each
+        common = np.flatnonzero(np.diff(self.block_first) > max(2, self.n_blocks // 8))
+        self.dense_row = np.full(len(self.terms), -1)
+        self.dense_row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n_blocks))
+        for row, k in enumerate(common):
+            own = slice(self.block_first[k], self.block_first[k + 1])
+            self.dense[row, self.blocks[own]] = self.block_most[own]
         self.lists: dict[int, tuple] = {}
 
     def _list(self, term: int) -> tuple:
@@ -133,19 +139,28 @@ class Index:
         return self.lists[term]
 
     def hopeful(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> np.ndarray:
-        """The passages (of distinct pairs of passage and term) whose bound reaches the threshold in some block."""
-        often = self.common[term]
-        base = np.bincount(passage[often], self.most[term[often]], n)
-        passage, term = passage[~often], term[~often]
-        lo, size = self.block_first[term], np.diff(self.block_first)[term]
-        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-        owner = np.repeat(passage, size)
-        cell, inverse = np.unique(owner * self.n_blocks + self.blocks[at], return_inverse=True)
-        bound = np.bincount(inverse, self.block_most[at], len(cell))
-        who = cell // self.n_blocks
-        enough = base >= threshold
-        enough[who[bound + base[who] >= threshold - 1e-9]] = True
-        return np.flatnonzero(enough)
+        """The passages whose block maxima reach the threshold in some block.
+
+        passage, term: distinct pairs in the order of passages. The sums over terms are those that WAND
+        tests before it moves; here one array operation makes them for many passages.
+        """
+        found = []
+        step = max(1, (1 << 22) // self.n_blocks)
+        for lo in range(0, n, step):
+            a, b = np.searchsorted(passage, [lo, lo + step])
+            who, what = passage[a:b] - lo, term[a:b]
+            size = min(step, n - lo)
+            often = self.dense_row[what] >= 0
+            bound = np.zeros((size, self.n_blocks))
+            if often.any():
+                rows, first = np.unique(who[often], return_index=True)
+                bound[rows] = np.add.reduceat(self.dense[self.dense_row[what[often]]], first)
+            who, what = who[~often], what[~often]
+            start, count = self.block_first[what], np.diff(self.block_first)[what]
+            at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+            bound += np.bincount(np.repeat(who, count) * self.n_blocks + self.blocks[at], self.block_most[at], size * self.n_blocks).reshape(size, self.n_blocks)
+            found.append(lo + np.flatnonzero(bound.max(axis=1) >= threshold - 1e-9))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every unit whose score reaches the threshold."""
@@ -202,7 +217,7 @@ class Index:
         base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // UNIT))])  # one passage begins at every UNIT-th word
         passage = base[text] + step
         both = np.concatenate([passage[step > 0] - 1, passage])
-        pairs = np.unique(both * len(self.terms) + np.concatenate([at[met][step > 0], at[met]]))
+        pairs = distinct(both * len(self.terms) + np.concatenate([at[met][step > 0], at[met]]))
         passage, term = pairs // len(self.terms), pairs % len(self.terms)
         best: dict[tuple[int, int], tuple[int, float]] = {}
         for p in self.hopeful(passage, term, int(base[-1]), threshold):
@@ -237,7 +252,7 @@ def _runs(words: np.ndarray, width: int) -> np.ndarray:
     return mix(found)
 
 
-def indexes(items: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = 16 << 20) -> Iterator[Index]:
+def indexes(items: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = 1 << 20) -> Iterator[Index]:
     """Indexes of blocks of the items, each of ``block_bytes`` of text at most on average."""
     work = Workspace(items.sparkSession, "items")
     units = work.put(item_units(items, item, text), "units")
