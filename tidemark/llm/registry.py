@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, near_dedup, sp_sampling, token_count, toxicity
+from tidemark.llm import chat_format, decontaminate, html_extract, near_dedup, sp_sampling, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(probe)))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op3_near_dedup": op3_near_dedup,
         "op4_chat_format": op4_chat_format,
+        "op5_html_extraction": op5_html_extraction,
         "op7_toxicity": op7_toxicity,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
