@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, html_extract, near_dedup, sp_sampling, token_count, toxicity
+from tidemark.llm import chat_format, decontaminate, html_extract, media, near_dedup, sp_sampling, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest_columns(media.media_columns(table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dedup": op3_near_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_html_extraction": op5_html_extraction,
+        "op6_media_columns": op6_media_columns,
         "op7_toxicity": op7_toxicity,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
