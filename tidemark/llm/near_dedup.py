@@ -66,21 +66,20 @@ def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_
     return rows.mapInArrow(run, "doc_id long, n long, cid binary, sketch array<long>")
 
 
-def prefix_lists(classes: DataFrame, similarity: float, k: int) -> DataFrame:
-    """(v, cid, n, central): each class under its rarest sketch values that other classes have too.
+def prefix_lists(classes: DataFrame, similarity: float) -> DataFrame:
+    """(v, c, n, central): each class under its rarest sketch values that other classes have too.
 
     central: how common the class's values are on average; the original of a group of copies leads.
     """
-    values = classes.select("cid", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    values = classes.select("c", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("c")
+    met = values.join(shared, "v").withColumns({"rank": F.row_number().over(own.orderBy("df", "v")), "met": F.count("*").over(own), "sum": F.sum("df").over(own)})
+    sized = met.join(classes.select("c", "n", F.size("sketch").alias("s")), "c")
     least = F.ceil(F.lit(round(similarity - SLACK, 6)) * F.col("s"))
-    met = values.join(shared, "v")
-    own = Window.partitionBy("cid")
-    ranked = met.withColumns(
-        {"rank": F.row_number().over(own.orderBy("df", "v")), "alone": F.col("s") - F.count("*").over(own), "central": F.sum("df").over(own) / F.col("s")},
-    )
     # the values without a list come first in the order of rarity
-    return ranked.filter(F.col("rank") + F.col("alone") <= F.col("s") - least + 1).select("v", "cid", "n", "central")
+    place = F.col("rank") + F.col("s") - F.col("met")
+    return sized.filter(place <= F.col("s") - least + 1).select("v", "c", "n", (F.col("sum") / F.col("s")).alias("central"))
 
 
 def _least_neighbours(edges: DataFrame) -> DataFrame:
@@ -115,8 +114,8 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float, k: int) -> DataFrame:
     """The pairs (a, b) whose union sketch estimates a similarity of ``least`` or more."""
-    sketches = classes.select("cid", "sketch")
-    met = pairs.join(sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a")
+    sketches = classes.select("c", "sketch")
+    met = pairs.join(sketches.select(F.col("c").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("c").alias("a"), F.col("sketch").alias("sa")), "a")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     met = met.withColumn("union", union).withColumn("both", F.size(F.array_intersect("union", F.array_intersect("sa", "sb"))))
     return met.filter(F.col("both") >= F.lit(least) * F.size("union")).select("a", "b")
@@ -126,7 +125,7 @@ def _exact(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     """The pairs whose full shingle sets have 100 * |intersection| >= percent * |union|."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, np.ndarray] = {}  # sets of the leaders met last
+        kept: dict[int, np.ndarray] = {}  # sets of the leaders met last
         for batch in batches:
             for part in slices(batch, "tb", 4 << 20):
                 keys = part.column("a").to_pylist()
@@ -143,34 +142,34 @@ def _exact(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                     good.append(100 * both >= percent * (len(own) + len(other) - both))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    met = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
-    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    met = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+    return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _leader_pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of each list's leader and its other members, and the leaders (v, cid).
+    """Distinct pairs (a, b) of each list's leader and its other members, and the leaders (v, c).
 
-    lists: (v, cid, n, central). Members whose sizes differ too much to be similar need no comparison.
+    lists: (v, c, n, central). Members whose sizes differ too much to be similar need no comparison.
     """
-    first = lists.groupBy("v").agg(F.max(F.struct("central", "cid", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1")
-    leaders = first.select("v", F.col("l.cid").alias("a"), F.col("l.n").alias("na"))
-    met = lists.select("v", "cid", "n").join(leaders, "v").filter("cid <> a")
+    first = lists.groupBy("v").agg(F.max(F.struct("central", "c", "n")).alias("l"), F.count("*").alias("members")).filter("members > 1")
+    leaders = first.select("v", F.col("l.c").alias("a"), F.col("l.n").alias("na"))
+    met = lists.select("v", "c", "n").join(leaders, "v").filter("c <> a")
     near = met.filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
     # the leader stays first: its set is made once for all its pairs
-    return near.select("a", F.col("cid").alias("b")).distinct(), leaders.select("v", F.col("a").alias("cid"))
+    return near.select("a", F.col("c").alias("b")).distinct(), leaders.select("v", F.col("a").alias("c"))
 
 
 def _open_members(lists: DataFrame, leaders: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """(cluster, cid, root): members of lists that are not settled, by clusters of lists with common members.
+    """(cluster, c, root): members of lists that are not settled, by clusters of lists with common members.
 
     A leader has met all the others of its list; a list whose other members are of one component is settled.
     """
-    rest = lists.select("v", "cid").join(leaders, ["v", "cid"], "left_anti")
-    members = rest.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("cid").alias("hub")).filter("lo <> hi").select("v", "hub")
-    kept = work.put(members.join(open_lists, "v").select("cid", "root", "hub").distinct(), "open")
-    clusters = components(kept.select(F.col("hub").alias("u"), F.col("cid").alias("v")), work, "clusters")
-    return kept.select("cid", "root").distinct().join(clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "cid")
+    rest = lists.select("v", "c").join(leaders, ["v", "c"], "left_anti")
+    members = rest.join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("hub")).filter("lo <> hi").select("v", "hub")
+    kept = work.put(members.join(open_lists, "v").select("c", "root", "hub").distinct(), "open")
+    clusters = components(kept.select(F.col("hub").alias("u"), F.col("c").alias("v")), work, "clusters")
+    return kept.select("c", "root").distinct().join(clusters.select(F.col("node").alias("c"), F.col("root").alias("cluster")), "c")
 
 
 def _block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -181,23 +180,23 @@ def _block_links(members: DataFrame, texts: DataFrame, width: int, percent: int)
     task holds a whole cluster and pairs inside the largest component are never looked at. Of the
     links in its blocks a task gives a spanning forest.
     """
-    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("c"))
-    shape = sizes.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"))
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS)).cast("int")
-    shape = shape.select("cluster", F.col("m.root").alias("main"), blocks(F.col("m.c")).alias("mains"), blocks(F.col("all") - F.col("m.c")).alias("others"))
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("size"))
+    shape = sizes.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int")
+    shape = shape.select("cluster", F.col("m.root").alias("main"), blocks(F.col("m.size")).alias("mains"), blocks(F.col("all") - F.col("m.size")).alias("others"))
     dealt = members.join(shape, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     own, other = F.col("block"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     with_others = lambda f: F.transform(other("others"), f)
     tasks = F.when(F.col("in_main"), with_others(lambda o: F.struct(o.alias("i"), (-1 - own).alias("j")))).otherwise(
         F.concat(with_others(lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))), F.transform(other("mains"), lambda m: F.struct(own.alias("i"), (-1 - m).alias("j"))))
     )
-    sent = dealt.select("cluster", "cid", "root", F.explode(tasks).alias("task")).select("cluster", "task.i", "task.j", "cid", "root").join(texts, "cid")
+    sent = dealt.select("cluster", "c", "root", F.explode(tasks).alias("task")).select("cluster", "task.i", "task.j", "c", "root").join(texts, "c")
 
     def run(table: pa.Table) -> pa.Table:
         # members that come from both blocks of a pair (i, i) come once
         table = table.combine_chunks()
-        cids, roots = table.column("cid").to_pylist(), table.column("root").to_pylist()
+        members, roots = table.column("c").to_pylist(), table.column("root").to_pylist()
         sets = [x for part in slices(table.select(["text"]).to_batches()[0], "text", 4 << 20) for x in shingle_sets(part.column("text"), width)]
         both, size = overlaps(sets), np.asarray([len(x) for x in sets])
         linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
@@ -205,11 +204,11 @@ def _block_links(members: DataFrame, texts: DataFrame, width: int, percent: int)
         for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
             p, q = tree[x], tree[y]
             if p != q:
-                links.append((cids[x], cids[y]))
+                links.append((members[x], members[y]))
                 tree = [p if t == q else t for t in tree]
-        return pa.table({"u": pa.array([x for x, _ in links], pa.binary()), "v": pa.array([y for _, y in links], pa.binary())})
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    return sent.groupBy("cluster", "i", "j").applyInArrow(run, "u binary, v binary")
+    return sent.groupBy("cluster", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -236,11 +235,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     work = Workspace(docs.sparkSession, "near")
     similarity = percent / 100
     signed = work.put(signatures(docs, width, text, key, k), "signed")
-    full = signed.filter("cid is not null")
-    # copies of one set become one class; its sketch is that of any of them
-    classes = work.put(full.groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = work.put(prefix_lists(classes, similarity, k), "lists")
-    asked = work.put(lists.select("cid").distinct().join(classes.select("cid", "least"), "cid"), "asked")
+    # copies of one set become one class, known by a number; its sketch is that of any of them
+    grouped = signed.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = work.put(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
+    lists = work.put(prefix_lists(classes, similarity), "lists")
+    asked = work.put(lists.select("c").distinct().join(classes.select("c", "cid", "least"), "c"), "asked")
     # one text of each class that is in a list; doc_ids may repeat, so the set's digest decides
     sources = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = work.put(_one_text(sources, asked, width), "texts")
@@ -250,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     members = work.put(_open_members(lists, leaders, labels, work), "members")
     more = work.put(_block_links(members, texts, width, percent), "more")
     labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), work, "all")
-    named = classes.select("cid", "least").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = classes.select("c", "cid", "least").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = work.put(named.join(least, "root").select("cid", "component_id"), "by-class")
     work.drop("lists", "texts", "classes", "asked", "links", "open", "members", "more")
@@ -260,13 +259,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
 
 def _one_text(sources: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """(cid, text) of each class asked for: the text of its first document whose set has that digest."""
+    """(c, text) of each class asked for: the text of a document whose set has the class's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 same = [len(x) > 0 and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == cid for x, cid in zip(shingle_sets(part.column("text"), width), part.column("cid").to_pylist(), strict=True)]
-                yield part.select(["cid", "text"]).filter(pa.array(same, pa.bool_()))
+                yield part.select(["c", "text"]).filter(pa.array(same, pa.bool_()))
 
-    met = sources.join(asked, sources["doc_id"].eqNullSafe(asked["least"])).select("cid", "text")
-    return met.mapInArrow(run, "cid binary, text string").dropDuplicates(["cid"])
+    # asked grows with the documents, so it is never broadcast
+    met = sources.join(asked.hint("merge"), sources["doc_id"].eqNullSafe(asked["least"])).select("c", "cid", "text")
+    return met.mapInArrow(run, "c long, text string").dropDuplicates(["c"])
