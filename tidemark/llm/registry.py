@@ -7,8 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, html_extract, media, near_dedup, sp_sampling, token_count, token_shards, toxicity
+from tidemark.llm import chat_format, decontaminate, html_extract, lm_score, media, near_dedup, sp_sampling, token_count, token_shards, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_sampling.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_extraction": op5_html_extraction,
         "op6_media_columns": op6_media_columns,
         "op7_toxicity": op7_toxicity,
+        "op8_lm_score": op8_lm_score,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
         "pipeline": corpus_pipeline.run,
@@ -70,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op4_chat_format": chat_format.ORACLE}
+    found = {"op4_chat_format": chat_format.ORACLE, "op8_lm_score": lm_score.ORACLE}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
