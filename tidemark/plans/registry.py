@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from tidemark.plans import bar_queries
+from tidemark.plans.base import Query
 
 FLAGSHIP = "breakout_candidates"
+CATALOGS = [bar_queries.catalog]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: v for c in CATALOGS for k, v in c.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for c in CATALOGS for k, v in c.sql.items()}
