@@ -45,7 +45,7 @@ def bars(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol (nation), week, close, volume: the last order of each week by key."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    week = F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-02").cast("date")) / 7).cast("long")
+    week = F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1994-12-26").cast("date")) / 7).cast("long")
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
     keyed = rows.select(F.col("n_name").alias("symbol"), week.alias("week"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.col("o_totalprice").alias("price"))
     return keyed.groupBy("symbol", "week").agg(F.max_by("price", "at").alias("close"), F.count("*").cast("double").alias("volume"))
@@ -78,5 +78,5 @@ BARS = MINUTES + coarse()
 
 WEEKLY = """
 wk AS (
-  SELECT n_name AS symbol, date_diff('day', DATE '1995-01-02', o_orderdate::DATE) // 7 AS week, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume
+  SELECT n_name AS symbol, date_diff('day', DATE '1994-12-26', o_orderdate::DATE) // 7 AS week, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*)::DOUBLE AS volume
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"""
