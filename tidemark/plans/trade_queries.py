@@ -75,7 +75,7 @@ def _(spark, sf):
     state = P.with_pivots(L.bars(spark, sf))
     highs = state.filter("pivot = 'high'").select("symbol", F.col("i").alias("at"), F.col("pivot_price").alias("p"))
     asked = state.filter("i % 24 = 0").select("symbol", "i", "close")
-    met = asked.join(highs, (asked.symbol == highs.symbol) & (highs["at"] < asked.i) & (highs.p > asked.close), "left").drop(highs.symbol)
+    met = asked.join(highs.withColumnRenamed("symbol", "of"), (F.col("symbol") == F.col("of")) & (F.col("at") < F.col("i")) & (F.col("p") > F.col("close")), "left")
     return met.groupBy("symbol", "i").agg(F.min("p").alias("resistance"))
 
 
