@@ -71,11 +71,10 @@ def prefix_lists(classes: DataFrame, similarity: float) -> DataFrame:
 
     central: how common the class's values are on average; the original of a group of copies leads.
     """
-    values = classes.select("c", F.explode("sketch").alias("v"))
+    values = classes.select("c", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("c")
-    met = values.join(shared, "v").withColumns({"rank": F.row_number().over(own.orderBy("df", "v")), "met": F.count("*").over(own), "sum": F.sum("df").over(own)})
-    sized = met.join(classes.select("c", "n", F.size("sketch").alias("s")), "c")
+    sized = values.join(shared, "v").withColumns({"rank": F.row_number().over(own.orderBy("df", "v")), "met": F.count("*").over(own), "sum": F.sum("df").over(own)})
     least = F.ceil(F.lit(round(similarity - SLACK, 6)) * F.col("s"))
     # the values without a list come first in the order of rarity
     place = F.col("rank") + F.col("s") - F.col("met")
@@ -88,28 +87,55 @@ def _least_neighbours(edges: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
+def _stars_of_parts(edges: DataFrame) -> DataFrame:
+    """(u, v): each part's edges as stars around the smallest node of what hangs together in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            above: dict[int, int] = {}
+
+            def root(x: int, above: dict[int, int] = above) -> int:
+                while (y := above.setdefault(x, x)) != x:
+                    above[x] = above[y]
+                    x = above[x]
+                return x
+
+            for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = root(x), root(y)
+                above[max(x, y)] = min(x, y)
+            found = [(x, root(x)) for x in list(above)]
+            found = [(x, y) for x, y in found if x != y]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def _nodes_off_stars(edges: DataFrame) -> int:
+    """Nodes that hang on several others, or hang on one and hold one: none if the edges are stars."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    per = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return per.filter("hangs > 1 or hangs = 1 and holds = 1").count()
+
+
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, root): every node of the edges (u, v) with the smallest node that it reaches.
 
     Large-star and small-star steps: each hangs neighbours on the smallest one nearby; they end when
-    an iteration changes nothing. Every step is a partial aggregation and a join.
+    all that is left are stars. Every step is a partial aggregation and a join. Before the first,
+    each Arrow batch of edges becomes stars by itself.
     """
-    current = work.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), f"{name}-0")
-    step, seen = 0, None
-    while True:
+    current = work.put(_stars_of_parts(edges.filter("u <> v")).distinct(), f"{name}-0")
+    step = 0
+    while _nodes_off_stars(current):
         least = _least_neighbours(current)
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         step += 1
-        following = work.put(small, f"{name}-{step}")
-        mark = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        current = work.put(small, f"{name}-{step}")
         work.drop(f"{name}-{step - 1}")
-        current = following
-        if mark == seen:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = mark
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float, k: int) -> DataFrame:
@@ -248,7 +274,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     labels = components(links, work, "linked")
     members = work.put(_open_members(lists, leaders, labels, work), "members")
     more = work.put(_block_links(members, texts, width, percent), "more")
-    labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), work, "all")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), work, "all")
     named = classes.select("c", "cid", "least").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = work.put(named.join(least, "root").select("cid", "component_id"), "by-class")
