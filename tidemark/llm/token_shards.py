@@ -21,9 +21,9 @@ read back as null; repeated rows have sequences of their own; an empty table wri
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +31,31 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, mix, slices
+from tidemark.llm.common import Workspace, byte_class, mix, slices, span_hashes, text_bytes, word_spans
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = b"\0\0"
 NO_ID = -(1 << 63)
-KNOWN = 400_000
+#: Pieces of the table; when it has more it is emptied, which only costs time. Bytes of a piece that is
+#: remembered. Bits of the place of a piece in the table.
+KNOWN, LONG, SLOTS = 2_000_000, 64, 21
 
 
-class Encoder(dict):
-    """Pieces between spaces (each with the space before it) as the bytes of their 16-bit tokens."""
+_SPACE = byte_class(b" ")
+#: White space of one byte, and the white space of more bytes as \\s has it.
+_WHITE = byte_class(b" \t\n\v\f\r\x1c\x1d\x1e\x1f")
+_WIDE_WHITE = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]
+
+
+class Encoder:
+    """Tokens (16 bits each) of whole columns of texts.
+
+    Where no two white-space characters meet, every space starts a token of its own pre-token; such
+    texts are cut at their spaces and the pieces, known by 64-bit hashes, looked up in a bounded table
+    with array operations. Only pieces not met before, and other texts whole, go through the tokenizer.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         import tiktoken
 
         with open(path, "rb") as file:
@@ -52,25 +64,81 @@ class Encoder(dict):
         if self.end >= 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits")
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.twice = re.compile(r"\s\s|^\s|\s$")
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode_ordinary(text), "<u2").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KNOWN:
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all pieces. seen_hash and seen: a table of hashes, by their highest bits, and places in start and size."""
+        self.start, self.size, self.known = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.tokens, self.used = np.zeros(1 << 14, np.uint16), 0
+        self.seen_hash, self.seen = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
+
+    def _add(self, texts: list[str]) -> np.ndarray:
+        """Places of the tokens of the texts."""
+        found = [self.encoding.encode_ordinary(x) for x in texts]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        made, places = int(size.sum()), np.arange(self.known, self.known + len(texts))
+        while self.known + len(texts) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + made > len(self.tokens):
+            self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
+        self.start[places], self.size[places] = self.used + np.cumsum(size) - size, size
+        self.tokens[self.used : self.used + made] = np.fromiter(chain.from_iterable(found), np.uint16, made)
+        self.known, self.used = self.known + len(texts), self.used + made
+        return places
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all texts one after the other, and the number of each text's tokens."""
+        data, offsets = text_bytes(column)
+        n = len(offsets) - 1
+        if self.known > KNOWN:
             self.clear()
-        found = self.whole(" " + piece)
-        if len(piece) < 64:
-            self[piece] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Where no two white-space characters meet, every space starts a token of its own pre-token."""
-        if not text or self.twice.search(text):
-            return self.whole(text)
-        first, *pieces = text.split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, pieces))
+        starts, ends, first = word_spans(data, offsets, _SPACE)
+        hashes = span_hashes(data, starts, ends)
+        owner = np.repeat(np.arange(n), np.diff(first))
+        begins = starts == offsets[owner]
+        hashes[begins] = mix(hashes[begins] + np.uint64(1))  # no space before it
+        whole = np.zeros(len(starts), bool)
+        hard = self._hard(data, offsets)
+        if hard.any():
+            easy, texts = ~hard[owner], np.flatnonzero(hard)
+            order = np.argsort(np.append(owner[easy], texts), kind="stable")
+            both = lambda x, y: np.append(x[easy], y)[order]
+            starts, ends, hashes, begins, whole, owner = both(starts, offsets[texts]), both(ends, offsets[texts + 1]), both(hashes, np.zeros(len(texts), np.uint64)), both(begins, np.ones(len(texts), bool)), both(whole, np.ones(len(texts), bool)), both(owner, texts)
+        whole |= ends - starts > LONG
+        slot = (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
+        place = self.seen[slot].astype(np.int64)
+        missed = np.flatnonzero((self.seen_hash[slot] != hashes) & ~whole)
+        blob = data.tobytes()
+        raw = lambda found: [blob[a:b].decode("utf-8") for a, b in zip((starts[found] - ~begins[found]).tolist(), ends[found].tolist(), strict=True)]
+        if len(missed):
+            values, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            places = self._add(raw(missed[at]))
+            place[missed] = places[back]
+            slots = (values >> np.uint64(64 - SLOTS)).astype(np.int64)
+            self.seen_hash[slots], self.seen[slots] = values, places
+        known, used = self.known, self.used
+        if whole.any():
+            place[whole] = self._add(raw(np.flatnonzero(whole)))
+        size = self.size[place]
+        at = np.repeat(self.start[place] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        found = self.tokens[at]
+        self.known, self.used = known, used  # long pieces and whole texts are not remembered
+        return found, np.bincount(owner, size, n).astype(np.int64)
+
+    @staticmethod
+    def _hard(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts in which a space meets other white space or an end, or may do so."""
+        space = np.flatnonzero(data == 32)
+        white = np.append(_WHITE[data], True)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        bad = space[white[space + 1] | edge[space + 1] | edge[space] | (white[space - 1] & (space > 0))]
+        wide = np.flatnonzero((data[:-1] == 0xC2) | ((data[:-1] >= 0xE1) & (data[:-1] <= 0xE3))) if len(data) else bad
+        code = data[wide].astype(np.int64) << 8 | data[wide + 1]
+        bad = np.append(bad, wide[np.isin(code, [a << 8 | b for a, b in _WIDE_WHITE])])
+        hard = np.zeros(len(offsets) - 1, bool)
+        hard[np.searchsorted(offsets, bad, side="right") - 1] = True
+        return hard
 
 
 _encoders: dict[str, Encoder] = {}
@@ -137,11 +205,12 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
         runs: list[list] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                for text, file, row in zip(part.column("text"), part.column("file").to_pylist(), part.column("row").to_pylist(), strict=True):
+                sizes = code.encode(part.column("text"))[1].tolist()
+                for size, file, row in zip(sizes, part.column("file").to_pylist(), part.column("row").to_pylist(), strict=True):
                     if not runs or runs[-1][0] != file or runs[-1][2] != row:  # rows without gaps are one run
                         runs.append([file, row, row, 0])
                     runs[-1][2] += 1
-                    runs[-1][3] += _count(len(code.encode(text.as_py())) // 2, length)
+                    runs[-1][3] += _count(size, length)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "row", "beyond", "n"])
 
     runs = work.put(placed.mapInArrow(counts, "file string, row long, beyond long, n long"), "runs")
@@ -156,23 +225,20 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
         file, expected, index = None, None, 0
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                bases, totals, data = [], [], []
-                for text, name, row in zip(part.column("text"), part.column("file").to_pylist(), part.column("row").to_pylist(), strict=True):
+                tokens, sizes = code.encode(part.column("text"))
+                bases, totals = [], sizes + 1
+                for size, name, row in zip(sizes.tolist(), part.column("file").to_pylist(), part.column("row").to_pylist(), strict=True):
                     if name != file or row != expected:
                         file, index = name, sent.value[name, row]
                     expected = row + 1
-                    tokens = code.encode(text.as_py())
-                    total = len(tokens) // 2 + 1
-                    count = _count(total - 1, length)
                     bases.append(index)
-                    totals.append(total)
-                    data.append(tokens + code.end.to_bytes(2, "little") * (count * length - total + 1))
-                    index += count
-                totals = np.asarray(totals, np.int64)
+                    index += _count(size, length)
                 owners = -(-totals // length)
                 seq = np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners, owners)
                 made = np.zeros(len(seq), kind)
-                made["tokens"] = np.frombuffer(b"".join(data), "<u2").reshape(-1, length)
+                flat = np.full(len(seq) * length, code.end, np.uint16)
+                flat[np.repeat((np.cumsum(owners) - owners) * length - np.cumsum(sizes) + sizes, sizes) + np.arange(len(tokens))] = tokens
+                made["tokens"] = flat.reshape(-1, length)
                 made["slot"] = slot = feistel(np.repeat(np.asarray(bases, np.int64), owners) + seq, n, key)
                 made["doc_id"] = np.repeat(part.column("doc_id").fill_null(NO_ID).to_numpy(), owners)
                 made["seq"] = seq
