@@ -38,7 +38,7 @@ END = b"\0\0"
 NO_ID = -(1 << 63)
 #: Pieces of the table; when it has more it is emptied, which only costs time. Bytes of a piece that is
 #: remembered. Bits of the place of a piece in the table.
-KNOWN, LONG, SLOTS = 2_000_000, 64, 21
+KNOWN, LONG, SLOTS = 1_000_000, 64, 20
 
 
 _SPACE = byte_class(b" ")
@@ -204,7 +204,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
         code = encoder(vocabulary)
         runs: list[list] = []
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 sizes = code.encode(part.column("text"))[1].tolist()
                 for size, file, row in zip(sizes, part.column("file").to_pylist(), part.column("row").to_pylist(), strict=True):
                     if not runs or runs[-1][0] != file or runs[-1][2] != row:  # rows without gaps are one run
@@ -224,7 +224,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
         code, kind = encoder(vocabulary), _dtype(length)
         file, expected, index = None, None, 0
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 tokens, sizes = code.encode(part.column("text"))
                 bases, totals = [], sizes + 1
                 for size, name, row in zip(sizes.tolist(), part.column("file").to_pylist(), part.column("row").to_pylist(), strict=True):
