@@ -190,10 +190,15 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: in
     epochs = epochs or int(np.clip(16_000 // len(texts), 4, 12))
     order = np.random.default_rng(seed).permutation(len(texts))
     column = pa.array(texts, pa.large_string())
-    every = Words(column, np.zeros(0, np.uint64))
-    docs = np.repeat(np.arange(len(texts)), np.diff(every.first))
-    pairs = np.unique(every.index.astype(np.int64) * (len(texts) + 1) + docs)
-    vocabulary = every.hashes[np.bincount(pairs // (len(texts) + 1), minlength=len(every.hashes)) >= MIN_DOCS]
+    met, often = [], []
+    for lo in range(0, len(texts), 128):  # the driver never has the words of the whole sample at once
+        some = Words(column.slice(lo, 128), np.zeros(0, np.uint64))
+        docs = np.repeat(np.arange(len(some.first) - 1), np.diff(some.first))
+        pairs = np.unique(some.index.astype(np.int64) * len(some.first) + docs)
+        met.append(some.hashes)
+        often.append(np.bincount(pairs // len(some.first), minlength=len(some.hashes)))
+    values, back = np.unique(np.concatenate(met), return_inverse=True)
+    vocabulary = values[np.bincount(back, np.concatenate(often), len(values)) >= MIN_DOCS]
     p = initial(len(vocabulary), seed)
     y = np.asarray(labels, np.float32)
     share = max(y.mean(), 1e-3)
