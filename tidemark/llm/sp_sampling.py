@@ -74,42 +74,47 @@ class Lattices(dict):
         self.last, self.edge_first = array("q"), array("q", [0])
         self.cumulative, self.source, self.made = array("d"), array("q"), array("i")
 
-    def node(self, edges: list[tuple[float, int, int]]) -> int:
-        """A new node with edges (weight, node it starts at, piece)."""
-        number = len(self.edge_first) - 1
-        total, run = sum(e[0] for e in edges), 0.0
-        for weight, source, piece in edges:
-            run += weight
-            self.cumulative.append(number + run / total)
-            self.source.append(source)
-            self.made.append(piece)
-        if edges:
-            self.cumulative[-1] = number + 1.0
-        self.edge_first.append(len(self.source))
-        return number
-
     def __missing__(self, word: str) -> int:
-        pieces, longest = self.piece, self.longest
-        nodes, forward = [self.node([])], [1.0]
+        find, longest = self.piece.get, self.longest
+        edge_first, cumulative, source, made = self.edge_first, self.cumulative, self.source, self.made
+        number = len(edge_first) - 1
+        nodes, forward = [number], [1.0]
+        edge_first.append(len(source))
         for j in range(1, len(word) + 1):
-            edges, total = [], 0.0
-            for i in range(max(0, j - longest), j):
-                found = pieces.get(word[i:j])
+            number += 1
+            total, whole = 0.0, None
+            first = len(source)
+            for i in range(j - longest if j > longest else 0, j):
+                found = find(word[i:j])
                 if found:
-                    weight = forward[i] * found[1]
-                    edges.append((weight, nodes[i], found[0]))
-                    total += weight
-            if word[j - 1] not in pieces:
-                # the character in bytes, a chain of nodes with one edge each
-                at = nodes[j - 1]
+                    total += forward[i] * found[1]
+                    cumulative.append(total)
+                    source.append(nodes[i])
+                    made.append(found[0])
+                    whole = i
+            if whole != j - 1:
+                # the character in bytes, a chain of nodes with one edge each, numbered before the node itself
+                at, kept = nodes[j - 1], (cumulative[first:], source[first:], made[first:])
+                del cumulative[first:], source[first:], made[first:]
                 spelled = (MARK if word[j - 1] == LITERAL else word[j - 1]).encode("utf-8")
-                weight = forward[j - 1]
                 for b in spelled[:-1]:
-                    at = self.node([(1.0, at, self.byte[b])])
-                weight *= self.spelled ** len(spelled)
-                edges.append((weight, at, self.byte[spelled[-1]]))
-                total += weight
-            nodes.append(self.node(edges))
+                    cumulative.append(number + 1.0)
+                    source.append(at)
+                    made.append(self.byte[b])
+                    edge_first.append(len(source))
+                    at, number = number, number + 1
+                first = len(source)
+                for column, part in zip((cumulative, source, made), kept, strict=True):
+                    column.extend(part)
+                total += forward[j - 1] * self.spelled ** len(spelled)
+                cumulative.append(total)
+                source.append(at)
+                made.append(self.byte[spelled[-1]])
+            for k in range(first, len(source) - 1):
+                cumulative[k] = number + cumulative[k] / total
+            cumulative[-1] = number + 1.0
+            edge_first.append(len(source))
+            nodes.append(number)
             forward.append(total)
             if not 1e-100 < total < 1e100:  # in long words: only the ratios of the last few matter
                 forward[-longest:] = [x / total for x in forward[-longest:]]
@@ -134,8 +139,7 @@ class Lattices(dict):
         first = np.concatenate([[0], np.cumsum(counts)])
         position = np.arange(first[-1]) - np.repeat(first[:-1], counts)
         seed = mix(np.repeat(keys, counts) + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        last, edge_first = np.array(self.last, np.int64), np.array(self.edge_first, np.int64)
-        cumulative, source, made = np.array(self.cumulative), np.array(self.source, np.int64), np.array(self.made, np.int32)
+        last, edge_first, cumulative, source, made = (np.frombuffer(x, x.typecode) if x else np.zeros(0, x.typecode) for x in (self.last, self.edge_first, self.cumulative, self.source, self.made))
         node = last[np.asarray(words, np.int64)]
         active = np.arange(len(node))
         taken = np.zeros(len(node), np.int64)
