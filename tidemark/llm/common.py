@@ -23,13 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where it is unset, a local session gets a temporary folder; any other session is refused.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tidemark.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    spark.conf.set("spark.tidemark.dir", made)  # the other setting is fixed once the session runs
     return made
 
 
