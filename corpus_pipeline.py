@@ -27,13 +27,21 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document with the smallest doc_id stays.
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) one row stays: the first by (doc_id, nulls last, row).
 
-    Documents without words are no duplicates and stay; a doc_id that occurs again stays as often.
+    Rows are told apart by a number of their own, as a doc_id may be null or occur again. Rows without
+    words are no duplicates and stay.
     """
-    groups = near_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = groups.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    work = Workspace(spark, "single")
+    # written, so that a row has the same number each time it is read
+    rows = work.put(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = near_dedup.near_duplicates(rows, width=5, percent=80, key="row").select(F.col("doc_id").alias("row"), "component_id")
+    others = groups.filter("row <> component_id")
+    members = others.unionByName(others.select(F.col("component_id").alias("row"), "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    firsts = members.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    gone = members.select("row").join(firsts, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

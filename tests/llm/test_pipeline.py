@@ -41,3 +41,11 @@ def test_no_documents(spark, sf):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_one_row_of_each_group_by_row(spark, sf):
+    copied, other, third = ("the quick brown fox jumps over the lazy dog by the river", "one clean text that nobody else has written anywhere so far", "these words come twice under no name at all in this table")
+    rows = [(7, copied), (7, copied), (3, copied), (7, other), (None, third), (None, third), (9, copied), (None, copied), (5, ""), (5, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "x", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted(((r.doc_id, r.text) for r in P.one_of_each_group(spark, docs, sf).collect()), key=str)
+    assert found == sorted([(3, copied), (7, other), (None, third), (5, ""), (5, None), (None, "")], key=str)
