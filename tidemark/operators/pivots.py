@@ -6,6 +6,8 @@ folded in one Arrow group; what a window can express (the left extremes, the las
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -70,6 +72,28 @@ def with_trend(pivoted: DataFrame) -> DataFrame:
     return marked.withColumn("trend", both[0] & both[1]).drop("rises")
 
 
+def with_resistance(pivoted: DataFrame) -> DataFrame:
+    """symbol, i, resistance of every bar: the lowest high confirmed before the bar that is above its close, or null.
+
+    The confirmed prices of a series are kept in order, so a bar is one search and not a comparison with
+    every high before it.
+    """
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        highs: list[float] = []
+        out: list[float | None] = []
+        for close, price in zip(table.column("close").to_pylist(), table.column("p").to_pylist(), strict=True):
+            at = bisect_right(highs, close)
+            out.append(highs[at] if at < len(highs) else None)
+            if price is not None:
+                insort(highs, price)
+        return pa.Table.from_arrays([table.column("symbol").combine_chunks(), table.column("i").combine_chunks(), pa.array(out, pa.float64())], ["symbol", "i", "resistance"])
+
+    highs = F.when(F.col("pivot") == "high", F.col("pivot_price")).alias("p")
+    return pivoted.select("symbol", "i", "close", highs).groupBy("symbol").applyInArrow(fold, "symbol string, i long, resistance double")
+
+
 def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """symbol, time, rsi: seeded with the mean of the first n changes, then smoothed by 1/n."""
 

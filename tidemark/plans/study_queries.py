@@ -33,6 +33,14 @@ def _(spark, sf):
     return C.funding_cost(positions, bars.select("symbol", "time", (F.col("buy_vol") - F.col("sell_vol")).alias("rate"))).drop("exit")
 
 
+@query("c2_funding_cost_every_bar")
+def _(spark, sf):
+    """A position of ten hours from every bar; c2_funding_cost and its SQL open one a day."""
+    bars = L.bars(spark, sf)
+    positions = bars.select("symbol", F.col("time").alias("entry"), (F.col("time") + 36000).alias("exit"))
+    return C.funding_cost(positions, bars.select("symbol", "time", (F.col("buy_vol") - F.col("sell_vol")).alias("rate"))).drop("exit")
+
+
 @query("c6_cost_surface", f"{B60}, t AS (SELECT symbol, lag(close) OVER s AS entry, close AS px, 20.0::DOUBLE AS risk FROM b{S}), z AS (SELECT symbol, count(*) AS n, sum((px - entry) / risk) AS gross, sum((px + entry) / risk) AS unit FROM t WHERE entry IS NOT NULL GROUP BY 1) SELECT symbol, fee, slip, n, round((gross - (fee + slip) * unit) / n, 6) AS net FROM z, (SELECT unnest([0.0, 0.001, 0.002, 0.004]::DOUBLE[]) AS fee), (SELECT unnest([0.0, 0.0005, 0.001]::DOUBLE[]) AS slip)")
 def _(spark, sf):
     trades = L.bars(spark, sf).select("symbol", F.lag("close").over(I.by_time()).alias("entry"), F.col("close").alias("px"), F.lit(20.0).alias("risk")).filter("entry is not null")

@@ -79,6 +79,12 @@ def _(spark, sf):
     return met.groupBy("symbol", "i").agg(F.min("p").alias("resistance"))
 
 
+@query("j5_resistance_every_bar")
+def _(spark, sf):
+    """The lowest confirmed high above the close of every bar; j5_resistance and its SQL ask every 24th."""
+    return P.with_resistance(P.with_pivots(L.bars(spark, sf)))
+
+
 @query("j6_support_touch", f"{PIVOTS}, ls AS (SELECT symbol, i AS at, pivot_price AS p FROM st WHERE kind = 'low') SELECT nb.symbol, nb.i, arg_min(ls.p, (abs(nb.low - ls.p), ls.at)) AS support FROM nb JOIN ls ON ls.symbol = nb.symbol AND ls.at < nb.i AND nb.low BETWEEN 0.98 * ls.p AND 1.004 * ls.p GROUP BY 1, 2")
 def _(spark, sf):
     state = P.with_pivots(L.bars(spark, sf))
