@@ -39,6 +39,29 @@ def first_passage(entries: DataFrame, bars: DataFrame, horizon: int, by: list[st
     return found.withColumn("outcome", F.when(loss, "loss").when(F.col("target_at").isNotNull(), "win").otherwise("open"))
 
 
+def first_passages(entries: DataFrame, bars: DataFrame, horizon: int, stops: list[float], targets: list[float]) -> DataFrame:
+    """(k_stop, k_target, n, wins, losses, open) of every pair of stop and target, in units of the entry's ``unit``.
+
+    entries: (symbol, i, close, unit). Each level's first bar is found once in one range join, then the
+    pairs are compared; a bar that reaches both counts as the stop. An entry counts only if the ``horizon`` bars
+    after it are all there.
+    """
+    last = bars.groupBy("symbol").agg(F.max("i").alias("last"))
+    whole = entries.join(last, "symbol").filter(F.col("i") + horizon <= F.col("last")).drop("last")
+    path = bars.select(F.col("symbol").alias("of"), F.col("i").alias("j"), F.col("low").alias("lo"), F.col("high").alias("hi"))
+    met = whole.join(path, (F.col("symbol") == F.col("of")) & (F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + horizon))
+    first = lambda reached: F.min(F.when(reached, F.col("j")))
+    found = met.groupBy("symbol", "i").agg(
+        *(first(F.col("lo") <= F.col("close") - k * F.col("unit")).alias(f"s{a}") for a, k in enumerate(stops)),
+        *(first(F.col("hi") >= F.col("close") + m * F.col("unit")).alias(f"t{b}") for b, m in enumerate(targets)),
+    )
+    pairs = F.array(*(F.struct(F.lit(k).alias("k_stop"), F.lit(m).alias("k_target"), F.col(f"s{a}").alias("sa"), F.col(f"t{b}").alias("ta")) for a, k in enumerate(stops) for b, m in enumerate(targets)))
+    win = F.col("ta").isNotNull() & (F.col("sa").isNull() | (F.col("ta") < F.col("sa")))
+    loss = F.col("sa").isNotNull() & ~win
+    cells = found.select(F.explode(pairs).alias("g")).select("g.*")
+    return cells.groupBy("k_stop", "k_target").agg(F.count("*").alias("n"), F.count_if(win).alias("wins"), F.count_if(loss).alias("losses"), F.count_if(~win & ~loss).alias("open"))
+
+
 def in_every_series(bars: DataFrame) -> DataFrame:
     """The times that all symbols have."""
     symbols = bars.agg(F.count_distinct("symbol").alias("all"))

@@ -227,3 +227,11 @@ def _(spark, sf):
     last = bars.groupBy("symbol").agg(F.max("i").alias("last"))
     passed = J.first_passage(found.join(last, "symbol").filter("i < last"), bars, 48, ["symbol", "i", "k_stop", "k_target"])
     return passed.groupBy("k_stop", "k_target").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "win").alias("wins"), F.count_if(F.col("outcome") == "loss").alias("losses"))
+
+
+@query("x2_stop_target_grid_whole")
+def _(spark, sf):
+    """The grid of 7 stops and 6 targets over 200 bars; x2_stop_target_grid and its SQL have 3 x 3 over 48."""
+    bars = E.prepared(L.bars(spark, sf))
+    entries = bars.filter("close > top20 and atr_before > 0").select("symbol", "i", "close", F.col("atr_before").alias("unit"))
+    return J.first_passages(entries, bars, 200, [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0], [1.0, 1.5, 2.0, 3.0, 4.0, 6.0])
