@@ -56,6 +56,27 @@ def permuted_ic(panel: DataFrame, k: int, seed: str = "p") -> DataFrame:
     return drawn.crossJoin(F.broadcast(own)).groupBy("ic").agg(((F.count_if(F.col("r") >= F.col("ic")) + 1) / (k + 1)).alias("p"))
 
 
+def _spearman(pairs: DataFrame, *by: str) -> DataFrame:
+    """by, r: the rank correlation of trail and fwd in each group; groups without spread have none."""
+    place = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+    return pairs.select(*by, place("trail").alias("x"), place("fwd").alias("y")).groupBy(*by).agg(F.corr("x", "y").alias("r")).filter("not isnan(r)")
+
+
+def permuted_panels(panel: DataFrame, k: int, seed: str = "q") -> DataFrame:
+    """One row: the mean over dates of the rank correlation of trail and fwd, and its one-sided p.
+
+    A replica pairs the trails of each date with the fwds, asset by asset, of another date in a random
+    order of all dates. panel: (date, asset, trail, fwd).
+    """
+    own = _spearman(panel, "date").agg(F.avg("r").alias("ic"))
+    dates = panel.select("date").distinct().select("date", F.row_number().over(Window.orderBy("date")).alias("at"))
+    spot = F.row_number().over(Window.partitionBy("replica").orderBy(draw(seed, "replica", "date"), "date"))
+    order = replicas(dates.select("date"), k).select("replica", F.col("date").alias("other"), spot.alias("at")).join(dates, "at").select("replica", "date", "other")
+    met = order.join(panel.select("date", "asset", "trail"), "date").join(panel.select(F.col("date").alias("other"), "asset", "fwd"), ["other", "asset"])
+    drawn = _spearman(met, "replica", "date").groupBy("replica").agg(F.avg("r").alias("r"))
+    return drawn.crossJoin(F.broadcast(own)).groupBy("ic").agg(((F.count_if(F.col("r") >= F.col("ic")) + 1) / (k + 1)).alias("p"))
+
+
 def half_life(slope: Column) -> Column:
     """Periods until half of a deviation is gone, of the slope of its changes on it; null outside (-1, 0)."""
     return F.when((slope > -1) & (slope < 0), F.log(F.lit(0.5)) / F.log1p(slope))

@@ -119,6 +119,22 @@ def _(spark, sf):
     return rounded(R.sign_flip(date_means(spark, sf), "m", "date", 200), "mean")
 
 
+@query("i2_permutation_1000")
+def _(spark, sf):
+    """Whole panels paired anew across dates, 1000 times; i2_permutation and its SQL shuffle assets in a date, 20 times."""
+    return rounded(R.permuted_panels(panel(spark, sf), 1000), "ic")
+
+
+@query("i4_bootstrap_1000")
+def _(spark, sf):
+    return rounded(R.bootstrap_interval(date_means(spark, sf), "m", "date", 1000), "lo", "hi")
+
+
+@query("i10_sign_flip_5000")
+def _(spark, sf):
+    return rounded(R.sign_flip(date_means(spark, sf), "m", "date", 5000), "mean")
+
+
 @query("i13_half_life", f"{B60}, c AS (SELECT symbol, close - lag(close) OVER s AS d, lag(close) OVER s AS e FROM b{S}), g AS (SELECT symbol, regr_slope(d, e) AS slope FROM c WHERE e IS NOT NULL GROUP BY 1) SELECT symbol, round(slope, 6) AS slope, round(CASE WHEN slope > -1 AND slope < 0 THEN ln(0.5::DOUBLE) / ln(1 + slope) END, 3) AS periods FROM g")
 def _(spark, sf):
     steps = L.bars(spark, sf).select("symbol", (F.col("close") - F.lag("close").over(I.by_time())).alias("d"), F.lag("close").over(I.by_time()).alias("e")).filter("e is not null")
