@@ -1,4 +1,5 @@
 import collections
+import time
 
 import numpy as np
 import pytest
@@ -20,23 +21,28 @@ def test_decoding_gives_every_text_back(table):
     assert [table.decode(pieces[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)] == TEXTS
 
 
-def test_paths_are_drawn_by_weight(table):
-    """Against all segmentations of a word, listed by brute force."""
-    word = "▁hello"
+@pytest.mark.parametrize("text", ["hello", "    if", "naïve▁"])
+def test_paths_are_drawn_by_weight(table, text):
+    """Against all segmentations of a segment, listed by brute force."""
+    word = " " + text
 
     def paths(at):
         if at == len(word):
             yield (), 1.0
         for end in range(at + 1, len(word) + 1):
-            if word[at:end] in table.piece:
-                k, w = table.piece[word[at:end]]
+            part = word[at:end]
+            found = table.piece.get(part.replace(" ", S.MARK)) if S.MARK not in part else None
+            options = [((found[0],), found[1])] if found else []
+            if len(part) == 1 and not found:
+                options = [(tuple(table.byte[list(part.encode())].tolist()), table.spelled)]
+            for ids, w in options:
                 for rest, v in paths(end):
-                    yield (k, *rest), w * v
+                    yield (*ids, *rest), w * v
 
     weights = dict(paths(0))
     total = sum(weights.values())
     n = 40_000
-    pieces, first = table.encode(["hello"] * n, np.arange(n, dtype=np.uint64) * np.uint64(977))
+    pieces, first = table.encode([text] * n, np.arange(n, dtype=np.uint64) * np.uint64(977))
     seen = collections.Counter(tuple(pieces[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True))
     assert set(seen) <= set(weights)
     for path, w in weights.items():
@@ -44,13 +50,35 @@ def test_paths_are_drawn_by_weight(table):
         assert abs(seen[path] - expected) < 6 * expected**0.5 + 3
 
 
+def test_runs_of_spaces_have_pieces(table):
+    runs = {k for k in range(2, 17) if S.MARK * k in table.piece}
+    assert len(runs) == 14
+    pieces, _ = table.encode(["x" + " " * 16 + "y"] * 500, np.arange(500, dtype=np.uint64))
+    assert {table.piece[S.MARK * k][0] for k in runs} & set(pieces.tolist())
+
+
 def test_rows_do_not_depend_on_their_batch(table):
-    keys = np.arange(len(TEXTS), dtype=np.uint64)
-    together, first = table.encode(TEXTS, keys)
+    """Alone, all together, behind many others and with blocks of another size: the same to the bit."""
+    rng = np.random.default_rng(3)
+    texts = [*TEXTS, *("".join(chr(c) for c in rng.choice([97, 98, 0x4E00, 0x4E8C, 0x1F642, 0xE9], n)) for n in (300, 3000, 3000, 3001))]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    together, first = table.encode(texts, keys)
     fresh = S.Lattices(PATH, 0.5)
-    for k in reversed(range(len(TEXTS))):
-        alone, _ = fresh.encode([TEXTS[k]], keys[k : k + 1])
+    fresh.encode([" ".join(map(str, rng.integers(0, 1 << 40, 20_000)))], keys[:1])
+    for k in reversed(range(len(texts))):
+        alone, _ = fresh.encode([texts[k]], keys[k : k + 1])
         assert alone.tolist() == together[first[k] : first[k + 1]].tolist()
+    others = [f"{a} {b}" for a, b in zip(map(str, rng.integers(0, 1 << 20, 3000)), "abcde" * 600, strict=True)]
+    behind, edge = table.encode(others + texts, np.concatenate([np.full(3000, 9, np.uint64), keys]))
+    assert behind[edge[3000] :].tolist() == together.tolist()
+
+
+def test_long_texts_without_spaces(table):
+    text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x5E00, 200_000)))
+    began = time.perf_counter()
+    pieces, _ = table.encode([text], np.ones(1, np.uint64))
+    assert time.perf_counter() - began < 10
+    assert table.decode(pieces.tolist()) == text
 
 
 def test_spark(spark, sf):
