@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -67,3 +68,52 @@ def test_no_rows_and_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert [(r.score, r.predicted) for r in T.toxicity(docs, none).collect()] == [(0.0, 0)]
     assert T.toxicity(docs.limit(0), none).count() == 0
+
+
+def plain_score(p, text):
+    """One window after the other, word by word, as the docstring says."""
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h = T.HIDDEN
+    known = {int(x): k + 1 for k, x in enumerate(p["vocabulary"])}
+    worst = 0.0
+    for at in range(0, max(1, len(words) - (T.WINDOW - T.STRIDE)), T.STRIDE):
+        xs = []
+        for word in words[at : at + T.WINDOW]:
+            one = T.Words(pa.array([word]), np.zeros(0, np.uint64))
+            mean = p["gram"][one.grams].mean(axis=0)
+            xs.append(np.concatenate([p["word"][known.get(int(one.hashes[0]), 0)], mean]) @ p["in"] + p["in_b"])
+
+        def read(xs, u):
+            s, states = np.zeros(h), []
+            for g in xs:
+                a = s @ u
+                z, r = sigmoid(g[:h] + a[:h]), sigmoid(g[h : 2 * h] + a[h : 2 * h])
+                n = np.tanh(g[2 * h :] + r * a[2 * h :])
+                s = n + z * (s - n)
+                states.append(s)
+            return states
+
+        ahead, back = read([x[: 3 * h] for x in xs], p["fwd"]), read([x[3 * h :] for x in xs[::-1]], p["bwd"])[::-1]
+        states = np.asarray([np.concatenate(x) for x in zip(ahead, back, strict=True)]) if xs else np.zeros((1, 2 * h))
+        weight = np.exp(np.tanh(states @ p["att"] + p["att_b"]) @ p["att_v"])
+        pooled = (weight[:, None] * states).sum(axis=0) / weight.sum()
+        worst = max(worst, sigmoid(pooled @ p["out"] + p["out_b"][0]))
+    return worst
+
+
+def test_scores_agree_with_a_plain_scorer():
+    rows = corpus(120)
+    p = T.fit([t for _, t, _ in rows], [y for _, _, y in rows], epochs=2)
+    texts = [rows[0][1], rows[1][1], "vile", "", "nobody wrote these WORDS, Ünd das!", " ".join(t for _, t, _ in rows[:40])]
+    assert T.score(p, pa.array(texts)) == pytest.approx([plain_score(p, t) for t in texts], abs=1e-4)
+
+
+def test_a_very_long_text():
+    rows = corpus(500)
+    p = T.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    clean = " ".join(t for _, t, y in rows if not y)
+    long = (clean + " ") * 10
+    assert len(long.split()) > 200_000
+    a, b = T.score(p, pa.array([long, long + " vile foul nasty vile"]))
+    assert b > a

@@ -8,7 +8,7 @@ gives the window's probability. A document's score is that of its worst window.
 
 Training (numpy, Adam) takes a document for toxic if any of its windows is: the probabilities of
 windows are joined by a noisy-or. It sees a bounded sample: ``rows`` labelled documents at most, a third
-of them toxic where there are enough, taken in the order of a hash of the ``doc_id``. Everything
+of them toxic where there are enough, taken in the order of a hash of the ``doc_id``; one executor task trains. Everything
 else - scoring, windows - covers all rows and whole texts.
 
 Defined results: null and empty texts, and texts without words, score the probability of an empty
@@ -19,6 +19,7 @@ every score is 0 (or 1) as that class says, and 0 without any labels. Extra colu
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NOT_WORD, slices, span_hashes, text_bytes, word_spans
+from tidemark.llm.common import NOT_WORD, Workspace, slices, span_hashes, text_bytes, word_spans
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, GRAM_DIM, GRAMS = 8, 12, 8, 8192
@@ -191,7 +192,7 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, seed: in
     order = np.random.default_rng(seed).permutation(len(texts))
     column = pa.array(texts, pa.large_string())
     met, often = [], []
-    for lo in range(0, len(texts), 128):  # the driver never has the words of the whole sample at once
+    for lo in range(0, len(texts), 128):  # the words of the whole sample are never in memory at once
         some = Words(column.slice(lo, 128), np.zeros(0, np.uint64))
         docs = np.repeat(np.arange(len(some.first) - 1), np.diff(some.first))
         pairs = np.unique(some.index.astype(np.int64) * len(some.first) + docs)
@@ -249,8 +250,8 @@ def held_out(key: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[str], list[int]]:
-    """The bounded sample: ``rows`` labelled documents at most that are not held out, with one text each."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, toxic, text): the bounded sample, ``rows`` labelled documents at most that are not held out, with one text each."""
     own = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id"))
     # a document labelled twice counts as toxic if it once is
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -258,15 +259,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[list[s
     some = lambda mark, most: own.filter(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = some(1, rows // 3).unionByName(some(0, rows - rows // 3))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    found = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return [r.text or "" for r in found], [r.toxic for r in found]
+    return texts.groupBy("doc_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+
+
+def trained(sample: DataFrame) -> dict[str, np.ndarray] | float:
+    """The parameters fitted to a bounded sample, or the score of all texts where one class has no rows.
+
+    One executor task trains; the driver gets the parameters only (a few MB), from a written table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks().sort_by("doc_id")
+        marks = table.column("toxic").to_pylist()
+        made = fit(table.column("text").to_pylist(), marks) if len(set(marks)) == 2 else float(sum(marks) > 0)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["made"])
+
+    work = Workspace(sample.sparkSession, "toxicity")
+    found = work.put(sample.repartition(1).mapInArrow(run, "made binary"), "made").collect()
+    work.drop("made")
+    return pickle.loads(found[0].made) if found else 0.0
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 4000, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted; ``keep`` names columns of docs to carry along."""
-    texts, marks = training_rows(docs, labels, rows)
-    constant = None if len(set(marks)) == 2 else float(sum(marks) > 0)
-    sent = docs.sparkSession.sparkContext.broadcast(None if constant is not None else fit(texts, marks))
+    made = trained(training_rows(docs, labels, rows))
+    constant = made if isinstance(made, float) else None
+    sent = docs.sparkSession.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
