@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tidemark.llm import near_dedup
 from tidemark.llm.near_dedup import near_duplicates
 
 
@@ -67,3 +68,34 @@ def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     found = near_duplicates(docs, 3, 85)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str) == brute(rows, 3, 85)
+
+
+def test_many_null_and_repeated_keys(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = [(None, " ".join(rng.choices(vocab, k=12))) for _ in range(5000)]
+    rows += [(None, rows[k % 40][1]) for k in range(5000)] + [(1, rows[50 + k % 7][1]) for k in range(300)]
+    found = run(spark, rows, 3, 85)
+    assert len(found) == 10_300
+    least = {t: None for _, t in rows} | {t: d for d, t in rows if d is not None}
+    assert found == sorted(((d, 10, least[t]) for d, t in rows), key=str)
+
+
+def test_pages_of_one_template_fall_apart(spark, monkeypatch):
+    """2000 texts share 70 words of 100: candidates of each other, but nothing is linked; blocks of texts stay few."""
+    sent = []
+    links = near_dedup._block_links
+
+    def counted(members, *rest):
+        sent.append(members.count())
+        return links(members, *rest)
+
+    monkeypatch.setattr(near_dedup, "_block_links", counted)
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(5000)]
+    common = rng.choices(vocab, k=70)
+    rows = [(k, " ".join(common + rng.choices(vocab, k=30))) for k in range(2000)]
+    rows += [(5000 + k, rows[k][1] + " and more") for k in range(100)]
+    found = run(spark, rows, 3, 85)
+    assert found == sorted(((d, n, d - 5000 if d >= 5000 else d) for d, n, _ in found), key=str)
+    assert sent[0] <= 400

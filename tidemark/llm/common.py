@@ -52,8 +52,15 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
+
+    def clear(self) -> None:
+        """Drops all tables of the run."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -179,10 +186,10 @@ def shingle_sets(column: pa.Array, width: int, separator: np.ndarray = SPACES) -
         if hi - lo >= width:
             yield distinct(full[lo : hi - width + 1].view(np.int64))
         elif hi > lo:
-            short = np.uint64(hi - lo)
+            short = np.full(1, hi - lo, np.uint64)  # arrays wrap around without a warning
             for k in range(hi - lo):
-                short = mix(np.asarray([short + words[lo + k] * odd[k]], np.uint64))[0]
-            yield np.asarray([short]).view(np.int64)
+                short = mix(short + words[lo + k : lo + k + 1] * odd[k])
+            yield short.view(np.int64)
         else:
             yield np.zeros(0, np.int64)
 

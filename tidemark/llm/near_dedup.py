@@ -6,15 +6,17 @@ Method
        sets are one class from here on; copies are never expanded into pairs.
     2. Inverted lists of the retained values generate overlaps. A class is listed under its rarest
        values only: to share a part t of the sketch with another class it must share one of its
-       k - ceil(t k) + 1 rarest values (t is the similarity less ``SLACK``). Values of one class
-       need no list.
+       k - ceil(t k) + 1 rarest values (t is the similarity less ``ERRORS`` standard errors of a sketch's
+       estimate; a linked pair lies below it with a probability of about 1e-7). Values of one class need no list.
     3. In a list, the leader - the class whose values are the commonest, as an original's are - is
        compared with all the others, so the pairs grow with the list and not with its square.
     4. The sketch of the union of two classes estimates their similarity and filters; the exact
        Jaccard similarity of the full shingle sets, made again from the texts, decides.
-    5. Lists whose members are not in one component after that are settled block by block: a task
-       compares two blocks of members by exact similarity and returns a spanning forest of the links. No list
-       is cut.
+    5. Lists whose members are not in one component after that are open. Their members are listed anew under the
+       rarest shingles of their full sets: similar sets share one of their n - ceil(similarity n) + 1 rarest, so
+       pages that share a template but not enough of their text fall apart. What is still open is settled block by
+       block: a task compares two blocks of members by exact similarity and returns a spanning forest of the links.
+       No list is cut.
     6. Links give components by large-star and small-star steps, round by round.
 
 Defined results: null and empty texts, and texts of separators only, have an empty set and are linked
@@ -38,14 +40,14 @@ from tidemark.llm.common import SPACES, Workspace, shingle_sets, slices
 
 #: Retained values of a sketch.
 SKETCH = 64
-#: The estimate of a pair may be this much below the similarity asked for (4.5 standard errors).
-SLACK = 0.20
+#: The estimate of a pair may be this many standard errors below the similarity asked for.
+ERRORS = 5.5
 #: Members of a block when what the leaders left open is settled.
 BLOCK_ROWS = 64
 
 
 def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id", k: int = SKETCH) -> DataFrame:
-    """Per row: doc_id, n (distinct shingles), cid (16 bytes, null if empty), sketch (the k smallest hashes)."""
+    """Per row: doc_id, hash (of the text), n (distinct shingles), cid (16 bytes, null if empty), sketch (the k smallest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,24 +60,35 @@ def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_
                 ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
                 values = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)],
-                    ["doc_id", "n", "cid", "sketch"],
+                    [part.column("doc_id"), part.column("hash"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)],
+                    ["doc_id", "hash", "n", "cid", "sketch"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, cid binary, sketch array<long>")
+    return _sources(docs, text, key).mapInArrow(run, "doc_id long, hash long, n long, cid binary, sketch array<long>")
 
 
-def prefix_lists(classes: DataFrame, similarity: float) -> DataFrame:
-    """(v, c, n, central): each class under its rarest sketch values that other classes have too.
+def _sources(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc_id, text, hash): a row is found again by its key and the hash of its text, where keys are null or repeated too."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
 
+
+def least_share(percent: int, k: int) -> int:
+    """The share of a sketch, in percent, that a linked pair has in common all but certainly."""
+    t = percent / 100
+    return max(1, int(100 * (t - ERRORS * (t * (1 - t) / k) ** 0.5)))
+
+
+def prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """(v, c, n, central): each class under its rarest values that other classes have too.
+
+    classes: (c, n, sketch); percent: two classes are met if they share this part of the longer one's values.
     central: how common the class's values are on average; the original of a group of copies leads.
     """
     values = classes.select("c", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("c")
     sized = values.join(shared, "v").withColumns({"rank": F.row_number().over(own.orderBy("df", "v")), "met": F.count("*").over(own), "sum": F.sum("df").over(own)})
-    least = F.ceil(F.lit(round(similarity - SLACK, 6)) * F.col("s"))
+    least = F.floor((F.col("s") * percent + 99) / 100)
     # the values without a list come first in the order of rarity
     place = F.col("rank") + F.col("s") - F.col("met")
     return sized.filter(place <= F.col("s") - least + 1).select("v", "c", "n", (F.col("sum") / F.col("s")).alias("central"))
@@ -138,13 +151,13 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, least: float, k: int) -> DataFrame:
-    """The pairs (a, b) whose union sketch estimates a similarity of ``least`` or more."""
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (a, b) whose union sketch estimates a similarity of ``percent`` or more."""
     sketches = classes.select("c", "sketch")
     met = pairs.join(sketches.select(F.col("c").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("c").alias("a"), F.col("sketch").alias("sa")), "a")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     met = met.withColumn("union", union).withColumn("both", F.size(F.array_intersect("union", F.array_intersect("sa", "sb"))))
-    return met.filter(F.col("both") >= F.lit(least) * F.size("union")).select("a", "b")
+    return met.filter(F.col("both") * 100 >= F.size("union") * percent).select("a", "b")
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -185,15 +198,31 @@ def _leader_pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     return near.select("a", F.col("c").alias("b")).distinct(), leaders.select("v", F.col("a").alias("c"))
 
 
-def _open_members(lists: DataFrame, leaders: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """(cluster, c, root): members of lists that are not settled, by clusters of lists with common members.
+def _open_members(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(c, root, hub): members of lists that are not of one component, with the first member of their list."""
+    members = lists.select("v", "c").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("hub")).filter("lo <> hi").select("v", "hub")
+    return members.join(open_lists, "v").select("c", "root", "hub").distinct()
+
+
+def _clusters(lists: DataFrame, leaders: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, work: Workspace) -> DataFrame:
+    """(cluster, c, root): what is still to compare, by clusters of lists with common members.
 
-    A leader has met all the others of its list; a list whose other members are of one component is settled.
+    A leader has met all the others of its list. The members of open lists are listed anew by full sets.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                sets = list(shingle_sets(part.column("text"), width))
+                ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                values = pa.array(np.concatenate(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(list(map(len, sets)), pa.int64()), pa.ListArray.from_arrays(ends, values)], ["c", "n", "sketch"])
+
     rest = lists.select("v", "c").join(leaders, ["v", "c"], "left_anti")
-    members = rest.join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("hub")).filter("lo <> hi").select("v", "hub")
-    kept = work.put(members.join(open_lists, "v").select("c", "root", "hub").distinct(), "open")
+    doubtful = work.put(_open_members(rest, labels).select("c").distinct(), "doubtful")
+    sets = work.put(doubtful.join(texts, "c").select("c", "text").mapInArrow(run, "c long, n long, sketch array<long>"), "sets")
+    kept = work.put(_open_members(prefix_lists(sets, percent), labels), "open")
     clusters = components(kept.select(F.col("hub").alias("u"), F.col("c").alias("v")), work, "clusters")
     return kept.select("c", "root").distinct().join(clusters.select(F.col("node").alias("c"), F.col("root").alias("cluster")), "c")
 
@@ -259,34 +288,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     are linked.
     """
     work = Workspace(docs.sparkSession, "near")
-    similarity = percent / 100
+    least = least_share(percent, k)
     signed = work.put(signatures(docs, width, text, key, k), "signed")
-    # copies of one set become one class, known by a number; its sketch is that of any of them
-    grouped = signed.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = work.put(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")
-    lists = work.put(prefix_lists(classes, similarity), "lists")
-    asked = work.put(lists.select("c").distinct().join(classes.select("c", "cid", "least"), "c"), "asked")
-    # one text of each class that is in a list; doc_ids may repeat, so the set's digest decides
-    sources = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = work.put(_one_text(sources, asked, width), "texts")
+    # copies of one set become one class, known by a number; its sketch is that of any of them, its text the first row's
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    grouped = signed.filter("cid is not null").groupBy("cid").agg(F.min(row).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = work.put(grouped.select("cid", F.col("at.doc_id").alias("least"), F.col("at.hash").alias("hash"), "n", "sketch").withColumn("c", F.monotonically_increasing_id()), "classes")
+    lists = work.put(prefix_lists(classes, least), "lists")
+    asked = work.put(lists.select("c").distinct().join(classes.select("c", "cid", "least", "hash"), "c"), "asked")
+    texts = work.put(_one_text(_sources(docs, text, key), asked, width), "texts")
     pairs, leaders = _leader_pairs(lists, percent)
-    links = work.put(_exact(_estimated(pairs, classes, similarity - SLACK, k), texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = work.put(_exact(_estimated(pairs, classes, least, k), texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     labels = components(links, work, "linked")
-    members = work.put(_open_members(lists, leaders, labels, work), "members")
+    members = work.put(_clusters(lists, leaders, labels, texts, width, percent, work), "members")
     more = work.put(_block_links(members, texts, width, percent), "more")
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), work, "all")
     named = classes.select("c", "cid", "least").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = work.put(named.join(least, "root").select("cid", "component_id"), "by-class")
-    work.drop("lists", "texts", "classes", "asked", "links", "open", "members", "more")
-    out = signed.select("doc_id", "n", "cid").join(by_class, "cid", "left")
+    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = signed.select("doc_id", "n", "cid").join(named.join(first, "root").select("cid", "component_id"), "cid", "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    found = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    result = Workspace(docs.sparkSession, "near").put(found, "result")
+    work.clear()
+    return result
 
 
 def _one_text(sources: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """(c, text) of each class asked for: the text of a document whose set has the class's digest."""
+    """(c, text) of each class asked for: the text of its first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,5 +324,6 @@ def _one_text(sources: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                 yield part.select(["c", "text"]).filter(pa.array(same, pa.bool_()))
 
     # asked grows with the documents, so it is never broadcast
-    met = sources.join(asked.hint("merge"), sources["doc_id"].eqNullSafe(asked["least"])).select("c", "cid", "text")
+    own = asked.hint("merge")
+    met = sources.join(own, (sources["hash"] == own["hash"]) & sources["doc_id"].eqNullSafe(own["least"])).select("c", "cid", "text")
     return met.mapInArrow(run, "c long, text string").dropDuplicates(["c"])
