@@ -32,7 +32,13 @@ def test_columns(spark, tmp_path):
         raw = (tmp_path / "shards" / r.shard).read_bytes()[r.offset : r.offset + r.media_bytes]
         assert hashlib.sha256(raw).hexdigest() == r.media_sha256
     assert by[0].media_sha256 == by[6].media_sha256 and by[0].offset == by[6].offset and by[1].feature == by[7].feature
-    names = [m.name for p in (tmp_path / "shards").glob("*.tar") for m in tarfile.open(fileobj=io.BytesIO(p.read_bytes()))]
+    # a task stores a digest once; of the places of several tasks all rows carry the same
+    shards = {p.name: [m.name for m in tarfile.open(fileobj=io.BytesIO(p.read_bytes()))] for p in (tmp_path / "shards").glob("*.tar")}
+    assert all(len(x) == len(set(x)) for x in shards.values())
+    assert {x for names in shards.values() for x in names} == {r.payload_sha256 for r in found}
+    assert len({(r.payload_sha256, r.shard, r.offset) for r in found}) == len({r.payload_sha256 for r in found})
+    M.media_columns(docs.coalesce(1), f"file://{tmp_path}/one").collect()
+    names = [m.name for p in (tmp_path / "one").glob("*.tar") for m in tarfile.open(fileobj=io.BytesIO(p.read_bytes()))]
     assert sorted(names) == sorted({r.payload_sha256 for r in found})
 
 
@@ -41,3 +47,10 @@ def test_documents_and_empty(spark, sf):
     found = {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in M.digest_columns(M.media_columns(docs)).collect()}
     assert found == {r.doc_id: expected(r.text) for r in docs.collect()}
     assert M.media_columns(docs.limit(0)).count() == 0
+
+
+def test_many_copies_and_default_file_system(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN 'one text' ELSE concat('text ', id % 100) END AS text").repartition(7)
+    found = M.media_columns(docs, f"{tmp_path}/plain").collect()
+    assert len(found) == 20_000 and len(list((tmp_path / "plain").glob("*.tar"))) == 7
+    assert {(r.doc_id, r.payload_sha256) for r in found} == {(k, expected("" if k % 3 == 0 else "one text" if k % 3 == 1 else f"text {k % 100}")[2]) for k in range(20_000)}

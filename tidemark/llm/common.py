@@ -6,6 +6,7 @@ blocks of bounded size, so no operator loops over words in Python.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,12 @@ class Workspace:
         """Drops all tables of the run."""
         self._delete(self.root)
 
+    def uri(self, path: str) -> str:
+        """The path with its file system, for readers and writers outside Hadoop."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        whole = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+        return re.sub(r"^file:/(?!/)", "file:///", whole)
+
     def _delete(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,10 +1,11 @@
 """Media columns: content-addressed payloads in tar shards, with metadata from header-only range reads.
 
 A text becomes a payload (UTF-8, zero bytes up to a positive multiple of 64), stored losslessly as an 8-bit grey-scale
-PNG of 64 samples a row. A payload is stored once, named by its SHA-256: copies are dropped in each task before the
-shuffle, then once more where equal digests meet. A task writes the payloads of its digests, in their order, into tar
-shards of the shared folder through Hadoop-independent file-system calls of Arrow; a shard gets its name when it is whole,
-so a repeated task replaces it by the same bytes. Rows carry digest, shard, offset and length.
+PNG of 64 samples a row, named by the SHA-256 of the payload. A task writes the payloads of its rows straight into tar
+shards of the shared folder through file-system calls of Arrow, each digest once; only digests and places are
+shuffled. Where equal digests of several tasks meet, the first place is the one that counts, so all rows of a digest
+carry the same place; the others are left to a later compaction. A shard's name holds the attempt of its task, so a
+repeated or speculative task never writes into the shard of another. Rows carry digest, shard, offset and length.
 
 Metadata columns (width, height, depth) come from range reads of the 33 bytes of PNG signature and header at the
 row's offset; features and digests come from reading whole payloads back, shard by shard.
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, shared_dir, slices
+from tidemark.llm.common import Workspace, slices
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -99,63 +100,52 @@ def features(payload: bytes) -> str:
     return f"mean={mean:.4f};sd={deviation:.4f};bits={entropy:.4f};letters={letters:.4f};space={share[[9, 10, 11, 12, 13, 32]].sum():.4f};high={share[128:].sum():.4f}"
 
 
-def distinct_media(docs: DataFrame) -> DataFrame:
-    """(digest, media): the PNG of each distinct payload of a task; digest is the payload's SHA-256."""
+def place_media(docs: DataFrame, folder: str) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, digest, shard, offset, length: where its task has stored the PNG of its payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # digests of the partition
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        task = TaskContext.get()
+        seen: dict[bytes, tuple] = {}  # places of the partition's digests
+        stream, name, at, shards = None, None, 0, 0
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 found = []
                 for text in part.column("text"):
-                    payload = payload_of(text.as_py())
+                    text = text.as_py()
+                    payload = payload_of(text)
                     digest = hashlib.sha256(payload).digest()
                     if digest not in seen:
-                        seen.add(digest)
-                        found.append((digest, png_of(payload)))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["digest", "media"])
-
-    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "digest binary, media binary")
-
-
-def write_shards(media: DataFrame, folder: str) -> DataFrame:
-    """(digest, shard, offset, length): tar shards of the distinct payloads, each member named by its digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()  # two attempts of a task don't share an unfinished file
-        stream, name, at, rows, before = None, None, 0, [], None
-
-        def close() -> pa.RecordBatch:
+                        if stream is None:
+                            name, at, shards = f"{task.partitionId():06d}-{task.taskAttemptId()}-{shards}.tar", 0, shards + 1
+                            stream = store.open_output_stream(f"{root}/{name}")
+                        content = png_of(payload)
+                        stream.write(tar_header(digest.hex(), len(content)))
+                        stream.write(content)
+                        stream.write(bytes(-len(content) % 512))
+                        seen[digest] = (name, at + 512, len(content))
+                        at += 512 + len(content) + -len(content) % 512
+                    found.append((len(text.encode()), digest, *seen[digest]))
+                    if at >= SHARD and stream is not None:
+                        stream.write(bytes(1024))
+                        stream.close()
+                        stream = None
+                kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
+                columns = [pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+        if stream is not None:
             stream.write(bytes(1024))
             stream.close()
-            store.move(f"{root}/{name}.{attempt}.part", f"{root}/{name}")
-            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["digest", "shard", "offset", "length"])
-            rows.clear()
-            return batch
 
-        for batch in batches:
-            for digest, content in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True):
-                if digest == before:
-                    continue  # the same payload from another task
-                before, content = digest, content.as_py()
-                if stream is None:
-                    # the first digest names the shard; equal input gives equal shards
-                    name, at = f"{digest.hex()[:32]}.tar", 0
-                    stream = store.open_output_stream(f"{root}/{name}.{attempt}.part")
-                stream.write(tar_header(digest.hex(), len(content)))
-                stream.write(content)
-                stream.write(bytes(-len(content) % 512))
-                rows.append((digest, name, at + 512, len(content)))
-                at += 512 + len(content) + -len(content) % 512
-                if at >= SHARD:
-                    yield close()
-                    stream = None
-        if stream is not None:
-            yield close()
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, digest binary, shard string, offset long, length long")
+
 
-    return media.repartition("digest").sortWithinPartitions("digest").mapInArrow(run, "digest binary, shard string, offset long, length long")
+def first_places(placed: DataFrame) -> DataFrame:
+    """(digest, shard, offset, length): one place for each digest."""
+    first = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    return first.select("digest", "at.shard", "at.offset", "at.length")
 
 
 def _ranges(batch: pa.RecordBatch, folder: str, size: int | None) -> Iterator[bytes]:
@@ -202,30 +192,21 @@ def with_payload_columns(stored: DataFrame, folder: str) -> DataFrame:
     return stored.mapInArrow(run, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
 
 
-def payload_digest(text: str = "text") -> F.Column:
-    """The SHA-256 of a text's payload as a column."""
-    raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    size = F.octet_length(raw)
-    zeros = F.when(size == 0, WIDTH).otherwise((WIDTH - size % WIDTH) % WIDTH)
-    padding = F.substring(F.unhex(F.lit("00" * WIDTH)), F.lit(1), zeros)
-    return F.unhex(F.sha2(F.concat(raw, padding), 256))
-
-
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, digest, shard, offset, media_bytes and all columns of the two reads.
 
-    folder: where the shards go; by default one of the shared folder.
+    folder: where the shards go, in the default file system if it names none; by default one of the shared folder.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "media")
-    folder = folder or f"{shared_dir(spark)}/{work.root.rsplit('/', 1)[-1]}/shards"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    stored = work.put(write_shards(distinct_media(docs), folder), "stored")
+    folder = work.uri(folder or work.path("shards"))
+    placed = work.put(place_media(docs, folder), "placed")
+    stored = work.put(first_places(placed), "stored")
     # one task for a run of a shard's members: reads are sequential, payloads are read once
     ordered = stored.repartition("shard", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("shard", "offset")
     read = work.put(with_payload_columns(with_header_columns(ordered, folder), folder), "read")
-    rows = docs.select("doc_id", F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("n_bytes"), payload_digest().alias("digest"))
-    return rows.join(read.withColumnRenamed("length", "media_bytes"), "digest")
+    work.drop("stored")
+    return placed.select("doc_id", "n_bytes", "digest").join(read.withColumnRenamed("length", "media_bytes"), "digest")
 
 
 def digest_columns(columns: DataFrame) -> DataFrame:
