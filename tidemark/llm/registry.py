@@ -51,11 +51,6 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-def op8_lm_score_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Backoff at count 0 only: no bigram is dropped. op8_lm_score drops those that occur once, as its SQL does."""
-    return lm_score.scores(table(spark, sf_dir, "documents"), least=1).withColumn("score", F.round("score", 6))
-
-
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_sampling.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -74,7 +69,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media_columns": op6_media_columns,
         "op7_toxicity": op7_toxicity,
         "op8_lm_score": op8_lm_score,
-        "op8_lm_score_all_counts": op8_lm_score_all_counts,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
         "pipeline": corpus_pipeline.run,
