@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -30,6 +31,35 @@ def test_templates(page):
     assert main_text(page) == TEXT
 
 
+def test_pages_of_several_articles_and_misleading_names():
+    halves = BODY.split("<p>Sh.</p>")
+    two = f"<nav>{MENU}</nav><main><article>{halves[0]}<p>Sh.</p></article><div class='ad'>Buy now, it is cheap.</div><article>{halves[1]}</article></main><footer>us</footer>"
+    assert main_text(two) == TEXT
+    assert main_text(f"<article>{halves[0]}<div class='search-tips'><p>Sh.</p>{halves[1]}</div></article>") == TEXT
+    assert main_text(f"<article>{BODY}<div class='search-form'><p>What do you look for? Type it here.</p></div></article>") == TEXT
+    assert main_text(f"<div class='with-sidebar'><div>{BODY}</div><div class='sidebar'><p>More of this, and of that, to read.</p></div></div>") == TEXT
+    teasers = "".join(f"<article><p>Teaser {k}.</p></article>" for k in range(5))
+    assert main_text(f"<article>{BODY * 3}</article><div>{teasers}</div>") == " ".join([TEXT] * 3)
+
+
+@pytest.mark.parametrize("page,least", [
+    ("<a " * 350_000, 1),
+    ("<a href=\"x" * 100_000, 1),
+    ("<a b='c>" * 130_000, 0),
+    ("<div>" * 100_000 + "deep text, here." + "</div>" * 100_000, 16),
+    ("<div>" * 100_000 + "<p>x</em>" * 50_000, 1),
+    ("<em class=ad><div>" + "<span class=ad>" * 50_000 + "x</em>" * 50_000, 0),
+    ("<ul><li>" * 60_000 + "some, text.", 1),
+    ("<p>" + "<b>bold, <i>text. " * 60_000, 1),
+    ("&" * 1_000_000, 1),
+    ("<!" * 500_000, 1),
+])
+def test_broken_and_deep_pages_take_linear_time(page, least):
+    began = time.perf_counter()
+    assert len(main_text("<article>" + page)) >= least
+    assert time.perf_counter() - began < 6
+
+
 def test_cases():
     assert main_text(None) == main_text("") == main_text("<p> </p>") == main_text("<nav>x</nav>") == ""
     assert main_text("just text, no tags") == "just text, no tags"
@@ -44,3 +74,9 @@ def test_pages(spark, sf):
     found = {r.page_id: r.text for r in extract(pages).collect()}
     assert found == expected
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_null_keys_and_clashing_columns(spark):
+    rows = [(None, None, f"<article>{BODY}</article>", "x"), (1, "u", None, "y"), (1, "u", None, "y")]
+    found = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in found), key=str) == sorted([(0, None, TEXT, len(TEXT)), (1, "u", "", 0), (1, "u", "", 0)], key=str)

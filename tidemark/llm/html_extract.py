@@ -3,24 +3,33 @@
 A page is read into text nodes, each with its root-to-leaf path of block elements. Per path the
 lengths and the punctuation of its nodes are aggregated (text outside links over the number of nodes, and
 punctuation marks over the number of nodes). Both ratios are smoothed over the nodes in page order and
-fused; nodes above a threshold drawn from the page's own ratios are content. The element that holds nearly all content,
-as deep in the page as can be, gives the text: its nodes that are not mostly links, in page order.
-Elements that name themselves as something else - menus, adverts, notices, forms, comments - never
-count, by tag or by the words of class, id and role, unless nearly nothing would be left. Where a
-page has an article or main element with text, only the largest of them is looked at.
+fused. The fused ratio, times the factors of structure, is a node's score; nodes whose score
+reaches a quarter of the page's mean score are the main text. Factors of structure:
+
+    - elements of menus, footers, sidebars, forms and the like, by tag or role, and what is hidden: 0
+    - elements that name themselves by class or id as something else (menu, advert, comments, ...): next to nothing, unless
+      they hold most of the page's text; words that also occur in names of content (search, legal, ...): a half,
+      unless the whole name is made of such words
+    - blocks of text that are links in the most part: a twentieth, headings excepted
+    - where there are article elements (else main elements) with text: a twentieth outside those of any weight
+    - inside those, else inside the deepest element that holds nine tenths of the score, half the page's mean is
+      added before the factors, so that short blocks among long ones stay
 
 Blocks are joined by one space; white space inside a block becomes one space; character references
-are decoded. Nothing is cut.
+are decoded. Nothing is cut. Reading a page takes time in proportion to its length, however deep its elements and however
+broken its tags.
 
 Defined results: a null, empty or text-free page gives an empty text and 0 characters; broken markup is read as
-browsers read it as far as implied and missing end tags go; an unclosed script or comment ends with the page.
-Rows are read on their own, so repeated rows, null keys, extra columns and empty tables need nothing special.
+browsers read it as far as implied and missing end tags go; a tag without an end is text; an unclosed script or
+comment ends with the page. Rows are read on their own, so repeated rows, null keys, extra columns and empty tables
+need nothing special.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import numpy as np
@@ -41,113 +50,183 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OTHER_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promoted promotion promotions cookie cookies consent gdpr "
-    "notice notices notification notifications alert popup modal overlay paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar "
-    "comment comments commentlist disqus reply replies respond discussion responses share sharing social related recommended recommendations newsletter subscribe subscription "
-    "signup login register search form widget widgets toolbar pagination pager tagcloud copyright legal disclaimer".split()
+    "popup modal overlay paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar "
+    "comment comments commentlist disqus replies respond share sharing social related recommended recommendations newsletter subscribe subscription "
+    "signup login widget widgets toolbar pagination pager tagcloud".split()
 )
+#: Words that name content as well; and those that only name a container.
+DOUBTFUL_WORDS = frozenset("search register form notice notices notification notifications alert reply discussion responses legal copyright disclaimer".split())
+CONTAINER_WORDS = frozenset("area bar block body box btn button container content div field group holder inner input item items list main outer panel row section site top bottom left right wrap wrapper page".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile(r">|=\s*[\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in sorted(RAW)}
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
+class Scanner:
+    """Finds the ends of tags; a page is run over once, but for one tag with unmatched quotes."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag begun before ``at``; -1 without one. Quoted values may hold one."""
+        if at > self.last:
+            return -1
+        if self.quotes:
+            found = _QUOTE.search(self.html, at)
+            while found and found[0] != ">":
+                q = found[0][-1]
+                close = self.html.find(q, found.end()) if found.end() <= self.last_quote[q] else -1
+                found = _QUOTE.search(self.html, close + 1) if close >= 0 else None
+            if found:
+                return found.start()
+            self.quotes = False  # a quote is missing: from here on they mean nothing
+        return self.html.find(">", at)
+
+
 class Page:
-    """Elements (parent, tag, kind) and text nodes (element, text, in a link) of a page.
+    """Elements (parent, tag, named, path) and text nodes (element, text, in a link) of a page.
 
-    kind of an element: 0 plain, 1 something else by its tag, 2 something else by its words.
+    named of an element: 1 if its name is doubtful, 2 if it is something else by its name, else 0.
+    out: it is something else by tag, role or style, or lies in such; header: it lies in a header outside a heading.
     A text node of None is a block boundary.
     """
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.kind, self.path = [-1], ["#"], [0], [0]
+        self.parent, self.tag, self.named, self.out, self.header, self.path = [-1], ["#"], [0], [False], [False], [0]
         self.paths: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[int, str | None, bool]] = []
-        stack, link, at, n = [0], False, 0, len(html)
-        inside = 0  # open article and main elements
+        self.stack = [0]
+        self.open: dict[str, list[int]] = {}  # places of the open elements in the stack, by tag
+        self.blocks = [0]  # those that are not inline
+        scanner, link, at, n, since = Scanner(html), False, 0, len(html), 0
+
+        def text(upto: int) -> None:
+            if upto > since:
+                self.nodes.append((self.stack[-1], html[since:upto], link))
+
         while at < n:
-            found = _TOKEN.search(html, at)
-            start = found.start() if found else n
-            if start > at:
-                self.nodes.append((stack[-1], html[at:start], link))
-            if not found:
+            start = html.find("<", at)
+            if start < 0:
                 break
-            at = found.end()
-            name = (found[2] or "").lower()
-            if not name:
+            if html.startswith("<!--", start):
+                text(start)
+                end = html.find("-->", start + 4)
+                since = at = end + 3 if end >= 0 else n
                 continue
+            found = _NAME.match(html, start + 1)
+            if not found:
+                end = html.find(">", start + 1) if html[start + 1 : start + 2] in ("!", "?", "/") and start < scanner.last else -1
+                if end < 0:
+                    at = start + 1
+                    continue
+                text(start)
+                since = at = end + 1
+                continue
+            end = scanner.end(found.end())
+            if end < 0:
+                at = start + 1
+                continue
+            text(start)
+            since = at = end + 1
+            name = found[2].lower()
             if found[1]:
                 if name == "a":
                     link = False
-                where = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name), 0)
-                if where and not (name in INLINE and any(self.tag[x] not in INLINE for x in stack[where:])):
-                    inside -= sum(self.tag[x] in ("article", "main") for x in stack[where:])
-                    del stack[where:]
+                places = self.open.get(name)
+                if places and not (name in INLINE and self.blocks[-1] > places[-1]):
+                    self._pop(places[-1])
                     if name not in INLINE:
                         link = False
                 if name not in INLINE:
-                    self.nodes.append((stack[-1], None, False))
+                    self.nodes.append((self.stack[-1], None, False))
                 continue
+            attributes = html[found.end() : end]
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|</{re.escape(name)}\Z", re.I).search(html, at)
-                if not found[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                    at = end.end() if end else n
+                if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
+                    end = _RAW_END[name].search(html, at)
+                    since = at = end.end() if end else n
                 continue
             if name in VOID:
                 if name in ("br", "hr"):
-                    self.nodes.append((stack[-1], None, False))
+                    self.nodes.append((self.stack[-1], None, False))
                 continue
-            kind = self._kind(name, found[3], inside)
-            if name in INLINE and not kind:
+            out, named = self._kind(name, attributes)
+            if name in INLINE and not out and not named:
                 if name == "a":
                     link = True
                 continue
             if name not in INLINE:
-                self.nodes.append((stack[-1], None, False))
+                self.nodes.append((self.stack[-1], None, False))
                 link = False
                 if name in ENDS_P:
-                    self._end(stack, "p", "table td th caption button")
+                    self._end("p", "table td th caption button")
                 if name in IMPLIED:
-                    self._end(stack, *IMPLIED[name])
-            inside += name in ("article", "main")
-            above = stack[-1]
-            stack.append(len(self.tag))
+                    self._end(*IMPLIED[name])
+            above = self.stack[-1]
+            self.open.setdefault(name, []).append(len(self.stack))
+            if name not in INLINE:
+                self.blocks.append(len(self.stack))
+            self.stack.append(len(self.tag))
             self.parent.append(above)
             self.tag.append(name)
-            self.kind.append(max(self.kind[above], kind) if self.kind[above] != 1 else 1)
+            self.named.append(named)
+            self.out.append(self.out[above] or out)
+            self.header.append(name not in HEADINGS and (self.header[above] or name == "header"))
             self.path.append(self.paths.setdefault((self.path[above], name), len(self.paths) + 1))
+        text(n)
 
-    def _end(self, stack: list[int], names: str, barriers: str) -> None:
-        names, barriers = names.split(), barriers.split()
-        k, last = len(stack) - 1, 0
-        while k > 0 and self.tag[stack[k]] not in barriers:
-            if self.tag[stack[k]] in names:
-                last = k
-            k -= 1
-        if last:
-            del stack[last:]
-
-    @staticmethod
-    def _kind(name: str, attributes: str, inside: int) -> int:
-        if name in OTHER_TAGS or (name == "header" and not inside):
-            return 1
+    def _pop(self, place: int) -> None:
+        """Closes the elements from a place of the stack on."""
+        while len(self.stack) > place:
+            self.open[self.tag[self.stack.pop()]].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def _end(self, names: str, barriers: str) -> None:
+        barrier = max((self.open[x][-1] for x in barriers.split() if self.open.get(x)), default=0)
+        places = (p[k] for x in names.split() if (p := self.open.get(x)) and (k := bisect_right(p, barrier)) < len(p))
+        first = min(places, default=0)
+        if first:
+            self._pop(first)
+
+    def _kind(self, name: str, attributes: str) -> tuple[bool, int]:
+        """Whether the element is something else by tag, role or style, and what its name says."""
+        if name in OTHER_TAGS or (name == "header" and not self.open.get("article") and not self.open.get("main")):
+            return True, 0
+        named = 0
         if not attributes or name in ("html", "body", "article", "main"):
-            return 0
+            return False, 0
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
-            if key in ("class", "id") and any(w.lower() in OTHER_WORDS for w in _WORD.findall(value)):
-                return 2
+            if key in ("class", "id"):
+                for token in value.split():
+                    words = {w.lower() for w in _WORD.findall(token)}
+                    if words & OTHER_WORDS or (words & DOUBTFUL_WORDS and words <= DOUBTFUL_WORDS | CONTAINER_WORDS):
+                        named = 2
+                    elif words & DOUBTFUL_WORDS:
+                        named = max(named, 1)
             if key == "role" and value.lower() in OTHER_ROLES or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                return 1
-        return 0
+                return True, named
+        return False, named
 
+    def masses(self, own: np.ndarray) -> list[float]:
+        """Sums over each element and all below it; an element comes after its parent."""
+        found = own.tolist()
+        for k in range(len(found) - 1, 0, -1):
+            found[self.parent[k]] += found[k]
+        return found
 
-def _within(page: Page, root: int) -> list[bool]:
-    """Whether each element is root or below it."""
-    found = [False] * len(page.tag)
-    for k in range(len(found)):
-        found[k] = k == root or (page.parent[k] >= 0 and found[page.parent[k]])
-    return found
+    def down(self, own: list, join: Callable) -> list:
+        """Each element's value joined with that of its parent, from the root down."""
+        for k in range(1, len(own)):
+            own[k] = join(own[self.parent[k]], own[k])
+        return own
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -157,63 +236,49 @@ def _smooth(x: np.ndarray) -> np.ndarray:
 
 
 def content_nodes(page: Page) -> list[int]:
-    """Indices of the text nodes of the main text, by the ratios of their paths."""
-    text = [k for k, (_, t, _) in enumerate(page.nodes) if t is not None and not t.isspace()]
-    size = {k: len(page.nodes[k][1].strip()) for k in text}
-    plain = [k for k in text if page.kind[page.nodes[k][0]] == 0]
-    if sum(size[k] for k in plain) < 0.1 * sum(size[k] for k in text):
-        plain = [k for k in text if page.kind[page.nodes[k][0]] != 1]  # the words of class and id mislead
-    # the largest article or main element, if it has text
-    mass: dict[int, int] = {}
-    for k in plain:
-        e = page.nodes[k][0]
-        while e >= 0:
-            mass[e] = mass.get(e, 0) + size[k]
-            e = page.parent[e]
-    for names in (("article",), ("main",)):
-        held = [e for e in mass if page.tag[e] in names]
-        if held:
-            inside = _within(page, max(held, key=lambda e: (mass[e], -e)))
-            plain = [k for k in plain if inside[page.nodes[k][0]]]
-            break
-    if not plain:
+    """Indices of the text nodes of the main text: those whose score reaches a quarter of the page's mean."""
+    text = [k for k, (e, t, _) in enumerate(page.nodes) if t is not None and not page.out[e] and not page.header[e] and not t.isspace()]
+    if not text:
         return []
-    # inside an article a header gives its headings only
-    plain = [k for k in plain if not _in_header(page, page.nodes[k][0])]
-    paths = np.asarray([page.path[page.nodes[k][0]] for k in plain])
-    free = np.asarray([0 if page.nodes[k][2] else size[k] for k in plain], float)
-    marks = np.asarray([0 if page.nodes[k][2] else len(_MARKS.findall(page.nodes[k][1])) for k in plain], float)
-    _, where = np.unique(paths, return_inverse=True)
+    elements = len(page.tag)
+    element = np.asarray([page.nodes[k][0] for k in text])
+    link = np.asarray([page.nodes[k][2] for k in text])
+    size = np.asarray([len(page.nodes[k][1].strip()) for k in text], float)
+    free = np.where(link, 0, size)
+    marks = np.asarray([0 if page.nodes[k][2] else len(_MARKS.findall(page.nodes[k][1])) for k in text], float)
+    # the ratios of paths, smoothed and fused
+    _, where = np.unique(np.asarray(page.path)[element], return_inverse=True)
     count = np.bincount(where)
     length, point = _smooth((np.bincount(where, free) / count)[where]), _smooth((np.bincount(where, marks) / count)[where])
     fused = length * (1 + point)
-    threshold = min(np.average(fused, weights=free + 1e-9), fused.max()) / 4
-    chosen = {k: size[k] for k, f in zip(plain, fused, strict=True) if f >= threshold}
-    # the deepest element with nearly all of it
-    total, held = sum(chosen.values()), {}
-    for k, n in chosen.items():
-        e = page.nodes[k][0]
-        while e >= 0:
-            held[e] = held.get(e, 0) + n
-            e = page.parent[e]
-    inside = _within(page, max(e for e, n in held.items() if n >= 0.9 * total))
-    # what is mostly links in its element goes, chosen or not
-    linked: dict[int, list[int]] = {}
-    for k in plain:
-        share = linked.setdefault(page.nodes[k][0], [0, 0])
-        share[page.nodes[k][2]] += size[k]
-    return [k for k in plain if k in chosen or inside[page.nodes[k][0]] if linked[page.nodes[k][0]][0] >= linked[page.nodes[k][0]][1] or page.tag[page.nodes[k][0]] in HEADINGS]
-
-
-def _in_header(page: Page, element: int) -> bool:
-    e = element
-    while e >= 0:
-        if page.tag[e] in HEADINGS:
-            return False
-        if page.tag[e] == "header":
-            return True
-        e = page.parent[e]
-    return False
+    # the factors of structure
+    mass = page.masses(np.bincount(element, size, elements))
+    named = [1.0, 0.5, 0.001]
+    factor = [1.0 if not k else named[k] if k == 1 else max(named[k], (m / mass[0]) ** 8) for k, m in zip(page.named, mass, strict=True)]
+    factor = np.asarray(page.down(factor, lambda above, own: above * own))[element]
+    linked, free_of = np.bincount(element, size - free, elements), np.bincount(element, free, elements)
+    heading = np.asarray([x in HEADINGS for x in page.tag])
+    factor = np.where((linked > free_of)[element] & ~heading[element], factor / 20, factor)
+    inside = np.zeros(len(text), bool)
+    for name in ("article", "main"):
+        # weight without what is named as something else
+        weight = page.masses(np.bincount(element, size * factor, elements))
+        own = [w if t == name else 0.0 for w, t in zip(weight, page.tag, strict=True)]
+        most = max(own)
+        if most:
+            kept = page.down([w >= most / 5 for w in own], lambda above, own: above or own)
+            inside = np.asarray(kept)[element]
+            factor = np.where(inside, factor, factor / 20)
+            break
+    value = fused * factor
+    mean = np.average(value, weights=free * factor + 1e-9 * factor + 1e-30)
+    if not inside.any():
+        # the deepest element with nearly all of the score
+        held = page.masses(np.bincount(element, np.where(value >= mean / 4, size * factor, 0), elements))
+        top = max(k for k in range(elements) if held[k] >= 0.9 * held[0])
+        inside = np.asarray(page.down([k == top for k in range(elements)], lambda above, own: above or own))[element]
+    score = value + np.where(inside, 0.5 * mean * factor / max(factor[inside].max(initial=0), 1e-30), 0)
+    return [k for k, x in zip(text, score, strict=True) if x >= mean / 4]
 
 
 def main_text(html: str | None) -> str:
