@@ -37,9 +37,9 @@ from tidemark.llm.common import mix, slices, span_hashes
 
 MARK = "▁"
 #: Bytes of text whose distinct segments are found together.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Characters of distinct segments whose lattices are in memory together; a longer segment is alone.
-BLOCK = 400_000
+BLOCK = 60_000
 #: Where so few segments go on, the forward sums are made one character at a time; they are the same.
 FEW = 24
 
