@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text whose words are hashed at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
