@@ -14,8 +14,7 @@ from tidemark.operators import pivots as P
 
 def prepared(bars: DataFrame, n: int = 5) -> DataFrame:
     """Bars with what the rules need: averages, ATR, RSI, extremes, pivots; one shuffle by symbol."""
-    state = P.with_pivots(bars, n).join(bars.select("symbol", "time", "volume"), ["symbol", "time"]).join(P.wilder_rsi(bars), ["symbol", "time"])
-    one = state.withColumns(
+    one = P.with_pivots(bars, n).withColumns(
         {
             "tr": I.true_range(), "sma20": I.sma("close", 20), "sma50": I.sma("close", 50), "top20": I.highest("high", 20), "low6": F.min("low").over(I.frame(-5, 0)),
             "low12": I.lowest("low", 12), "low24": I.lowest("low", 24), "vol20": F.avg("volume").over(I.frame(-20, -1)), "rsi_before": F.lag("rsi").over(I.by_time()),

@@ -26,6 +26,18 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("i", (F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1).cast("long"))
 
 
+def bars_behind(entries: DataFrame, path: DataFrame, horizon: int, at: str = "i") -> DataFrame:
+    """entries with each of the ``horizon`` bars of their symbol behind bar ``at``: the columns of path, whose bar is j.
+
+    Time is cut into buckets of ``horizon`` bars; an entry is sent to the two that its bars lie in, so a task meets
+    entries and bars of one stretch of a series and never a whole series with itself.
+    """
+    bucket = lambda x: F.floor(x / horizon)
+    asked = entries.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(F.col(at) + 1), bucket(F.col(at) + horizon)))))
+    keyed = path.withColumn("__bucket", bucket(F.col("j")))
+    return asked.join(keyed, ["symbol", "__bucket"]).filter((F.col("j") > F.col(at)) & (F.col("j") <= F.col(at) + horizon)).drop("__bucket")
+
+
 def first_passage(entries: DataFrame, bars: DataFrame, horizon: int, by: list[str]) -> DataFrame:
     """entries (symbol, i, stop, target, and what by names) with stop_at, target_at and outcome.
 
@@ -33,8 +45,9 @@ def first_passage(entries: DataFrame, bars: DataFrame, horizon: int, by: list[st
     reaches both counts as the stop. outcome: loss, win or open.
     """
     path = bars.select("symbol", F.col("i").alias("j"), F.col("low").alias("lo"), F.col("high").alias("hi"))
-    met = entries.join(path, (entries.symbol == path.symbol) & (path.j > entries.i) & (path.j <= entries.i + horizon), "left").drop(path.symbol)
-    found = met.groupBy(*by).agg(F.min(F.when(F.col("lo") <= F.col("stop"), F.col("j"))).alias("stop_at"), F.min(F.when(F.col("hi") >= F.col("target"), F.col("j"))).alias("target_at"))
+    met = bars_behind(entries, path, horizon)
+    reached = met.groupBy(*by).agg(F.min(F.when(F.col("lo") <= F.col("stop"), F.col("j"))).alias("stop_at"), F.min(F.when(F.col("hi") >= F.col("target"), F.col("j"))).alias("target_at"))
+    found = entries.select(*by).distinct().join(reached, by, "left")  # an entry on the last bar has none behind it
     loss = F.col("stop_at").isNotNull() & (F.col("target_at").isNull() | (F.col("stop_at") <= F.col("target_at")))
     return found.withColumn("outcome", F.when(loss, "loss").when(F.col("target_at").isNotNull(), "win").otherwise("open"))
 
@@ -48,8 +61,7 @@ def first_passages(entries: DataFrame, bars: DataFrame, horizon: int, stops: lis
     """
     last = bars.groupBy("symbol").agg(F.max("i").alias("last"))
     whole = entries.join(last, "symbol").filter(F.col("i") + horizon <= F.col("last")).drop("last")
-    path = bars.select(F.col("symbol").alias("of"), F.col("i").alias("j"), F.col("low").alias("lo"), F.col("high").alias("hi"))
-    met = whole.join(path, (F.col("symbol") == F.col("of")) & (F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + horizon))
+    met = bars_behind(whole, bars.select("symbol", F.col("i").alias("j"), F.col("low").alias("lo"), F.col("high").alias("hi")), horizon)
     first = lambda reached: F.min(F.when(reached, F.col("j")))
     found = met.groupBy("symbol", "i").agg(
         *(first(F.col("lo") <= F.col("close") - k * F.col("unit")).alias(f"s{a}") for a, k in enumerate(stops)),

@@ -1,7 +1,10 @@
-"""Swing pivots: a running candidate low and high per series, confirmed by a close beyond their bar.
+"""Swing pivots: the lowest flagged low since the last pivot is confirmed by a close above its bar, the highest high likewise.
 
-The state of a bar depends on all bars before it and is reset at each confirmation, so each series is
-folded in one Arrow group; what a window can express (the left extremes, the last pivots) stays in SQL.
+A pivot ends what is known of the bars before it, so a series falls apart at its pivots. Each series is one Arrow group, which
+goes from pivot to pivot: running extremes of a stretch and the first close beyond them are array operations on it. The
+same group smooths the changes of the close (RSI), which needs the whole series too. What a window can
+express (the flags, the last pivots) stays in SQL. A series must fit in a task: a symbol's hour bars of a
+century are some 900,000 rows of 60 bytes.
 """
 
 from __future__ import annotations
@@ -16,39 +19,77 @@ from pyspark.sql import functions as F
 from tidemark.operators import indicators as I
 from tidemark.operators.joins import numbered
 
-BARS = "symbol string, time long, i long, open double, high double, low double, close double"
-STATE = f"{BARS}, pivot string, pivot_i long, pivot_price double, cand_i long, cand_price double, cand_trigger double"
+BARS = "symbol string, time long, i long, open double, high double, low double, close double, volume double"
+STATE = f"{BARS}, pivot string, pivot_i long, pivot_price double, cand_i long, cand_price double, cand_trigger double, rsi double"
+
+
+def _running_lowest(value: np.ndarray, flagged: np.ndarray) -> np.ndarray:
+    """Per place the first place of the lowest flagged value so far; -1 before any."""
+    held = np.where(flagged, value, np.inf)
+    lowest = np.minimum.accumulate(held)
+    fresh = held < np.append(np.inf, lowest[:-1])
+    return np.maximum.accumulate(np.where(fresh, np.arange(len(value)), -1))
+
+
+def _next_pivot(low: np.ndarray, high: np.ndarray, close: np.ndarray, is_low: np.ndarray, is_high: np.ndarray) -> tuple[int, str | None, int, np.ndarray]:
+    """The first bar of a stretch that confirms a pivot, its kind and bar, and the lowest low known after each bar.
+
+    The bar is the stretch's length where there is none.
+    """
+    bottom, top = _running_lowest(low, is_low), _running_lowest(-high, is_high)
+    here = np.arange(len(low))
+    up = (bottom >= 0) & (bottom < here) & (close > high[bottom])
+    down = (top >= 0) & (top < here) & (close < low[top])
+    found = np.flatnonzero(up | down)
+    if not len(found):
+        return len(low), None, -1, bottom
+    k = int(found[0])
+    return (k, "low", int(bottom[k]), bottom) if up[k] else (k, "high", int(top[k]), bottom)
+
+
+def _smoothed(close: np.ndarray, n: int = 14) -> list[float | None]:
+    """RSI: the mean of the first n changes, then each change with weight 1/n."""
+    moves = np.diff(close)
+    out: list[float | None] = [None] * len(close)
+    if len(moves) < n:
+        return out
+    gain, loss = np.maximum(moves, 0), np.maximum(-moves, 0)
+    up, down = gain[:n].mean(), loss[:n].mean()
+    for k in range(n, len(close)):
+        if k > n:
+            up, down = (up * (n - 1) + gain[k - 1]) / n, (down * (n - 1) + loss[k - 1]) / n
+        out[k] = 100.0 if down == 0 else float(100 - 100 / (1 + up / down))
+    return out
 
 
 def with_pivots(bars: DataFrame, n: int = 5) -> DataFrame:
-    """Bars with the pivot each confirms, if any, and the unconfirmed low known before it (cand_*)."""
+    """Bars with the pivot each confirms, if any, the unconfirmed low known before it (cand_*), and RSI over 14 bars."""
     flagged = numbered(bars).withColumns({"is_low": I.left_low(n), "is_high": I.left_high(n)})
     columns = [f.split()[0] for f in BARS.split(", ")]
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
         low, high, close = (table.column(c).to_numpy() for c in ("low", "high", "close"))
-        new_low, new_high = (np.asarray(table.column(c)) for c in ("is_low", "is_high"))
-        size = len(low)
-        found = {"pivot": [None] * size, "pivot_i": [None] * size, "pivot_price": [None] * size, "cand_i": [None] * size}
-        bottom = top = None
-        for k in range(size):
-            found["cand_i"][k] = bottom
-            if new_low[k] and (bottom is None or low[k] < low[bottom]):
-                bottom = k
-            if new_high[k] and (top is None or high[k] > high[top]):
-                top = k
-            if bottom is not None and bottom < k and close[k] > high[bottom]:
-                kind, at, price = "low", bottom, low[bottom]
-            elif top is not None and top < k and close[k] < low[top]:
-                kind, at, price = "high", top, high[top]
-            else:
+        is_low, is_high = (np.asarray(table.column(c)) for c in ("is_low", "is_high"))
+        size, begin, length = len(low), 0, 64
+        known = np.full(size, -1)
+        pivots: dict[str, list] = {"pivot": [None] * size, "pivot_i": [None] * size, "pivot_price": [None] * size}
+        while begin < size:
+            part = slice(begin, min(size, begin + length))
+            k, kind, at, bottom = _next_pivot(low[part], high[part], close[part], is_low[part], is_high[part])
+            if kind is None and part.stop < size:
+                length *= 2  # looked at again from its beginning, twice as far
                 continue
-            found["pivot"][k], found["pivot_i"][k], found["pivot_price"][k] = kind, at, float(price)
-            bottom = top = None
-        at = found["cand_i"]
-        more = [pa.array(found["pivot"], pa.string()), pa.array(found["pivot_i"], pa.int64()), pa.array(found["pivot_price"], pa.float64()), pa.array(at, pa.int64())]
-        more += [pa.array([None if x is None else float(v[x]) for x in at], pa.float64()) for v in (low, high)]
+            seen = bottom[: min(k, len(bottom) - 1)]
+            known[begin + 1 : begin + 1 + len(seen)] = np.where(seen >= 0, seen + begin, -1)
+            if kind is not None:
+                at += begin
+                pivots["pivot"][begin + k], pivots["pivot_i"][begin + k], pivots["pivot_price"][begin + k] = kind, at, float((low if kind == "low" else high)[at])
+            begin, length = begin + k + 1, 64
+        none = known < 0
+        more = [pa.array(pivots["pivot"], pa.string()), pa.array(pivots["pivot_i"], pa.int64()), pa.array(pivots["pivot_price"], pa.float64()), pa.array(known, pa.int64(), mask=none)]
+        more += [pa.array(v[known], pa.float64(), mask=none) for v in (low, high)]
+        more.append(pa.array(_smoothed(close), pa.float64()))
         return pa.Table.from_arrays([table.column(c).combine_chunks() for c in columns] + more, [f.split()[0] for f in STATE.split(", ")])
 
     return flagged.select(*columns, "is_low", "is_high").groupBy("symbol").applyInArrow(fold, STATE)
@@ -94,21 +135,12 @@ def with_resistance(pivoted: DataFrame) -> DataFrame:
     return pivoted.select("symbol", "i", "close", highs).groupBy("symbol").applyInArrow(fold, "symbol string, i long, resistance double")
 
 
-def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
-    """symbol, time, rsi: seeded with the mean of the first n changes, then smoothed by 1/n."""
+def wilder_rsi(bars: DataFrame) -> DataFrame:
+    """symbol, time, rsi: seeded with the mean of the first 14 changes, then smoothed by 1/14."""
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by("time")
-        close = table.column("close").to_numpy()
-        moves = np.diff(close)
-        out: list[float | None] = [None] * len(close)
-        if len(moves) >= n:
-            gain, loss = np.maximum(moves, 0), np.maximum(-moves, 0)
-            up, down = gain[:n].mean(), loss[:n].mean()
-            for k in range(n, len(close)):
-                if k > n:
-                    up, down = (up * (n - 1) + gain[k - 1]) / n, (down * (n - 1) + loss[k - 1]) / n
-                out[k] = 100.0 if down == 0 else float(100 - 100 / (1 + up / down))
-        return pa.Table.from_arrays([table.column("symbol").combine_chunks(), table.column("time").combine_chunks(), pa.array(out, pa.float64())], ["symbol", "time", "rsi"])
+        rsi = pa.array(_smoothed(table.column("close").to_numpy()), pa.float64())
+        return pa.Table.from_arrays([table.column("symbol").combine_chunks(), table.column("time").combine_chunks(), rsi], ["symbol", "time", "rsi"])
 
     return bars.select("symbol", "time", "close").groupBy("symbol").applyInArrow(fold, "symbol string, time long, rsi double")

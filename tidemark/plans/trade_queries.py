@@ -148,7 +148,7 @@ def _(spark, sf):
 
 def _chain(when: str, stop: str, target_r: float, hold: int, cost: float, most: float = 0.06, least: float = 0.01) -> str:
     """SQL of the trades of a rule with stop, target and time limit: every entry's own exit, then the chain of entries that are free."""
-    return f"""{PREP.replace('WITH', 'WITH RECURSIVE', 1)}, c AS MATERIALIZED (SELECT symbol, i, close AS entry, {stop} AS stop FROM k WHERE {when} AND {stop} < close AND (close - {stop}) / close BETWEEN {least} AND {most}),
+    return f"""{PREP.replace('WITH', 'WITH RECURSIVE', 1)}, c AS MATERIALIZED (SELECT symbol, i, close AS entry, ({stop}) AS stop FROM k WHERE {when} AND ({stop}) < close AND (close - ({stop})) / close BETWEEN {least} AND {most}),
     x AS (SELECT c.symbol, c.i, c.entry, c.stop, min(k.i) FILTER (k.low <= c.stop) AS sa, min(k.i) FILTER (k.high >= c.entry + {target_r} * (c.entry - c.stop)) AS ta, min(k.i) FILTER (k.i - c.i = {hold}) AS ha
       FROM c LEFT JOIN k ON k.symbol = c.symbol AND k.i > c.i AND k.i <= c.i + {hold} GROUP BY ALL),
     y AS (SELECT *, least(sa, ta, ha) AS out FROM x), z AS MATERIALIZED (SELECT y.*, CASE WHEN out = sa THEN y.stop WHEN out = ta THEN entry + {target_r} * (entry - y.stop) ELSE k.close END AS px, CASE WHEN out = sa THEN 'stop' WHEN out = ta THEN 'target' ELSE 'timeout' END AS label FROM y LEFT JOIN k ON k.symbol = y.symbol AND k.i = y.out),
@@ -201,10 +201,8 @@ def _(spark, sf):
         found = E.candidates(bars, mode, min_stop=None).filter("reason = 'taken'").withColumn("mode", F.lit(mode))
         parts = found if parts is None else parts.unionByName(found)
     # a mode of a symbol is a series of its own
-    series = bars.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in E.MODES], "mode string"))).withColumn("symbol", F.concat_ws("/", "mode", "symbol"))
-    runs = X.simulate(series, parts.withColumn("symbol", F.concat_ws("/", "mode", "symbol")), [X.Exit("net"), X.Exit("gross", cost=0.0)])
-    named = runs.withColumn("mode", F.split("symbol", "/")[0]).withColumn("symbol", F.split("symbol", "/")[1])
-    return X.summarize(named, "mode", "config")
+    runs = X.simulate(bars, parts, [X.Exit("net"), X.Exit("gross", cost=0.0)], ("symbol", "mode"))
+    return X.summarize(runs, "mode", "config")
 
 
 @query("x4_excursions", f"{_chain(*RULES['breakout'], 4.0, 300, 0.0045)} SELECT r > 0 AS win, count(*) AS n, round(median(exit_i - entry_i), 6) AS median_held FROM tr2 GROUP BY 1")
