@@ -51,6 +51,6 @@ def test_grid_has_every_cell(spark):
     sf = "/root/testdata/sf0.01"
     bars = E.prepared(L.bars(spark, sf))
     entries = bars.filter("close > top20 and atr_before > 0").selectExpr("symbol", "i", "close", "atr_before AS unit")
-    found = {(r.k_stop, r.k_target): (r.n, r.wins, r.losses, r.open) for r in registry.queries()["x2_stop_target_grid_whole"](spark, sf).collect()}
+    found = {(r.k_stop, r.k_target): (r.n, r.wins, r.losses, r.open) for r in registry.queries()["x2_stop_target_grid"](spark, sf).collect()}
     assert len(found) == 42
     assert found == grid(series(bars, "i", "low", "high"), series(entries, "i", "close", "unit"), 200, [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0], [1.0, 1.5, 2.0, 3.0, 4.0, 6.0])

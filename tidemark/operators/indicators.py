@@ -52,10 +52,10 @@ def left_high(n: int = 5, series: WindowSpec | None = None) -> Column:
 
 
 def swept_low(n: int = 10, series: WindowSpec | None = None) -> Column:
-    """A low of the older half of the frame was pierced in the newer half, and the close is above it."""
+    """A low of the older half of the frame was pierced in the newer half, and the close is above it; false before the frame is full."""
     half = n // 2
     prior = F.min("low").over(frame(-n, -half - 1, series))
-    return full(F.coalesce((F.min("low").over(frame(-half, 0, series)) < prior) & (F.col("close") > prior), F.lit(False)), "low", -n, 0, series)
+    return F.coalesce(full((F.min("low").over(frame(-half, 0, series)) < prior) & (F.col("close") > prior), "low", -n, 0, series), F.lit(False))
 
 
 def relative(column: str, n: int = 20, series: WindowSpec | None = None) -> Column:

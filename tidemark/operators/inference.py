@@ -26,15 +26,17 @@ def sign_flip(df: DataFrame, value: str, key: str, k: int, seed: str = "s") -> D
     return drawn.crossJoin(F.broadcast(own)).groupBy("n", "mean").agg(((F.count_if(F.col("m") >= F.col("mean")) + 1) / (k + 1)).alias("p"))
 
 
-def bootstrap_interval(df: DataFrame, value: str, order: str, k: int, seed: str = "b") -> DataFrame:
+def bootstrap_interval(df: DataFrame, value: str, order: str, k: int, seed: str = "b", block: int = 1) -> DataFrame:
     """One row: the values at floor(.025 k) and floor(.975 k) of the sorted means of k resamples.
 
-    df: one row per date (or block); the numbering is a window over those rows.
+    df: one row per date; the numbering is a window over those rows. A resample is made of blocks of so many
+    successive dates, each begun at a drawn place, and cut to the number of dates.
     """
     numbered = df.select((F.row_number().over(Window.orderBy(order)) - 1).alias("at"), F.col(value).alias("x"))
-    n = df.agg(F.count("*").alias("n"))
-    picked = F.conv(F.substring(draw(seed, "replica", "at"), 1, 8), 16, 10).cast("long") % F.col("n")
-    wanted = replicas(numbered.select("at"), k).crossJoin(F.broadcast(n)).select("replica", picked.alias("at"))
+    size = df.agg(F.count("*").alias("n")).withColumn("width", F.least(F.lit(block).cast("long"), F.col("n")))
+    spot = F.floor(F.col("at") / F.col("width"))
+    begin = F.conv(F.substring(draw(seed, "replica", spot.cast("string")), 1, 8), 16, 10).cast("long") % (F.col("n") - F.col("width") + 1)
+    wanted = replicas(numbered.select("at"), k).crossJoin(F.broadcast(size)).select("replica", (begin + F.col("at") % F.col("width")).alias("at"))
     means = wanted.join(numbered, "at").groupBy("replica").agg(F.avg("x").alias("m"))
     place = F.row_number().over(Window.orderBy("m", "replica")) - 1
     edge = means.withColumn("place", place)
@@ -62,19 +64,52 @@ def _spearman(pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.select(*by, place("trail").alias("x"), place("fwd").alias("y")).groupBy(*by).agg(F.corr("x", "y").alias("r")).filter("not isnan(r)")
 
 
+def _across_dates(panel: DataFrame, k: int, seed: str, by: str, two_sided: bool) -> DataFrame:
+    """One row: ic and p. A replica gives each date the fwds of another; pairs of dates that recur are correlated once."""
+    own = _spearman(panel, "date").agg(F.avg("r").alias("ic"))
+    dates = panel.select("date").distinct().select("date", F.row_number().over(Window.orderBy("date")).alias("at"))
+    spot = F.row_number().over(Window.partitionBy("replica").orderBy(draw(seed, "replica", "date"), "date"))
+    order = replicas(dates.select("date"), k).select("replica", F.col("date").alias("other"), spot.alias("at")).join(dates, "at").select("replica", "date", "other")
+    pairs = order.select("date", "other").distinct()
+    met = pairs.join(panel.select("date", by, "trail"), "date").join(panel.select(F.col("date").alias("other"), by, "fwd"), ["other", by])
+    drawn = order.join(_spearman(met, "date", "other"), ["date", "other"]).groupBy("replica").agg(F.avg("r").alias("r"))
+    size = (lambda x: F.abs(F.col(x))) if two_sided else F.col
+    # float sums come in any order; equal statistics count as at least as large
+    return drawn.crossJoin(F.broadcast(own)).groupBy("ic").agg(((F.count_if(size("r") >= size("ic") - 1e-12) + 1) / (k + 1)).alias("p"))
+
+
 def permuted_panels(panel: DataFrame, k: int, seed: str = "q") -> DataFrame:
     """One row: the mean over dates of the rank correlation of trail and fwd, and its one-sided p.
 
     A replica pairs the trails of each date with the fwds, asset by asset, of another date in a random
     order of all dates. panel: (date, asset, trail, fwd).
     """
-    own = _spearman(panel, "date").agg(F.avg("r").alias("ic"))
-    dates = panel.select("date").distinct().select("date", F.row_number().over(Window.orderBy("date")).alias("at"))
-    spot = F.row_number().over(Window.partitionBy("replica").orderBy(draw(seed, "replica", "date"), "date"))
-    order = replicas(dates.select("date"), k).select("replica", F.col("date").alias("other"), spot.alias("at")).join(dates, "at").select("replica", "date", "other")
-    met = order.join(panel.select("date", "asset", "trail"), "date").join(panel.select(F.col("date").alias("other"), "asset", "fwd"), ["other", "asset"])
-    drawn = _spearman(met, "replica", "date").groupBy("replica").agg(F.avg("r").alias("r"))
-    return drawn.crossJoin(F.broadcast(own)).groupBy("ic").agg(((F.count_if(F.col("r") >= F.col("ic")) + 1) / (k + 1)).alias("p"))
+    return _across_dates(panel, k, seed, "asset", False)
+
+
+def permuted_vectors(panel: DataFrame, k: int, seed: str = "v") -> DataFrame:
+    """As permuted_panels(), two-sided, with trails and fwds paired by place in the order of assets, up to the shorter one's end."""
+    place = F.row_number().over(Window.partitionBy("date").orderBy("asset"))
+    return _across_dates(panel.withColumn("place", place), k, seed, "place", True)
+
+
+def block_permuted_ic(rows: DataFrame, block: int, k: int, seed: str = "k") -> DataFrame:
+    """symbol, n, ic, p: rank correlation of x and y and its two-sided p under permuted blocks of the y of a symbol.
+
+    rows: (symbol, time, x, y). Ranks are taken once, as a permutation only moves them. A block's new place is the
+    sum of the sizes of the blocks before it in the replica's order.
+    """
+    place = lambda c: F.rank().over(Window.partitionBy("symbol").orderBy(c)) + (F.count("*").over(Window.partitionBy("symbol", c)) - 1) / 2
+    at = F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1
+    ranked = rows.select("symbol", place("x").alias("rx"), place("y").alias("ry"), at.alias("at")).withColumn("block", F.floor(F.col("at") / block))
+    own = ranked.groupBy("symbol").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("ic"))
+    sizes = replicas(ranked.groupBy("symbol", "block").agg(F.count("*").alias("size")), k)
+    order = Window.partitionBy("symbol", "replica").orderBy(draw(seed, "replica", "symbol", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sizes.withColumn("begin", F.coalesce(F.sum("size").over(order), F.lit(0))).select("symbol", "replica", "block", "begin")
+    moved = begun.join(ranked.select("symbol", "block", "ry", "at"), ["symbol", "block"]).select("symbol", "replica", (F.col("begin") + F.col("at") % block).alias("at"), "ry")
+    drawn = moved.join(ranked.select("symbol", "at", "rx"), ["symbol", "at"]).groupBy("symbol", "replica").agg(F.corr("rx", "ry").alias("r"))
+    found = drawn.join(own, "symbol").groupBy("symbol", "n", "ic")
+    return found.agg(((F.count_if(F.abs("r") >= F.abs("ic") - 1e-12) + 1) / (k + 1)).alias("p"))
 
 
 def half_life(slope: Column) -> Column:

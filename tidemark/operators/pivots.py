@@ -9,6 +9,7 @@ century are some 900,000 rows of 60 bytes.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -135,6 +136,21 @@ def with_resistance(pivoted: DataFrame) -> DataFrame:
     return pivoted.select("symbol", "i", "close", highs).groupBy("symbol").applyInArrow(fold, "symbol string, i long, resistance double")
 
 
+def touched_support(pivoted: DataFrame, above: float = 0.004, below: float = 0.02) -> DataFrame:
+    """symbol, i, support: of the lows confirmed before the bar, the nearest one that its low touches, the first of equals.
+
+    A touch is a low from ``below`` under the price to ``above`` over it. Prices are dealt into steps of a geometric scale as
+    wide as a touch, so a bar meets the lows of one step; prices are above 0.
+    """
+    width = math.log((1 + above) / (1 - below)) * 1.0001
+    step = lambda x: F.floor(F.log(x) / width)
+    lows = pivoted.filter("pivot = 'low'").select("symbol", F.col("i").alias("at"), F.col("pivot_price").alias("p"))
+    lows = lows.withColumn("step", F.explode(F.array_distinct(F.array(step(F.col("p") * (1 - below)), step(F.col("p") * (1 + above))))))
+    met = pivoted.select("symbol", "i", "low").withColumn("step", step(F.col("low"))).join(lows, ["symbol", "step"])
+    met = met.filter((F.col("at") < F.col("i")) & F.col("low").between((1 - below) * F.col("p"), (1 + above) * F.col("p")))
+    return met.groupBy("symbol", "i").agg(F.min_by("p", F.struct(F.abs(F.col("low") - F.col("p")), "at")).alias("support"))
+
+
 def wilder_rsi(bars: DataFrame) -> DataFrame:
     """symbol, time, rsi: seeded with the mean of the first 14 changes, then smoothed by 1/14."""
 

@@ -54,20 +54,32 @@ def decile_spread(df: DataFrame, rank_by: str, value: str, by: list[str]) -> Dat
     return ranked.groupBy(*by).agg((F.avg(F.when(top, F.col(value))) - F.avg(F.when(low, F.col(value)))).alias("spread"))
 
 
-def terciles(panel: DataFrame, cost: float) -> DataFrame:
-    """Per date of a panel (date, asset, trail, fwd): the mean of the best third, its turnover and the net return.
+def _selected(ranked: DataFrame, chosen: Column) -> DataFrame:
+    """Per date of ranked rows (d, n, asset, fwd): the mean of the chosen and their turnover against the date before; 1 on the first."""
+    own = ranked.filter(chosen).select("d", "asset", "fwd")
+    met = own.join(own.select((F.col("d") + 1).alias("d"), "asset", F.lit(1).alias("was")), ["d", "asset"], "left")
+    found = met.groupBy("d").agg(F.avg("fwd").alias("gross"), (1 - F.count("was") / F.count("*")).alias("turnover"))
+    return found.withColumn("turnover", F.when(F.col("d") == 1, 1.0).otherwise(F.col("turnover")))
 
-    Turnover is the share of the third that was not in it on the date before; 1 on the first date.
+
+def momentum_views(panel: DataFrame, cost: float, least: int = 8, tops: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """date, view, gross, turnover, net of a panel (date, asset, trail, fwd), on dates with ``least`` assets or more.
+
+    view spread: the mean of the best third by trail less that of the worst, its turnover the mean of both and its
+    cost that of both; view top3, top5, ...: the mean of so many best assets. Turnover is the share that was not
+    chosen on the qualifying date before; ties of trail go by asset.
     """
-    order, whole = Window.partitionBy("date").orderBy(F.col("trail").desc(), "asset"), Window.partitionBy("date")
-    ranked = panel.withColumns({"at": F.row_number().over(order), "n": F.count("*").over(whole)})
-    top = ranked.filter(F.col("at") <= F.greatest(F.lit(1), F.floor(F.col("n") / 3)))
-    dates = panel.select("date").distinct().withColumn("d", F.row_number().over(Window.orderBy("date")))
-    top = top.join(dates, "date")
-    kept = top.join(top.select("asset", (F.col("d") + 1).alias("d"), F.lit(1).alias("was")), ["asset", "d"], "left")
-    found = kept.groupBy("date", "d").agg(F.count("*").alias("size"), F.count("was").alias("overlap"), F.avg("fwd").alias("gross"))
-    turnover = F.when(F.col("d") == 1, 1.0).otherwise(1 - F.col("overlap") / F.col("size"))
-    return found.select("date", "size", "gross", turnover.alias("turnover"), (F.col("gross") - cost * turnover).alias("net"))
+    order, back, whole = Window.partitionBy("date").orderBy(F.col("trail").desc(), "asset"), Window.partitionBy("date").orderBy("trail", F.col("asset").desc()), Window.partitionBy("date")
+    ranked = panel.withColumns({"at": F.row_number().over(order), "from_last": F.row_number().over(back), "n": F.count("*").over(whole)}).filter(F.col("n") >= least)
+    dates = ranked.select("date").distinct().withColumn("d", F.row_number().over(Window.orderBy("date")))
+    ranked = ranked.join(F.broadcast(dates), "date")
+    third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
+    best, worst = (_selected(ranked, F.col(c) <= third) for c in ("at", "from_last"))
+    both = best.join(worst.select("d", F.col("gross").alias("low"), F.col("turnover").alias("t2")), "d")
+    out = both.select("d", F.lit("spread").alias("view"), (F.col("gross") - F.col("low")).alias("gross"), ((F.col("turnover") + F.col("t2")) / 2).alias("turnover"), (F.col("turnover") + F.col("t2")).alias("traded"))
+    for k in tops:
+        out = out.unionByName(_selected(ranked, F.col("at") <= k).select("d", F.lit(f"top{k}").alias("view"), "gross", "turnover", F.col("turnover").alias("traded")))
+    return out.join(dates, "d").select("date", "view", "gross", "turnover", (F.col("gross") - cost * F.col("traded")).alias("net"))
 
 
 def with_q_values(tests: DataFrame, p: str, family: list[str]) -> DataFrame:

@@ -151,7 +151,7 @@ def _(spark, sf):
     return L.bars(spark, sf).select("symbol", "time", I.highest("high", 20).alias("donchian"))
 
 
-@query("w8_swept_low", f"{B60} SELECT symbol, time, {full(f'min(low) {over(-5, 0)} < min(low) {over(-10, -6)} AND close > min(low) {over(-10, -6)}', 'low', -10, 0)} AS swept FROM b")
+@query("w8_swept_low", f"{B60} SELECT symbol, time, coalesce({full(f'min(low) {over(-5, 0)} < min(low) {over(-10, -6)} AND close > min(low) {over(-10, -6)}', 'low', -10, 0)}, false) AS swept FROM b")
 def _(spark, sf):
     return L.bars(spark, sf).select("symbol", "time", I.swept_low(10).alias("swept"))
 

@@ -203,11 +203,13 @@ def _(spark, sf):
     return rounded(A.decile_spread(moves(spark, sf), "volume", "r", ["symbol"]), "spread")
 
 
-@query("a11_tercile_turnover", f"""{PANEL}, o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY trail DESC, asset) AS k, count(*) OVER (PARTITION BY date) AS n, dense_rank() OVER (ORDER BY date) AS d FROM pn), t AS (SELECT * FROM o WHERE k <= greatest(1, floor(n / 3))),
-g AS (SELECT t.date, t.d, count(*) AS size, count(u.asset) AS overlap, avg(t.fwd) AS gross FROM t LEFT JOIN t u ON u.asset = t.asset AND u.d = t.d - 1 GROUP BY 1, 2)
-SELECT date, size, round(gross, 6) AS gross, round(CASE WHEN d = 1 THEN 1.0 ELSE 1 - overlap / size::DOUBLE END, 6) AS turnover, round(gross - 0.009 * CASE WHEN d = 1 THEN 1.0 ELSE 1 - overlap / size::DOUBLE END, 6) AS net FROM g""")
+@query("a11_tercile_turnover", f"""{PANEL}, o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY trail DESC, asset) AS k, count(*) OVER (PARTITION BY date) AS n FROM pn), q AS (SELECT *, dense_rank() OVER (ORDER BY date) AS d FROM o WHERE n >= 8),
+v AS (SELECT *, 'best' AS g FROM q WHERE k <= greatest(1, n // 3) UNION ALL SELECT *, 'worst' FROM q WHERE k > n - greatest(1, n // 3) UNION ALL SELECT *, 'top3' FROM q WHERE k <= 3 UNION ALL SELECT *, 'top5' FROM q WHERE k <= 5),
+m AS (SELECT v.date, v.g, avg(v.fwd) AS gross, CASE WHEN v.d = 1 THEN 1.0::DOUBLE ELSE 1 - count(u.asset) / count(*)::DOUBLE END AS t FROM v LEFT JOIN v u ON u.asset = v.asset AND u.d = v.d - 1 AND u.g = v.g GROUP BY v.date, v.g, v.d),
+z AS (SELECT b.date, 'spread' AS view, b.gross - w.gross AS gross, (b.t + w.t) / 2 AS turnover, b.t + w.t AS traded FROM m b JOIN m w ON b.date = w.date AND b.g = 'best' AND w.g = 'worst' UNION ALL SELECT date, g, gross, t, t FROM m WHERE g LIKE 'top%')
+SELECT date, view, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(gross - 0.009 * traded, 6) AS net FROM z""")
 def _(spark, sf):
-    return rounded(A.terciles(panel(spark, sf), 0.009), "gross", "turnover", "net")
+    return rounded(A.momentum_views(panel(spark, sf), 0.009), "gross", "turnover", "net")
 
 
 @query("a13_top_k", f"{MOVES}, z AS (SELECT symbol, time // 86400 AS day, sum(r) AS total FROM y GROUP BY 1, 2) SELECT symbol, day, total FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY total DESC, day) <= 3")

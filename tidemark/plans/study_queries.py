@@ -25,17 +25,9 @@ def _(spark, sf):
     return C.fee_tiers(L.weekly(spark, sf), TIERS).select("symbol", "week", "maker", "taker")
 
 
-@query("c2_funding_cost", f"{B60}, p AS (SELECT symbol, time AS entry, time + 36000 AS exit FROM b WHERE time // 3600 % 24 = 5) SELECT p.symbol, p.entry, coalesce(sum(b.buy_vol - b.sell_vol), 0) AS funding FROM p LEFT JOIN b ON b.symbol = p.symbol AND b.time >= p.entry AND b.time < p.exit GROUP BY 1, 2")
+@query("c2_funding_cost", f"{B60}, p AS (SELECT symbol, time AS entry, time + 36000 AS exit FROM b) SELECT p.symbol, p.entry, coalesce(sum(b.buy_vol - b.sell_vol), 0) AS funding FROM p LEFT JOIN b ON b.symbol = p.symbol AND b.time >= p.entry AND b.time < p.exit GROUP BY 1, 2")
 def _(spark, sf):
-    """The hourly flow stands for the rate."""
-    bars = L.bars(spark, sf)
-    positions = bars.filter(F.floor(F.col("time") / 3600) % 24 == 5).select("symbol", F.col("time").alias("entry"), (F.col("time") + 36000).alias("exit"))
-    return C.funding_cost(positions, bars.select("symbol", "time", (F.col("buy_vol") - F.col("sell_vol")).alias("rate"))).drop("exit")
-
-
-@query("c2_funding_cost_every_bar")
-def _(spark, sf):
-    """A position of ten hours from every bar; c2_funding_cost and its SQL open one a day."""
+    """A position of ten hours from every bar; the hourly flow stands for the rate."""
     bars = L.bars(spark, sf)
     positions = bars.select("symbol", F.col("time").alias("entry"), (F.col("time") + 36000).alias("exit"))
     return C.funding_cost(positions, bars.select("symbol", "time", (F.col("buy_vol") - F.col("sell_vol")).alias("rate"))).drop("exit")
@@ -101,38 +93,48 @@ def date_means(spark, sf):
     return panel(spark, sf).groupBy("date").agg(F.avg("fwd").alias("m"))
 
 
-@query("i2_permutation", f"""{PANEL}, o AS (SELECT avg(c) AS ic FROM (SELECT corr(trail, fwd) AS c FROM pn GROUP BY date) WHERE NOT isnan(c)), l AS (SELECT date, trail, row_number() OVER (PARTITION BY date ORDER BY asset) AS spot FROM pn),
-x AS (SELECT replica, date, fwd, row_number() OVER (PARTITION BY replica, date ORDER BY md5(concat_ws('|', 'p', replica, date, asset))) AS spot FROM pn, {REPLICAS.format(21)}),
-d AS (SELECT replica, avg(c) AS r FROM (SELECT replica, date, corr(trail, fwd) AS c FROM x JOIN l USING (date, spot) GROUP BY 1, 2) WHERE NOT isnan(c) GROUP BY 1) SELECT round(any_value(ic), 6) AS ic, (count(*) FILTER (r >= ic) + 1) / 21.0::DOUBLE AS p FROM d, o""")
+@query("i2_shuffled_assets", f"""{PANEL}, o AS (SELECT avg(c) AS ic FROM (SELECT corr(trail, fwd) AS c FROM pn GROUP BY date) WHERE NOT isnan(c)), l AS (SELECT date, trail, row_number() OVER (PARTITION BY date ORDER BY asset) AS spot FROM pn),
+x AS (SELECT replica, date, fwd, row_number() OVER (PARTITION BY replica, date ORDER BY md5(concat_ws('|', 'p', replica, date, asset))) AS spot FROM pn, {REPLICAS.format(201)}),
+d AS (SELECT replica, avg(c) AS r FROM (SELECT replica, date, corr(trail, fwd) AS c FROM x JOIN l USING (date, spot) GROUP BY 1, 2) WHERE NOT isnan(c) GROUP BY 1) SELECT round(any_value(ic), 6) AS ic, (count(*) FILTER (r >= ic) + 1) / 201.0::DOUBLE AS p FROM d, o""")
+def _(spark, sf):
+    return rounded(R.permuted_ic(panel(spark, sf), 200), "ic")
+
+
+@query("i4_bootstrap", f"""{DATES}, nm AS (SELECT row_number() OVER (ORDER BY date) - 1 AS spot, m FROM dm), x AS (SELECT replica, ('0x' || substr(md5(concat_ws('|', 'b', replica, spot)), 1, 8))::BIGINT % (SELECT count(*) FROM nm) AS spot FROM nm, {REPLICAS.format(1001)}),
+e AS (SELECT replica, avg(m) AS m FROM x JOIN nm USING (spot) GROUP BY 1), k AS (SELECT m, row_number() OVER (ORDER BY m, replica) - 1 AS k FROM e) SELECT round(max(m) FILTER (k = 25), 6) AS lo, round(max(m) FILTER (k = 975), 6) AS hi FROM k""")
 def _(spark, sf):
-    return rounded(R.permuted_ic(panel(spark, sf), 20), "ic")
+    return rounded(R.bootstrap_interval(date_means(spark, sf), "m", "date", 1000), "lo", "hi")
 
 
-@query("i4_bootstrap", f"""{DATES}, nm AS (SELECT row_number() OVER (ORDER BY date) - 1 AS spot, m FROM dm), x AS (SELECT replica, ('0x' || substr(md5(concat_ws('|', 'b', replica, spot)), 1, 8))::BIGINT % (SELECT count(*) FROM nm) AS spot FROM nm, {REPLICAS.format(201)}),
-e AS (SELECT replica, avg(m) AS m FROM x JOIN nm USING (spot) GROUP BY 1), k AS (SELECT m, row_number() OVER (ORDER BY m, replica) - 1 AS k FROM e) SELECT round(max(m) FILTER (k = 5), 6) AS lo, round(max(m) FILTER (k = 195), 6) AS hi FROM k""")
+@query("i4_block_bootstrap", f"""{DATES}, nm AS (SELECT row_number() OVER (ORDER BY date) - 1 AS spot, m FROM dm), x AS (SELECT replica, ('0x' || substr(md5(concat_ws('|', 'b', replica, spot // 4)), 1, 8))::BIGINT % (SELECT count(*) - 3 FROM nm) + spot % 4 AS spot FROM nm, {REPLICAS.format(1001)}),
+e AS (SELECT replica, avg(m) AS m FROM x JOIN nm USING (spot) GROUP BY 1), k AS (SELECT m, row_number() OVER (ORDER BY m, replica) - 1 AS k FROM e) SELECT round(max(m) FILTER (k = 25), 6) AS lo, round(max(m) FILTER (k = 975), 6) AS hi FROM k""")
 def _(spark, sf):
-    return rounded(R.bootstrap_interval(date_means(spark, sf), "m", "date", 200), "lo", "hi")
+    return rounded(R.bootstrap_interval(date_means(spark, sf), "m", "date", 1000, block=4), "lo", "hi")
 
 
-@query("i10_sign_flip", f"""{DATES}, x AS (SELECT replica, avg(CASE WHEN substr(md5(concat_ws('|', 's', replica, date)), 1, 1) < '8' THEN m ELSE -m END) AS r FROM dm, {REPLICAS.format(201)} GROUP BY 1) SELECT (SELECT count(*) FROM dm) AS n, (SELECT round(avg(m), 6) FROM dm) AS mean, (count(*) FILTER (r >= (SELECT avg(m) FROM dm)) + 1) / 201.0::DOUBLE AS p FROM x""")
+@query("i10_sign_flip", f"""{DATES}, x AS (SELECT replica, avg(CASE WHEN substr(md5(concat_ws('|', 's', replica, date)), 1, 1) < '8' THEN m ELSE -m END) AS r FROM dm, {REPLICAS.format(5001)} GROUP BY 1) SELECT (SELECT count(*) FROM dm) AS n, (SELECT round(avg(m), 6) FROM dm) AS mean, (count(*) FILTER (r >= (SELECT avg(m) FROM dm)) + 1) / 5001.0::DOUBLE AS p FROM x""")
 def _(spark, sf):
-    return rounded(R.sign_flip(date_means(spark, sf), "m", "date", 200), "mean")
+    return rounded(R.sign_flip(date_means(spark, sf), "m", "date", 5000), "mean")
 
 
-@query("i2_permutation_1000")
+@query("i2_permutation")
 def _(spark, sf):
-    """Whole panels paired anew across dates, 1000 times; i2_permutation and its SQL shuffle assets in a date, 20 times."""
+    """Whole panels paired anew across dates, asset by asset, 1000 times."""
     return rounded(R.permuted_panels(panel(spark, sf), 1000), "ic")
 
 
-@query("i4_bootstrap_1000")
+@query("i3_date_vectors")
 def _(spark, sf):
-    return rounded(R.bootstrap_interval(date_means(spark, sf), "m", "date", 1000), "lo", "hi")
+    """Whole forward vectors moved to other dates, by place, 1000 times, two-sided."""
+    return rounded(R.permuted_vectors(panel(spark, sf), 1000), "ic")
 
 
-@query("i10_sign_flip_5000")
+@query("i8_block_permuted_ic")
 def _(spark, sf):
-    return rounded(R.sign_flip(date_means(spark, sf), "m", "date", 5000), "mean")
+    """Rank correlation of the flow and the next six hours' change per symbol, blocks of six hours permuted 300 times."""
+    bars = L.bars(spark, sf)
+    rows = bars.select("symbol", "time", (F.col("buy_vol") - F.col("sell_vol")).alias("x"), (F.lead("close", 6).over(I.by_time()) / F.col("close") - 1).alias("y")).filter("y is not null")
+    return rounded(R.block_permuted_ic(rows, 6, 300), "ic")
 
 
 @query("i13_half_life", f"{B60}, c AS (SELECT symbol, close - lag(close) OVER s AS d, lag(close) OVER s AS e FROM b{S}), g AS (SELECT symbol, regr_slope(d, e) AS slope FROM c WHERE e IS NOT NULL GROUP BY 1) SELECT symbol, round(slope, 6) AS slope, round(CASE WHEN slope > -1 AND slope < 0 THEN ln(0.5::DOUBLE) / ln(1 + slope) END, 3) AS periods FROM g")
@@ -198,3 +200,26 @@ def _(spark, sf):
     """Area under the curve of a fitted classifier on training and later rows."""
     scored = M.fit_and_score(labelled(spark, sf), FEATURES, "y", "train", 0.01)
     return M.auc(scored, "score", "y", "train")
+
+
+PENALTIES = [0.0, 0.01, 0.1, 1.0]
+
+
+def keyed(spark, sf):
+    """Labelled rows with a key in the order of time, and the day."""
+    rows = labelled(spark, sf)
+    return rows.withColumns({"key": F.concat_ws("/", F.lpad(F.col("time").cast("string"), 12, "0"), "symbol"), "day": F.floor(F.col("time") / 86400)})
+
+
+@query("m6_penalty_choice")
+def _(spark, sf):
+    """Penalties on three stratified folds of the training rows, ranked by area, loss and size."""
+    rows = M.standardised(keyed(spark, sf), FEATURES, "train").filter("train").withColumns({"x": F.array(*FEATURES), "ys": F.array("y")})
+    found = M.choose_penalties(M.stratified_folds(rows, "y", "key", "day", 3), [0], PENALTIES, 3)
+    return rounded(found.select("penalty", "mean_auc", "mean_loss", "place"), "mean_auc", "mean_loss")
+
+
+@query("m7_sealed_score")
+def _(spark, sf):
+    """Held-out area of the chosen model, and its p under 100 refits with permuted training labels."""
+    return rounded(M.sealed_score(keyed(spark, sf), FEATURES, "key", "y", "train", "day", PENALTIES), "train_auc", "holdout_auc", "p")

@@ -69,28 +69,15 @@ def _(spark, sf):
     return J.as_of(hours, flips, "bias").select("symbol", (F.col("time") - 3600).alias("time"), "bias")
 
 
-@query("j5_resistance", f"{PIVOTS}, hs AS (SELECT symbol, i AS at, pivot_price AS p FROM st WHERE kind = 'high') SELECT nb.symbol, nb.i, min(hs.p) AS resistance FROM nb LEFT JOIN hs ON hs.symbol = nb.symbol AND hs.at < nb.i AND hs.p > nb.close WHERE nb.i % 24 = 0 GROUP BY 1, 2")
+@query("j5_resistance", f"{PIVOTS}, hs AS (SELECT symbol, i AS at, pivot_price AS p FROM st WHERE kind = 'high') SELECT nb.symbol, nb.i, min(hs.p) AS resistance FROM nb LEFT JOIN hs ON hs.symbol = nb.symbol AND hs.at < nb.i AND hs.p > nb.close GROUP BY 1, 2")
 def _(spark, sf):
-    """The lowest confirmed high above the close of every 24th bar."""
-    state = P.with_pivots(L.bars(spark, sf))
-    highs = state.filter("pivot = 'high'").select("symbol", F.col("i").alias("at"), F.col("pivot_price").alias("p"))
-    asked = state.filter("i % 24 = 0").select("symbol", "i", "close")
-    met = asked.join(highs.withColumnRenamed("symbol", "of"), (F.col("symbol") == F.col("of")) & (F.col("at") < F.col("i")) & (F.col("p") > F.col("close")), "left")
-    return met.groupBy("symbol", "i").agg(F.min("p").alias("resistance"))
-
-
-@query("j5_resistance_every_bar")
-def _(spark, sf):
-    """The lowest confirmed high above the close of every bar; j5_resistance and its SQL ask every 24th."""
+    """The lowest confirmed high above the close of every bar."""
     return P.with_resistance(P.with_pivots(L.bars(spark, sf)))
 
 
 @query("j6_support_touch", f"{PIVOTS}, ls AS (SELECT symbol, i AS at, pivot_price AS p FROM st WHERE kind = 'low') SELECT nb.symbol, nb.i, arg_min(ls.p, (abs(nb.low - ls.p), ls.at)) AS support FROM nb JOIN ls ON ls.symbol = nb.symbol AND ls.at < nb.i AND nb.low BETWEEN 0.98 * ls.p AND 1.004 * ls.p GROUP BY 1, 2")
 def _(spark, sf):
-    state = P.with_pivots(L.bars(spark, sf))
-    lows = state.filter("pivot = 'low'").select("symbol", F.col("i").alias("at"), F.col("pivot_price").alias("p"))
-    met = state.select("symbol", "i", "low").join(lows, "symbol").filter((F.col("at") < F.col("i")) & F.col("low").between(0.98 * F.col("p"), 1.004 * F.col("p")))
-    return met.groupBy("symbol", "i").agg(F.min_by("p", F.struct(F.abs(F.col("low") - F.col("p")), "at")).alias("support"))
+    return P.touched_support(P.with_pivots(L.bars(spark, sf)))
 
 
 RSI = f"""WITH RECURSIVE {L.BARS}, mv AS MATERIALIZED (SELECT symbol, time, row_number() OVER s - 1 AS i, greatest(close - lag(close) OVER s, 0) AS g, greatest(lag(close) OVER s - close, 0) AS l FROM b{S}),
@@ -205,31 +192,22 @@ def _(spark, sf):
     return X.summarize(runs, "mode", "config")
 
 
-@query("x4_excursions", f"{_chain(*RULES['breakout'], 4.0, 300, 0.0045)} SELECT r > 0 AS win, count(*) AS n, round(median(exit_i - entry_i), 6) AS median_held FROM tr2 GROUP BY 1")
+@query("x4_excursions", f"{_chain(*RULES['breakout'], 4.0, 300, 0.0045)} SELECT r > 0 AS win, count(*) AS n, round(median(exit_i - entry_i), 6) AS median_held, round(median(mae), 6) AS median_mae, round(median(mfe), 6) AS median_mfe FROM (SELECT tr2.symbol, entry_i, any_value(exit_i) AS exit_i, any_value(tr2.r) AS r, greatest(0, any_value((tr2.entry - w.lo) / risk)) AS mae, greatest(0, any_value((w.hi - tr2.entry) / risk)) AS mfe FROM tr2 JOIN (SELECT t.symbol, t.entry_i AS at, t.entry - z.stop AS risk, min(k.low) AS lo, max(k.high) AS hi FROM tr2 t JOIN z ON z.symbol = t.symbol AND z.i = t.entry_i JOIN k ON k.symbol = t.symbol AND k.i > t.entry_i AND k.i <= t.exit_i GROUP BY ALL) w ON w.symbol = tr2.symbol AND w.at = tr2.entry_i GROUP BY 1, 2) GROUP BY 1")
 def _(spark, sf):
     bars, found = _taken(spark, sf, "breakout")
     runs = X.simulate(bars, found, [X.Exit("live")])
-    return runs.groupBy((F.col("r") > 0).alias("win")).agg(F.count("*").alias("n"), r6(F.median(F.col("exit_i") - F.col("entry_i"))).alias("median_held"))
+    return runs.groupBy((F.col("r") > 0).alias("win")).agg(F.count("*").alias("n"), r6(F.median(F.col("exit_i") - F.col("entry_i"))).alias("median_held"), r6(F.median("mae")).alias("median_mae"), r6(F.median("mfe")).alias("median_mfe"))
 
 
-GRID = "(SELECT unnest([1.0, 2.0, 3.0]::DOUBLE[]) AS k_stop) ks, (SELECT unnest([1.0, 2.0, 4.0]::DOUBLE[]) AS k_target) kt"
-
-
-@query("x2_stop_target_grid", f"""{PREP}, e AS (SELECT symbol, i, close, pa FROM k WHERE close > don AND pa IS NOT NULL), g AS (SELECT e.symbol, e.i, k_stop, k_target, min(k.i) FILTER (k.low <= e.close - k_stop * e.pa) AS sa, min(k.i) FILTER (k.high >= e.close + k_target * e.pa) AS ta FROM e, {GRID}, k WHERE k.symbol = e.symbol AND k.i > e.i AND k.i <= e.i + 48 GROUP BY ALL)
-SELECT k_stop, k_target, count(*) AS n, count(*) FILTER (ta IS NOT NULL AND (sa IS NULL OR ta < sa)) AS wins, count(*) FILTER (sa IS NOT NULL AND (ta IS NULL OR sa <= ta)) AS losses FROM g GROUP BY 1, 2""")
-def _(spark, sf):
-    """First passages of all stops and targets in one range join; a bar that reaches both is a loss."""
-    bars = E.prepared(L.bars(spark, sf))
-    levels = F.array(*(F.struct(F.lit(a).alias("k_stop"), F.lit(b).alias("k_target")) for a in (1.0, 2.0, 3.0) for b in (1.0, 2.0, 4.0)))
-    found = bars.filter("close > top20 and atr_before is not null").select("symbol", "i", "close", "atr_before", F.explode(levels).alias("g")).select("symbol", "i", "g.*", (F.col("close") - F.col("g.k_stop") * F.col("atr_before")).alias("stop"), (F.col("close") + F.col("g.k_target") * F.col("atr_before")).alias("target"))
-    last = bars.groupBy("symbol").agg(F.max("i").alias("last"))
-    passed = J.first_passage(found.join(last, "symbol").filter("i < last"), bars, 48, ["symbol", "i", "k_stop", "k_target"])
-    return passed.groupBy("k_stop", "k_target").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "win").alias("wins"), F.count_if(F.col("outcome") == "loss").alias("losses"))
+STOPS, TARGETS = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0], [1.0, 1.5, 2.0, 3.0, 4.0, 6.0]
 
 
-@query("x2_stop_target_grid_whole")
+@query("x2_stop_target_grid", f"""{PREP}, e AS MATERIALIZED (SELECT symbol, i, close, pa FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS last FROM k) WHERE close > don AND pa > 0 AND i + 200 <= last),
+sk AS (SELECT e.symbol, e.i, k_stop, min(k.i) FILTER (k.low <= e.close - k_stop * e.pa) AS sa FROM e, (SELECT unnest({STOPS}::DOUBLE[]) AS k_stop), k WHERE k.symbol = e.symbol AND k.i > e.i AND k.i <= e.i + 200 GROUP BY ALL),
+tk AS (SELECT e.symbol, e.i, k_target, min(k.i) FILTER (k.high >= e.close + k_target * e.pa) AS ta FROM e, (SELECT unnest({TARGETS}::DOUBLE[]) AS k_target), k WHERE k.symbol = e.symbol AND k.i > e.i AND k.i <= e.i + 200 GROUP BY ALL)
+SELECT k_stop, k_target, count(*) AS n, count(*) FILTER (ta IS NOT NULL AND (sa IS NULL OR ta < sa)) AS wins, count(*) FILTER (sa IS NOT NULL AND (ta IS NULL OR sa <= ta)) AS losses, count(*) FILTER (sa IS NULL AND ta IS NULL) AS open FROM sk JOIN tk USING (symbol, i) GROUP BY 1, 2""")
 def _(spark, sf):
-    """The grid of 7 stops and 6 targets over 200 bars; x2_stop_target_grid and its SQL have 3 x 3 over 48."""
+    """First passages of 7 stops and 6 targets within 200 bars of each breakout; a bar that reaches both is a loss."""
     bars = E.prepared(L.bars(spark, sf))
     entries = bars.filter("close > top20 and atr_before > 0").select("symbol", "i", "close", F.col("atr_before").alias("unit"))
-    return J.first_passages(entries, bars, 200, [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0], [1.0, 1.5, 2.0, 3.0, 4.0, 6.0])
+    return J.first_passages(entries, bars, 200, STOPS, TARGETS)
