@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import entries as E
+from tidemark.operators import indicators as I
 from tidemark.operators import joins as J
 from tidemark.operators import pivots as P
 from tidemark.operators import positions as X
@@ -133,6 +136,87 @@ def _(spark, sf):
     return rounded(E.candidates(E.prepared(L.bars(spark, sf)), "rsi").select("symbol", "i", "entry", "stop", "reason"), "stop")
 
 
+TOUCH = f"""{PIVOTS}, lv AS (SELECT symbol, i AS at, kind, pivot_price AS p, kind = 'low' AND coalesce(pivot_price > lag(pivot_price) OVER (PARTITION BY symbol, kind ORDER BY i), false) AS up FROM st WHERE kind IS NOT NULL),
+su AS (SELECT nb.symbol, nb.i, nb.low, nb.close, arg_min(lv.p, (abs(nb.low - lv.p), lv.at)) AS support FROM nb JOIN lv ON lv.symbol = nb.symbol AND lv.kind = 'low' AND lv.at < nb.i AND nb.low BETWEEN 0.98 * lv.p AND 1.004 * lv.p GROUP BY ALL),
+sx AS (SELECT su.symbol, su.i, close, least(low, support) - 0.001 * close AS stop, (SELECT min(h.p) FROM lv h WHERE h.symbol = su.symbol AND h.kind = 'high' AND h.at < su.i AND h.p > su.close) AS above,
+  (SELECT arg_max(l.up, l.at) FROM lv l WHERE l.symbol = su.symbol AND l.kind = 'low' AND l.at < su.i) AS rises FROM su WHERE close > support)"""
+
+
+def _support_query(mode: str, when: str):
+    @query(f"e_{mode}", f"{TOUCH} SELECT symbol, i, close AS entry, round(stop, 6) AS stop, round(coalesce(above, close + 4 * (close - stop)), 6) AS target, {REASON} AS reason FROM sx WHERE {when}")
+    def _(spark, sf):
+        found = E.candidates(E.with_levels(E.prepared(L.bars(spark, sf))), mode)
+        return rounded(found.select("symbol", "i", "entry", "stop", "target", "reason"), "stop", "target")
+
+
+_support_query("support", "true")
+_support_query("rev", "rises")
+
+
+@query("e_vol_contraction", f"""{PREP}, q AS (SELECT *, coalesce(pa < 0.9 * median(atr) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), false) AS quiet FROM k),
+n AS (SELECT *, least(50, i - 1 - coalesce(max(CASE WHEN NOT quiet THEN i END) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)) AS run FROM q),
+c AS (SELECT n.symbol, n.i, n.close, min(o.low) - 0.001 * n.close AS stop, max(o.high) AS top FROM n JOIN n o ON o.symbol = n.symbol AND o.i >= n.i - n.run AND o.i < n.i WHERE n.run >= 5 GROUP BY n.symbol, n.i, n.close)
+SELECT symbol, i, close AS entry, round(stop, 6) AS stop, {REASON} AS reason FROM c WHERE close > top""")
+def _(spark, sf):
+    """Breaks out of a quiet run. The walk of the trades lens has steady steps, so 0.9 of the median counts as quiet here; the operator's default is 0.5."""
+    bars = E.with_contraction(E.prepared(L.bars(spark, sf)), ratio=0.9)
+    return rounded(E.candidates(bars, "vol_contraction").select("symbol", "i", "entry", "stop", "reason"), "stop")
+
+
+def _pivots_at(minutes: int) -> str:
+    """The CTEs b, nb and st for bars of another interval, under other names."""
+    text = PIVOTS.replace(f"WITH RECURSIVE {L.MINUTES}", "").replace(L.coarse(), L.coarse("b", minutes))
+    return re.sub(r"\b(b|nb|st)\b(?! ?\.\.)", lambda m: f"{m[1]}{minutes}", text)
+
+
+def _known(minutes: int, value: str, name: str) -> str:
+    """CTE of a value of the higher interval by the time at which its bar is closed."""
+    return f", {name} AS (SELECT nb{minutes}.symbol, nb{minutes}.time + {minutes * 60} AS time, {value} AS v FROM st{minutes} JOIN nb{minutes} USING (symbol, i))"
+
+
+HIGHER = PIVOTS + _pivots_at(240) + _pivots_at(720)
+for _m in (240, 720):
+    HIGHER += _known(_m, f"last_value(CASE st{_m}.kind WHEN 'low' THEN 'bull' WHEN 'high' THEN 'bear' END IGNORE NULLS) OVER (PARTITION BY st{_m}.symbol ORDER BY st{_m}.i ROWS UNBOUNDED PRECEDING)", f"bias{_m}")
+BREAKS = "SELECT st.symbol, st.i, nb.time, nb.close, st.pivot_price AS stop, x.v AS four, y.v AS twelve FROM st JOIN nb USING (symbol, i) ASOF LEFT JOIN bias240 x ON x.symbol = st.symbol AND nb.time + 3600 >= x.time ASOF LEFT JOIN bias720 y ON y.symbol = st.symbol AND nb.time + 3600 >= y.time WHERE st.kind = 'low'"
+
+
+def biased(spark, sf, bars):
+    """bars with the biases of four and twelve hours as of their close."""
+    at = bars.withColumn("__open", F.col("time")).withColumn("time", F.col("time") + 3600)
+    for minutes in (240, 720):
+        higher = P.with_bias(P.with_pivots(L.bars(spark, sf, minutes))).select("symbol", (F.col("time") + minutes * 60).alias("time"), F.col("bias").alias(f"bias{minutes}"))
+        at = J.as_of(at, higher, f"bias{minutes}")
+    return at.withColumn("time", F.col("__open")).drop("__open")
+
+
+@query("e15_alignment", f"{HIGHER}, e AS ({BREAKS}) SELECT symbol, i, four, twelve, true AS \"none\", coalesce(four = 'bull', false) AS \"first\", coalesce(four <> 'bear', true) AND coalesce(twelve <> 'bear', true) AS notbear, coalesce(four = 'bull', false) AND coalesce(twelve = 'bull', false) AS \"all\" FROM e")
+def _(spark, sf):
+    """Every confirmed low under the four modes of alignment with the biases of four and twelve hours."""
+    lows = biased(spark, sf, P.with_pivots(L.bars(spark, sf))).filter("pivot = 'low'")
+    both = [F.col("bias240"), F.col("bias720")]
+    return lows.select("symbol", "i", both[0].alias("four"), both[1].alias("twelve"), *(E.aligned(both, m).alias(m) for m in ("none", "first", "notbear", "all")))
+
+
+@query("e1_bos_gates", f"""{HIGHER}, e AS ({BREAKS}), lw AS (SELECT symbol, i, coalesce(pivot_price > lag(pivot_price) OVER (PARTITION BY symbol ORDER BY i), false) AS up FROM st WHERE kind = 'low'),
+g AS (SELECT e.*, lw.up, (SELECT min(h.pivot_price) FROM st h WHERE h.symbol = e.symbol AND h.kind = 'high' AND h.i < e.i AND h.pivot_price > e.close) AS above FROM e JOIN lw USING (symbol, i))
+SELECT symbol, i, close AS entry, stop, CASE WHEN stop >= close THEN 'price_below_stop' WHEN NOT coalesce(four <> 'bear', true) OR NOT coalesce(twelve <> 'bear', true) THEN 'not_aligned' WHEN (close - stop) / close > 0.06 THEN 'stop_too_far' WHEN (close - stop) / close < 0.01 THEN 'stop_too_tight' WHEN NOT up THEN 'not_higher_low' WHEN above - close < 2 * (close - stop) THEN 'no_room' ELSE 'taken' END AS reason FROM g""")
+def _(spark, sf):
+    bars = biased(spark, sf, E.with_levels(E.prepared(L.bars(spark, sf))))
+    return E.break_reasons(bars, E.aligned([F.col("bias240"), F.col("bias720")], "notbear"))
+
+
+@query("e14_gated", f"""{PREP}{L.coarse('b4', 240)}, h AS (SELECT symbol, time + 14400 AS time, close > avg(close) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AND count(*) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 AS up FROM b4),
+c AS (SELECT symbol, i, time, close, close - 2 * pa AS stop, volume FROM k WHERE close > don AND pa IS NOT NULL)
+SELECT c.symbol, i, close AS entry, stop, CASE WHEN stop >= close THEN 'price_below_stop' WHEN (close - stop) / close > 0.06 THEN 'stop_too_far' WHEN (close - stop) / close < 0.01 THEN 'stop_too_tight' WHEN NOT coalesce(h.up, false) THEN 'trend_gate' WHEN NOT volume > 100 THEN 'external_gate' ELSE 'taken' END AS reason FROM c ASOF LEFT JOIN h ON h.symbol = c.symbol AND c.time + 3600 >= h.time""")
+def _(spark, sf):
+    """Breakouts behind the gates of the trend (four-hour close above its mean of 20) and of an external column (the volume)."""
+    four = L.bars(spark, sf, 240)
+    up = four.select("symbol", (F.col("time") + 14400).alias("time"), F.coalesce(F.col("close") > I.sma("close", 20), F.lit(False)).alias("up"))
+    bars = E.prepared(L.bars(spark, sf)).withColumn("__open", F.col("time")).withColumn("time", F.col("time") + 3600)
+    met = J.as_of(bars, up, "up").withColumn("time", F.col("__open")).drop("__open")
+    return E.candidates(met, "breakout", gate=F.col("volume") > 100, trend=F.col("up")).select("symbol", "i", "entry", "stop", "reason")
+
+
 def _chain(when: str, stop: str, target_r: float, hold: int, cost: float, most: float = 0.06, least: float = 0.01) -> str:
     """SQL of the trades of a rule with stop, target and time limit: every entry's own exit, then the chain of entries that are free."""
     return f"""{PREP.replace('WITH', 'WITH RECURSIVE', 1)}, c AS MATERIALIZED (SELECT symbol, i, close AS entry, ({stop}) AS stop FROM k WHERE {when} AND ({stop}) < close AND (close - ({stop})) / close BETWEEN {least} AND {most}),
