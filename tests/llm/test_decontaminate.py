@@ -1,4 +1,7 @@
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,75 @@ def case():
     return items, docs, planted
 
 
+def brute(items, docs):
+    """(document, item) by the docstring's rules, word by word."""
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    units = []
+    for j, text in enumerate(items):
+        w = split(text)
+        units += [(j, list(x)) for x in np.array_split(np.asarray(w, object), max(1, -(-len(w) // 64)))] if w else []
+    df = collections.Counter(t for _, u in units for t in set(u))
+    mean = sum(len(u) for _, u in units) / max(1, len(units))
+    shares = []
+    for _, u in units:
+        idf = {t: math.log1p((len(units) - df[t] + 0.5) / (df[t] + 0.5)) for t in u}
+        own = {t: idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(u) / mean)) for t, c in collections.Counter(u).items()}
+        shares.append({t: x / sum(own.values()) for t, x in own.items()})
+    out = set()
+    for d, text in enumerate(docs):
+        w = split(text)
+        passages = [set(w[k : k + 128]) for k in range(0, len(w), 64)]
+        for (j, _), share in zip(units, shares, strict=True):
+            if not any(sum(share.get(t, 0) for t in p) >= 0.6 - 1e-9 for p in passages):
+                continue
+            cut = D.answer_start(items[j])
+            whole, good = split(items[j]), True
+            if len(whole) < 5:
+                good = tuple(whole) in grams(w, len(whole))
+            else:
+                for part in (split(items[j][:cut]), split(items[j][cut:])):
+                    n = min(3, len(part))
+                    if n:
+                        have = grams(w, n) if len(part) <= 3 else grams(w, 3)
+                        good &= len(grams(part, n) & have) >= 0.5 * len(grams(part, n))
+            if good:
+                out.add((d, j))
+    return out
+
+
+def test_all_of_it_against_brute_force(spark, case):
+    items, docs, _ = case
+    items = [*items, "the of a", "w3é", "of w5é", "a in the of", "w1é w2é w3é w4é w5é"]
+    docs = [*docs, "so W3é it is", "of, w5é.", "w5é of", " ".join(docs[:40]), "w1é w2é w3é w4é", "w1é w2é w3é w4é w5é"]
+    d, b = (spark.createDataFrame(list(enumerate(x)), f"{k} long, text string") for k, x in (("doc_id", docs), ("item_id", items)))
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(d, b).collect()}
+    assert found == brute(items, docs)
+    assert {(150, len(items) - 4), (151, len(items) - 3)} <= found and (152, len(items) - 3) not in found
+
+
+def test_real_tables(spark, sf):
+    docs, items = (sorted((tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect())) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    expected = brute([t for _, t in items], [t for _, t in docs])
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))).collect()}
+    assert found == {(docs[a][0], items[b][0]) for a, b in expected}
+
+
+def test_null_keys_and_a_very_long_document(spark, case):
+    items, docs, _ = case
+    long = " ".join(docs * 30) + " " + items[0]
+    assert len(long.split()) > 200_000
+    d = spark.createDataFrame([(None, "x " + items[3]), (None, "nothing of it"), (5, long)], "doc_id long, text string")
+    b = spark.createDataFrame([(None, items[3]), (7, items[3]), (8, items[0])], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(d, b).collect()}
+    assert {(None, None), (None, 7), (5, 8)} <= found
+    assert [r.text for r in D.decontaminate(d, b).collect()] == ["nothing of it"]
+
+
 def test_planted_items_are_found_and_nothing_else(spark, case):
     items, docs, planted = case
     d = spark.createDataFrame([Row(doc_id=k, text=t, item_id="clash") for k, t in enumerate(docs)] + [Row(doc_id=1000, text=None, item_id="x"), Row(doc_id=1001, text="", item_id="x"), Row(doc_id=10, text=docs[10], item_id="x")])
-    b = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(500, None), (501, ""), (502, "the of a")], "item_id long, text string")
+    b = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(500, None), (501, ""), (502, "...")], "item_id long, text string")
     found = [(r.doc_id, r.item_id) for r in D.contaminated(d, b).collect()]
     assert sorted(found) == sorted([*planted.items(), (10, planted[10])])
     kept = D.decontaminate(d, b)

@@ -10,13 +10,12 @@ Method
        no block even with each term's largest share there; that bound is computed for all passages at once.
     3. A document and an item that met are verified: parts of the question's and of the answer's word
        trigrams that the whole document has. The answer is the item's last sentence; an item of one
-       sentence has its last third as answer.
+       sentence has its last third as answer. An item of fewer than ``SHORT`` words must occur whole, as one run.
 
 The index is broadcast, so its items are taken in blocks of ``block_bytes`` of text at most; each
 block is one more pass over the documents, with collection statistics of all items.
 
-Defined results: null and empty documents meet nothing; items that are null or have fewer than
-``LEAST`` words match nothing, being too short to tell; repeated items and repeated documents are
+Defined results: null and empty documents meet nothing; items that are null or have no words match nothing; repeated items and repeated documents are
 reported for each row; a null ``doc_id`` or ``item_id`` is carried along. Empty tables give an empty result.
 """
 
@@ -34,10 +33,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import NOT_WORD, Workspace, distinct, mix, slices, span_hashes, text_bytes, word_spans
 
-UNIT, SPAN, LEAST = 64, 4, 5
+UNIT, SPAN, SHORT = 64, 4, 5
 K1, LENGTH = 1.2, 0.75
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
-_ODD = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
+_ODD = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +68,7 @@ def answer_start(text: str) -> int:
 
 
 def item_units(items: DataFrame, item: str, text: str) -> DataFrame:
-    """Per unit of an item: item_id, row (one value for each item row), unit, terms, tf, length, question, answer."""
+    """Per unit of an item: item_id, row (one value for each item row), unit, terms, tf, length, run, question, answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,21 +77,24 @@ def item_units(items: DataFrame, item: str, text: str) -> DataFrame:
                 content = content or ""
                 cut = answer_start(content)
                 (words, first) = words_of(pa.array([content[:cut], content[cut:]]))
-                if len(words) < LEAST:
+                if len(words) == 0:
                     continue
                 question, answer = grams(words[: first[1]]), grams(words[first[1] :])
+                run = len(words) if len(words) < SHORT else 0
+                if run:
+                    question = answer = _runs(words, run)
                 parts = max(1, -(-len(words) // UNIT))
                 for unit, some in enumerate(np.array_split(words, parts)):
                     terms, tf = np.unique(some, return_counts=True)
-                    rows.append((key, row, unit, *(x.view(np.int64).tolist() for x in (terms, tf.astype(np.int64))), len(some), question.view(np.int64).tolist(), answer.view(np.int64).tolist()))
-            names = ["item_id", "row", "unit", "terms", "tf", "length", "question", "answer"]
+                    rows.append((key, row, unit, *(x.view(np.int64).tolist() for x in (terms, tf.astype(np.int64))), len(some), run, question.view(np.int64).tolist(), answer.view(np.int64).tolist()))
+            names = ["item_id", "row", "unit", "terms", "tf", "length", "run", "question", "answer"]
             longs = pa.list_(pa.int64())
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), longs, longs, pa.int64(), longs, longs]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), longs, longs, pa.int64(), pa.int64(), longs, longs]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names)
 
     own = items.select(F.col(item).alias("item_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
     kind = own.schema["item_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"item_id {kind}, row long, unit long, terms array<long>, tf array<long>, length long, question array<long>, answer array<long>")
+    return own.mapInArrow(run, f"item_id {kind}, row long, unit long, terms array<long>, tf array<long>, length long, run long, question array<long>, answer array<long>")
 
 
 class Index:
@@ -101,6 +103,7 @@ class Index:
     def __init__(self, units: list, frequency: dict[int, int], total: int, mean_length: float):
         self.items = [u.item_id for u in units]
         self.rows = [u.row for u in units]
+        self.run = {u.row: u.run for u in units}
         self.parts = {u.row: (np.asarray(u.question, np.int64).view(np.uint64), np.asarray(u.answer, np.int64).view(np.uint64)) for u in units}
         unit = np.repeat(np.arange(len(units)), [len(u.terms) for u in units]).astype(np.int64)
         term = np.concatenate([np.asarray(u.terms, np.int64) for u in units]).view(np.uint64)
@@ -233,7 +236,9 @@ class Index:
                 last, own = owner, grams(words[first[owner] : first[owner + 1]])
             shares = []
             for part in self.parts[row]:
-                if 0 < len(part):
+                if self.run[row]:
+                    shares.append(float(np.isin(part, _runs(words[first[owner] : first[owner + 1]], self.run[row])).all()))
+                elif 0 < len(part):
                     have = own if len(part) > 1 else np.concatenate([own, *(_runs(words[first[owner] : first[owner + 1]], w) for w in (1, 2))])
                     shares.append(float(np.isin(part, have).mean()))
                 else:

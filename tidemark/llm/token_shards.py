@@ -176,10 +176,10 @@ def stride(length: int) -> int:
 
 
 def _placed(docs: DataFrame, work: Workspace) -> DataFrame:
-    """doc_id, text, file, row: the rows and where each lies."""
+    """doc_id, text, file, block: the rows, and the split of a file that each is read from."""
 
     def place(df: DataFrame) -> DataFrame:
-        return df.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     try:
@@ -200,37 +200,36 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
     placed = _placed(docs, work)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sequences per run of consecutive rows of a file."""
+        """Sequences per split of a file; filters leave gaps in it, but its rows come in order and in one task."""
         code = encoder(vocabulary)
         runs: list[list] = []
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 sizes = code.encode(part.column("text"))[1].tolist()
-                for size, file, row in zip(sizes, part.column("file").to_pylist(), part.column("row").to_pylist(), strict=True):
-                    if not runs or runs[-1][0] != file or runs[-1][2] != row:  # rows without gaps are one run
-                        runs.append([file, row, row, 0])
-                    runs[-1][2] += 1
-                    runs[-1][3] += _count(size, length)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "row", "beyond", "n"])
-
-    runs = work.put(placed.mapInArrow(counts, "file string, row long, beyond long, n long"), "runs")
-    # one row for each run that a task reads: about as many as there are scan tasks
-    held = runs.orderBy("file", "row").collect()
+                for size, file, block in zip(sizes, part.column("file").to_pylist(), part.column("block").to_pylist(), strict=True):
+                    if not runs or runs[-1][:2] != [file, block]:
+                        runs.append([file, block, 0])
+                    runs[-1][2] += _count(size, length)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "block", "n"])
+
+    runs = work.put(placed.mapInArrow(counts, "file string, block long, n long"), "runs")
+    # one row for each split of a file, in the order of the files
+    held = runs.orderBy("file", "block").collect()
     firsts = np.concatenate([[0], np.cumsum([r.n for r in held])]).astype(int).tolist()
     n = firsts[-1]
-    sent = spark.sparkContext.broadcast({(r.file, r.row): first for r, first in zip(held, firsts, strict=False)})
+    sent = spark.sparkContext.broadcast({(r.file, r.block): first for r, first in zip(held, firsts, strict=False)})
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, kind = encoder(vocabulary), _dtype(length)
-        file, expected, index = None, None, 0
+        split, index = None, 0
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 tokens, sizes = code.encode(part.column("text"))
                 bases, totals = [], sizes + 1
-                for size, name, row in zip(sizes.tolist(), part.column("file").to_pylist(), part.column("row").to_pylist(), strict=True):
-                    if name != file or row != expected:
-                        file, index = name, sent.value[name, row]
-                    expected = row + 1
+                for size, name, block in zip(sizes.tolist(), part.column("file").to_pylist(), part.column("block").to_pylist(), strict=True):
+                    if split != (name, block):
+                        split = (name, block)
+                        index = sent.value[split]
                     bases.append(index)
                     index += _count(size, length)
                 owners = -(-totals // length)
