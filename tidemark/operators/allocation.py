@@ -105,3 +105,25 @@ def exposure(bars: DataFrame, state: Column, cost: float) -> DataFrame:
 def risk_size(cash: float, stop_share: Column, most: float = 0.2, risk: float = 0.005, multiplier: float = 1.0) -> Column:
     """Money for a position: a share of the cash, or what loses ``risk`` of it at the stop."""
     return F.least(F.lit(cash * most), F.lit(cash * risk * multiplier) / stop_share)
+
+
+def post_only_rejected(side: Column, limit: Column, bid: Column, ask: Column) -> Column:
+    """Whether a resting order would cross the spread on arrival."""
+    return F.coalesce(F.when(side == "buy", limit >= ask).when(side == "sell", limit <= bid), F.lit(False))
+
+
+def commission_floor(trades: DataFrame, sizes: list[float], per_share: float = 0.005, least: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, usd, trades, too_small, net: mean R of whole shares for so much money, each leg paying by share or the least commission.
+
+    trades: (keys, entry, risk, r before costs).
+    """
+    sized = trades.withColumn("usd", F.explode(F.array(*map(F.lit, sizes)))).withColumn("shares", F.floor(F.col("usd") / F.col("entry")))
+    paid = 2 * F.greatest(F.col("shares") * per_share, F.lit(least)) / (F.col("shares") * F.col("risk"))
+    held = F.col("shares") >= 1
+    return sized.groupBy(*keys, "usd").agg(F.count_if(held).alias("trades"), F.count_if(~held).alias("too_small"), F.avg(F.when(held, F.col("r") - paid)).alias("net"))
+
+
+def open_positions(held: DataFrame, fee: float) -> DataFrame:
+    """held with pnl (gross less the fees of both sides) and r at the current price. held: (entry, volume, risk, price)."""
+    gross = (F.col("price") - F.col("entry")) * F.col("volume")
+    return held.withColumns({"pnl": gross - (F.col("entry") + F.col("price")) * F.col("volume") * fee, "r": F.when(F.col("risk") > 0, (F.col("price") - F.col("entry")) / F.col("risk")).otherwise(0.0)})

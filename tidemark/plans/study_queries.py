@@ -9,6 +9,7 @@ from tidemark.operators import allocation as C
 from tidemark.operators import indicators as I
 from tidemark.operators import inference as R
 from tidemark.operators import learning as M
+from tidemark.operators import rules as W
 from tidemark.plans import lenses as L
 from tidemark.plans.bar_queries import B60, BREAK, S, breakouts, full, over
 from tidemark.plans.base import Catalog, r6, rounded
@@ -67,6 +68,63 @@ def _(spark, sf):
     return rounded(run, "ret", "turnover").select("date", "ret", "turnover", F.round(F.log("equity"), 5).alias("growth"))
 
 
+LONGS = {
+    "momentum": ("up", "1", "true"), "momentum_vol": ("CASE WHEN vol > 0 THEN up END", "1 / vol", "true"), "trend_momentum": ("CASE WHEN close > mean THEN up END", "1", "true"), "regime_momentum": ("up", "1", "coalesce(lc > lm, false)"),
+    "strong_regime_momentum": ("up", "1", "coalesce(lc > 1.05 * lm, false)"), "regime_long_short": ("up", "1", "coalesce(lc > lm, false)"), "cash_gate": ("up", "1", "NOT coalesce(lc < lm AND lu < 0, false)"),
+    "breadth_cash_gate": ("up", "1", "NOT coalesce(lc < lm AND ls < 0 AND br >= 0.7, false)"), "reversal": ("-ups", "1", "true"),
+}
+SHORTS = {"bear_short": "coalesce(lc < lm, false)", "regime_long_short": "NOT coalesce(lc > lm, false)"}
+RULE_ROWS = " UNION ALL ".join([f"SELECT '{n}' AS rule, d, asset, {score} AS score, ({size})::DOUBLE AS size, 1 AS sgn FROM m WHERE {gate}" for n, (score, size, gate) in LONGS.items()] + [f"SELECT '{n}', d, asset, -up, 1.0::DOUBLE, -1 FROM m WHERE {gate}" for n, gate in SHORTS.items()])
+
+
+@query("c13_rules", f"""WITH {L.WEEKLY}, pc AS (SELECT dense_rank() OVER (ORDER BY week) - 1 AS d, symbol AS asset, close FROM wk),
+sc AS (SELECT p.d, p.asset, p.close, p.close / a.close - 1 AS up, p.close / s.close - 1 AS ups, p.close / o.close - 1 AS one FROM pc p LEFT JOIN pc a ON a.asset = p.asset AND a.d = p.d - 8 LEFT JOIN pc s ON s.asset = p.asset AND s.d = p.d - 2 LEFT JOIN pc o ON o.asset = p.asset AND o.d = p.d - 1),
+sv AS (SELECT *, avg(close) OVER (PARTITION BY asset ORDER BY d RANGE BETWEEN 25 PRECEDING AND CURRENT ROW) AS mean, stddev_pop(one) OVER (PARTITION BY asset ORDER BY d RANGE BETWEEN 7 PRECEDING AND CURRENT ROW) AS vol FROM sc),
+ld AS (SELECT d, close AS lc, mean AS lm, up AS lu, ups AS ls FROM sv WHERE asset = 'NATION_0'), bd AS (SELECT d, count(*) FILTER (up < 0) / nullif(count(up), 0)::DOUBLE AS br FROM sv GROUP BY 1),
+m AS (SELECT sv.*, lc, lm, lu, ls, br FROM sv LEFT JOIN ld USING (d) JOIN bd USING (d)), rw AS ({RULE_ROWS}),
+ch AS (SELECT * FROM rw WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rule, d, sgn ORDER BY score DESC, asset) <= 5),
+hw AS (SELECT rule, d, asset, sgn * size / sum(size) OVER (PARTITION BY rule, d) AS w FROM ch UNION ALL SELECT 'equal_weight', d, asset, 1.0::DOUBLE / (SELECT count(DISTINCT asset) FROM pc) FROM (SELECT DISTINCT d FROM pc), (SELECT DISTINCT asset FROM pc)),
+cw AS (SELECT rule, (d - 26) // 4 AS reb, asset, w FROM hw WHERE d >= 26 AND (d - 26) % 4 = 0), cal AS (SELECT rule, d, (d - 26) // 4 AS reb FROM (SELECT unnest(range(26, (SELECT max(d) FROM pc))) AS d), (SELECT DISTINCT rule FROM hw)),
+er AS (SELECT c.rule, p.d, sum(c.w) AS active, sum(c.w * (n.close / p.close - 1)) AS got FROM pc p JOIN pc n ON n.asset = p.asset AND n.d = p.d + 1 JOIN cw c ON c.asset = p.asset AND c.reb = (p.d - 26) // 4 AND p.d >= 26 GROUP BY 1, 2),
+tv AS (SELECT coalesce(a.rule, b.rule) AS rule, coalesce(a.reb, b.reb + 1) AS reb, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) / 2 AS t FROM cw a FULL JOIN cw b ON a.rule = b.rule AND a.asset = b.asset AND a.reb = b.reb + 1 GROUP BY 1, 2),
+rn AS (SELECT cal.rule, cal.d, CASE WHEN active > 1e-12 THEN got / active ELSE 0 END AS ret, CASE WHEN (cal.d - 26) % 4 = 0 THEN coalesce(t, 0) ELSE 0 END AS turnover FROM cal LEFT JOIN er USING (rule, d) LEFT JOIN tv ON tv.rule = cal.rule AND tv.reb = cal.reb),
+eq AS (SELECT *, exp(sum(ln((1 - turnover * 0.009) * (1 + ret))) OVER (PARTITION BY rule ORDER BY d)) AS equity FROM rn), fl AS (SELECT *, equity / greatest(1, max(equity) OVER (PARTITION BY rule ORDER BY d)) - 1 AS fall FROM eq),
+ag AS (SELECT rule, count(*) AS dates, arg_max(equity, d) AS final, stddev_pop(ret) * sqrt(52) AS volatility, least(0, min(fall)) AS drawdown, sum(turnover) AS turnover, avg(ret) AS average FROM fl GROUP BY 1)
+SELECT rule, dates, round(ln(final), 5) AS growth, round(volatility, 6) AS volatility, round(drawdown, 6) AS drawdown, round(turnover, 6) AS turnover, round(average, 6) AS average, round(CASE WHEN volatility > 0 THEN (pow(final, 52.0 / dates) - 1) / volatility ELSE 0 END, 5) AS sharpe FROM ag""")
+def _(spark, sf):
+    """Eleven rules on weekly closes, rebalanced every fourth week, with their figures."""
+    weeks = L.weekly(spark, sf)
+    index = weeks.select("week").distinct().withColumn("d", F.row_number().over(Window.orderBy("week")) - 1)
+    prices = weeks.join(F.broadcast(index), "week").select("d", F.col("symbol").alias("asset"), "close")
+    held = W.weights(W.scored(prices, "NATION_0", 8, 2, 26))
+    found = W.figures(W.portfolio_runs(prices, held, 26, 4), 0.009, 52)
+    return found.select("rule", "dates", F.round(F.log1p("total"), 5).alias("growth"), *(r6(c).alias(c) for c in ("volatility", "drawdown", "turnover", "average")), F.round("sharpe", 5).alias("sharpe"))
+
+
+@query("c3_post_only", f"{B60} SELECT symbol, time, k, coalesce(CASE WHEN k % 2 = 0 THEN open + k - 3 >= high ELSE open + k - 3 <= low END, false) AS rejected FROM b, (SELECT unnest(range(7)) AS k)")
+def _(spark, sf):
+    """Limit orders around the open, bought at even steps: high and low stand for the best ask and bid."""
+    orders = L.bars(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
+    side = F.when(F.col("k") % 2 == 0, "buy").otherwise("sell")
+    return orders.select("symbol", "time", "k", C.post_only_rejected(side, F.col("open") + F.col("k") - 3, F.col("low"), F.col("high")).alias("rejected"))
+
+
+@query("c7_commission_floor", f"{B60}, t AS (SELECT symbol, lag(close) OVER s / 10 AS entry, close / 10 AS px FROM b{S}), z AS (SELECT symbol, usd, floor(usd / entry) AS shares, (px - entry) / 2.0 AS r FROM t, (SELECT unnest([100.0, 200.0, 500.0, 1000.0, 5000.0]::DOUBLE[]) AS usd) WHERE entry IS NOT NULL) SELECT symbol, usd, count(*) FILTER (shares >= 1) AS trades, count(*) FILTER (shares < 1) AS too_small, round(avg(r - 2 * greatest(shares * 0.005, 1) / (shares * 2.0)) FILTER (shares >= 1), 6) AS net FROM z GROUP BY 1, 2")
+def _(spark, sf):
+    trades = L.bars(spark, sf).select("symbol", (F.lag("close").over(I.by_time()) / 10).alias("entry"), (F.col("close") / 10).alias("px")).filter("entry is not null").select("symbol", "entry", F.lit(2.0).alias("risk"), ((F.col("px") - F.col("entry")) / 2.0).alias("r"))
+    return rounded(C.commission_floor(trades, [100.0, 200.0, 500.0, 1000.0, 5000.0], keys=("symbol",)), "net")
+
+
+@query("a21_open_positions", f"{BREAK}, lt AS (SELECT symbol, arg_max(close, time) AS price FROM b GROUP BY 1) SELECT symbol, count(*) AS positions, round(sum((price - close) * volume - (close + price) * volume * 0.0025), 4) AS unrealized, round(avg(CASE WHEN pa > 0 THEN (price - close) / (2 * pa) ELSE 0 END), 6) AS mean_r FROM k JOIN lt USING (symbol) WHERE close > don AND pa IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    """Breakouts held to the last close: what closing them now would give, and their multiple of the risk."""
+    bars = L.bars(spark, sf)
+    last = bars.groupBy("symbol").agg(F.max_by("close", "time").alias("price"))
+    held = breakouts(bars).filter("before is not null").select("symbol", F.col("close").alias("entry"), "volume", (2 * F.col("before")).alias("risk"))
+    found = C.open_positions(held.join(F.broadcast(last), "symbol"), 0.0025)
+    return found.groupBy("symbol").agg(F.count("*").alias("positions"), F.round(F.sum("pnl"), 4).alias("unrealized"), r6(F.avg("r")).alias("mean_r"))
+
+
 @query("c17_exposure", f"{B60}, h AS (SELECT symbol, time, close, CASE WHEN coalesce({full(f'close > avg(close) {over(-19, 0)}', 'close', -19, 0)}, false) THEN 1 ELSE 0 END AS st FROM b), g AS (SELECT symbol, time, coalesce(lag(st) OVER s, 0) AS held, coalesce(close / lag(close) OVER s - 1, 0) AS ret FROM h{S}), f AS (SELECT *, abs(held - coalesce(lag(held) OVER s, 0)) AS flip FROM g{S}) SELECT symbol, sum(flip)::BIGINT AS flips, round(exp(sum(ln(1 + held * ret) + flip * ln(0.999::DOUBLE))), 6) AS growth, round(exp(sum(ln(1 + ret)) + 2 * ln(0.999::DOUBLE)), 6) AS hold FROM f GROUP BY 1")
 def _(spark, sf):
     bars = L.bars(spark, sf).withColumn("ma", I.sma("close", 20))
