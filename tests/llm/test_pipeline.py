@@ -1,7 +1,10 @@
+import random
+
+import public_tokenizers
 import pytest
 
 import corpus_pipeline as P
-from tidemark.llm import decontaminate, near_dedup, toxicity
+from tidemark.llm import decontaminate, near_dedup, sp_sampling, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +52,22 @@ def test_one_row_of_each_group_by_row(spark, sf):
     docs = spark.createDataFrame([(d, t, "en", "x", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     found = sorted(((r.doc_id, r.text) for r in P.one_of_each_group(spark, docs, sf).collect()), key=str)
     assert found == sorted([(3, copied), (7, other), (None, third), (5, ""), (5, None), (None, "")], key=str)
+
+
+def test_odd_rows_through_all_stages(spark, sf, tmp_path):
+    """Null, repeated, empty, very long and tied rows, a clashing column: what stays is known beforehand."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choices(vocab, k=n))
+    item, long, twin, other = text(30), text(60_000), text(80), text(70)
+    near = twin.replace(twin.split()[40], "changed", 1)
+    rows = [(1, twin), (1, twin), (2, near), (None, near), (None, other), (None, other), (3, ""), (3, None), (4, long), (5, long + " tail"), (6, item), (7, text(50) + " " + item + " " + text(50)), (8, "   "), (9, "▁ odd  spaces \x00"), (9, other + " " + text(70))]
+    kept = [(1, twin), (None, other), (3, ""), (3, ""), (4, long), (8, "   "), (9, "▁ odd  spaces \x00"), rows[-1]]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, 1.5, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, pieces string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = P.run(spark, str(tmp_path))
+    back = sp_sampling.decode(found, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(kept, key=str)
+    assert all(r.n_pieces == len(r.pieces) for r in found.collect())
