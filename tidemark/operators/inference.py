@@ -115,3 +115,44 @@ def block_permuted_ic(rows: DataFrame, block: int, k: int, seed: str = "k") -> D
 def half_life(slope: Column) -> Column:
     """Periods until half of a deviation is gone, of the slope of its changes on it; null outside (-1, 0)."""
     return F.when((slope > -1) & (slope < 0), F.log(F.lit(0.5)) / F.log1p(slope))
+
+
+def permuted_anova(df: DataFrame, value: str, group: str, key: list[str], k: int, seed: str = "a") -> DataFrame:
+    """One row: f of the one-way analysis of variance and its p under permuted groups.
+
+    A replica deals the values, in the order of digests of (seed, replica, key), to groups of the true sizes. Places are
+    counted by the digest's first digits before they are counted inside. The total sum of squares does not
+    change, so f is as large where the sum of squares between groups is.
+    """
+    own = df.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).filter("n > 0")
+    whole = own.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
+    upto = F.sum("n").over(Window.orderBy(group))
+    bounds = own.select(F.col("n").alias("size"), (upto - F.col("n")).alias("from"), upto.alias("upto"), F.col(group).alias("__group"))
+    drawn = replicas(df.filter(F.col(value).isNotNull()).select(*key, F.col(value).alias("x")), k).withColumn("h", draw(seed, "replica", *key)).withColumn("digits", F.substring("h", 1, 3))
+    before = F.sum("c").over(Window.partitionBy("replica").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = drawn.groupBy("replica", "digits").agg(F.count("*").alias("c")).select("replica", "digits", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("replica", "digits").orderBy("h", *key)) - 1
+    placed = drawn.join(sizes, ["replica", "digits"]).select("replica", "x", place.alias("place"))
+    dealt = placed.join(F.broadcast(bounds), (F.col("place") >= F.col("from")) & (F.col("place") < F.col("upto")))
+    sums = dealt.groupBy("replica", "__group", "size").agg(F.sum("x").alias("s")).groupBy("replica").agg(F.sum(F.col("s") * F.col("s") / F.col("size")).alias("r"))
+    between, df1, df2 = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("k") - 1, F.col("n") - F.col("k")
+    f = F.when((df1 > 0) & (df2 > 0), F.try_divide(between / F.nullif(df1, F.lit(0)), F.nullif((F.col("q") - F.col("b")) / F.nullif(df2, F.lit(0)), F.lit(0.0))))
+    met = sums.crossJoin(F.broadcast(whole.withColumn("f", f)))
+    return met.groupBy("f").agg(((F.count_if(F.col("r") >= F.col("b") - 1e-9) + 1) / (k + 1)).alias("p"))
+
+
+def dickey_fuller(series: DataFrame, value: str, *keys: str, order: str = "time") -> DataFrame:
+    """keys, n, rho, t: the change on a constant, the level before and the change before, and the t of the level.
+
+    The fit of two regressors is that of their sums of products, so a series is one aggregate.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    step = series.withColumn("d", F.col(value) - F.lag(value).over(w)).withColumns({"e": F.lag(value).over(w), "d1": F.lag("d").over(w)}).filter("d1 is not null")
+    pairs = {"ee": ("e", "e"), "dd": ("d1", "d1"), "ed": ("e", "d1"), "ey": ("e", "d"), "dy": ("d1", "d"), "yy": ("d", "d")}
+    sums = step.groupBy(*keys).agg(F.count("*").alias("n"), *(F.covar_pop(a, b).alias(c) for c, (a, b) in pairs.items()))
+    free = F.col("ee") * F.col("dd") - F.col("ed") * F.col("ed")
+    rho = (F.col("ey") * F.col("dd") - F.col("dy") * F.col("ed")) / F.when(F.abs(free) > 1e-12, free)
+    phi = (F.col("dy") * F.col("ee") - F.col("ey") * F.col("ed")) / F.when(F.abs(free) > 1e-12, free)
+    rest = F.col("n") * (F.col("yy") - rho * F.col("ey") - phi * F.col("dy"))
+    error = F.sqrt(F.greatest(F.lit(0.0), rest / F.when(F.col("n") > 3, F.col("n") - 3) * F.col("dd") / (F.col("n") * F.when(F.abs(free) > 1e-12, free))))
+    return sums.select(*keys, "n", rho.alias("rho"), F.when(error > 0, rho / error).alias("t"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import bars as B
 from tidemark.plans import lenses as L
 from tidemark.plans.base import Catalog
 from tidemark.sources import tables as T
@@ -43,6 +44,39 @@ def _(spark, sf):
     return T.upsert(T.upsert(stored, incoming, ["symbol", "time"]), incoming, ["symbol", "time"]).drop("trades")
 
 
+@query("io12_materialised", f"WITH {L.BARS} SELECT symbol, time, open, high, low, close, volume FROM b")
+def _(spark, sf):
+    """Hour bars by the content of the minutes: the second call reads what the first has written."""
+    minutes, at = L.minute_bars(spark, sf), folder(spark, "made")
+    coarse = lambda rows: B.resample(rows, 60)
+    T.materialised(minutes, coarse, {"minutes": 60}, at)
+    return T.materialised(minutes, coarse, {"minutes": 60}, at).select("symbol", "time", "open", "high", "low", "close", "volume")
+
+
+@query("io14_provenance", f"""WITH {L.MINUTES} SELECT symbol, sha256(concat_ws(':', symbol, count(*), min(time), arg_min(close, time)::BIGINT, max(time), arg_max(close, time)::BIGINT)) AS digest, sha256('{{"cost":0.001,"mode":"breakout"}}') AS parameters FROM m1 GROUP BY 1""")
+def _(spark, sf):
+    """What a result was made of: the digest of each series and that of the parameters."""
+    return T.series_digest(L.minute_bars(spark, sf), "symbol").withColumn("parameters", F.lit(T.provenance({"mode": "breakout", "cost": 0.001})))
+
+
+@query("io18_dated_values", "SELECT o_orderdate::DATE AS date, count(*)::DOUBLE AS value FROM orders GROUP BY 1 HAVING count(*) % 5 <> 0")
+def _(spark, sf):
+    """A CSV with a mark for missing values, written and read."""
+    at = folder(spark, "dated")
+    days = L.table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count("*").alias("n"))
+    days.select("date", F.when(F.col("n") % 5 == 0, ".").otherwise(F.col("n").cast("string")).alias("value")).write.option("header", True).csv(at)
+    return T.dated_values(spark, at)
+
+
+@query("io19_clean_history", f"WITH {L.MINUTES} SELECT symbol, time, close, volume FROM m1 WHERE trades % 4 <> 0")
+def _(spark, sf):
+    """Chunks that overlap: of each time the newest row counts, and what is no bar goes."""
+    rows = L.minute_bars(spark, sf).select("symbol", "time", "open", "high", "low", "close", "volume", "trades")
+    first = rows.withColumns({"chunk": F.lit(1), "volume": F.col("volume") + 1})
+    second = rows.withColumns({"chunk": F.lit(2), "volume": F.when(F.col("trades") % 4 == 0, -1.0).otherwise(F.col("volume"))})
+    return T.clean_history(first.unionByName(second).drop("trades")).select("symbol", "time", "close", "volume")
+
+
 @query("io13_latest_experiment", "SELECT event_type AS kind, max(event_id) AS id, arg_max(value, event_id) AS result FROM events GROUP BY 1")
 def _(spark, sf):
     runs = L.table(spark, sf, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.col("value").alias("result"))
@@ -75,8 +109,16 @@ def _(spark, sf):
     return live.run_available(live.once_each(events.union(events)).select("event_id", "symbol", "value"), "once")
 
 
-@query("st7_daily_halts", """WITH c AS (SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d') AS day, ts, event_id, sum(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) AS t FROM events),
+@query("st7_daily_halts", """WITH c AS (SELECT event_type AS symbol, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d') AS day, ts, event_id, sum(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END) OVER (PARTITION BY event_type, (ts - INTERVAL 5 HOUR)::DATE ORDER BY ts, event_id) AS t FROM events),
 p AS (SELECT *, greatest(0, max(t) OVER (PARTITION BY symbol, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM c) SELECT symbol, day, epoch_us(min(ts)) // 1000000 AS halted_at FROM p WHERE t - peak < -100 GROUP BY 1, 2""")
 def _(spark, sf):
     signed = live.event_stream(spark, sf).withColumn("value", F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(-F.col("value")))
     return live.run_available(live.daily_halts(signed, 100.0), "halts").withColumn("halted_at", F.unix_timestamp("halted_at"))
+
+
+@query("st6_cool_down", """WITH RECURSIVE e AS (SELECT event_type AS symbol, floor(value / 10)::BIGINT AS level, ts, event_id FROM events), a AS (SELECT symbol, level, min(ts) AS ts FROM e GROUP BY 1, 2
+UNION ALL SELECT symbol, level, n FROM (SELECT a.symbol, a.level, (SELECT min(e.ts) FROM e WHERE e.symbol = a.symbol AND e.level = a.level AND e.ts >= a.ts + INTERVAL 24 HOUR) AS n FROM a) WHERE n IS NOT NULL) SELECT symbol, level, epoch_us(ts) // 1000000 AS alerted_at FROM a""")
+def _(spark, sf):
+    """Touches of a level give an alert if the last one of the level is 24 hours old."""
+    touches = live.event_stream(spark, sf).withColumn("level", F.floor(F.col("value") / 10))
+    return live.run_available(live.cool_down(touches, 24 * 3600), "alerts").select("symbol", "level", F.unix_timestamp("alerted_at").alias("alerted_at"))

@@ -5,6 +5,8 @@ Everything goes through Spark's readers and writers; folders are the caller's an
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,26 @@ BAR_SCHEMA = "symbol string, time long, open double, high double, low double, cl
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder below the session's checkpoint folder, or else its warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder below the session's checkpoint folder, which a cluster must name; a local session has a temporary one without it."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tidemark.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.tidemark.dir", top)  # the other setting is fixed once the session runs
     return f"{top.rstrip('/')}/tidemark-{name}"
 
 
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: the greatest by its other columns, in the order of their names, so repeated tasks give the same."""
+    others = sorted(c for c in rows.columns if c not in keys)
+    first = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"_row.{c}") for c in rows.columns))
+
+
 def write_bars(bars: DataFrame, folder: str) -> None:
     """Whole rewrite, one bar for each symbol and minute, sorted in its files."""
-    bars.dropDuplicates(["symbol", "time"]).repartition("symbol").sortWithinPartitions("symbol", "time").write.mode("overwrite").option("header", True).csv(folder)
+    one_of_each(bars, ["symbol", "time"]).repartition("symbol").sortWithinPartitions("symbol", "time").write.mode("overwrite").option("header", True).csv(folder)
 
 
 def read_bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +55,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
     """Idempotent merge: incoming rows win, rows without a complete key go."""
     known = stored.filter(" and ".join(f"{k} is not null" for k in keys))
     fresh = incoming.filter(" and ".join(f"{k} is not null" for k in keys))
-    return known.join(fresh, keys, "left_anti").unionByName(fresh.dropDuplicates(keys))
+    return known.join(fresh, keys, "left_anti").unionByName(one_of_each(fresh, keys))
 
 
 def transposed(responses: DataFrame, times: str, values: str, *keys: str) -> DataFrame:
@@ -79,3 +93,33 @@ def append_events(events: DataFrame, folder: str) -> None:
 def last_events(spark: SparkSession, folder: str, schema: str, wanted: str, limit: int) -> DataFrame:
     """The newest ``limit`` events of a schema."""
     return spark.read.schema(schema).json(folder).filter(F.col("schema") == wanted).orderBy(F.col("at").desc(), F.col("id").desc()).limit(limit)
+
+
+def clean_history(chunks: DataFrame) -> DataFrame:
+    """Fetched bars (symbol, time, open, high, low, close, volume, chunk): the last chunk's row of each time, invalid ones dropped, flow columns of 0."""
+    newest = latest(chunks, ["symbol", "time"], F.struct("chunk", "close")).drop("chunk")
+    filled = newest.withColumns({"buy_vol": F.lit(0.0), "sell_vol": F.lit(0.0), "trades": F.lit(0).cast("long"), "max_trade": F.lit(0.0)})
+    return filled.filter(~B.invalid())
+
+
+def content_key(rows: DataFrame) -> str:
+    """A digest of the rows whatever their order: their number, and the sum and the exclusive or of their hashes."""
+    digest = F.xxhash64(*sorted(rows.columns))
+    found = rows.agg(F.count("*"), F.coalesce(F.sum((digest % 1_000_000_007).cast("decimal(20, 0)")), F.lit(0)), F.coalesce(F.bit_xor(digest), F.lit(0))).first()
+    return "-".join(str(x) for x in found).replace("--", "-m")
+
+
+def materialised(rows: DataFrame, make, parameters: dict, folder: str) -> DataFrame:
+    """make(rows), written once for each content of rows and parameters, and read again; a broken or unfinished table is made anew."""
+    spark = rows.sparkSession
+    at = f"{folder}/{content_key(rows)}-{provenance(parameters)[:16]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        try:
+            held = spark.read.parquet(at)
+            held.agg(*(F.max(F.col(c).isNull()) for c in held.columns)).collect()  # every column of every file can be read
+            return held
+        except Exception as broken:  # noqa: BLE001
+            print(f"{at} is made anew: {str(broken)[:200]}")
+    make(rows).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)

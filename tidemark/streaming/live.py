@@ -36,7 +36,7 @@ def once_each(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def daily_halts(events: DataFrame, limit: float) -> DataFrame:
-    """(symbol, day, halted_at): when the sum of a day's values less its peak first fell below -limit.
+    """(symbol, day, halted_at): when the sum of a day's values less its peak first fell below -limit; days are those of New York.
 
     State per symbol and day: sum, peak and whether it has halted; it goes a day of event time after the last row.
     Rows of a micro-batch are taken in order of event time.
@@ -59,10 +59,36 @@ def daily_halts(events: DataFrame, limit: float) -> DataFrame:
         if at is not None:
             yield pd.DataFrame({"symbol": [key[0]], "day": [key[1]], "halted_at": [at]})
 
-    dated = events.withWatermark("ts", "10 minutes").withColumn("day", F.to_date("ts").cast("string"))
+    dated = events.withWatermark("ts", "10 minutes").withColumn("day", F.date_format(F.from_utc_timestamp("ts", "America/New_York"), "yyyy-MM-dd"))
     return dated.groupBy("symbol", "day").applyInPandasWithState(step, "symbol string, day string, halted_at timestamp", "total double, peak double, halted boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def cool_down(touches: DataFrame, seconds: int) -> DataFrame:
+    """(symbol, level, alerted_at) of touches (symbol, level, ts, event_id): a level is silent for so long after an alert.
+
+    State per symbol and level: the time of its last alert; it goes when the level may speak again. Rows of a micro-batch
+    are taken in order of event time.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (last,) = state.get if state.exists else (None,)
+        alerts = []
+        for ts in pd.concat(parts).sort_values(["ts", "event_id"])["ts"]:
+            now = int(ts.timestamp() * 1_000_000)
+            if last is None or now >= last + seconds * 1_000_000:
+                last = now
+                alerts.append(ts)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"symbol": [key[0]] * len(alerts), "level": [key[1]] * len(alerts), "alerted_at": alerts})
+
+    late = touches.withWatermark("ts", "10 minutes")
+    return late.groupBy("symbol", "level").applyInPandasWithState(step, "symbol string, level long, alerted_at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """All that is there now, through a checkpointed query into a table of files, read again."""
     spark = stream.sparkSession
