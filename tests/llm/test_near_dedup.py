@@ -1,9 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import near_dedup
+from tidemark.llm.common import shingle_sets
 from tidemark.llm.near_dedup import near_duplicates
 
 
@@ -99,3 +101,11 @@ def test_pages_of_one_template_fall_apart(spark, monkeypatch):
     found = run(spark, rows, 3, 85)
     assert found == sorted(((d, n, d - 5000 if d >= 5000 else d) for d, n, _ in found), key=str)
     assert sent[0] <= 400
+
+
+@pytest.mark.parametrize("width", [2, 3, 5, 7])
+def test_sets_of_repeated_words(width):
+    """Every order of few words is a shingle of its own."""
+    rng = random.Random(width)
+    texts = [" ".join(rng.choices("abc", k=200)) for _ in range(20)]
+    assert [len(x) for x in shingle_sets(pa.array(texts), width)] == [len(shingles(t, width)) for t in texts]

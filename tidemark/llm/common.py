@@ -184,7 +184,7 @@ def shingle_sets(column: pa.Array, width: int, separator: np.ndarray = SPACES) -
     A text of fewer words has its whole sequence as one shingle; without words the set is empty.
     """
     words, first = hashed_words(column, separator)
-    odd = [np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) % (1 << 64)) for k in range(width)]
+    odd = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)  # of one factor's multiples, a b c b a and b a c a b would be one
     full = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
         full += words[k : k + len(full)] * odd[k]
