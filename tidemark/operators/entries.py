@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as I
 from tidemark.operators import pivots as P
+from tidemark.operators.joins import first_passage
 
 
 def prepared(bars: DataFrame, n: int = 5) -> DataFrame:
@@ -133,3 +134,21 @@ def break_reasons(bars: DataFrame, align: Column, trend: Column | None = None, m
     reason = reason.when(~F.col("low_rises"), "not_higher_low") if higher_low else reason
     reason = reason.when(F.col("resistance") - entry < room * risk, "no_room").otherwise("taken")
     return bars.filter("pivot = 'low'").select("symbol", "i", entry.alias("entry"), stop.alias("stop"), reason.alias("reason"))
+
+
+def profile(bars: DataFrame, entries: DataFrame, horizon: int = 300) -> DataFrame:
+    """Labelled rows for a classifier: symbol, i, outcome (win, loss, open) within ``horizon`` bars, and what was known at the entry.
+
+    bars: prepared() with_levels(); entries: candidates(). Entries whose window ends after the last bar go.
+    """
+    last = bars.groupBy("symbol").agg(F.max("i").alias("__last"))
+    own = entries.join(last, "symbol").filter(F.col("i") + horizon <= F.col("__last")).select("symbol", "i", "entry", "stop", "target")
+    passed = first_passage(own, bars, horizon, ["symbol", "i"]).select("symbol", "i", "outcome")
+    risk, c = F.col("entry") - F.col("stop"), F.col("close")
+    features = {
+        "rsi": F.col("rsi"), "ma_share": c / F.col("sma20") - 1, "room_r": (F.col("resistance") - F.col("entry")) / risk, "higher_low": F.col("lows_rise"), "range_place": I.range_position(), "stop_share": risk / F.col("entry"),
+        "volume_ratio": F.try_divide(F.col("volume"), F.col("vol20")), "atr_share": F.col("atr_before") / c, "swept": I.swept_low(),
+    }
+    known = bars.withColumn("range_place", features.pop("range_place")).withColumn("swept", features.pop("swept"))
+    met = known.join(own, ["symbol", "i"]).join(passed, ["symbol", "i"])
+    return met.select("symbol", "i", "outcome", "range_place", "swept", *(v.alias(k) for k, v in features.items()))

@@ -82,6 +82,46 @@ def momentum_views(panel: DataFrame, cost: float, least: int = 8, tops: tuple[in
     return out.join(dates, "d").select("date", "view", "gross", "turnover", (F.col("gross") - cost * F.col("traded")).alias("net"))
 
 
+def economic_views(panel: DataFrame, cost: float, tops: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """view, dates, turnover, gross, net: mean over all dates of the best assets' fwd less that of all assets of the date.
+
+    view tercile: a third of the assets of the first date, rounded up, on every date; top3, top5, ...: so many.
+    """
+    order = Window.partitionBy("date").orderBy(F.col("trail").desc(), "asset")
+    dates = panel.select("date").distinct().withColumn("d", F.row_number().over(Window.orderBy("date")))
+    ranked = panel.withColumn("at", F.row_number().over(order)).join(F.broadcast(dates), "date")
+    first = ranked.filter("d = 1").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 3)).alias("third"))
+    ranked, every = ranked.crossJoin(F.broadcast(first)), ranked.groupBy("d").agg(F.avg("fwd").alias("all"))
+    out = None
+    for name, size in (("tercile", F.col("third")), *((f"top{k}", F.lit(k)) for k in tops)):
+        one = _selected(ranked, F.col("at") <= size).join(every, "d").withColumn("gross", F.col("gross") - F.col("all"))
+        means = one.agg(F.count("*").alias("dates"), F.avg("turnover").alias("turnover"), F.avg("gross").alias("gross"), F.avg(F.col("gross") - cost * F.col("turnover")).alias("net")).select(F.lit(name).alias("view"), "*")
+        out = means if out is None else out.unionByName(means)
+    return out
+
+
+def registry_ranking(entries: DataFrame, *keys: str) -> DataFrame:
+    """entries with ``place``: validated ones first, then by value, by number of observations, by fewer parameters; ties by keys.
+
+    entries: (tier, value, n, params: a map).
+    """
+    order = Window.orderBy(F.when(F.col("tier") == "validated", 0).otherwise(1), F.col("value").desc(), F.col("n").desc(), F.size(F.map_keys("params")), *keys)
+    return entries.withColumn("place", F.row_number().over(order))
+
+
+def slippage(quotes: DataFrame, assumed: float, multiple: float = 2.0, *keys: str) -> DataFrame:
+    """keys, samples, slip_1k, slip_10k, ratio, flagged: the mean distance of both sides from the mid of the quotes for a small order.
+
+    quotes: (keys, bid_1k, ask_1k, bid_10k, ask_10k); rows with a quote missing or a mid of 0 or less don't count.
+    """
+    mid = (F.col("bid_1k") + F.col("ask_1k")) / 2
+    whole = quotes.filter(F.col("bid_10k").isNotNull() & F.col("ask_10k").isNotNull() & (mid > 0))
+    side = lambda size: F.avg(((F.col(f"ask_{size}") - mid) / mid + (mid - F.col(f"bid_{size}")) / mid) / 2)
+    found = whole.groupBy(*keys).agg(F.count("*").alias("samples"), side("1k").alias("slip_1k"), side("10k").alias("slip_10k"))
+    ratio = F.col("slip_1k") / assumed
+    return found.withColumns({"ratio": ratio, "flagged": ratio >= multiple})
+
+
 def with_q_values(tests: DataFrame, p: str, family: list[str]) -> DataFrame:
     """tests with q, the step-up false-discovery value: the smallest p * m / rank of this and all larger p-values."""
     order, whole = Window.partitionBy(*family).orderBy(p), Window.partitionBy(*family)

@@ -212,6 +212,32 @@ def _(spark, sf):
     return rounded(A.momentum_views(panel(spark, sf), 0.009), "gross", "turnover", "net")
 
 
+@query("a12_economic_views", f"""{PANEL}, o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY trail DESC, asset) AS k, dense_rank() OVER (ORDER BY date) AS d FROM pn), f AS (SELECT greatest(1, ceil(count(*) / 3.0)) AS third FROM o WHERE d = 1),
+v AS (SELECT o.*, 'tercile' AS view FROM o, f WHERE k <= third UNION ALL SELECT *, 'top3' FROM o WHERE k <= 3 UNION ALL SELECT *, 'top5' FROM o WHERE k <= 5), a AS (SELECT d, avg(fwd) AS every FROM o GROUP BY 1),
+m AS (SELECT v.view, v.d, avg(v.fwd) - any_value(a.every) AS gross, CASE WHEN v.d = 1 THEN 1.0::DOUBLE ELSE 1 - count(u.asset) / count(*)::DOUBLE END AS t FROM v JOIN a ON a.d = v.d LEFT JOIN v u ON u.asset = v.asset AND u.d = v.d - 1 AND u.view = v.view GROUP BY v.view, v.d)
+SELECT view, count(*) AS dates, round(avg(t), 6) AS turnover, round(avg(gross), 6) AS gross, round(avg(gross - 0.009 * t), 6) AS net FROM m GROUP BY 1""")
+def _(spark, sf):
+    return rounded(A.economic_views(panel(spark, sf), 0.009), "turnover", "gross", "net")
+
+
+@query("a23_registry_ranking", """WITH e AS (SELECT event_type AS name, user_id % 4 AS variant, CASE WHEN count(*) % 2 = 0 THEN 'validated' ELSE 'tested' END AS tier, round(avg(value), 1) AS value, count(*) AS n, user_id % 4 % 3 AS params FROM events GROUP BY 1, 2)
+SELECT name, variant, row_number() OVER (ORDER BY tier = 'validated' DESC, value DESC, n DESC, params, name, variant) AS place FROM e""")
+def _(spark, sf):
+    """Event types and variants as experiments; variant % 3 is the number of their parameters."""
+    rows = L.table(spark, sf, "events").groupBy(F.col("event_type").alias("name"), (F.col("user_id") % 4).alias("variant")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 1).alias("value"))
+    names = F.slice(F.array(F.lit("stop"), F.lit("target")), 1, (F.col("variant") % 3).cast("int"))
+    entries = rows.withColumns({"tier": F.when(F.col("n") % 2 == 0, "validated").otherwise("tested"), "params": F.map_from_arrays(names, F.transform(names, lambda x: F.lit(1)))})
+    return A.registry_ranking(entries, "name", "variant").select("name", "variant", "place")
+
+
+@query("b9_slippage", f"WITH {L.BARS} SELECT symbol, count(*) AS samples, round(avg((high - low) / (high + low)), 8) AS slip_1k, round(avg((high - low + 2) / (high + low)), 8) AS slip_10k, round(avg((high - low) / (high + low)) / 0.001, 5) AS ratio, avg((high - low) / (high + low)) / 0.001 >= 2 AS flagged FROM b GROUP BY 1")
+def _(spark, sf):
+    """Low and high of the hours as bid and ask for a small order, one further out for a larger one."""
+    quotes = L.bars(spark, sf).select("symbol", F.col("low").alias("bid_1k"), F.col("high").alias("ask_1k"), (F.col("low") - 1).alias("bid_10k"), (F.col("high") + 1).alias("ask_10k"))
+    found = A.slippage(quotes, 0.001, 2.0, "symbol")
+    return found.select("symbol", "samples", F.round("slip_1k", 8).alias("slip_1k"), F.round("slip_10k", 8).alias("slip_10k"), F.round("ratio", 5).alias("ratio"), "flagged")
+
+
 @query("a13_top_k", f"{MOVES}, z AS (SELECT symbol, time // 86400 AS day, sum(r) AS total FROM y GROUP BY 1, 2) SELECT symbol, day, total FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY total DESC, day) <= 3")
 def _(spark, sf):
     days = moves(spark, sf).groupBy("symbol", F.floor(F.col("time") / 86400).alias("day")).agg(F.sum("r").alias("total"))

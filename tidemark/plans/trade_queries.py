@@ -276,6 +276,16 @@ def _(spark, sf):
     return X.summarize(runs, "mode", "config")
 
 
+@query("x3_profile", f"""{PREP}, e AS MATERIALIZED (SELECT symbol, i, close AS entry, close - 2 * pa AS stop, (close - (close - 2 * pa)) / close AS stop_share, close / s20 - 1 AS ma_share, volume / nullif(v20, 0) AS volume_ratio, pa / close AS atr_share FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS last FROM k) WHERE close > don AND pa > 0 AND 2 * pa / close <= 0.06 AND i + 100 <= last),
+f AS (SELECT e.symbol, e.i, min(k.i) FILTER (k.low <= e.stop) AS sa, min(k.i) FILTER (k.high >= e.entry + 4 * (e.entry - e.stop)) AS ta FROM e JOIN k ON k.symbol = e.symbol AND k.i > e.i AND k.i <= e.i + 100 GROUP BY 1, 2)
+SELECT symbol, i, CASE WHEN sa IS NOT NULL AND (ta IS NULL OR sa <= ta) THEN 'loss' WHEN ta IS NOT NULL THEN 'win' ELSE 'open' END AS outcome, round(stop_share, 6) AS stop_share, round(ma_share, 6) AS ma_share, round(volume_ratio, 6) AS volume_ratio, round(atr_share, 6) AS atr_share FROM e JOIN f USING (symbol, i)""")
+def _(spark, sf):
+    """Breakouts with their outcome within 100 bars and what was known at the entry."""
+    bars = E.with_levels(E.prepared(L.bars(spark, sf)))
+    rows = E.profile(bars, E.candidates(bars, "breakout", min_stop=None).filter("reason = 'taken'"), 100)
+    return rounded(rows.select("symbol", "i", "outcome", "stop_share", "ma_share", "volume_ratio", "atr_share"), "stop_share", "ma_share", "volume_ratio", "atr_share")
+
+
 @query("x4_excursions", f"{_chain(*RULES['breakout'], 4.0, 300, 0.0045)} SELECT r > 0 AS win, count(*) AS n, round(median(exit_i - entry_i), 6) AS median_held, round(median(mae), 6) AS median_mae, round(median(mfe), 6) AS median_mfe FROM (SELECT tr2.symbol, entry_i, any_value(exit_i) AS exit_i, any_value(tr2.r) AS r, greatest(0, any_value((tr2.entry - w.lo) / risk)) AS mae, greatest(0, any_value((w.hi - tr2.entry) / risk)) AS mfe FROM tr2 JOIN (SELECT t.symbol, t.entry_i AS at, t.entry - z.stop AS risk, min(k.low) AS lo, max(k.high) AS hi FROM tr2 t JOIN z ON z.symbol = t.symbol AND z.i = t.entry_i JOIN k ON k.symbol = t.symbol AND k.i > t.entry_i AND k.i <= t.exit_i GROUP BY ALL) w ON w.symbol = tr2.symbol AND w.at = tr2.entry_i GROUP BY 1, 2) GROUP BY 1")
 def _(spark, sf):
     bars, found = _taken(spark, sf, "breakout")
