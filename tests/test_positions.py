@@ -117,6 +117,10 @@ def test_summaries(spark, market):
         n = sum(map(len, rs.values()))
         assert found[x.name].trades == n and found[x.name].avg_r == pytest.approx(sum(map(sum, rs.values())) / n)
         assert found[x.name].positive_assets == sum(sum(v) > 0 for v in rs.values())
+    late = {r.config: r for r in registry.queries()["c8_delay_curve"](spark, SF).collect()}
+    for d in (0, 3, 5):
+        rs = [t[3] for s in own for t in trades(paths[s], own[s], X.Exit("late", delay=d))]
+        assert late[f"delay{d}"].trades == len(rs) and late[f"delay{d}"].total_r == pytest.approx(sum(rs))
     whole = {(r["mode"], r.config): r for r in registry.queries()["x_tournament"](spark, SF).collect()}
     for mode in ("breakout", "ma_dip"):
         taken = E.candidates(bars, mode, min_stop=None).filter("reason = 'taken'").collect()

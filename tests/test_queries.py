@@ -12,7 +12,7 @@ SQL = registry.oracle_sql()
 
 
 #: Queries that have no rows on the smallest tables.
-LARGER = "x3_profile x_breakout_trades x_sweep_trades x_summary x4_excursions x2_stop_target_grid j9_common_calendar".split()
+LARGER = "c8_holding_map x3_profile x_breakout_trades x_sweep_trades x_summary x4_excursions x2_stop_target_grid j9_common_calendar".split()
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,7 @@ def test_query_agrees_with_sql(spark, sf, connect, name):
 
 
 #: Queries without SQL, and the test that compares each with brute force.
-ELSEWHERE = {"x_exit_sweep": "test_positions.py", "x_tournament": "test_positions.py", "m4_classifier": "test_learning.py", "m6_penalty_choice": "test_learning.py", "m7_sealed_score": "test_learning.py", "i2_permutation": "test_replicas.py", "i3_date_vectors": "test_replicas.py", "i8_block_permuted_ic": "test_replicas.py"}
+ELSEWHERE = {"c8_delay_curve": "test_positions.py", "x_exit_sweep": "test_positions.py", "x_tournament": "test_positions.py", "m4_classifier": "test_learning.py", "m6_penalty_choice": "test_learning.py", "m7_sealed_score": "test_learning.py", "i2_permutation": "test_replicas.py", "i3_date_vectors": "test_replicas.py", "i8_block_permuted_ic": "test_replicas.py"}
 
 
 def test_queries_without_sql_are_tested_elsewhere():

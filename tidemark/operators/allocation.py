@@ -64,6 +64,11 @@ def fixed_interval_buys(prices: DataFrame, every: int) -> DataFrame:
     return held.select("symbol", "time", "close", "invested", (F.col("units") * F.col("close")).alias("value"))
 
 
+def buy_and_hold(prices: DataFrame) -> DataFrame:
+    """symbol, value: what one unit of money put in at the first price is worth at the last."""
+    return prices.groupBy("symbol").agg((F.max_by("close", "time") / F.min_by("close", "time")).alias("value"))
+
+
 def grid_levels(ranges: DataFrame, levels: int) -> DataFrame:
     """Geometric levels from lo to hi, one row each; flat ranges have none."""
     spread = ranges.filter("lo > 0 and hi > lo").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))

@@ -26,6 +26,16 @@ def standardised(rows: DataFrame, features: list[str], train: str) -> DataFrame:
     return met.select(*(c for c in rows.columns if c not in features), *(((F.col(c) - F.coalesce(F.col(f"m_{c}"), F.lit(0.0))) / scale(c)).alias(c) for c in features))
 
 
+def encoded(rows: DataFrame, numbers: list[str], categories: dict[str, list]) -> DataFrame:
+    """rows with numbers as doubles (null as 0, booleans as 0 and 1) and, for each category, a column of 0 and 1 for each of its values.
+
+    A value that is not listed, and null, is 0 in all columns of its category.
+    """
+    plain = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers})
+    hot = {f"{c}_{v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c, values in categories.items() for v in values}
+    return plain.withColumns(hot).drop(*categories)
+
+
 def class_weights(rows: DataFrame, label: str, *keys: str) -> DataFrame:
     """n / (2 n_i) of each class."""
     counts = rows.groupBy(*keys, label).agg(F.count("*").alias("n_class"))

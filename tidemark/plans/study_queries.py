@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import allocation as C
 from tidemark.operators import indicators as I
 from tidemark.operators import inference as R
+from tidemark.operators import joins as J
 from tidemark.operators import learning as M
 from tidemark.operators import rules as W
 from tidemark.plans import lenses as L
@@ -51,6 +52,11 @@ def _(spark, sf):
     return run.groupBy("symbol").agg(F.max("invested").alias("invested"), r6(F.max_by("value", "time")).alias("value"), r6(F.max_by(F.col("value") / F.col("invested") - 1, "time")).alias("ret"))
 
 
+@query("c10_buy_and_hold", f"WITH {L.WEEKLY} SELECT symbol, round(arg_max(close, week) / arg_min(close, week), 6) AS value FROM wk GROUP BY 1")
+def _(spark, sf):
+    return rounded(C.buy_and_hold(L.weekly(spark, sf).withColumnRenamed("week", "time")), "value")
+
+
 @query("c11_grid_levels", f"{B60}, g AS (SELECT symbol, min(low) AS lo, max(high) AS hi FROM b GROUP BY 1) SELECT symbol, k, round(lo * pow(hi / lo, k / 9.0), 6) AS level FROM g, (SELECT unnest(range(10)) AS k) WHERE hi > lo AND lo > 0")
 def _(spark, sf):
     ranges = L.bars(spark, sf).groupBy("symbol").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
@@ -244,6 +250,23 @@ def labelled(spark, sf):
 FEATURED = f"""{B60}, ft AS (SELECT symbol, time, CASE WHEN lead(close) OVER s > close THEN 1 WHEN lead(close) OVER s IS NOT NULL THEN 0 END AS y, coalesce((buy_vol - sell_vol) / nullif(volume, 0), 0) AS flow, time < (SELECT min(time) + (max(time) - min(time)) * 0.7::DOUBLE FROM b) AS train FROM b{S}), fy AS (SELECT * FROM ft WHERE y IS NOT NULL)"""
 
 
+@query("m1_encoded", f"{B60} SELECT symbol, time, coalesce((buy_vol - sell_vol) / nullif(volume, 0), 0) AS flow, CASE WHEN close > open THEN 1.0::DOUBLE ELSE 0 END AS up, CASE WHEN time // 3600 % 24 // 8 = 0 THEN 1.0::DOUBLE ELSE 0 END AS session_asia, CASE WHEN time // 3600 % 24 // 8 = 1 THEN 1.0::DOUBLE ELSE 0 END AS session_europe FROM b")
+def _(spark, sf):
+    """Numbers, booleans and a category as columns of doubles."""
+    hour = F.floor(F.col("time") / 3600) % 24
+    rows = L.bars(spark, sf).select("symbol", "time", ((F.col("buy_vol") - F.col("sell_vol")) / F.nullif(F.col("volume"), F.lit(0.0))).alias("flow"), (F.col("close") > F.col("open")).alias("up"), F.when(hour < 8, "asia").when(hour < 16, "europe").otherwise("us").alias("session"))
+    return M.encoded(rows, ["flow", "up"], {"session": ["asia", "europe"]})
+
+
+@query("m9_funding_feature", f"{B60}, f AS (SELECT symbol, time // 28800 * 28800 + 28800 AS time, sum(buy_vol - sell_vol) AS rate FROM b WHERE time // 28800 % 3 <> 1 GROUP BY 1, 2) SELECT b.symbol, b.time, f.rate FROM b ASOF JOIN f ON f.symbol = b.symbol AND b.time >= f.time")
+def _(spark, sf):
+    """The flow of the last known eight hours as of each hour, only where one is known."""
+    bars = L.bars(spark, sf)
+    part = F.floor(F.col("time") / 28800)
+    rates = bars.filter(part % 3 != 1).groupBy("symbol", (part * 28800 + 28800).alias("time")).agg(F.sum(F.col("buy_vol") - F.col("sell_vol")).alias("rate"))
+    return J.as_of(bars.select("symbol", "time"), rates, "rate").filter("rate is not null")
+
+
 @query("m2_standardised", f"{FEATURED} SELECT symbol, time, round((flow - (SELECT avg(flow) FROM fy WHERE train)) / (SELECT stddev_pop(flow) FROM fy WHERE train), 6) AS flow FROM fy")
 def _(spark, sf):
     return rounded(M.standardised(labelled(spark, sf), ["flow"], "train").select("symbol", "time", "flow"), "flow")

@@ -263,6 +263,22 @@ def _(spark, sf):
     return X.summarize(X.simulate(bars, found, EXITS), "config")
 
 
+@query("c8_delay_curve")
+def _(spark, sf):
+    """Breakouts entered up to five bars late, at the open."""
+    bars, found = _taken(spark, sf, "breakout")
+    return X.summarize(X.simulate(bars, found, [X.Exit(f"delay{d}", delay=d) for d in range(6)]), "config")
+
+
+@query("c8_holding_map", f"{_chain(*RULES['sweep_reclaim'], 2.0, 48, 0.001)} SELECT (exit_i - entry_i) // 6 AS held, count(*) AS n, round(avg(r), 5) AS avg_r, round(avg(0.001 * (entry + px) / risk), 5) AS avg_cost FROM (SELECT tr2.*, z.px, z.entry - z.stop AS risk FROM tr2 JOIN z ON z.symbol = tr2.symbol AND z.i = tr2.entry_i) GROUP BY 1")
+def _(spark, sf):
+    """What trades give and what their costs take, by six bars of holding."""
+    bars, found = _taken(spark, sf, "sweep_reclaim")
+    runs = X.simulate(bars, found, [X.Exit("short", target_r=2.0, max_hold=48, cost=0.001)])
+    paid = 0.001 * (F.col("entry") + F.col("exit_price")) / F.col("risk")
+    return runs.groupBy(F.floor((F.col("exit_i") - F.col("entry_i")) / 6).alias("held")).agg(F.count("*").alias("n"), F.round(F.avg("r"), 5).alias("avg_r"), F.round(F.avg(paid), 5).alias("avg_cost"))
+
+
 @query("x_tournament")
 def _(spark, sf):
     """All entry rules under the live exit and without costs."""
