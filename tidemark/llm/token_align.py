@@ -42,7 +42,7 @@ from tidemark.llm.token_count import PATTERN, byte_letters
 #: Segments of the table of a worker, which is emptied when full; bytes of a segment that it keeps; bits of a place in it.
 KNOWN, LONG, SLOTS = 400_000, 64, 20
 #: Bytes of text in a slice; B ids in a stripe; slices whose pairs of a stripe meet in one group of rows.
-SLICE, STRIPE, TOGETHER = 4 << 20, 64, 256
+SLICE, STRIPE, TOGETHER = 2 << 20, 64, 256
 #: After a space: bytes that are white space or control, or may begin white space of several bytes.
 _NO_CUT = byte_class(bytes(range(33)) + b"\xc2\xe1\xe2\xe3")
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
@@ -67,6 +67,20 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes: how many bytes each needs, then all lowest bytes, all second bytes, and so on."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(raw.T).tobytes()
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<i8").ravel()
+
+
 class _Side:
     """The entries of one vocabulary: their bytes, one after the other, and their numbers as text with either separator."""
 
@@ -239,6 +253,7 @@ class Aligner:
         figures = np.stack([*(np.bincount(owner, table[x][place], n).astype(np.int64) for x in _FIGURES), sizes], axis=1)
         often = np.bincount(place, minlength=self.known)
         distinct = np.flatnonzero(often)
+        distinct = distinct[np.argsort(-often[distinct], kind="stable")]  # small numbers for the frequent ones
         index = np.zeros(self.known, np.int32)
         index[distinct] = np.arange(len(distinct))
         often, segments = often[distinct], index[place]
@@ -247,7 +262,7 @@ class Aligner:
         times = np.zeros(len(found), np.int64)
         np.add.at(times, members, np.repeat(often, links))
         self._forget(kept, pairs)  # long segments are not kept
-        return {"figures": figures, "digests": digests, "segments": segments, "sizes": links.astype(np.int32), "members": members.astype(np.int32), "pairs": found, "times": times}
+        return {"figures": figures, "digests": digests, "segments": segments, "sizes": links, "members": members, "pairs": found, "times": times}
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -290,15 +305,15 @@ def alignment(docs: DataFrame, byte_level: str, pieces: str, text: str = "text",
                 full = np.flatnonzero(np.diff(bounds))
                 first, last = bounds[full], bounds[full + 1]
                 base, below = full * cells, len(full)
-                own = (made["pairs"] - np.repeat(base, last - first)).astype(np.int32)
+                own = made["pairs"] - np.repeat(base, last - first)
                 out = lambda whole, each, t: pa.array([whole, *each], t)
                 lone = lambda value, t: pa.array([value, *[None] * below], t)
                 keys = pa.ListArray.from_arrays(pa.array([0, *[part.num_rows] * (below + 1)], pa.int32()), part.column("key"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number] * (below + 1), pa.int64()), out(-1, full.tolist(), pa.int32()), out(len(own), first.tolist(), pa.int32()),
-                        out(None, [own[x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary()), out(None, [made["times"][x:y].tobytes() for x, y in zip(first, last, strict=True)], pa.binary()),
-                        keys, lone(made["digests"], pa.list_(pa.string())), *(lone(made[x].tobytes(), pa.binary()) for x in ("figures", "segments", "sizes", "members")),
+                        out(None, [planes(own[x:y]) for x, y in zip(first, last, strict=True)], pa.binary()), out(None, [planes(made["times"][x:y]) for x, y in zip(first, last, strict=True)], pa.binary()),
+                        keys, lone(made["digests"], pa.list_(pa.string())), *(lone(planes(made[x].ravel()), pa.binary()) for x in ("figures", "segments", "sizes", "members")),
                     ],
                     ["slice", "stripe", "first", "pairs", "times", "keys", "digests", "figures", "segments", "sizes", "members"],
                 )
@@ -311,12 +326,13 @@ def alignment(docs: DataFrame, byte_level: str, pieces: str, text: str = "text",
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sums of each stripe and lot."""
+        _aligners.clear()  # their memory is needed here
         block = np.zeros(cells, np.int64)
         for (stripe, lot), group in _groups(batches, "stripe", "lot"):
             for row in group:
-                np.add.at(block, np.frombuffer(row["pairs"], np.int32), np.frombuffer(row["times"], np.int64))
+                np.add.at(block, numbers(row["pairs"]), numbers(row["times"]))
             found = np.flatnonzero(block)
-            yield pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([lot], pa.int64()), pa.array([found.astype(np.int32).tobytes()], pa.binary()), pa.array([block[found].tobytes()], pa.binary())], ["stripe", "lot", "pairs", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([lot], pa.int64()), pa.array([planes(found)], pa.binary()), pa.array([planes(block[found])], pa.binary())], ["stripe", "lot", "pairs", "times"])
             block[found] = 0
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,13 +340,13 @@ def alignment(docs: DataFrame, byte_level: str, pieces: str, text: str = "text",
         block = np.zeros(cells, np.int64)
         for _, group in _groups(batches, "stripe", "lot"):
             held = next(group)
-            at = np.frombuffer(held["pairs"], np.int32)
-            block[at] = np.frombuffer(held["times"], np.int64)
+            at = numbers(held["pairs"])
+            block[at] = numbers(held["times"])
             highest = block.reshape(STRIPE, n_a).max(axis=1)
             for row in group:
-                pair = np.frombuffer(row["pairs"], np.int32)
+                pair = numbers(row["pairs"])
                 count = block[pair]
-                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]], pa.int64()), pa.array([row["first"]], pa.int32()), pa.array([count.tobytes()], pa.binary()), pa.array([np.packbits(count == highest[pair // n_a]).tobytes()], pa.binary())], ["slice", "first", "counts", "best"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]], pa.int64()), pa.array([row["first"]], pa.int32()), pa.array([planes(count)], pa.binary()), pa.array([np.packbits(count == highest[pair // n_a]).tobytes()], pa.binary())], ["slice", "first", "counts", "best"])
             block[at] = 0
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,13 +354,12 @@ def alignment(docs: DataFrame, byte_level: str, pieces: str, text: str = "text",
             held = next(group)
             count, best = np.zeros(held["first"], np.int64), np.zeros(held["first"], np.int64)
             for row in group:
-                found = np.frombuffer(row["counts"], np.int64)
+                found = numbers(row["counts"])
                 span = slice(row["first"], row["first"] + len(found))
                 count[span] = found
                 best[span] = np.unpackbits(np.frombuffer(row["best"], np.uint8), count=len(found))
-            figures = np.frombuffer(held["figures"], np.int64).reshape(-1, 5)
-            members = np.frombuffer(held["members"], np.int32)
-            sizes, segments = np.frombuffer(held["sizes"], np.int32), np.frombuffer(held["segments"], np.int32)
+            figures = numbers(held["figures"]).reshape(-1, 5)
+            members, sizes, segments = (numbers(held[x]) for x in ("members", "sizes", "segments"))
             sums = []
             for values in (best, count):
                 over = np.append(0, np.cumsum(values[members]))
