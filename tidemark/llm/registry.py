@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, html_extract, lm_score, media, near_dedup, sp_sampling, token_align, token_count, token_shards, toxicity, vector_codes
+from tidemark.llm import chat_format, cover_search, decontaminate, html_extract, lm_score, media, near_dedup, sp_sampling, token_align, token_count, token_shards, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -81,12 +85,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_token_alignment": op11_token_alignment,
         "op12_vector_codes": op12_vector_codes,
+        "op13_exact_top_k": op13_exact_top_k,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op4_chat_format": chat_format.ORACLE, "op8_lm_score": lm_score.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
+    found = {"op4_chat_format": chat_format.ORACLE, "op8_lm_score": lm_score.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_exact_top_k": cover_search.ORACLE}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
