@@ -74,4 +74,16 @@ def test_a_filtered_table(spark, sf, encoding, tmp_path):
         T.write_shards(docs, PATH, f"{tmp_path}/b", 9, 64, 100)
     finally:
         del spark.sparkContext.broadcast
-    assert any(isinstance(x, dict) and len(x) <= 4 for x in held)
+    assert any(isinstance(x, tuple) and len(x[0]) <= 4 for x in held)
+
+
+@pytest.mark.parametrize("plan", ["repartition", "by key", "sorted", "united", "twice read", "joined", "filtered"])
+def test_plans_that_move_rows(spark, sf, encoding, tmp_path, plan):
+    """_metadata goes along when rows are shuffled; the splits it names are then no runs of rows any more."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    moved = {
+        "repartition": lambda: docs.repartition(7), "by key": lambda: docs.repartition(6, "doc_id").sortWithinPartitions("source"), "sorted": lambda: docs.orderBy(docs.text.desc()),
+        "united": lambda: docs.union(docs), "twice read": lambda: spark.read.parquet(f"{sf}/documents.parquet", f"{sf}/documents.parquet"), "joined": lambda: docs.join(docs.select("doc_id", "lang"), ["doc_id", "lang"]),
+        "filtered": lambda: docs.filter("doc_id % 3 = 1").select("text", "doc_id"),
+    }[plan]()
+    check(spark, moved, [(r.doc_id, r.text) for r in moved.collect()], encoding, f"{tmp_path}/a", 64, 100)

@@ -13,8 +13,8 @@ Method
        puts as line separator; all records have the same stride. A shard holds ``per_shard`` records, so slot s is
        in shard s // per_shard at (s % per_shard) * stride, and a reader resumes anywhere by seeking.
 
-Rows are known by file and row index, so docs must be a table read from files; anything else is written to
-the shared folder first. Defined results: null texts are empty; a null doc_id is stored as the smallest long and
+Rows are known by the split of a file that they are read from and their order in it. Where docs is a scan of files with filters and
+projections, these are its own splits; anything else (shuffled, sorted, united, joined, made) is written to the shared folder first. Defined results: null texts are empty; a null doc_id is stored as the smallest long and
 read back as null; repeated rows have sequences of their own; an empty table writes one empty shard folder. Extra columns are not read.
 """
 
@@ -175,17 +175,28 @@ def stride(length: int) -> int:
     return _dtype(length).itemsize
 
 
+def _read_in_order(docs: DataFrame) -> bool:
+    """Whether the plan is a scan of files with filters and projections only, so that each split's rows come in order and in one task."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def _placed(docs: DataFrame, work: Workspace) -> DataFrame:
-    """doc_id, text, file, block: the rows, and the split of a file that each is read from."""
+    """doc_id, text, file, block, split: the rows, and the split of a file that each is read from, with its hash."""
 
     def place(df: DataFrame) -> DataFrame:
-        return df.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        found = df.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        return found.withColumn("split", F.xxhash64("file", "block"))
 
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
-    try:
-        return place(docs)
-    except AnalysisException:  # not a table of files
-        return place(work.put(docs.select(*own), "docs"))
+    if _read_in_order(docs):
+        try:
+            return place(docs)
+        except AnalysisException:  # no table of files
+            pass
+    return place(work.put(docs.select(*own), "docs"))
 
 
 def _count(size: int, length: int) -> int:
@@ -206,30 +217,32 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 sizes = code.encode(part.column("text"))[1].tolist()
-                for size, file, block in zip(sizes, part.column("file").to_pylist(), part.column("block").to_pylist(), strict=True):
-                    if not runs or runs[-1][:2] != [file, block]:
-                        runs.append([file, block, 0])
-                    runs[-1][2] += _count(size, length)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "block", "n"])
-
-    runs = work.put(placed.mapInArrow(counts, "file string, block long, n long"), "runs")
-    # one row for each split of a file, in the order of the files
-    held = runs.orderBy("file", "block").collect()
-    firsts = np.concatenate([[0], np.cumsum([r.n for r in held])]).astype(int).tolist()
-    n = firsts[-1]
-    sent = spark.sparkContext.broadcast({(r.file, r.block): first for r, first in zip(held, firsts, strict=False)})
+                for size, *at in zip(sizes, *(part.column(x).to_pylist() for x in ("file", "block", "split")), strict=True):
+                    if not runs or runs[-1][:3] != at:
+                        runs.append([*at, 0])
+                    runs[-1][3] += _count(size, length)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "block", "split", "n"])
+
+    runs = work.put(placed.mapInArrow(counts, "file string, block long, split long, n long"), "runs")
+    # 16 bytes for each split of a file, in the order of the files
+    held = runs.orderBy("file", "block").select("split", "n").toArrow()
+    splits, sizes = (held.column(x).to_numpy() for x in ("split", "n"))
+    order = np.argsort(splits)
+    if (np.diff(splits[order]) == 0).any():
+        raise RuntimeError("rows of one split of a file came from several tasks")
+    n = int(sizes.sum())
+    sent = spark.sparkContext.broadcast((splits[order], (np.cumsum(sizes) - sizes)[order]))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, kind = encoder(vocabulary), _dtype(length)
-        split, index = None, 0
+        (known, firsts), split, index = sent.value, None, 0
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 tokens, sizes = code.encode(part.column("text"))
                 bases, totals = [], sizes + 1
-                for size, name, block in zip(sizes.tolist(), part.column("file").to_pylist(), part.column("block").to_pylist(), strict=True):
-                    if split != (name, block):
-                        split = (name, block)
-                        index = sent.value[split]
+                for size, at in zip(sizes.tolist(), part.column("split").to_pylist(), strict=True):
+                    if split != at:
+                        split, index = at, int(firsts[np.searchsorted(known, at)])
                     bases.append(index)
                     index += _count(size, length)
                 owners = -(-totals // length)
@@ -248,10 +261,11 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
                 yield pa.RecordBatch.from_arrays([pa.array(slot), column], ["slot", "record"])
 
     shards = max(1, -(-n // per_shard))
-    made = placed.mapInArrow(records, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+    made = placed.select("doc_id", "text", "split").mapInArrow(records, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     dealt = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").select(F.col("record").cast("string").alias("value"))
     dealt.write.mode("overwrite").option("lineSep", END.decode()).text(folder)
-    work.drop("runs", "docs")
+    sent.destroy()
+    work.clear()
     return n
 
 
