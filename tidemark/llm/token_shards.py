@@ -183,15 +183,18 @@ def _read_in_order(docs: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation"
 
 
-def _placed(docs: DataFrame, work: Workspace) -> DataFrame:
-    """doc_id, text, file, block, split: the rows, and the split of a file that each is read from, with its hash."""
+def _placed(docs: DataFrame, work: Workspace, written: bool) -> DataFrame:
+    """doc_id, text, file, block, split: the rows, and the split of a file that each is read from, with its hash.
+
+    written: the rows are written first.
+    """
 
     def place(df: DataFrame) -> DataFrame:
         found = df.select(*own, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         return found.withColumn("split", F.xxhash64("file", "block"))
 
     own = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
-    if _read_in_order(docs):
+    if not written:
         try:
             return place(docs)
         except AnalysisException:  # no table of files
@@ -208,7 +211,6 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
     """Writes the shards to ``folder``; gives the number of sequences."""
     spark = docs.sparkSession
     work = Workspace(spark, "tokens")
-    placed = _placed(docs, work)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sequences per split of a file; filters leave gaps in it, but its rows come in order and in one task."""
@@ -223,12 +225,16 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, key: int = 20240
                     runs[-1][3] += _count(size, length)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "block", "split", "n"])
 
-    runs = work.put(placed.mapInArrow(counts, "file string, block long, split long, n long"), "runs")
-    # 16 bytes for each split of a file, in the order of the files
-    held = runs.orderBy("file", "block").select("split", "n").toArrow()
-    splits, sizes = (held.column(x).to_numpy() for x in ("split", "n"))
-    order = np.argsort(splits)
-    if (np.diff(splits[order]) == 0).any():
+    for written in (not _read_in_order(docs), True):
+        placed = _placed(docs, work, written)
+        runs = work.put(placed.mapInArrow(counts, "file string, block long, split long, n long"), "runs")
+        # 16 bytes for each split of a file, in the order of the files
+        held = runs.orderBy("file", "block").select("split", "n").toArrow()
+        splits, sizes = (held.column(x).to_numpy() for x in ("split", "n"))
+        order = np.argsort(splits)
+        if (np.diff(splits[order]) != 0).all():
+            break  # else a split came from several tasks, as when a file is read twice
+    else:
         raise RuntimeError("rows of one split of a file came from several tasks")
     n = int(sizes.sum())
     sent = spark.sparkContext.broadcast((splits[order], (np.cumsum(sizes) - sizes)[order]))
