@@ -80,3 +80,21 @@ def test_null_keys_and_clashing_columns(spark):
     rows = [(None, None, f"<article>{BODY}</article>", "x"), (1, "u", None, "y"), (1, "u", None, "y")]
     found = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in found), key=str) == sorted([(0, None, TEXT, len(TEXT)), (1, "u", "", 0), (1, "u", "", 0)], key=str)
+
+
+LINE = "The committee met again on Tuesday, and it heard from seven witnesses; none of them had seen the report."
+THINGS = [f"Thing number {k}" for k in range(30)]
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<form id=aspnetForm><input type=hidden name=v><nav>{MENU}</nav><input name=q><button>Go</button><h1>Title</h1><p>{LINE}</p><p>{LINE}</p><footer>us</footer></form>", f"Title {LINE} {LINE}"),
+    (f"<nav>{MENU}</nav><form>Sign in <label>User</label><input><label>Password</label><input type=password><button>Go</button></form>", ""),
+    (f"<main><article><p>{LINE * 20}</p><p>{LINE * 20}</p></article><article><h1>Second</h1><p>{LINE}</p></article></main>", f"{LINE * 20} {LINE * 20} Second {LINE}"),
+    (f"<article><p>{LINE}</p><p class='promoted-study'>The promoted study found, in short, nothing.</p><section class='rail-history'><p>{LINE}</p></section><div class='related-posts'><p>Read this, please.</p></div></article>", f"{LINE} The promoted study found, in short, nothing. {LINE}"),
+    (f"<article><p>{LINE}</p><p>See <a href=x>the whole long report of the committee</a>.</p><p><a href=y>Other news of the day</a></p></article>", f"{LINE} See the whole long report of the committee."),
+    (f"<div id=nav>{MENU}</div><div id=content><h1>Things to bring</h1><ul>{''.join(f'<li>{x}</li>' for x in THINGS)}</ul></div><div class=footer>c</div>", " ".join(["Things to bring", *THINGS])),
+    (f"<div>{MENU}</div><div><h1>Things to bring</h1><p>{LINE}</p><ul>{''.join(f'<li>{x}</li>' for x in THINGS)}</ul><p>{LINE}</p></div><div>{MENU}</div>", " ".join(["Things to bring", LINE, *THINGS, LINE])),
+    (f"<article><p>Press <button>OK</button>, or wait for the second message to come up.</p><p>{LINE}</p><button>Share</button></article>", f"Press OK, or wait for the second message to come up. {LINE}"),
+])
+def test_what_elements_hold_decides(page, text):
+    assert main_text(page) == text

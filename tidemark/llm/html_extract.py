@@ -6,12 +6,14 @@ punctuation marks over the number of nodes). Both ratios are smoothed over the n
 fused. The fused ratio, times the factors of structure, is a node's score; nodes whose score
 reaches a quarter of the page's mean score are the main text. Factors of structure:
 
-    - elements of menus, footers, sidebars, forms and the like, by tag or role, and what is hidden: 0
+    - elements of menus, footers, sidebars and the like, by tag or role, and what is hidden: 0; so are forms, unless they hold half of the
+      page's text with few controls, and buttons, unless they stand in a sentence
     - elements that name themselves by class or id as something else (menu, advert, comments, ...): next to nothing, unless
-      they hold most of the page's text; words that also occur in names of content (search, legal, ...): a half,
-      unless the whole name is made of such words
-    - blocks of text that are links in the most part: a twentieth, headings excepted
-    - where there are article elements (else main elements) with text: a twentieth outside those of any weight
+      they hold most of the page's text; words that also occur in names of content (search, legal, ..., or promoted before
+      another noun): a half, unless the whole name is made of such words
+    - blocks of text that are links in the most part: a twentieth, headings excepted, and paragraphs of an article with words besides
+    - where there are article elements (else main elements) with text: a twentieth outside those that have a fifth of the
+      largest one's weight, or whose text is as dense and seldom a link
     - inside those, else inside the deepest element that holds nine tenths of the score, half the page's mean is
       added before the factors, so that short blocks among long ones stay
 
@@ -43,11 +45,15 @@ from tidemark.llm.common import slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select svg math title object noframes noembed xmp canvas audio video".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open element of the value's first part is ended by the key, not past the second part.
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "table tr"), "th": ("td th", "table tr"), "tbody": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tr td th", "table")}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OTHER_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
+OTHER_TAGS = frozenset("nav footer aside menu".split())
+#: Something else or not by what they hold.
+FORM_TAGS = frozenset("form fieldset dialog".split())
+#: Blocks of running text, in which a button may be a word.
+PROSE = frozenset("p li dd td blockquote figcaption h1 h2 h3 h4 h5 h6".split())
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promoted promotion promotions cookie cookies consent gdpr "
     "popup modal overlay paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar "
@@ -56,7 +62,11 @@ OTHER_WORDS = frozenset(
 )
 #: Words that name content as well; and those that only name a container.
 DOUBTFUL_WORDS = frozenset("search register form notice notices notification notifications alert reply discussion responses legal copyright disclaimer".split())
-CONTAINER_WORDS = frozenset("area bar block body box btn button container content div field group holder inner input item items list main outer panel row section site top bottom left right wrap wrapper page".split())
+MODIFIERS = frozenset("promo promoted promotion promotions sponsored banner rail modal overlay popup related recommended recommendations share sharing social respond replies widget widgets consent subscribe".split())
+CONTAINER_WORDS = frozenset(
+    "area bar block body box btn button container content div field group holder inner input item items list main outer panel row section site top bottom left right wrap wrapper page "
+    "post posts article articles story stories link links news icon icons text title heading slot unit zone region module component view card cards products product videos video reading more feed stack rich".split()
+)
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _QUOTE = re.compile(r">|=\s*[\"']")
@@ -93,12 +103,13 @@ class Page:
     """Elements (parent, tag, named, path) and text nodes (element, text, in a link) of a page.
 
     named of an element: 1 if its name is doubtful, 2 if it is something else by its name, else 0.
-    out: it is something else by tag, role or style, or lies in such; header: it lies in a header outside a heading.
+    out: it is something else by tag, role, style or what it holds, or lies in such; header: it lies in a header outside a heading.
+    controls: input fields and buttons right in the element.
     A text node of None is a block boundary.
     """
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.named, self.out, self.header, self.path = [-1], ["#"], [0], [False], [False], [0]
+        self.parent, self.tag, self.named, self.out, self.header, self.path, self.controls = [-1], ["#"], [0], [False], [False], [0], [0]
         self.paths: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[int, str | None, bool]] = []
         self.stack = [0]
@@ -147,6 +158,8 @@ class Page:
                     self.nodes.append((self.stack[-1], None, False))
                 continue
             attributes = html[found.end() : end]
+            if name in ("input", "select", "textarea", "button") and "hidden" not in attributes.lower():
+                self.controls[self.stack[-1]] += 1
             if name in RAW:
                 if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
                     end = _RAW_END[name].search(html, at)
@@ -157,7 +170,7 @@ class Page:
                     self.nodes.append((self.stack[-1], None, False))
                 continue
             out, named = self._kind(name, attributes)
-            if name in INLINE and not out and not named:
+            if name in INLINE and not out and not named and name != "button":
                 if name == "a":
                     link = True
                 continue
@@ -176,10 +189,40 @@ class Page:
             self.parent.append(above)
             self.tag.append(name)
             self.named.append(named)
+            self.controls.append(0)
             self.out.append(self.out[above] or out)
             self.header.append(name not in HEADINGS and (self.header[above] or name == "header"))
             self.path.append(self.paths.setdefault((self.path[above], name), len(self.paths) + 1))
         text(n)
+        self._settle()
+
+    def _settle(self) -> None:
+        """What forms and buttons are.
+
+        A form is content if it holds at least half of the page's text, and a hundred characters for each of its controls. A
+        button is a word of its block if the block has twice as much text besides its buttons.
+        """
+        if not any(x in FORM_TAGS or x == "button" for x in self.tag):
+            return
+        size = np.zeros(len(self.tag))
+        for e, t, _ in self.nodes:
+            if t is not None and not self.out[e] and not self.header[e]:
+                size[e] += len(t.strip())
+        mass, controls = self.masses(size), self.masses(np.asarray(self.controls))
+        block, pressed = list(range(len(self.tag))), [0.0] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            above = block[self.parent[k]]
+            if self.tag[k] in INLINE:
+                block[k] = above
+            if self.tag[k] == "button":
+                pressed[above] += mass[k]
+        for k in range(1, len(self.tag)):
+            held = block[k]
+            if self.tag[k] in FORM_TAGS:
+                own = mass[k] < mass[0] / 2 or mass[k] < 100 * controls[k]
+            else:
+                own = self.tag[k] == "button" and (self.tag[held] not in PROSE or mass[held] < 3 * pressed[held])
+            self.out[k] = self.out[k] or own or self.out[self.parent[k]]
 
     def _pop(self, place: int) -> None:
         """Closes the elements from a place of the stack on."""
@@ -207,7 +250,10 @@ class Page:
             if key in ("class", "id"):
                 for token in value.split():
                     words = {w.lower() for w in _WORD.findall(token)}
-                    if words & OTHER_WORDS or (words & DOUBTFUL_WORDS and words <= DOUBTFUL_WORDS | CONTAINER_WORDS):
+                    other = words & OTHER_WORDS
+                    if other and other <= MODIFIERS and words - OTHER_WORDS - DOUBTFUL_WORDS - CONTAINER_WORDS:
+                        named = max(named, 1)  # promoted-study: the noun is another
+                    elif other or (words & DOUBTFUL_WORDS and words <= DOUBTFUL_WORDS | CONTAINER_WORDS):
                         named = 2
                     elif words & DOUBTFUL_WORDS:
                         named = max(named, 1)
@@ -258,6 +304,7 @@ def content_nodes(page: Page) -> list[int]:
     factor = np.asarray(page.down(factor, lambda above, own: above * own))[element]
     linked, free_of = np.bincount(element, size - free, elements), np.bincount(element, free, elements)
     heading = np.asarray([x in HEADINGS for x in page.tag])
+    whole = factor
     factor = np.where((linked > free_of)[element] & ~heading[element], factor / 20, factor)
     inside = np.zeros(len(text), bool)
     for name in ("article", "main"):
@@ -266,8 +313,16 @@ def content_nodes(page: Page) -> list[int]:
         own = [w if t == name else 0.0 for w, t in zip(weight, page.tag, strict=True)]
         most = max(own)
         if most:
-            kept = page.down([w >= most / 5 for w in own], lambda above, own: above or own)
+            # another one counts if it has a fifth of the weight, or text as dense and few links
+            held, free_in, dense = (page.masses(np.bincount(element, x, elements)) for x in (size, free, size * free))
+            first = own.index(most)
+            alike = [w > 0 and free_in[k] >= 0.75 * held[k] and dense[k] * held[first] >= dense[first] * held[k] / 4 for k, w in enumerate(own)]
+            kept = page.down([w >= most / 5 or x for w, x in zip(own, alike, strict=True)], lambda above, own: above or own)
             inside = np.asarray(kept)[element]
+            # a paragraph with words besides its link is text
+            words = np.bincount(element, [not x and any(map(str.isalnum, page.nodes[k][1])) for k, x in zip(text, link, strict=True)], elements)
+            prose = (words > 0) & np.asarray([x in ("p", "dd", "blockquote") for x in page.tag])
+            factor = np.where(inside & prose[element], whole, factor)
             factor = np.where(inside, factor, factor / 20)
             break
     value = fused * factor
