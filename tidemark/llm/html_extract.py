@@ -68,6 +68,8 @@ CONTAINER_WORDS = frozenset(
     "post posts article articles story stories link links news icon icons text title heading slot unit zone region module component view card cards products product videos video reading more feed stack rich".split()
 )
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
+#: Characters of a block of running text.
+RUNNING = 160
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _QUOTE = re.compile(r">|=\s*[\"']")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in sorted(RAW)}
@@ -316,7 +318,8 @@ def content_nodes(page: Page) -> list[int]:
             # another one counts if it has a fifth of the weight, or text as dense and few links
             held, free_in, dense = (page.masses(np.bincount(element, x, elements)) for x in (size, free, size * free))
             first = own.index(most)
-            alike = [w > 0 and free_in[k] >= 0.75 * held[k] and dense[k] * held[first] >= dense[first] * held[k] / 4 for k, w in enumerate(own)]
+            least = min(dense[first] / held[first], RUNNING) / 4
+            alike = [w > 0 and free_in[k] >= 0.75 * held[k] and dense[k] >= least * held[k] for k, w in enumerate(own)]
             kept = page.down([w >= most / 5 or x for w, x in zip(own, alike, strict=True)], lambda above, own: above or own)
             inside = np.asarray(kept)[element]
             # a paragraph with words besides its link is text
