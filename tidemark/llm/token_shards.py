@@ -63,6 +63,8 @@ class Encoder:
         self.end = len(ranks)
         if self.end >= 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits")
+        self.length = np.zeros(self.end, np.int64)
+        self.length[list(ranks.values())] = list(map(len, ranks))
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.clear()
 
@@ -72,19 +74,39 @@ class Encoder:
         self.tokens, self.used = np.zeros(1 << 14, np.uint16), 0
         self.seen_hash, self.seen = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
 
-    def _add(self, texts: list[str]) -> np.ndarray:
-        """Places of the tokens of the texts."""
-        found = [self.encoding.encode_ordinary(x) for x in texts]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        made, places = int(size.sum()), np.arange(self.known, self.known + len(texts))
-        while self.known + len(texts) > len(self.start):
+    def _tokens(self, pieces: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of pieces that each begin with one space and end without white space, and the number of each one's.
+
+        A token begins where each piece does, so many are encoded as one text.
+        """
+        tokens = np.array(self.encoding.encode_ordinary(b"".join(pieces).decode("utf-8")), np.uint16)
+        upto, stops = np.cumsum(lengths), np.cumsum(self.length[tokens])
+        last = np.searchsorted(stops, upto)
+        if (stops[last] != upto).any():
+            raise RuntimeError("a token lies over the end of a piece")
+        return tokens, np.diff(last, prepend=-1)
+
+    def _add(self, pieces: list[bytes], apart: np.ndarray) -> np.ndarray:
+        """Places of the tokens of the pieces; apart: those that _tokens() takes, the others are encoded one by one."""
+        order = np.argsort(~apart, kind="stable")
+        listed = [pieces[k] for k in order.tolist()]
+        lengths, first = np.fromiter(map(len, listed), np.int64, len(listed)), int(apart.sum())
+        found = [self._tokens(listed[lo : min(lo + 512, first)], lengths[lo : min(lo + 512, first)]) for lo in range(0, first, 512)]
+        for x in listed[first:]:
+            tokens = np.array(self.encoding.encode_ordinary(x.decode("utf-8")), np.uint16)
+            found.append((tokens, np.array([len(tokens)])))
+        tokens, size = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        made, places = int(size.sum()), np.arange(self.known, self.known + len(pieces))
+        while self.known + len(pieces) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + made > len(self.tokens):
             self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
         self.start[places], self.size[places] = self.used + np.cumsum(size) - size, size
-        self.tokens[self.used : self.used + made] = np.fromiter(chain.from_iterable(found), np.uint16, made)
-        self.known, self.used = self.known + len(texts), self.used + made
-        return places
+        self.tokens[self.used : self.used + made] = tokens
+        self.known, self.used = self.known + len(pieces), self.used + made
+        return places[back]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of all texts one after the other, and the number of each text's tokens."""
@@ -109,16 +131,16 @@ class Encoder:
         place = self.seen[slot].astype(np.int64)
         missed = np.flatnonzero((self.seen_hash[slot] != hashes) & ~whole)
         blob = data.tobytes()
-        raw = lambda found: [blob[a:b].decode("utf-8") for a, b in zip((starts[found] - ~begins[found]).tolist(), ends[found].tolist(), strict=True)]
+        raw = lambda found: [blob[a:b] for a, b in zip((starts[found] - ~begins[found]).tolist(), ends[found].tolist(), strict=True)]
         if len(missed):
             values, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            places = self._add(raw(missed[at]))
+            places = self._add(raw(missed[at]), ~begins[missed[at]])
             place[missed] = places[back]
             slots = (values >> np.uint64(64 - SLOTS)).astype(np.int64)
             self.seen_hash[slots], self.seen[slots] = values, places
         known, used = self.known, self.used
         if whole.any():
-            place[whole] = self._add(raw(np.flatnonzero(whole)))
+            place[whole] = self._add(raw(np.flatnonzero(whole)), ~begins[whole])
         size = self.size[place]
         at = np.repeat(self.start[place] - np.cumsum(size) + size, size) + np.arange(size.sum())
         found = self.tokens[at]
