@@ -122,9 +122,14 @@ def test_summaries(spark, market):
         rs = [t[3] for s in own for t in trades(paths[s], own[s], X.Exit("late", delay=d))]
         assert late[f"delay{d}"].trades == len(rs) and late[f"delay{d}"].total_r == pytest.approx(sum(rs))
     whole = {(r["mode"], r.config): r for r in registry.queries()["x_tournament"](spark, SF).collect()}
-    for mode in ("breakout", "ma_dip"):
-        taken = E.candidates(bars, mode, min_stop=None).filter("reason = 'taken'").collect()
+    levelled = E.with_contraction(E.with_levels(bars)).cache()
+    assert len(E.MODES) == 11 and len({mode for mode, _ in whole}) >= 10
+    for mode in E.MODES:
+        taken = E.candidates(levelled, mode, min_stop=None).filter("reason = 'taken'").collect()
         rs = [t[3] for s in paths for t in trades(paths[s], [r for r in taken if r.symbol == s], X.Exit("net"))]
+        if not rs:
+            assert (mode, "net") not in whole
+            continue
         assert whole[mode, "net"].trades == len(rs) and whole[mode, "net"].total_r == pytest.approx(sum(rs))
         assert whole[mode, "gross"].total_r > whole[mode, "net"].total_r
 

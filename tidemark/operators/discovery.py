@@ -9,7 +9,6 @@ records is spread over tasks.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.inference import draw, replicas
 from tidemark.operators.stats import with_q_values
-from tidemark.sources.tables import shared_folder
+from tidemark.sources.tables import settled
 
 #: Outcomes of an array, and places of a stretch.
 PIECE, STRETCH = 1024, 16_384
@@ -89,12 +88,10 @@ def discover(rows: DataFrame, rules: dict[str, Column], value: str, order: list[
     if len(rules) > 62:
         raise ValueError("rules are bits of a long")
     spark = rows.sparkSession
-    folder = shared_folder(spark, f"discovery-{uuid.uuid4().hex}")
     names = list(rules)
     bits = sum((F.when(rules[x], F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in enumerate(names)), F.lit(0).cast("long"))
     told = rows.filter(F.col(value).isNotNull()).select("time", *[c for c in order if c != "time"], F.col(value).cast("double").alias("y"), bits.alias("bits"))
-    numbered_by_time(told, order).select("time", "place", "y", "bits").write.parquet(folder)
-    placed = spark.read.parquet(folder).withColumn("day", F.floor(F.col("time") / block))
+    placed = settled(numbered_by_time(told, order).select("time", "place", "y", "bits"), "discovery").withColumn("day", F.floor(F.col("time") / block))
     n = placed.count()
     at = placed.filter(F.col("place").isin([int(n * x) for x in cuts])).select("place", "time").collect()  # a row for each window
     ends = {r.place: r.time for r in at}

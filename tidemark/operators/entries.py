@@ -98,7 +98,7 @@ def rule(mode: str) -> tuple[Column, Column, Column]:
     return known[mode]
 
 
-MODES = ("bos", "ma_dip", "rsi", "breakout", "trend_pullback", "sweep_reclaim", "h3", "range_sweep_reclaim")
+MODES = ("bos", "ma_dip", "rsi", "breakout", "trend_pullback", "sweep_reclaim", "h3", "range_sweep_reclaim", "support", "rev", "vol_contraction")
 
 
 def candidates(bars: DataFrame, mode: str, max_stop: float | None = 0.06, min_stop: float | None = 0.01, gate: Column | None = None, trend: Column | None = None, target_r: float = 4.0) -> DataFrame:
@@ -120,6 +120,15 @@ def candidates(bars: DataFrame, mode: str, max_stop: float | None = 0.06, min_st
     return found.select("symbol", "i", "time", "entry", "stop", target.alias("target"), reason.otherwise("taken").alias("reason"))
 
 
+def every_candidate(bars: DataFrame, modes: tuple[str, ...] = MODES, **options) -> DataFrame:
+    """The taken candidates of all modes, with mode. bars: prepared() with_levels() with_contraction()."""
+    parts = None
+    for mode in modes:
+        found = candidates(bars, mode, **options).filter("reason = 'taken'").withColumn("mode", F.lit(mode))
+        parts = found if parts is None else parts.unionByName(found)
+    return parts
+
+
 def break_reasons(bars: DataFrame, align: Column, trend: Column | None = None, max_stop: float = 0.06, min_stop: float = 0.01, higher_low: bool = True, room: float = 2.0) -> DataFrame:
     """symbol, i, entry, stop, reason of each confirmed low, with the gates of structure.
 

@@ -5,6 +5,10 @@ A draw depends on nothing but (seed, replica, key), so repeated tasks and other
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,3 +160,100 @@ def dickey_fuller(series: DataFrame, value: str, *keys: str, order: str = "time"
     rest = F.col("n") * (F.col("yy") - rho * F.col("ey") - phi * F.col("dy"))
     error = F.sqrt(F.greatest(F.lit(0.0), rest / F.when(F.col("n") > 3, F.col("n") - 3) * F.col("dd") / (F.col("n") * F.when(F.abs(free) > 1e-12, free))))
     return sums.select(*keys, "n", rho.alias("rho"), F.when(error > 0, rho / error).alias("t"))
+
+
+def _pulled(y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    """For each row of x: the fit of y on it, and of the changes of its residuals on a constant, the level before and the change before."""
+    n = x.shape[1]
+    xc, yc = x - x.mean(axis=1, keepdims=True), y - y.mean()
+    spread = (xc * xc).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        beta = (xc @ yc) / spread
+        alpha = y.mean() - beta * x.mean(axis=1)
+        rest = y - alpha[:, None] - beta[:, None] * x
+        step = np.diff(rest, axis=1)
+        d, e, b = (z - z.mean(axis=1, keepdims=True) for z in (step[:, 1:], rest[:, 1:-1], step[:, :-1]))
+        ee, bb, eb, ed, bd, dd = ((p * q).sum(axis=1) for p, q in ((e, e), (b, b), (e, b), (e, d), (b, d), (d, d)))
+        free = ee * bb - eb * eb
+        rho, phi = (ed * bb - bd * eb) / free, (bd * ee - ed * eb) / free
+        error = np.sqrt(np.maximum(0, (dd - rho * ed - phi * bd) / (n - 5) * bb / free))
+        t = rho / error
+    return {"alpha": alpha, "beta": beta, "rho": rho, "t": np.where((spread > 1e-10) & (free > 1e-10) & np.isfinite(t), t, np.nan)}
+
+
+def pair_null(pairs: DataFrame, k: int = 200, block: int = 20, seed: str = "c", least: int = 17) -> DataFrame:
+    """one, other, n, alpha, beta, rho, t, half_life, p, drawn: does the spread of each pair pull back, against permuted paths.
+
+    pairs: (one, other, time, y, x), of ``least`` rows or more. A replica keeps y and moves blocks of the changes of x, which are added up again from the first x; p is the
+    share of replicas whose t is as low, (hits + 1) / (drawn + 1) over those that have one, null where the pair has none. A pair's common history is one group: rows of
+    two numbers, and replicas in runs of bounded size.
+    """
+    names = ["one", "other", "n", "alpha", "beta", "rho", "t", "p", "drawn"]
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+
+    def test(table: pa.Table) -> pa.Table:
+        table = table.sort_by("time")
+        one, other, n = table["one"][0].as_py(), table["other"][0].as_py(), table.num_rows
+        if n < least:
+            return made.empty_table()
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        true = {c: float(v[0]) for c, v in _pulled(y, x[None]).items()}
+        moves = np.diff(x)
+        begins = range(0, n - 1, block)
+        drawn, run = [], max(1, (1 << 20) // n)
+        for first in range(1, k + 1, run):
+            paths = []
+            for replica in range(first, min(first + run, k + 1)):
+                order = sorted(range(len(begins)), key=lambda b: hashlib.md5(f"{seed}|{replica}|{one}|{other}|{b}".encode()).hexdigest())  # noqa: B023
+                paths.append(x[0] + np.append(0, np.cumsum(np.concatenate([moves[begins[b] : begins[b] + block] for b in order]))))
+            drawn.append(_pulled(y, np.stack(paths))["t"])
+        ts = np.concatenate(drawn)
+        ts = ts[~np.isnan(ts)]
+        p = None if np.isnan(true["t"]) or not len(ts) else (int((ts <= true["t"] + 1e-12).sum()) + 1) / (len(ts) + 1)
+        row = [one, other, n, *(None if np.isnan(true[c]) else true[c] for c in names[3:7]), p, len(ts)]
+        return pa.Table.from_pylist([dict(zip(names, row, strict=True))], schema=made)
+
+    made = pa.schema([("one", pa.string()), ("other", pa.string()), ("n", pa.int64()), *((c, pa.float64()) for c in names[3:8]), ("drawn", pa.int64())])
+    told = pairs.select(F.col("one").cast("string").alias("one"), F.col("other").cast("string").alias("other"), "time", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).filter("y is not null and x is not null")
+    found = told.groupBy("one", "other").applyInArrow(test, "one string, other string, n long, alpha double, beta double, rho double, t double, p double, drawn long")
+    return found.select(F.col("one").cast(kinds["one"]).alias("one"), F.col("other").cast(kinds["other"]).alias("other"), "n", "alpha", "beta", "rho", "t", half_life(F.col("rho")).alias("half_life"), "p", "drawn")
+
+
+def regression(rows: DataFrame, y: str, xs: list[str], *by: str, singular: str = "error") -> DataFrame:
+    """by, n, r2, intercept, slopes, errors: least squares of y on a constant and xs in each group; errors begin with the intercept's.
+
+    One pass takes the means and the centred products of each group; the small system is solved with pivoting. Rows with a null are
+    left out. A group whose system is singular, or with no more rows than coefficients, ends the query, or has nulls with ``singular="null"``.
+    """
+    names = [*xs, y]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    whole = rows.dropna(subset=names).select(*by, *(F.col(c).cast("double").alias(c) for c in names))
+    sums = whole.groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.avg(c) for c in names)).alias("means"), F.array(*(F.covar_pop(names[i], names[j]) for i, j in pairs)).alias("products"))
+    size = len(xs)
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for n, means, products in zip(*(batch.column(c).to_pylist() for c in ("n", "means", "products")), strict=True):
+                c = np.zeros((size + 1, size + 1))
+                for (i, j), v in zip(pairs, products, strict=True):
+                    c[i, j] = c[j, i] = v
+                scale = np.sqrt(np.diag(c)[:size])
+                good = n > size + 1 and (scale > 0).all() and np.linalg.matrix_rank(c[:size, :size] / np.outer(scale, scale), tol=1e-10) == size if size else n > 1
+                if not good:
+                    if singular == "error":
+                        raise ValueError("a group's regressors are collinear, constant, or too many for its rows")
+                    out.append((None, None, None, None))
+                    continue
+                slopes = np.linalg.solve(c[:size, :size], c[:size, size])
+                rest = max(0.0, c[size, size] - slopes @ c[:size, size]) * n
+                inverse = np.linalg.inv(c[:size, :size] * n)
+                m, variance = np.asarray(means[:size]), rest / (n - size - 1)
+                errors = np.sqrt(variance * np.append(1 / n + m @ inverse @ m, np.diag(inverse)))
+                r2 = 1 - rest / (c[size, size] * n) if c[size, size] > 0 else None
+                out.append((r2, float(means[size] - slopes @ m), slopes.tolist(), errors.tolist()))
+            kinds = (pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "n")), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], [*by, "n", "r2", "intercept", "slopes", "errors"])
+
+    keys = "".join(f"{c} {sums.schema[c].dataType.simpleString()}, " for c in by)
+    return sums.mapInArrow(solve, f"{keys}n long, r2 double, intercept double, slopes array<double>, errors array<double>")

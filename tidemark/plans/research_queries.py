@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import discovery as D
 from tidemark.operators import entries as E
 from tidemark.operators import indicators as I
-from tidemark.operators import joins as J
+from tidemark.operators import inference as R
+from tidemark.operators import positions as X
+from tidemark.operators import search
+from tidemark.operators.stats import with_q_values
 from tidemark.plans import lenses as L
+from tidemark.plans.bar_queries import B60, S
 from tidemark.plans.base import Catalog
 from tidemark.plans.trade_queries import biased
+from tidemark.sources.tables import settled
 
 catalog = Catalog()
 query = catalog.query
@@ -39,3 +43,46 @@ def profiles(spark, sf, mode: str = "ma_dip", horizon: int = 100):
 def _(spark, sf):
     """35 rules on the profiles of dips below the mean, under 1000 orders of whole days."""
     return D.discover(profiles(spark, sf), D.predicates(), "r", ["symbol", "i"], 1000)
+
+
+@query("i14_pair_null")
+def _(spark, sf):
+    """Every pair of weekly series under 200 paths of permuted blocks of 20 changes, with step-up values."""
+    weeks = L.weekly(spark, sf)
+    a, b = (weeks.select(F.col("week").alias("time"), F.col("symbol").alias(s), F.log("close").alias(c)) for s, c in (("one", "y"), ("other", "x")))
+    tests = R.pair_null(a.join(b, "time").filter("one < other"), 200, 20).withColumn("family", F.col("p").isNotNull())
+    return with_q_values(tests, "p", ["family"]).withColumn("q", F.when(F.col("family"), F.col("q"))).drop("family")
+
+
+@query("i12_regression_of_three", f"""{B60}, x AS (SELECT symbol, close - lag(close) OVER s AS y, lag(buy_vol - sell_vol) OVER s AS a, lag(volume) OVER s AS b, lag(high - low) OVER s AS c FROM b{S}), k AS (SELECT symbol, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, b) AS bb, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc, covar_pop(a, y) AS ay, covar_pop(b, y) AS wy, covar_pop(c, y) AS cy, covar_pop(y, y) AS yy FROM x WHERE a IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM k), i AS (SELECT *, (bb * cc - bc * bc) / det AS i11, (ac * bc - ab * cc) / det AS i12, (ab * bc - ac * bb) / det AS i13, (aa * cc - ac * ac) / det AS i22, (ab * ac - aa * bc) / det AS i23, (aa * bb - ab * ab) / det AS i33 FROM d),
+s AS (SELECT *, i11 * ay + i12 * wy + i13 * cy AS s1, i12 * ay + i22 * wy + i23 * cy AS s2, i13 * ay + i23 * wy + i33 * cy AS s3 FROM i), r AS (SELECT *, yy - s1 * ay - s2 * wy - s3 * cy AS rest FROM s)
+SELECT symbol, n, round(1 - rest / yy, 6) AS r2, round(my - s1 * ma - s2 * mb - s3 * mc, 4) AS intercept, round(s1, 5) AS flow, round(s2, 5) AS volume, round(s3, 5) AS width, round(sqrt(rest / (n - 4) * i11), 5) AS flow_error, round(sqrt(rest / (n - 4) * (1 + ma * (i11 * ma + i12 * mb + i13 * mc) + mb * (i12 * ma + i22 * mb + i23 * mc) + mc * (i13 * ma + i23 * mb + i33 * mc))), 4) AS intercept_error FROM r""")
+def _(spark, sf):
+    """The next hour's change on the flow, volume and width of the hour before."""
+    before = lambda c: F.lag(c).over(I.by_time())
+    rows = L.bars(spark, sf).select("symbol", (F.col("close") - before("close")).alias("y"), before(F.col("buy_vol") - F.col("sell_vol")).alias("a"), before("volume").alias("b"), before(F.col("high") - F.col("low")).alias("c"))
+    found = R.regression(rows, "y", ["a", "b", "c"], "symbol")
+    slope = lambda k: F.round(F.col("slopes")[k], 5)
+    return found.select("symbol", "n", F.round("r2", 6).alias("r2"), F.round("intercept", 4).alias("intercept"), slope(0).alias("flow"), slope(1).alias("volume"), slope(2).alias("width"), F.round(F.col("errors")[1], 5).alias("flow_error"), F.round(F.col("errors")[0], 4).alias("intercept_error"))
+
+
+@query("i19_strategy_search")
+def _(spark, sf):
+    """176 configurations chosen on the earlier bars; the later ones are read for the twelve best only."""
+    return search.strategy_search(L.bars(spark, sf), least=20)
+
+
+@query("i19_volume_gate")
+def _(spark, sf):
+    """Breakouts by the least relative volume; the later bars are read for the best threshold that passed alone."""
+    train, holdout = (settled(E.prepared(x), "prepared") for x in search.halves(L.bars(spark, sf)))
+
+    def scores(bars, wanted=None):
+        share = F.try_divide("volume", "vol20")
+        found = E.candidates(bars.withColumn("share", share), "breakout", min_stop=None).filter("reason = 'taken'").join(bars.select("symbol", "i", share.alias("share")), ["symbol", "i"])
+        thresholds = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.5, 2.0)], "threshold double") if wanted is None else wanted
+        asked = found.join(F.broadcast(thresholds), F.col("share") >= F.col("threshold")).drop("share")
+        return search.scored(X.simulate(bars, asked, [X.Exit("live")], ("symbol", "threshold")), "threshold")
+
+    return search.gated(scores(train), lambda chosen: scores(holdout, chosen), "threshold", (-0.5, 20), (-0.3, 8, 0.4), best_only=True)

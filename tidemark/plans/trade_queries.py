@@ -14,6 +14,7 @@ from tidemark.operators import positions as X
 from tidemark.plans import lenses as L
 from tidemark.plans.bar_queries import ATR, S, TR, full, over
 from tidemark.plans.base import Catalog, r6, rounded
+from tidemark.sources.tables import settled
 
 catalog = Catalog()
 query = catalog.query
@@ -228,7 +229,7 @@ def _chain(when: str, stop: str, target_r: float, hold: int, cost: float, most:
 
 
 def _taken(spark, sf, mode: str):
-    bars = E.prepared(L.bars(spark, sf))
+    bars = settled(E.prepared(L.bars(spark, sf)), "prepared")  # read by the entries and by their exits
     return bars, E.candidates(bars, mode).filter("reason = 'taken'")
 
 
@@ -282,11 +283,8 @@ def _(spark, sf):
 @query("x_tournament")
 def _(spark, sf):
     """All entry rules under the live exit and without costs."""
-    bars = E.prepared(L.bars(spark, sf))
-    parts = None
-    for mode in E.MODES:
-        found = E.candidates(bars, mode, min_stop=None).filter("reason = 'taken'").withColumn("mode", F.lit(mode))
-        parts = found if parts is None else parts.unionByName(found)
+    bars = settled(E.with_contraction(E.with_levels(settled(E.prepared(L.bars(spark, sf)), "prepared"))), "levels")
+    parts = E.every_candidate(bars, min_stop=None)
     # a mode of a symbol is a series of its own
     runs = X.simulate(bars, parts, [X.Exit("net"), X.Exit("gross", cost=0.0)], ("symbol", "mode"))
     return X.summarize(runs, "mode", "config")

@@ -6,6 +6,7 @@ Everything goes through Spark's readers and writers; folders are the caller's an
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/tidemark-{name}"
 
 
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared folder and read again: what is used several times is made once, and a lost executor repeats nothing before it."""
+    folder = shared_folder(df.sparkSession, f"{purpose}-{uuid.uuid4().hex}")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each key: the greatest by its other columns, in the order of their names, so repeated tasks give the same."""
     others = sorted(c for c in rows.columns if c not in keys)
