@@ -1,11 +1,11 @@
 import collections
 import math
 import random
-import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import Row
 
 from tidemark.llm import decontaminate as D
@@ -33,7 +33,8 @@ def case():
 
 def brute(items, docs):
     """(document, item) by the docstring's rules, word by word."""
-    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    unspaced = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}"
+    split = lambda t: regex.findall(rf"(?V1)[{unspaced}]|[[\p{{L}}\p{{M}}\p{{N}}]--[{unspaced}]]+", (t or "").lower())
     grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     units = []
     for j, text in enumerate(items):
@@ -55,14 +56,13 @@ def brute(items, docs):
                 continue
             cut = D.answer_start(items[j])
             whole, good = split(items[j]), True
-            if len(whole) < 5:
-                good = tuple(whole) in grams(w, len(whole))
-            else:
-                for part in (split(items[j][:cut]), split(items[j][cut:])):
-                    n = min(3, len(part))
-                    if n:
-                        have = grams(w, n) if len(part) <= 3 else grams(w, 3)
-                        good &= len(grams(part, n) & have) >= 0.5 * len(grams(part, n))
+            for part in (split(items[j][:cut]), split(items[j][cut:])):
+                n = min(3, len(part))
+                if n:
+                    have = grams(w, n) if len(part) <= 3 else grams(w, 3)
+                    good &= len(grams(part, n) & have) >= 0.5 * len(grams(part, n))
+            n = min(5, len(whole))
+            good &= bool(grams(whole, n) & grams(w, n))
             if good:
                 out.add((d, j))
     return out
@@ -137,3 +137,29 @@ def test_empty(spark):
     b = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert D.contaminated(d, b.limit(0)).count() == 0 and D.contaminated(d.limit(0), b).count() == 0
     assert D.contaminated(d, b).count() == 1 and D.decontaminate(d, b.limit(0)).count() == 1
+
+
+SCRIPTS = {
+    "chinese": ("人类最早的文字出现在哪个地区？公元前三千多年的两河流域南部。", "这本书很有意思。", "第二章讲了很多别的事情，", "后来的人继续研究。"),
+    "japanese": ("日本で一番高い山は何ですか。富士山は三千七百七十六メートルです。", "今日はとても天気がいいので、", "散歩に行きましょう。", "それから家に帰ります。"),
+    "thai": ("เมืองหลวงของประเทศไทยคือเมืองอะไรและมีประชากรกี่คน", "วันนี้อากาศดีมาก", "เราไปเดินเล่นกันเถอะ", "แล้วกลับบ้าน"),
+    "quoted": ("Which river is the longest one in “Europe”? The Volga, of course.", "Some text… ", "« and more »", "— the end —"),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_items_inside_longer_texts_of_any_script(spark, script):
+    item, *around = SCRIPTS[script]
+    texts = [around[0] * 20 + item + around[1] * 20, around[0] * 30 + around[2], item[: len(item) // 3] + around[1] * 5, item.replace("，", " , "), item.replace("“", "'").replace("”", "'")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [item, around[2] * 9]
+    found = {(r.doc_id, r.item_id) for r in D.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert found == brute(items, texts)
+    assert {(0, 0), (4, 0)} <= found and not {(1, 0), (2, 0)} & found
+
+
+def test_answers_of_unspaced_texts():
+    text = SCRIPTS["chinese"][0]
+    assert text[D.answer_start(text) :] == "公元前三千多年的两河流域南部。"
+    assert D.answer_start(SCRIPTS["thai"][0]) == len(SCRIPTS["thai"][0]) * 2 // 3
+    assert D.answer_start("one two three. Four five.") == 15 and D.answer_start("word") == 0

@@ -9,11 +9,14 @@ Method
        threshold and gets all units above it; there is no top k. Most passages reach the threshold in
        no block even with each term's largest share there; that bound is computed for all passages at once.
     3. A document and an item that met are verified: parts of the question's and of the answer's word
-       trigrams that the whole document has. The answer is the item's last sentence; an item of one
-       sentence has its last third as answer. An item of fewer than ``SHORT`` words must occur whole, as one run.
+       trigrams that the whole document has, and a run of ``RUN`` of the item's words (of all, if it has fewer) in the document.
+       The answer is the item's last sentence; an item of one sentence has its last third as answer.
+
+Words are runs of letters and digits; what Unicode has as punctuation, symbol or space parts them in every script. In scripts that
+are written without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan) every character is a word.
 
 The index is broadcast, so its items are taken in blocks of ``block_bytes`` of text at most; each
-block is one more pass over the documents, with collection statistics of all items.
+block is one more pass over the documents, with collection statistics of all items. contaminated() holds one block's index at a time.
 
 Defined results: null and empty documents meet nothing; items that are null or have no words match nothing; repeated items and repeated documents are
 reported for each row; a null ``doc_id`` or ``item_id`` is carried along. Empty tables give an empty result.
@@ -28,20 +31,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import NOT_WORD, Workspace, distinct, mix, slices, span_hashes, text_bytes, word_spans
 
-UNIT, SPAN, SHORT = 64, 4, 5
+UNIT, SPAN, RUN = 64, 4, 5
 K1, LENGTH = 1.2, 0.75
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
-_ODD = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
+_SENTENCE = re.compile(r"(?<=[.!?\u0964\u06d4\u061f])\s+(?=\S)|(?<=[\u3002\uff01\uff1f\uff0e\uff61])\s*(?=\S)")
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+_PARTING = r"[^\p{L}\p{M}\p{N}]+"
+#: First bytes of characters that may be one of these; those of Latin letters with accents and of Cyrillic are not.
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[0xC2, 0xCB, 0xCD, 0xCE, 0xCF, 0xD2, *range(0xD5, 0xE0)]] = True
+_ODD_BYTE[0xE0:] = True
+_ODD = list(mix(np.arange(1, RUN + 1, dtype=np.uint64)) | np.uint64(1))
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of letters and digits, and each text's first index."""
     data, offsets = text_bytes(pc.utf8_lower(column))
+    sign = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) if len(data) else np.zeros(0, bool)  # × and ÷
+    odd = np.flatnonzero(_ODD_BYTE[data] | np.append(sign, np.zeros(len(data) - len(sign), bool)))
+    if len(odd):
+        # only the texts with such characters are read by patterns
+        texts = np.unique(np.searchsorted(offsets, odd, side="right") - 1)
+        flagged = np.zeros(len(column), bool)
+        flagged[texts] = True
+        apart = pc.replace_substring_regex(pc.utf8_lower(column.take(pa.array(texts))), _PARTING, " ")
+        apart = pc.replace_substring_regex(apart, f"({_UNSPACED})", r" \1 ")
+        whole = pc.replace_with_mask(pc.utf8_lower(column), pa.array(flagged), apart)
+        data, offsets = text_bytes(whole)
     starts, ends, first = word_spans(data, offsets, NOT_WORD)
     return span_hashes(data, starts, ends), first
 
@@ -64,11 +85,13 @@ def answer_start(text: str) -> int:
     if cuts:
         return cuts[-1]
     gaps = [m.end() for m in re.finditer(r"\s+(?=\S)", text)]
+    if len(gaps) < 3 and regex.search(_UNSPACED, text):
+        return len(text) * 2 // 3
     return gaps[len(gaps) * 2 // 3] if gaps else 0
 
 
 def item_units(items: DataFrame, item: str, text: str) -> DataFrame:
-    """Per unit of an item: item_id, row (one value for each item row), unit, terms, tf, length, run, question, answer."""
+    """Per unit of an item: item_id, row (one value for each item row), unit, terms, tf, length, run (words of a run), runs, question, answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,21 +103,20 @@ def item_units(items: DataFrame, item: str, text: str) -> DataFrame:
                 if len(words) == 0:
                     continue
                 question, answer = grams(words[: first[1]]), grams(words[first[1] :])
-                run = len(words) if len(words) < SHORT else 0
-                if run:
-                    question = answer = _runs(words, run)
+                run = min(RUN, len(words))
+                runs = distinct(_runs(words, run)).view(np.int64).tolist()
                 parts = max(1, -(-len(words) // UNIT))
                 for unit, some in enumerate(np.array_split(words, parts)):
                     terms, tf = np.unique(some, return_counts=True)
-                    rows.append((key, row, unit, *(x.view(np.int64).tolist() for x in (terms, tf.astype(np.int64))), len(some), run, question.view(np.int64).tolist(), answer.view(np.int64).tolist()))
-            names = ["item_id", "row", "unit", "terms", "tf", "length", "run", "question", "answer"]
+                    rows.append((key, row, unit, *(x.view(np.int64).tolist() for x in (terms, tf.astype(np.int64))), len(some), run, runs, question.view(np.int64).tolist(), answer.view(np.int64).tolist()))
+            names = ["item_id", "row", "unit", "terms", "tf", "length", "run", "runs", "question", "answer"]
             longs = pa.list_(pa.int64())
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), longs, longs, pa.int64(), pa.int64(), longs, longs]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names)
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), longs, longs, pa.int64(), pa.int64(), longs, longs, longs]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 10, kinds, strict=True)], names)
 
     own = items.select(F.col(item).alias("item_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
     kind = own.schema["item_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"item_id {kind}, row long, unit long, terms array<long>, tf array<long>, length long, run long, question array<long>, answer array<long>")
+    return own.mapInArrow(run, f"item_id {kind}, row long, unit long, terms array<long>, tf array<long>, length long, run long, runs array<long>, question array<long>, answer array<long>")
 
 
 class Index:
@@ -103,7 +125,7 @@ class Index:
     def __init__(self, units: list, frequency: dict[int, int], total: int, mean_length: float):
         self.items = [u.item_id for u in units]
         self.rows = [u.row for u in units]
-        self.run = {u.row: u.run for u in units}
+        self.run = {u.row: (u.run, np.asarray(u.runs, np.int64).view(np.uint64)) for u in units}
         self.parts = {u.row: (np.asarray(u.question, np.int64).view(np.uint64), np.asarray(u.answer, np.int64).view(np.uint64)) for u in units}
         unit = np.repeat(np.arange(len(units)), [len(u.terms) for u in units]).astype(np.int64)
         term = np.concatenate([np.asarray(u.terms, np.int64) for u in units]).view(np.uint64)
@@ -230,16 +252,18 @@ class Index:
                 key = (owner, self.rows[unit])
                 if score > best.get(key, (0, 0.0))[1]:
                     best[key] = (unit, score)
-        out, last, own = [], -1, None
+        out, last, own, whole = [], -1, None, words[:0]
         for (owner, row), (unit, score) in sorted(best.items()):
             if owner != last:
-                last, own = owner, grams(words[first[owner] : first[owner + 1]])
+                whole = words[first[owner] : first[owner + 1]]
+                last, own = owner, grams(whole)
+            run, runs = self.run[row]
+            if not np.isin(_runs(whole, run), runs).any():
+                continue
             shares = []
             for part in self.parts[row]:
-                if self.run[row]:
-                    shares.append(float(np.isin(part, _runs(words[first[owner] : first[owner + 1]], self.run[row])).all()))
-                elif 0 < len(part):
-                    have = own if len(part) > 1 else np.concatenate([own, *(_runs(words[first[owner] : first[owner + 1]], w) for w in (1, 2))])
+                if len(part):
+                    have = own if len(part) > 1 else np.concatenate([own, *(_runs(whole, w) for w in (1, 2))])
                     shares.append(float(np.isin(part, have).mean()))
                 else:
                     shares.append(1.0)
@@ -281,8 +305,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, ques
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, item_id {kind}, score double, question_overlap double, answer_overlap double"
+    work = Workspace(spark, "matches")
     out = spark.createDataFrame([], schema)
-    for index in indexes(items):
+    for block, index in enumerate(indexes(items)):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -293,7 +318,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, ques
                     who, item, *shares = zip(*found, strict=True) if found else [[]] * 5
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(who, pa.int64())), pa.array(item, kind), *(pa.array(x, pa.float64()) for x in shares)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(own.mapInArrow(run, schema))
+        out = out.unionByName(work.put(own.mapInArrow(run, schema), f"block-{block}"))
+        sent.destroy()
     return out
 
 
