@@ -313,7 +313,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, ques
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             kind = pa.array(sent.value.items).type
             for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
+                for part in slices(batch, "text", 1 << 20):
                     found = sent.value.search(part.column("text"), threshold, question, answer)
                     who, item, *shares = zip(*found, strict=True) if found else [[]] * 5
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(who, pa.int64())), pa.array(item, kind), *(pa.array(x, pa.float64()) for x in shares)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -330,7 +330,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.6, que
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text", 4 << 20):
+                for part in slices(batch, "text", 1 << 20):
                     held = {x[0] for x in sent.value.search(part.column("text"), threshold, question, answer)}
                     yield part.filter(pa.array([k not in held for k in range(part.num_rows)], pa.bool_()))
 
