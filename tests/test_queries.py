@@ -57,7 +57,7 @@ def test_query_agrees_with_sql(spark, sf, connect, name):
 
 #: Queries without SQL, and the test that compares each with brute force.
 ELSEWHERE = {"c8_delay_curve": "test_positions.py", "x_exit_sweep": "test_positions.py", "x_tournament": "test_positions.py", "m4_classifier": "test_learning.py", "m6_penalty_choice": "test_learning.py", "m7_sealed_score": "test_learning.py", "i2_permutation": "test_replicas.py", "i3_date_vectors": "test_replicas.py", "i8_block_permuted_ic": "test_replicas.py",
-             "i9_rule_discovery": "test_discovery.py", "i14_pair_null": "test_research.py", "i19_strategy_search": "test_research.py", "i19_volume_gate": "test_research.py"}
+             "i9_rule_discovery": "test_discovery.py", "i14_pair_null": "test_research.py", "i19_strategy_search": "test_research.py", "i19_volume_gate": "test_research.py", "st5_positions": "test_streams.py"}
 
 
 def test_queries_without_sql_are_tested_elsewhere():

@@ -38,14 +38,16 @@ def gaps(bars: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def invalid(seconds: int = 60) -> Column:
-    """Whether a bar breaks a rule: finite positive prices, high and low around the others, whole minutes, volumes not negative."""
-    prices = [F.col(c) for c in ("open", "high", "low", "close")]
-    bad = F.col("time") % seconds != 0
-    for c in [*prices, F.col("volume"), F.col("trades").cast("double")]:
-        bad = bad | c.isNull() | F.isnan(c) | (c == float("inf"))
+    """Whether a bar breaks a rule: ten finite fields, whole minutes from 1970 on, positive prices, high and low around the others, nothing negative."""
+    prices, amounts = ([F.col(c) for c in names] for names in (("open", "high", "low", "close"), ("volume", "buy_vol", "sell_vol", "max_trade", "trades")))
+    bad = F.col("time").isNull() | (F.col("time") % seconds != 0) | (F.col("time") < 0)
+    for c in [*prices, *amounts]:
+        bad = bad | c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))
     for c in prices:
         bad = bad | (c <= 0)
-    return bad | (F.col("high") < F.greatest(*prices)) | (F.col("low") > F.least(*prices)) | (F.col("volume") < 0) | (F.col("trades") < 0)
+    for c in amounts:
+        bad = bad | (c < 0)
+    return F.coalesce(bad | (F.col("high") < F.greatest(*prices)) | (F.col("low") > F.least(*prices)), F.lit(True))
 
 
 def quality(bars: DataFrame, seconds: int) -> DataFrame:
@@ -70,16 +72,22 @@ def gap_audit(bars: DataFrame, seconds: int, train: float = 0.7) -> DataFrame:
     )
 
 
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: the greatest by its other columns, in the order of their names, so repeated tasks give the same."""
+    others = sorted(c for c in rows.columns if c not in keys)
+    first = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"_row.{c}") for c in rows.columns))
+
+
 def merge(stored: DataFrame, archive: DataFrame) -> DataFrame:
-    """Bars of both; where both have a minute, the archive's."""
-    own = Window.partitionBy("symbol", "time").orderBy(F.col("rank").desc())
-    both = stored.withColumn("rank", F.lit(0)).unionByName(archive.withColumn("rank", F.lit(1)))
-    return both.withColumn("r", F.row_number().over(own)).filter("r = 1").drop("r", "rank")
+    """Bars of both; where both have a minute, the archive's. Of repeated bars of one side the same one stays whenever it is run."""
+    both = stored.withColumn("!rank", F.lit(0)).unionByName(archive.withColumn("!rank", F.lit(1)))  # the first name in order
+    return one_of_each(both, ["symbol", "time"]).drop("!rank")
 
 
 def replace_range(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """The rebuilt minutes replace the stored ones, the other stored minutes stay."""
-    return stored.join(rebuilt, ["symbol", "time"], "left_anti").unionByName(rebuilt)
+    """The rebuilt minutes, one bar each, replace the stored ones; the other stored minutes stay."""
+    return stored.join(rebuilt, ["symbol", "time"], "left_anti").unionByName(one_of_each(rebuilt, ["symbol", "time"]))
 
 
 def deviation(stored: DataFrame, other: DataFrame) -> DataFrame:

@@ -83,14 +83,25 @@ def _(spark, sf):
     return rounded(B.gap_audit(L.minute_bars(spark, sf), 60), "missing_share")
 
 
+#: Each field broken in its turn: (column, Spark, SQL).
+BROKEN = [
+    ("time", "time + 1", "time + 1"), ("time", "-60L", "-60"), ("open", "0D", "0"), ("open", "NULL", "NULL"), ("high", "low - 1", "low - 1"), ("low", "high + 1", "high + 1"), ("close", "-1D", "-1"), ("close", "double('NaN')", "'NaN'::DOUBLE"), ("volume", "-1D", "-1"),
+    ("buy_vol", "-0.5D", "-0.5"), ("buy_vol", "double('Infinity')", "'Infinity'::DOUBLE"), ("sell_vol", "NULL", "NULL"), ("sell_vol", "-0.5D", "-0.5"), ("trades", "-1L", "-1"), ("max_trade", "-1D", "-1"), ("max_trade", "double('NaN')", "'NaN'::DOUBLE"),
+]
+_CASES = ", ".join(f"CASE {' '.join(f'WHEN kind = {k} THEN {sql}' for k, (c, _, sql) in enumerate(BROKEN) if c == column)} ELSE {column} END AS {column}" for column in dict.fromkeys(c for c, *_ in BROKEN))
+
+
 @query(
     "b8_validation",
-    f"""WITH {L.MINUTES}, x AS (SELECT *, CASE WHEN trades % 7 = 0 THEN time + 1 ELSE time END AS t2, CASE WHEN trades % 5 = 0 THEN low - 1 ELSE high END AS h2 FROM m1)
-    SELECT symbol, count(*) AS bars, count(*) FILTER (t2 % 60 <> 0 OR h2 < greatest(open, close, low)) AS rejected FROM x GROUP BY 1""",
+    f"""WITH {L.MINUTES}, n AS (SELECT *, time // 60 % {len(BROKEN) + 3} AS kind FROM m1), x AS (SELECT symbol, kind, {_CASES} FROM n)
+    SELECT symbol, kind, count(*) AS bars, count(*) FILTER (NOT coalesce(isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(close) AND isfinite(volume) AND isfinite(buy_vol) AND isfinite(sell_vol) AND isfinite(max_trade) AND trades >= 0 AND time >= 0 AND time % 60 = 0
+      AND open > 0 AND high > 0 AND low > 0 AND close > 0 AND high >= greatest(open, close, low) AND low <= least(open, close, high) AND volume >= 0 AND buy_vol >= 0 AND sell_vol >= 0 AND max_trade >= 0, false)) AS rejected FROM x GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    broken = L.minute_bars(spark, sf).withColumn("time", F.when(F.col("trades") % 7 == 0, F.col("time") + 1).otherwise(F.col("time"))).withColumn("high", F.when(F.col("trades") % 5 == 0, F.col("low") - 1).otherwise(F.col("high")))
-    return broken.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(B.invalid()).alias("rejected"))
+    """Each of the ten fields broken in its turn; the last kinds are sound."""
+    bars = L.minute_bars(spark, sf).withColumn("kind", F.floor(F.col("time") / 60) % (len(BROKEN) + 3))
+    made = {column: F.coalesce(*(F.when(F.col("kind") == k, F.struct(F.expr(e).cast("double" if column not in ("time", "trades") else "long").alias("v"))) for k, (c, e, _) in enumerate(BROKEN) if c == column), F.struct(F.col(column).alias("v")))["v"] for column in dict.fromkeys(c for c, *_ in BROKEN)}
+    return bars.withColumns(made).groupBy("symbol", "kind").agg(F.count("*").alias("bars"), F.count_if(B.invalid()).alias("rejected"))
 
 
 @query("io3_merge", f"WITH {L.MINUTES} SELECT symbol, time, CASE WHEN trades % 2 = 0 THEN close + 5 ELSE close END AS close FROM m1")

@@ -10,7 +10,7 @@ from tidemark.operators import bars as B
 from tidemark.plans import lenses as L
 from tidemark.plans.base import Catalog
 from tidemark.sources import tables as T
-from tidemark.streaming import live
+from tidemark.streaming import ingest, live, positions
 
 catalog = Catalog()
 query = catalog.query
@@ -37,6 +37,32 @@ def _(spark, sf):
     return T.transposed(responses, "t", "v", "symbol")
 
 
+@query("io8_nested", f"""WITH {L.MINUTES}, x AS (SELECT symbol, time, time // 86400 % 4 AS kind, low, high FROM m1)
+SELECT symbol, CASE kind WHEN 0 THEN 'array' WHEN 3 THEN 'nested' ELSE 'parallel' END AS shape, time::DOUBLE AS timestamp, low AS one, CASE kind WHEN 0 THEN NULL ELSE high END AS other FROM x""")
+def _(spark, sf):
+    """Responses of a day each, in every shape, taken apart."""
+    day = F.floor(F.col("time") / 86400)
+    days = L.minute_bars(spark, sf).groupBy("symbol", day.alias("day")).agg(F.sort_array(F.collect_list(F.struct("time", "low", "high"))).alias("x"))
+    low, high, times = F.col("x.low"), F.col("x.high"), F.concat(F.col("x.time").cast("array<string>"), F.array(F.lit("none")))
+    kind = F.col("day") % 4
+    parallel = F.struct(low.alias("low"), high.alias("high"))
+    data = F.when(kind == 0, F.to_json(low)).when(kind == 1, F.to_json(parallel)).when(kind == 2, F.to_json(F.struct(parallel.alias("all")))).otherwise(F.to_json(F.struct(F.struct(low.alias("low")).alias("bid"), F.struct(high.alias("high")).alias("ask"))))
+    bodies = days.select("symbol", kind.alias("kind"), F.concat(F.lit('{"result": {"timestamp": '), F.to_json(times), F.lit(', "data": '), data, F.lit("}}")).alias("body"))
+    found = T.points(bodies, "body", "symbol", "kind")
+    number = lambda *paths: F.coalesce(*(F.get_json_object("value", p) for p in paths)).cast("double")
+    return found.select("symbol", "shape", "timestamp", F.when(F.col("shape") == "array", F.col("value").cast("double")).otherwise(number("$.low", "$.bid.low")).alias("one"), F.when(F.col("shape") != "array", number("$.high", "$.ask.high")).alias("other"))
+
+
+@query("io5_replaced_days", f"WITH {L.MINUTES}, x AS (SELECT *, time // 86400 % 5 = 0 AND max(trades) OVER (PARTITION BY symbol, time // 86400) > 1 AS rebuilt FROM m1) SELECT symbol, time, CASE WHEN rebuilt THEN close + 1 ELSE close END AS close FROM x WHERE NOT rebuilt OR trades > 1")
+def _(spark, sf):
+    """A stored table in which every fifth day is rebuilt from its busier minutes."""
+    at = folder(spark, "days")
+    minutes = L.minute_bars(spark, sf)
+    T.replace_days(minutes, at)
+    T.replace_days(minutes.filter("floor(time / 86400) % 5 = 0 and trades > 1").withColumn("close", F.col("close") + 1), at)
+    return spark.read.schema(minutes.schema).parquet(at).select("symbol", "time", "close")
+
+
 @query("io11_upsert", f"WITH {L.MINUTES} SELECT symbol, time, CASE WHEN trades > 1 THEN volume * 2 ELSE volume END AS rate FROM m1")
 def _(spark, sf):
     stored = L.minute_bars(spark, sf).select("symbol", "time", F.col("volume").alias("rate"), "trades")
@@ -122,3 +148,36 @@ def _(spark, sf):
     """Touches of a level give an alert if the last one of the level is 24 hours old."""
     touches = live.event_stream(spark, sf).withColumn("level", F.floor(F.col("value") / 10))
     return live.run_available(live.cool_down(touches, 24 * 3600), "alerts").select("symbol", "level", F.unix_timestamp("alerted_at").alias("alerted_at"))
+
+
+@query("io4_paged", f"WITH {L.TRADES} SELECT symbol, seq, sec, price, volume, side FROM trades")
+def _(spark, sf):
+    """Trades in pages of 500, read through their cursors."""
+    at = folder(spark, "pages")
+    trades = L.trades(spark, sf).withColumn("page", F.floor(F.col("seq") / 500))
+    last = trades.agg(F.max("page")).first()[0]
+    pages = spark.range(0, (last or 0) + 1).select(F.col("id").alias("page")).join(trades, "page", "left").groupBy("page").agg(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("symbol", "seq", "sec", "price", "volume", "side"))).alias("rows"))
+    bodies = pages.select((F.col("page") * 500).alias("cursor"), F.to_json(F.struct("rows", (F.col("page") * 500 + 500).cast("string").alias("last"))).alias("value"))
+    bodies.repartition("cursor").write.partitionBy("cursor").text(at)
+    return live.run_available(ingest.paged(spark, at), "paged")
+
+
+@query("st9_bars_once", catalog.sql["st3_closed_bars"])
+def _(spark, sf):
+    """Closed bars merged into a table; a second run brings the same batches again, and nothing changes."""
+    at = folder(spark, "once")
+    for _ in range(2):
+        live.run_batches(live.closed_bars(live.event_stream(spark, sf), 60), ingest.applied_once(f"{at}/bars", f"{at}/ledger"), "once")
+    return spark.read.schema("symbol string, time long, open double, high double, low double, close double, trades long").parquet(f"{at}/bars")
+
+
+def priced(events):
+    """Prices with a signal at every 25th event."""
+    price, signal = 100 + F.col("value") / 10, F.col("event_id") % 25 == 0
+    return events.select("symbol", "ts", "event_id", price.alias("price"), F.when(signal, price * 0.97).alias("stop"), F.when(signal, price * 1.04).alias("target"))
+
+
+@query("st5_positions")
+def _(spark, sf):
+    """Positions opened at signals, with stops that rise once, closed by stop, target or time."""
+    return live.run_available(positions.positions(priced(live.event_stream(spark, sf))), "positions")

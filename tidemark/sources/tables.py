@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
+from tidemark.operators.bars import one_of_each
 
 BAR_SCHEMA = "symbol string, time long, open double, high double, low double, close double, volume double, buy_vol double, sell_vol double, trades long, max_trade double"
 
@@ -34,13 +35,6 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of each key: the greatest by its other columns, in the order of their names, so repeated tasks give the same."""
-    others = sorted(c for c in rows.columns if c not in keys)
-    first = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row"))
-    return first.select(*(F.col(c) if c in keys else F.col(f"_row.{c}") for c in rows.columns))
-
-
 def write_bars(bars: DataFrame, folder: str) -> None:
     """Whole rewrite, one bar for each symbol and minute, sorted in its files."""
     one_of_each(bars, ["symbol", "time"]).repartition("symbol").sortWithinPartitions("symbol", "time").write.mode("overwrite").option("header", True).csv(folder)
@@ -74,6 +68,45 @@ def transposed(responses: DataFrame, times: str, values: str, *keys: str) -> Dat
     return cut.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p")["t"].alias("timestamp"), F.col("p")["v"].alias("value")).filter("timestamp is not null")
 
 
+def points(responses: DataFrame, body: str, *keys: str) -> DataFrame:
+    """keys, shape, timestamp, value (JSON) of API responses as text: ``result.timestamp`` and ``result.data`` in one of three shapes.
+
+    array: one value for each time. parallel: named arrays of values; a single name around them is taken away. nested: named
+    sides of named arrays. Points are as many as the shortest array has; those whose time is no number go. A response of
+    another form ends the query.
+    """
+    is_a = lambda kind, x: F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
+    entries = lambda x: F.map_entries(x.cast("map<string, variant>"))
+    part = lambda name: F.try_variant_get(F.col("_v"), f"$.result.{name}", "variant")
+    read = responses.select(*keys, F.try_parse_json(body).alias("_v")).select(*keys, part("timestamp").alias("_t"), part("data").alias("_d"))
+    sound = is_a("ARRAY", F.col("_t")) & (is_a("ARRAY", F.col("_d")) | is_a("OBJECT", F.col("_d")))
+    read = read.withColumn("_sound", sound)
+    read = read.withColumn("_e", F.when(is_a("OBJECT", F.col("_d")), entries(F.col("_d"))))
+    lone = (F.size("_e") == 1) & is_a("OBJECT", F.try_element_at("_e", F.lit(1))["value"])
+    read = read.withColumn("_e", F.when(lone, entries(F.try_element_at("_e", F.lit(1))["value"])).otherwise(F.col("_e")))
+    listed = lambda e: F.transform(F.filter(e, lambda x: is_a("ARRAY", x["value"])), lambda x: F.struct(x["key"].alias("key"), x["value"].cast("array<variant>").alias("value")))
+    read = read.withColumns({"_t": F.when(F.col("_sound"), F.col("_t").cast("array<variant>")).otherwise(F.array(F.parse_json(F.lit("0")))), "_a": F.when(F.col("_sound") & F.col("_e").isNull(), F.col("_d").cast("array<variant>")), "_p": listed(F.col("_e"))})
+    sides = F.transform(F.filter("_e", lambda x: is_a("OBJECT", x["value"])), lambda x: F.struct(x["key"].alias("key"), listed(entries(x["value"])).alias("value")))
+    read = read.withColumn("_n", F.when(F.size("_p") == 0, F.filter(sides, lambda x: F.size(x["value"]) > 0)))
+    shortest = lambda e: F.array_min(F.transform(e, lambda x: F.size(x["value"])))
+    shape = F.when(F.col("_a").isNotNull(), "array").when(F.size("_p") > 0, "parallel").otherwise("nested")
+    size = F.when(F.col("_a").isNotNull(), F.size("_a")).when(F.size("_p") > 0, shortest(F.col("_p"))).otherwise(F.coalesce(F.array_min(F.transform("_n", lambda x: shortest(x["value"]))), F.lit(0)))
+    at = lambda e, i: F.map_from_entries(F.transform(e, lambda x: F.struct(x["key"].alias("key"), F.get(x["value"], i).alias("value"))))
+    value = lambda i: F.when(F.col("_a").isNotNull(), F.to_json(F.get("_a", i))).when(F.size("_p") > 0, F.to_json(at(F.col("_p"), i))).otherwise(F.to_json(F.map_from_entries(F.transform("_n", lambda x: F.struct(x["key"].alias("key"), at(x["value"], i).alias("value"))))))
+    indices = F.slice(F.sequence(F.lit(0), F.greatest(F.size("_t"), F.lit(1))), F.lit(1), F.least(F.size("_t"), size))
+    indices = F.when(F.col("_sound"), indices).otherwise(F.raise_error(F.lit("a response without result.timestamp and result.data")))
+    found = read.withColumn("shape", shape).withColumn("_i", F.explode(indices))
+    found = found.select(*keys, "shape", F.try_variant_get(F.get("_t", F.col("_i")), "$", "double").alias("timestamp"), value(F.col("_i")).alias("value"))
+    return found.filter("timestamp is not null and not isnan(timestamp)")
+
+
+def replace_days(rows: DataFrame, folder: str) -> None:
+    """Writes bars into a table of folders by symbol and day: the days of rows are replaced whole, other folders aren't touched."""
+    days = one_of_each(rows, ["symbol", "time"]).withColumn("day", F.floor(F.col("time") / 86400))
+    dealt = days.repartition("symbol", "day").sortWithinPartitions("symbol", "day", "time")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "day").parquet(folder)
+
+
 def dated_values(spark: SparkSession, path: str, missing: str = ".") -> DataFrame:
     """A CSV of date and value in which a mark stands for a missing value."""
     return spark.read.schema("date date, value double").option("header", True).option("nullValue", missing).csv(path).filter("value is not null")

@@ -96,3 +96,9 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def run_batches(stream: DataFrame, apply, name: str) -> None:
+    """All that is there now, batch by batch through ``apply``, with a checkpoint of its own."""
+    folder = shared_folder(stream.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
