@@ -168,7 +168,7 @@ def _(spark, sf):
     at = folder(spark, "once")
     for _ in range(2):
         live.run_batches(live.closed_bars(live.event_stream(spark, sf), 60), ingest.applied_once(f"{at}/bars", f"{at}/ledger"), "once")
-    return spark.read.schema("symbol string, time long, open double, high double, low double, close double, trades long").parquet(f"{at}/bars")
+    return spark.read.schema("symbol string, time long, open double, high double, low double, close double, trades long").parquet(f"{at}/bars").drop("day")
 
 
 def priced(events):
