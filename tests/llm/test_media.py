@@ -54,3 +54,14 @@ def test_many_copies_and_default_file_system(spark, tmp_path):
     found = M.media_columns(docs, f"{tmp_path}/plain").collect()
     assert len(found) == 20_000 and len(list((tmp_path / "plain").glob("*.tar"))) == 7
     assert {(r.doc_id, r.payload_sha256) for r in found} == {(k, expected("" if k % 3 == 0 else "one text" if k % 3 == 1 else f"text {k % 100}")[2]) for k in range(20_000)}
+
+
+def test_places_that_are_forgotten(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, TEXTS[k % 4]) for k in range(40)], "doc_id long, text string").coalesce(1)
+    plain = {r.doc_id: (r.payload_sha256, r.media_sha256, r.n_bytes) for r in M.media_columns(docs, f"file://{tmp_path}/b").collect()}
+    monkeypatch.setattr(M, "KNOWN", 2)
+    found = M.media_columns(docs, f"file://{tmp_path}/c").collect()
+    assert {r.doc_id: (r.payload_sha256, r.media_sha256, r.n_bytes) for r in found} == plain
+    assert len({(r.payload_sha256, r.shard, r.offset) for r in found}) == 4  # all rows of a payload carry one place
+    members = [m for p in (tmp_path / "c").glob("*.tar") for m in tarfile.open(fileobj=io.BytesIO(p.read_bytes()))]
+    assert len(members) > 4

@@ -34,6 +34,8 @@ WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a shard after which a task begins another.
 SHARD = 64 << 20
+#: Digests whose places a task remembers; it forgets them all when it has more.
+KNOWN = 200_000
 #: Bytes of the PNG that hold its header.
 HEADER = 33
 
@@ -107,7 +109,7 @@ def place_media(docs: DataFrame, folder: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
-        seen: dict[bytes, tuple] = {}  # places of the partition's digests
+        seen: dict[bytes, tuple] = {}  # places of digests of the partition
         stream, name, at, shards = None, None, 0, 0
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
@@ -117,6 +119,8 @@ def place_media(docs: DataFrame, folder: str) -> DataFrame:
                     payload = payload_of(text)
                     digest = hashlib.sha256(payload).digest()
                     if digest not in seen:
+                        if len(seen) >= KNOWN:
+                            seen.clear()  # some payloads are stored again; first_places() settles which one counts
                         if stream is None:
                             name, at, shards = f"{task.partitionId():06d}-{task.taskAttemptId()}-{shards}.tar", 0, shards + 1
                             stream = store.open_output_stream(f"{root}/{name}")
