@@ -9,8 +9,7 @@ century are some 900,000 rows of 60 bytes.
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -137,18 +136,29 @@ def with_resistance(pivoted: DataFrame) -> DataFrame:
 
 
 def touched_support(pivoted: DataFrame, above: float = 0.004, below: float = 0.02) -> DataFrame:
-    """symbol, i, support: of the lows confirmed before the bar, the nearest one that its low touches, the first of equals.
+    """symbol, i, support: of the lows confirmed before the bar, the nearest one that its low touches, the first of equals; touched bars only.
 
-    A touch is a low from ``below`` under the price to ``above`` over it. Prices are dealt into steps of a geometric scale as
-    wide as a touch, so a bar meets the lows of one step; prices are above 0.
+    A touch is a low from ``below`` under the price to ``above`` over it. The distinct confirmed prices of a series are kept in order, each with
+    its first bar, so a bar asks its two neighbours and isn't compared with every low before it.
     """
-    width = math.log((1 + above) / (1 - below)) * 1.0001
-    step = lambda x: F.floor(F.log(x) / width)
-    lows = pivoted.filter("pivot = 'low'").select("symbol", F.col("i").alias("at"), F.col("pivot_price").alias("p"))
-    lows = lows.withColumn("step", F.explode(F.array_distinct(F.array(step(F.col("p") * (1 - below)), step(F.col("p") * (1 + above))))))
-    met = pivoted.select("symbol", "i", "low").withColumn("step", step(F.col("low"))).join(lows, ["symbol", "step"])
-    met = met.filter((F.col("at") < F.col("i")) & F.col("low").between((1 - below) * F.col("p"), (1 + above) * F.col("p")))
-    return met.groupBy("symbol", "i").agg(F.min_by("p", F.struct(F.abs(F.col("low") - F.col("p")), "at")).alias("support"))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        prices: list[float] = []
+        first: dict[float, int] = {}
+        out: list[float | None] = []
+        for i, low, price in zip(*(table.column(c).to_pylist() for c in ("i", "low", "p")), strict=True):
+            at = bisect_left(prices, low)
+            near = [p for p in prices[max(0, at - 1) : at + 1] if (1 - below) * p <= low <= (1 + above) * p]
+            out.append(min(near, key=lambda p: (abs(low - p), first[p])) if near else None)  # noqa: B023
+            if price is not None and price not in first:
+                first[price] = i
+                insort(prices, price)
+        found = pa.Table.from_arrays([table.column("symbol").combine_chunks(), table.column("i").combine_chunks(), pa.array(out, pa.float64())], ["symbol", "i", "support"])
+        return found.filter(pa.array([x is not None for x in out], pa.bool_()))
+
+    lows = F.when(F.col("pivot") == "low", F.col("pivot_price")).alias("p")
+    return pivoted.select("symbol", "i", "low", lows).groupBy("symbol").applyInArrow(fold, "symbol string, i long, support double")
 
 
 def wilder_rsi(bars: DataFrame) -> DataFrame:

@@ -158,10 +158,10 @@ def date_means(spark, sf):
 
 
 @query("i2_shuffled_assets", f"""{PANEL}, o AS (SELECT avg(c) AS ic FROM (SELECT corr(trail, fwd) AS c FROM pn GROUP BY date) WHERE NOT isnan(c)), l AS (SELECT date, trail, row_number() OVER (PARTITION BY date ORDER BY asset) AS spot FROM pn),
-x AS (SELECT replica, date, fwd, row_number() OVER (PARTITION BY replica, date ORDER BY md5(concat_ws('|', 'p', replica, date, asset))) AS spot FROM pn, {REPLICAS.format(201)}),
-d AS (SELECT replica, avg(c) AS r FROM (SELECT replica, date, corr(trail, fwd) AS c FROM x JOIN l USING (date, spot) GROUP BY 1, 2) WHERE NOT isnan(c) GROUP BY 1) SELECT round(any_value(ic), 6) AS ic, (count(*) FILTER (r >= ic) + 1) / 201.0::DOUBLE AS p FROM d, o""")
+x AS (SELECT replica, date, fwd, row_number() OVER (PARTITION BY replica, date ORDER BY md5(concat_ws('|', 'p', replica, date, asset))) AS spot FROM pn, {REPLICAS.format(1001)}),
+d AS (SELECT replica, avg(c) AS r FROM (SELECT replica, date, corr(trail, fwd) AS c FROM x JOIN l USING (date, spot) GROUP BY 1, 2) WHERE NOT isnan(c) GROUP BY 1) SELECT round(any_value(ic), 6) AS ic, (count(*) FILTER (r >= ic) + 1) / 1001.0::DOUBLE AS p FROM d, o""")
 def _(spark, sf):
-    return rounded(R.permuted_ic(panel(spark, sf), 200), "ic")
+    return rounded(R.permuted_ic(panel(spark, sf), 1000), "ic")
 
 
 @query("i4_bootstrap", f"""{DATES}, nm AS (SELECT row_number() OVER (ORDER BY date) - 1 AS spot, m FROM dm), x AS (SELECT replica, ('0x' || substr(md5(concat_ws('|', 'b', replica, spot)), 1, 8))::BIGINT % (SELECT count(*) FROM nm) AS spot FROM nm, {REPLICAS.format(1001)}),
@@ -202,11 +202,11 @@ def _(spark, sf):
 
 
 @query("i11_anova_p", f"""{MOVES}, yy AS (SELECT symbol, time, r FROM y WHERE r IS NOT NULL), o AS (SELECT symbol, count(*) AS n, sum(r) AS s, sum(r * r) AS q FROM yy GROUP BY 1), w AS (SELECT count(*) AS k, sum(n)::BIGINT AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM o), bd AS (SELECT n AS size, (sum(n) OVER (ORDER BY symbol) - n)::BIGINT AS lo, (sum(n) OVER (ORDER BY symbol))::BIGINT AS hi FROM o),
-dx AS (SELECT replica, r, row_number() OVER (PARTITION BY replica ORDER BY md5(concat_ws('|', 'a', replica, symbol, time)), symbol, time) - 1 AS place FROM yy, {REPLICAS.format(201)}), g AS (SELECT replica, lo, size, sum(r) AS s FROM dx JOIN bd ON place >= lo AND place < hi GROUP BY ALL), rr AS (SELECT replica, sum(s * s / size) AS r FROM g GROUP BY 1)
-SELECT round(any_value(((b - w.s * w.s / w.n) / (k - 1)) / ((q - b) / (w.n - k))), 5) AS f, (count(*) FILTER (r >= b - 1e-9) + 1) / 201.0::DOUBLE AS p FROM rr, w""")
+dx AS (SELECT replica, r, row_number() OVER (PARTITION BY replica ORDER BY md5(concat_ws('|', 'a', replica, symbol, time)), symbol, time) - 1 AS place FROM yy, {REPLICAS.format(1001)}), g AS (SELECT replica, lo, size, sum(r) AS s FROM dx JOIN bd ON place >= lo AND place < hi GROUP BY ALL), rr AS (SELECT replica, sum(s * s / size) AS r FROM g GROUP BY 1)
+SELECT round(any_value(((b - w.s * w.s / w.n) / (k - 1)) / ((q - b) / (w.n - k))), 5) AS f, (count(*) FILTER (r >= b - 1e-9) + 1) / 1001.0::DOUBLE AS p FROM rr, w""")
 def _(spark, sf):
     """Do the symbols' changes differ: f, and its p under permuted symbols."""
-    return R.permuted_anova(moves(spark, sf), "r", "symbol", ["symbol", "time"], 200).withColumn("f", F.round("f", 5))
+    return R.permuted_anova(moves(spark, sf), "r", "symbol", ["symbol", "time"], 1000).withColumn("f", F.round("f", 5))
 
 
 @query("i13_dickey_fuller", f"{B60}, c AS (SELECT symbol, time, close, close - lag(close) OVER s AS d, lag(close) OVER s AS e FROM b{S}), c2 AS (SELECT *, lag(d) OVER s AS d1 FROM c{S}), g AS (SELECT symbol, count(*) AS n, covar_pop(e, e) AS ee, covar_pop(d1, d1) AS dd, covar_pop(e, d1) AS ed, covar_pop(e, d) AS ey, covar_pop(d1, d) AS dy, covar_pop(d, d) AS yy FROM c2 WHERE d1 IS NOT NULL GROUP BY 1), h AS (SELECT *, ee * dd - ed * ed AS f, (ey * dd - dy * ed) / (ee * dd - ed * ed) AS rho, (dy * ee - ey * ed) / (ee * dd - ed * ed) AS phi FROM g) SELECT symbol, n, round(rho, 6) AS rho, round(rho / sqrt((n * (yy - rho * ey - phi * dy)) / (n - 3) * dd / (n * f)), 5) AS t FROM h")
