@@ -12,7 +12,7 @@ SQL = registry.oracle_sql()
 
 
 #: Queries that have no rows on the smallest tables.
-LARGER = "c8_holding_map x3_profile x_breakout_trades x_sweep_trades x_summary x4_excursions x2_stop_target_grid j9_common_calendar".split()
+LARGER = "c8_holding_map x3_profile x_breakout_trades x_sweep_trades x_summary x4_excursions x2_stop_target_grid j9_common_calendar a18_profiles".split()
 
 
 @pytest.fixture(scope="module")

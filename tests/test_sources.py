@@ -71,3 +71,13 @@ def test_every_field_is_checked(spark, bars, field):
     rows = [good, *((*good[:at], x, *good[at + 1 :]) for x in bad)]
     assert [r.bad for r in bars(rows).select(B.invalid().alias("bad")).collect()] == [False] + [True] * len(bad)
     assert bars([good]).filter(F.lit(False)).filter(B.invalid()).count() == 0
+
+
+def test_gap_audit(spark, bars):
+    rows = [bar("a", 60 * k) for k in (0, 1, 2, 5, 6, 7, 8, 9, 30)] + [bar("b", 86400 * 20)]
+    found = {r.symbol: r for r in B.gap_audit(bars(rows), 60).collect()}
+    a, b = found["a"], found["b"]
+    assert (a.bars, a.gaps, a.missing, a.largest, a.train_gaps, a.holdout_gaps, a.train_missing, a.holdout_missing, a.flagged, a.stale) == (9, 2, 1320, 1200, 1, 1, 120, 1200, True, True)
+    assert a.missing_share == pytest.approx(1320 / 1860) and a.stale_days == pytest.approx((86400 * 20 - 1800) / 86400)
+    assert (b.gaps, b.missing, b.missing_share, b.flagged, b.stale_days, b.stale) == (0, 0, 0, False, 0, False)
+    assert B.gap_audit(bars([]), 60).count() == 0

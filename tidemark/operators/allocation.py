@@ -69,6 +69,47 @@ def buy_and_hold(prices: DataFrame) -> DataFrame:
     return prices.groupBy("symbol").agg((F.max_by("close", "time") / F.min_by("close", "time")).alias("value"))
 
 
+def _carried(prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """symbol, k, price: from a symbol's first date on the last known price at every date of the shared calendar; and k, time of the calendar.
+
+    A symbol's dates are a sequence from its first one, so no symbol meets dates before it or another symbol.
+    """
+    dates = prices.select("time").distinct().withColumn("k", F.row_number().over(Window.orderBy("time")) - 1)  # a row for each date
+    known = prices.filter("close > 0").join(dates, "time").select("symbol", "k", "close")
+    last = dates.agg(F.max("k").alias("last"))
+    spans = known.groupBy("symbol").agg(F.min("k").alias("first")).join(F.broadcast(last), F.col("first") <= F.col("last"))
+    days = spans.select("symbol", F.explode(F.sequence("first", "last")).alias("k"))
+    price = F.last("close", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return days.join(known, ["symbol", "k"], "left").withColumn("price", price).drop("close"), dates
+
+
+def shared_interval_buys(prices: DataFrame, every: int, amount: float = 1.0, cost: float = 0.0085) -> DataFrame:
+    """time, invested, value, ratio, drawdown of every date: ``amount`` on every n-th date of the shared calendar, split evenly among the symbols seen so far.
+
+    A price that is missing is the last one known. drawdown: the ratio of value and money put in below its running peak, which begins at 1.
+    """
+    held, dates = _carried(prices)
+    seen = Window.partitionBy("k")
+    buy = F.when(F.col("k") % every == 0, amount / F.count("*").over(seen) * (1 - cost) / F.col("price")).otherwise(0.0)
+    units = F.sum("buy").over(Window.partitionBy("symbol").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    worth = held.withColumn("buy", buy).withColumn("units", units).groupBy("k").agg(F.sum(F.col("units") * F.col("price")).alias("value"))
+    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # over dates
+    run = dates.join(worth, "k", "left").withColumn("bought", F.when((F.col("k") % every == 0) & F.col("value").isNotNull(), amount).otherwise(0.0)).withColumn("invested", F.sum("bought").over(w))
+    ratio = F.try_divide("value", F.nullif("invested", F.lit(0.0)))
+    return run.withColumn("ratio", ratio).withColumn("peak", F.greatest(F.lit(1.0), F.max("ratio").over(w))).select("time", "invested", F.coalesce("value", F.lit(0.0)).alias("value"), "ratio", (F.col("ratio") / F.col("peak") - 1).alias("drawdown"))
+
+
+def shared_buy_and_hold(prices: DataFrame, cost: float = 0.0085) -> DataFrame:
+    """time, value, drawdown: one unit of money split evenly among the symbols priced on the first date, held with the last known prices."""
+    held, dates = _carried(prices)
+    first = Window.partitionBy("symbol").orderBy("k")
+    own = held.withColumns({"k0": F.min("k").over(Window.partitionBy("symbol")), "p0": F.first("price").over(first)}).filter("k0 = 0")
+    worth = own.groupBy("k").agg((F.sum(F.col("price") / F.col("p0")) / F.count("*") * (1 - cost)).alias("value"))
+    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    run = dates.join(worth, "k", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return run.select("time", "value", (F.col("value") / F.greatest(F.lit(1.0), F.max("value").over(w)) - 1).alias("drawdown"))
+
+
 def grid_levels(ranges: DataFrame, levels: int) -> DataFrame:
     """Geometric levels from lo to hi, one row each; flat ranges have none."""
     spread = ranges.filter("lo > 0 and hi > lo").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))

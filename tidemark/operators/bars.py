@@ -59,17 +59,24 @@ def quality(bars: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def gap_audit(bars: DataFrame, seconds: int, train: float = 0.7) -> DataFrame:
-    """Per symbol: missing share of its window, gaps before and after the cut at ``train`` of its bars (by the middle of the gap)."""
+def gap_audit(bars: DataFrame, seconds: int, now: int | None = None, train: float = 0.7, much: float = 0.01, old: float = 14.0) -> DataFrame:
+    """Per symbol: missing share of its window, gaps and missing seconds before and after the cut at ``train`` of its bars (by the middle of the gap), days since the last bar ended.
+
+    flagged: more than the share ``much`` is missing; stale: the last bar ended more than ``old`` days before ``now``, the end of the last bar of all by default.
+    """
     n = Window.partitionBy("symbol")
     cut = bars.withColumns({"i": F.row_number().over(by_time()) - 1, "n": F.count("*").over(n)}).filter(F.col("i") == F.floor(F.col("n") * train)).select("symbol", F.col("time").alias("cut"))
-    span = bars.groupBy("symbol").agg(F.min("time").alias("start"), F.max("time").alias("end"))
+    span = bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("time").alias("start"), F.max("time").alias("end"))
+    if now is None:
+        now = (bars.agg(F.max("time")).first()[0] or 0) + seconds
     found = span.join(cut, "symbol", "left").join(gaps(bars, seconds), "symbol", "left").withColumn("early", (F.col("from") + F.col("to")) / 2 < F.col("cut"))
-    missing = F.coalesce(F.sum("seconds"), F.lit(0))
-    return found.groupBy("symbol").agg(
-        F.count("seconds").alias("gaps"), missing.alias("missing"), F.coalesce(F.max("seconds"), F.lit(0)).alias("largest"),
-        (missing / (F.first("end") - F.first("start") + seconds)).alias("missing_share"), F.count_if("early").alias("train_gaps"), F.count_if(~F.col("early")).alias("holdout_gaps"),
+    missing = lambda when: F.coalesce(F.sum(F.when(when, F.col("seconds"))), F.lit(0))
+    audited = found.groupBy("symbol", "bars", "start", "end").agg(
+        F.count("seconds").alias("gaps"), missing(F.lit(True)).alias("missing"), F.coalesce(F.max("seconds"), F.lit(0)).alias("largest"), F.count_if("early").alias("train_gaps"), F.count_if(~F.col("early")).alias("holdout_gaps"),
+        missing(F.col("early")).alias("train_missing"), missing(~F.col("early")).alias("holdout_missing"),
     )
+    share, days = F.col("missing") / (F.col("end") - F.col("start") + seconds), F.greatest(F.lit(0), F.lit(now) - F.col("end") - seconds) / 86400
+    return audited.withColumns({"missing_share": share, "flagged": share > much, "stale_days": days, "stale": days > old}).drop("start", "end")
 
 
 def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:

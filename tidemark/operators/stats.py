@@ -143,3 +143,18 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     sums = cells.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ss"), F.sum(F.col("n") * F.col("v")).alias("within"))
     between, df1, df2 = F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.col("k") - 1, F.col("n") - F.col("k")
     return sums.select(F.when((df1 > 0) & (df2 > 0) & (F.col("within") > 0), (between / df1) / (F.col("within") / df2)).alias("f"), df1.alias("df_between"), df2.alias("df_within"))
+
+
+def separations(rows: DataFrame, wins: str, numbers: list[str], flags: list[str]) -> DataFrame:
+    """feature, kind, winners, losers, separation, place: how far apart two outcomes are in what was known before.
+
+    Numbers are compared by their means, |w - l| / (|w| + |l| + 1e-9), flags by the percentages that are true, |w - l| / 100; nulls count for neither. A feature that one
+    side never has is left out. place: 1 for the widest apart; equal ones, to nine places, by name.
+    """
+    wide = rows.select(F.col(wins).cast("boolean").alias("__win"), *(F.col(c).cast("double").alias(c) for c in numbers), *(F.col(c).cast("int").cast("double").alias(c) for c in flags)).filter("__win is not null")
+    long = wide.unpivot("__win", [*numbers, *flags], "feature", "v").withColumn("kind", F.when(F.col("feature").isin(flags), "flag").otherwise("number"))
+    scale = F.when(F.col("kind") == "flag", 100.0).otherwise(1.0)
+    found = long.groupBy("feature", "kind").agg(F.avg(F.when(F.col("__win"), F.col("v"))).alias("w"), F.avg(F.when(~F.col("__win"), F.col("v"))).alias("l")).filter("w is not null and l is not null")
+    apart = F.abs(F.col("w") - F.col("l"))
+    found = found.select("feature", "kind", (scale * F.col("w")).alias("winners"), (scale * F.col("l")).alias("losers"), F.when(F.col("kind") == "flag", apart).otherwise(apart / (F.abs("w") + F.abs("l") + 1e-9)).alias("separation"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.round("separation", 9).desc(), "feature")))  # a row for each feature

@@ -74,13 +74,14 @@ def _(spark, sf):
 @query(
     "b7_gap_audit",
     f"""WITH {L.MINUTES}, g AS ({GAPS}), i AS (SELECT symbol, time, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM m1),
-    c AS (SELECT symbol, time AS cut FROM i WHERE i = floor(n * 0.7::DOUBLE)), sp AS (SELECT symbol, min(time) AS s, max(time) AS e FROM m1 GROUP BY 1)
-    SELECT symbol, count(seconds) AS gaps, coalesce(sum(seconds), 0)::BIGINT AS missing, coalesce(max(seconds), 0) AS largest, round(coalesce(sum(seconds), 0) / (any_value(e) - any_value(s) + 60)::DOUBLE, 6) AS missing_share,
-      count(*) FILTER (("from" + "to") / 2.0 < cut) AS train_gaps, count(*) FILTER (NOT ("from" + "to") / 2.0 < cut) AS holdout_gaps
-    FROM sp LEFT JOIN c USING (symbol) LEFT JOIN g USING (symbol) GROUP BY symbol""",
+    c AS (SELECT symbol, time AS cut FROM i WHERE i = floor(n * 0.7::DOUBLE))
+    SELECT symbol, any_value(n) AS bars, count(seconds) AS gaps, coalesce(sum(seconds), 0)::BIGINT AS missing, coalesce(max(seconds), 0) AS largest, round(coalesce(sum(seconds), 0) / (any_value(e) - any_value(s) + 60)::DOUBLE, 6) AS missing_share, coalesce(sum(seconds), 0) / (any_value(e) - any_value(s) + 60)::DOUBLE > 0.01 AS flagged,
+      count(*) FILTER (("from" + "to") / 2.0 < cut) AS train_gaps, count(*) FILTER (NOT ("from" + "to") / 2.0 < cut) AS holdout_gaps, coalesce(sum(seconds) FILTER (("from" + "to") / 2.0 < cut), 0)::BIGINT AS train_missing, coalesce(sum(seconds) FILTER (NOT ("from" + "to") / 2.0 < cut), 0)::BIGINT AS holdout_missing,
+      round(greatest(0, 1708000000 - any_value(e) - 60) / 86400.0::DOUBLE, 6) AS stale_days, greatest(0, 1708000000 - any_value(e) - 60) / 86400.0::DOUBLE > 14 AS stale
+    FROM (SELECT symbol, min(time) AS s, max(time) AS e, count(*) AS n FROM m1 GROUP BY 1) sp LEFT JOIN c USING (symbol) LEFT JOIN g USING (symbol) GROUP BY symbol""",
 )
 def _(spark, sf):
-    return rounded(B.gap_audit(L.minute_bars(spark, sf), 60), "missing_share")
+    return rounded(B.gap_audit(L.minute_bars(spark, sf), 60, 1_708_000_000), "missing_share", "stale_days")
 
 
 #: Each field broken in its turn: (column, Spark, SQL).

@@ -10,17 +10,19 @@ from tidemark.operators import indicators as I
 from tidemark.operators import inference as R
 from tidemark.operators import positions as X
 from tidemark.operators import search
-from tidemark.operators.stats import with_q_values
+from tidemark.operators.stats import separations, with_q_values
 from tidemark.plans import lenses as L
 from tidemark.plans.bar_queries import B60, S
-from tidemark.plans.base import Catalog
+from tidemark.plans.base import Catalog, rounded
 from tidemark.plans.trade_queries import biased
+from tidemark.plans.trade_queries import catalog as trade_catalog
 from tidemark.sources.tables import settled
 
 catalog = Catalog()
 query = catalog.query
 #: The symbol whose state is known at the entries of all others, and the share that each side of a trade pays.
 LEADER, COST = "click", 0.0045
+X3 = trade_catalog.sql["x3_profile"]
 
 
 def profiles(spark, sf, mode: str = "ma_dip", horizon: int = 100):
@@ -86,3 +88,13 @@ def _(spark, sf):
         return search.scored(X.simulate(bars, asked, [X.Exit("live")], ("symbol", "threshold")), "threshold")
 
     return search.gated(scores(train), lambda chosen: scores(holdout, chosen), "threshold", (-0.5, 20), (-0.3, 8, 0.4), best_only=True)
+
+
+@query("a18_profiles", f"""WITH rows AS ({X3}), z AS (SELECT outcome = 'win' AS win, unnest(['stop_share', 'ma_share', 'volume_ratio', 'atr_share', 'busy', 'stretched']) AS feature, unnest([stop_share, ma_share, volume_ratio, atr_share, (volume_ratio > 1.5)::INT, (ma_share > 0.01)::INT]) AS v FROM rows WHERE outcome <> 'open'),
+g AS (SELECT feature, CASE WHEN feature IN ('busy', 'stretched') THEN 'flag' ELSE 'number' END AS kind, avg(v) FILTER (win) AS w, avg(v) FILTER (NOT win) AS l FROM z GROUP BY 1), s AS (SELECT feature, kind, w, l, CASE kind WHEN 'flag' THEN abs(w - l) ELSE abs(w - l) / (abs(w) + abs(l) + 1e-9::DOUBLE) END AS separation FROM g WHERE w IS NOT NULL AND l IS NOT NULL)
+SELECT feature, kind, round(w * CASE kind WHEN 'flag' THEN 100 ELSE 1 END, 6) AS winners, round(l * CASE kind WHEN 'flag' THEN 100 ELSE 1 END, 6) AS losers, round(separation, 6) AS separation, row_number() OVER (ORDER BY round(separation, 9) DESC, feature)::INT AS place FROM s QUALIFY place <= 3""")
+def _(spark, sf):
+    """The three features that tell winning from losing breakouts best."""
+    rows = trade_catalog.queries["x3_profile"](spark, sf).filter("outcome <> 'open'").withColumns({"win": F.col("outcome") == "win", "busy": F.col("volume_ratio") > 1.5, "stretched": F.col("ma_share") > 0.01})
+    found = separations(rows, "win", ["stop_share", "ma_share", "volume_ratio", "atr_share"], ["busy", "stretched"])
+    return rounded(found.filter("place <= 3"), "winners", "losers", "separation")

@@ -57,6 +57,22 @@ def _(spark, sf):
     return rounded(C.buy_and_hold(L.weekly(spark, sf).withColumnRenamed("week", "time")), "value")
 
 
+CARRIED = f"""WITH {L.WEEKLY}, dt AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS k FROM (SELECT DISTINCT week FROM wk)), kn AS (SELECT symbol, k, close FROM wk JOIN dt USING (week)), fs AS (SELECT symbol, min(k) AS first FROM kn GROUP BY 1),
+hd AS (SELECT fs.symbol, dt.k, first, last_value(kn.close IGNORE NULLS) OVER (PARTITION BY fs.symbol ORDER BY dt.k ROWS UNBOUNDED PRECEDING) AS price FROM fs JOIN dt ON dt.k >= fs.first LEFT JOIN kn ON kn.symbol = fs.symbol AND kn.k = dt.k)"""
+
+
+@query("c10_shared_interval_buys", f"""{CARRIED}, bu AS (SELECT symbol, k, price, CASE WHEN k % 4 = 0 THEN 1.0::DOUBLE / count(*) OVER (PARTITION BY k) * (1 - 0.0085::DOUBLE) / price ELSE 0 END AS buy FROM hd), un AS (SELECT k, price, sum(buy) OVER (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING) AS units FROM bu), vl AS (SELECT k, sum(units * price) AS value FROM un GROUP BY 1),
+rn AS (SELECT k, week, value, sum(CASE WHEN k % 4 = 0 THEN 1.0::DOUBLE ELSE 0 END) OVER (ORDER BY k) AS invested FROM dt JOIN vl USING (k)) SELECT week AS time, invested, round(value, 6) AS value, round(value / invested, 6) AS ratio, round(value / invested / greatest(1, max(value / invested) OVER (ORDER BY k)) - 1, 6) AS drawdown FROM rn""")
+def _(spark, sf):
+    """Money on every fourth week of the shared calendar, split among the symbols seen so far."""
+    return rounded(C.shared_interval_buys(L.weekly(spark, sf).withColumnRenamed("week", "time"), 4), "value", "ratio", "drawdown")
+
+
+@query("c10_shared_hold", f"""{CARRIED}, ow AS (SELECT k, price, first_value(price) OVER (PARTITION BY symbol ORDER BY k) AS p0 FROM hd WHERE first = 0), vl AS (SELECT k, sum(price / p0) / count(*) * (1 - 0.0085::DOUBLE) AS value FROM ow GROUP BY 1), rn AS (SELECT week, k, coalesce(value, 0) AS value FROM dt LEFT JOIN vl USING (k)) SELECT week AS time, round(value, 6) AS value, round(value / greatest(1, max(value) OVER (ORDER BY k)) - 1, 6) AS drawdown FROM rn""")
+def _(spark, sf):
+    return rounded(C.shared_buy_and_hold(L.weekly(spark, sf).withColumnRenamed("week", "time")), "value", "drawdown")
+
+
 @query("c11_grid_levels", f"{B60}, g AS (SELECT symbol, min(low) AS lo, max(high) AS hi FROM b GROUP BY 1) SELECT symbol, k, round(lo * pow(hi / lo, k / 9.0), 6) AS level FROM g, (SELECT unnest(range(10)) AS k) WHERE hi > lo AND lo > 0")
 def _(spark, sf):
     ranges = L.bars(spark, sf).groupBy("symbol").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
