@@ -10,6 +10,7 @@ from tidemark.operators import indicators as I
 from tidemark.operators import inference as R
 from tidemark.operators import positions as X
 from tidemark.operators import search
+from tidemark.operators import splits as P
 from tidemark.operators.stats import separations, with_q_values
 from tidemark.plans import lenses as L
 from tidemark.plans.bar_queries import B60, S
@@ -98,3 +99,51 @@ def _(spark, sf):
     rows = trade_catalog.queries["x3_profile"](spark, sf).filter("outcome <> 'open'").withColumns({"win": F.col("outcome") == "win", "busy": F.col("volume_ratio") > 1.5, "stretched": F.col("ma_share") > 0.01})
     found = separations(rows, "win", ["stop_share", "ma_share", "volume_ratio", "atr_share"], ["busy", "stretched"])
     return rounded(found.filter("place <= 3"), "winners", "losers", "separation")
+
+
+INTERVALS = (60, 240, 1440)
+
+
+def in_intervals(spark, sf):
+    """Bars of an hour, four hours and a day, told apart by minutes."""
+    parts = [L.bars(spark, sf, m).select("symbol", "time", F.lit(m).alias("minutes")) for m in INTERVALS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+EVERY = f"WITH {L.MINUTES}{L.coarse('b')}{L.coarse('b4', 240)}{L.coarse('bd', 1440)}, al AS (SELECT symbol, time, 60 AS minutes FROM b UNION ALL SELECT symbol, time, 240 FROM b4 UNION ALL SELECT symbol, time, 1440 FROM bd), pl AS (SELECT symbol, time, row_number() OVER s - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM b{S})"
+
+
+@query("i16_anchored_folds", f"""{EVERY}, ct AS (SELECT DISTINCT symbol, fold, floor(n * 0.5::DOUBLE)::BIGINT + (fold - 1) * ((n - floor(n * 0.5::DOUBLE)::BIGINT) // 4) AS cut, CASE fold WHEN 4 THEN n ELSE floor(n * 0.5::DOUBLE)::BIGINT + fold * ((n - floor(n * 0.5::DOUBLE)::BIGINT) // 4) END AS fin FROM pl, (SELECT unnest([1, 2, 3, 4]) AS fold)),
+wd AS (SELECT c.symbol, fold, x.time AS a, y.time AS z FROM ct c JOIN pl x ON x.symbol = c.symbol AND x.i = c.cut - 1 JOIN pl y ON y.symbol = c.symbol AND y.i = c.fin - 1 WHERE cut < fin) SELECT al.symbol, minutes, fold, CASE WHEN time <= a THEN 'train' ELSE 'holdout' END AS part, count(*) AS n, max(time) AS last FROM al JOIN wd ON wd.symbol = al.symbol AND time <= z GROUP BY ALL""")
+def _(spark, sf):
+    """Four growing folds cut on the hour bars, applied to three intervals by time."""
+    return P.in_folds(in_intervals(spark, sf), P.walk_forward(L.bars(spark, sf))).groupBy("symbol", "minutes", "fold", "part").agg(F.count("*").alias("n"), F.max("time").alias("last"))
+
+
+@query("i18_anchored_epochs", f"""{EVERY}, bs AS (SELECT DISTINCT symbol, epoch, (SELECT time FROM pl p WHERE p.symbol = q.symbol AND p.i = q.n * epoch // 5) AS b FROM (SELECT DISTINCT symbol, n, unnest([0, 1, 2, 3, 4]) AS epoch FROM pl) q), sp AS (SELECT symbol, epoch, b, lead(b) OVER (PARTITION BY symbol ORDER BY epoch) AS e FROM bs)
+SELECT al.symbol, minutes, epoch, count(*) AS n, min(time) AS first FROM al JOIN sp ON sp.symbol = al.symbol AND time >= b AND (e IS NULL OR time < e) GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    """Five epochs of equal counts of hour bars, applied to three intervals by time."""
+    return P.in_epochs(in_intervals(spark, sf), P.epochs(L.bars(spark, sf), 5)).groupBy("symbol", "minutes", "epoch").agg(F.count("*").alias("n"), F.min("time").alias("first"))
+
+
+_KINDS = {
+    "fraction": "SELECT b.symbol, b.time >= c.time AS late FROM b JOIN pl c ON c.symbol = b.symbol AND c.i = floor(c.n * 0.7::DOUBLE)", "time": "SELECT symbol, time >= 1706000000 AS late FROM b", "recent_days": "SELECT symbol, time >= (SELECT max(time) FROM b) - 3 * 86400 AS late FROM b",
+    "recent_dates": "SELECT symbol, time // 86400 IN (SELECT DISTINCT time // 86400 AS d FROM b ORDER BY d DESC LIMIT 4) AS late FROM b", "symbol": "SELECT symbol, symbol = 'view' AS late FROM b WHERE symbol <> 'error'",
+    "window": "SELECT w.symbol, w.time >= c.time AS late FROM (SELECT * FROM b WHERE time BETWEEN 1705000000 AND 1706000000) w JOIN (SELECT symbol, time, row_number() OVER (PARTITION BY symbol ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM b WHERE time BETWEEN 1705000000 AND 1706000000) c ON c.symbol = w.symbol AND c.i = floor(c.n * 0.7::DOUBLE)",
+}
+
+
+@query("i17_splits", EVERY + ", " + ", ".join(f"k_{k} AS ({sql})" for k, sql in _KINDS.items()) + " " + " UNION ALL ".join(f"SELECT '{k}' AS kind, symbol, count(*) FILTER (NOT late) AS train, count(*) FILTER (late) AS holdout FROM k_{k} GROUP BY 2" for k in _KINDS))
+def _(spark, sf):
+    """Hour bars parted in six ways."""
+    bars = L.bars(spark, sf).select("symbol", "time", F.floor(F.col("time") / 86400).alias("date"))
+    parted = {
+        "fraction": P.by_fraction(bars, bars), "time": P.by_time(bars, 1_706_000_000), "recent_days": P.by_recent_days(bars, 3), "recent_dates": P.by_recent_dates(bars, 4), "symbol": P.by_symbol(bars, ["click", "purchase", "signup", "view"], ["view"]),
+        "window": P.by_window(bars, bars, 1_705_000_000, 1_706_000_000),
+    }
+    out = None
+    for kind, rows in parted.items():
+        found = rows.groupBy("symbol").agg(F.count_if(F.col("part") == "train").alias("train"), F.count_if(F.col("part") == "holdout").alias("holdout")).select(F.lit(kind).alias("kind"), "symbol", "train", "holdout")
+        out = found if out is None else out.unionByName(found)
+    return out
