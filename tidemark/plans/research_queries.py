@@ -28,9 +28,10 @@ X3 = trade_catalog.sql["x3_profile"]
 
 def profiles(spark, sf, mode: str = "ma_dip", horizon: int = 100):
     """symbol, time, r (net of costs) and what was known at the entry, of each closed candidate of a mode."""
-    bars = biased(spark, sf, E.with_levels(E.prepared(L.bars(spark, sf))))
+    bars = biased(spark, sf, E.with_levels(settled(E.prepared(L.bars(spark, sf)), "prepared")))
     gap = F.when(F.lag("high", 2).over(I.by_time()) < F.col("low"), F.col("low"))
     bars = bars.withColumns({"gap_low": gap, "day": F.floor(F.col("time") / 86400), "change24": I.change("close", 24)}).withColumn("gap", F.coalesce(F.min("gap_low").over(I.frame(-14, 0)) <= F.col("close"), F.lit(False)))
+    bars = settled(bars, "profiles")  # read by the entries, their outcomes and what was known
     days = bars.groupBy("symbol", (F.col("day") + 1).alias("day")).agg(F.max("high").alias("day_high"), F.min("low").alias("day_low"))
     leader = bars.filter(F.col("symbol") == LEADER).select("time", F.col("bias240").alias("lead_bias"), F.col("change24").alias("lead_change"))
     entries = E.candidates(bars, mode, min_stop=None).filter("reason = 'taken'")
