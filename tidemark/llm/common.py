@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Bytes of text whose words are hashed at a time.
 BLOCK = 1 << 19
@@ -70,6 +70,11 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def met_by_sorting(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the documents: neither is broadcast through the driver, whatever size Spark guesses from compressed files."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 # ---------------------------------------------------------------------------------------------
 # words as hashes
 

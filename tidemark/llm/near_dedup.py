@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, Workspace, shingle_sets, slices
+from tidemark.llm.common import SPACES, Workspace, met_by_sorting, shingle_sets, slices
 
 #: Retained values of a sketch.
 SKETCH = 64
@@ -87,7 +87,7 @@ def prefix_lists(classes: DataFrame, percent: int) -> DataFrame:
     values = classes.select("c", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("c")
-    sized = values.join(shared, "v").withColumns({"rank": F.row_number().over(own.orderBy("df", "v")), "met": F.count("*").over(own), "sum": F.sum("df").over(own)})
+    sized = met_by_sorting(values, shared, "v").withColumns({"rank": F.row_number().over(own.orderBy("df", "v")), "met": F.count("*").over(own), "sum": F.sum("df").over(own)})
     least = F.floor((F.col("s") * percent + 99) / 100)
     # the values without a list come first in the order of rarity
     place = F.col("rank") + F.col("s") - F.col("met")
@@ -142,9 +142,9 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     while _nodes_off_stars(current):
         least = _least_neighbours(current)
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = met_by_sorting(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = met_by_sorting(large, lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         step += 1
         current = work.put(small, f"{name}-{step}")
         work.drop(f"{name}-{step - 1}")
@@ -154,7 +154,8 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) whose union sketch estimates a similarity of ``percent`` or more."""
     sketches = classes.select("c", "sketch")
-    met = pairs.join(sketches.select(F.col("c").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("c").alias("a"), F.col("sketch").alias("sa")), "a")
+    met = met_by_sorting(pairs, sketches.select(F.col("c").alias("b"), F.col("sketch").alias("sb")), "b")
+    met = met_by_sorting(met, sketches.select(F.col("c").alias("a"), F.col("sketch").alias("sa")), "a")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     met = met.withColumn("union", union).withColumn("both", F.size(F.array_intersect("union", F.array_intersect("sa", "sb"))))
     return met.filter(F.col("both") * 100 >= F.size("union") * percent).select("a", "b")
@@ -181,7 +182,8 @@ def _exact(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                     good.append(100 * both >= percent * (len(own) + len(other) - both))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    met = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+    met = met_by_sorting(pairs, texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+    met = met_by_sorting(met, texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -192,7 +194,7 @@ def _leader_pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     """
     first = lists.groupBy("v").agg(F.max(F.struct("central", "c", "n")).alias("l"), F.count("*").alias("members")).filter("members > 1")
     leaders = first.select("v", F.col("l.c").alias("a"), F.col("l.n").alias("na"))
-    met = lists.select("v", "c", "n").join(leaders, "v").filter("c <> a")
+    met = met_by_sorting(lists.select("v", "c", "n"), leaders, "v").filter("c <> a")
     near = met.filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
     # the leader stays first: its set is made once for all its pairs
     return near.select("a", F.col("c").alias("b")).distinct(), leaders.select("v", F.col("a").alias("c"))
@@ -200,9 +202,9 @@ def _leader_pairs(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
 
 def _open_members(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(c, root, hub): members of lists that are not of one component, with the first member of their list."""
-    members = lists.select("v", "c").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    members = met_by_sorting(lists.select("v", "c"), labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("c").alias("hub")).filter("lo <> hi").select("v", "hub")
-    return members.join(open_lists, "v").select("c", "root", "hub").distinct()
+    return met_by_sorting(members, open_lists, "v").select("c", "root", "hub").distinct()
 
 
 def _clusters(lists: DataFrame, leaders: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, work: Workspace) -> DataFrame:
@@ -219,12 +221,12 @@ def _clusters(lists: DataFrame, leaders: DataFrame, labels: DataFrame, texts: Da
                 values = pa.array(np.concatenate(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("c"), pa.array(list(map(len, sets)), pa.int64()), pa.ListArray.from_arrays(ends, values)], ["c", "n", "sketch"])
 
-    rest = lists.select("v", "c").join(leaders, ["v", "c"], "left_anti")
+    rest = met_by_sorting(lists.select("v", "c"), leaders, ["v", "c"], "left_anti")
     doubtful = work.put(_open_members(rest, labels).select("c").distinct(), "doubtful")
-    sets = work.put(doubtful.join(texts, "c").select("c", "text").mapInArrow(run, "c long, n long, sketch array<long>"), "sets")
+    sets = work.put(met_by_sorting(doubtful, texts, "c").select("c", "text").mapInArrow(run, "c long, n long, sketch array<long>"), "sets")
     kept = work.put(_open_members(prefix_lists(sets, percent), labels), "open")
     clusters = components(kept.select(F.col("hub").alias("u"), F.col("c").alias("v")), work, "clusters")
-    return kept.select("c", "root").distinct().join(clusters.select(F.col("node").alias("c"), F.col("root").alias("cluster")), "c")
+    return met_by_sorting(kept.select("c", "root").distinct(), clusters.select(F.col("node").alias("c"), F.col("root").alias("cluster")), "c")
 
 
 def _block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -239,14 +241,15 @@ def _block_links(members: DataFrame, texts: DataFrame, width: int, percent: int)
     shape = sizes.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("all"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int")
     shape = shape.select("cluster", F.col("m.root").alias("main"), blocks(F.col("m.size")).alias("mains"), blocks(F.col("all") - F.col("m.size")).alias("others"))
-    dealt = members.join(shape, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
+    dealt = met_by_sorting(members, shape, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     own, other = F.col("block"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     with_others = lambda f: F.transform(other("others"), f)
     tasks = F.when(F.col("in_main"), with_others(lambda o: F.struct(o.alias("i"), (-1 - own).alias("j")))).otherwise(
         F.concat(with_others(lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))), F.transform(other("mains"), lambda m: F.struct(own.alias("i"), (-1 - m).alias("j"))))
     )
-    sent = dealt.select("cluster", "c", "root", F.explode(tasks).alias("task")).select("cluster", "task.i", "task.j", "c", "root").join(texts, "c")
+    sent = dealt.select("cluster", "c", "root", F.explode(tasks).alias("task")).select("cluster", "task.i", "task.j", "c", "root")
+    sent = met_by_sorting(sent, texts, "c")
 
     def run(table: pa.Table) -> pa.Table:
         # members that come from both blocks of a pair (i, i) come once
@@ -295,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     grouped = signed.filter("cid is not null").groupBy("cid").agg(F.min(row).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = work.put(grouped.select("cid", F.col("at.doc_id").alias("least"), F.col("at.hash").alias("hash"), "n", "sketch").withColumn("c", F.monotonically_increasing_id()), "classes")
     lists = work.put(prefix_lists(classes, least), "lists")
-    asked = work.put(lists.select("c").distinct().join(classes.select("c", "cid", "least", "hash"), "c"), "asked")
+    asked = work.put(met_by_sorting(lists.select("c").distinct(), classes.select("c", "cid", "least", "hash"), "c"), "asked")
     texts = work.put(_one_text(_sources(docs, text, key), asked, width), "texts")
     pairs, leaders = _leader_pairs(lists, percent)
     links = work.put(_exact(_estimated(pairs, classes, least, k), texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
@@ -304,9 +307,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     more = work.put(_block_links(members, texts, width, percent), "more")
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), work, "all")
-    named = classes.select("c", "cid", "least").join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = met_by_sorting(classes.select("c", "cid", "least"), labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = signed.select("doc_id", "n", "cid").join(named.join(first, "root").select("cid", "component_id"), "cid", "left")
+    out = met_by_sorting(signed.select("doc_id", "n", "cid"), met_by_sorting(named, first, "root").select("cid", "component_id"), "cid", "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     found = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
     result = Workspace(docs.sparkSession, "near").put(found, "result")
@@ -323,7 +326,5 @@ def _one_text(sources: DataFrame, asked: DataFrame, width: int) -> DataFrame:
                 same = [len(x) > 0 and hashlib.blake2b(x.tobytes(), digest_size=16).digest() == cid for x, cid in zip(shingle_sets(part.column("text"), width), part.column("cid").to_pylist(), strict=True)]
                 yield part.select(["c", "text"]).filter(pa.array(same, pa.bool_()))
 
-    # asked grows with the documents, so it is never broadcast
-    own = asked.hint("merge")
-    met = sources.join(own, (sources["hash"] == own["hash"]) & sources["doc_id"].eqNullSafe(own["least"])).select("c", "cid", "text")
+    met = met_by_sorting(sources, asked, (sources["hash"] == asked["hash"]) & sources["doc_id"].eqNullSafe(asked["least"])).select("c", "cid", "text")
     return met.mapInArrow(run, "c long, text string").dropDuplicates(["c"])
