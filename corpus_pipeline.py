@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, near_dedup, sp_sampling, toxicity
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, met_by_sorting
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,9 +39,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     others = groups.filter("row <> component_id")
     members = others.unionByName(others.select(F.col("component_id").alias("row"), "component_id").distinct())
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    firsts = members.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
-    gone = members.select("row").join(firsts, "row", "left_anti")
-    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
+    firsts = met_by_sorting(members, rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    gone = met_by_sorting(members.select("row"), firsts, "row", "left_anti")
+    return met_by_sorting(rows, gone, "row", "left_anti").select(*COLUMNS)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

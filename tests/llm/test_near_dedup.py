@@ -4,8 +4,9 @@ import re
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import near_dedup
-from tidemark.llm.common import shingle_sets
+from tidemark.llm.common import Workspace, shingle_sets
 from tidemark.llm.near_dedup import near_duplicates
 
 
@@ -109,3 +110,21 @@ def test_sets_of_repeated_words(width):
     rng = random.Random(width)
     texts = [" ".join(rng.choices("abc", k=200)) for _ in range(20)]
     assert [len(x) for x in shingle_sets(pa.array(texts), width)] == [len(shingles(t, width)) for t in texts]
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Spark guesses sizes from compressed files, so a table far over its threshold would go through the driver."""
+    plans, put = [], Workspace.put
+
+    def spied(self, df, name, *by):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return put(self, df, name, *by)
+
+    monkeypatch.setattr(Workspace, "put", spied)
+    texts = [" ".join(f"w{k}-{j}" for j in range(80)) for k in range(20)]
+    rows = [(k, x, "en", "web", len(x)) for k, x in enumerate(texts + [x + " more" for x in texts])]
+    stage = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    plans.append(("stage", stage._jdf.queryExecution().sparkPlan().toString()))
+    assert sorted(r.doc_id for r in stage.collect()) == list(range(20))
+    assert sum("Join" in p for _, p in plans) > 5
+    assert [name for name, p in plans if "Broadcast" in p] == []
