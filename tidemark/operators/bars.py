@@ -37,22 +37,25 @@ def gaps(bars: DataFrame, seconds: int = 60) -> DataFrame:
     )
 
 
-def invalid(seconds: int = 60) -> Column:
-    """Whether a bar breaks a rule: ten finite fields, whole minutes from 1970 on, positive prices, high and low around the others, nothing negative."""
+def invalid(seconds: int = 60, signed: bool = False) -> Column:
+    """Whether a bar breaks a rule: ten finite fields, whole minutes from 1970 on, positive prices, high and low around the others, nothing negative.
+
+    signed: the bars are of a level that may be zero or less (a spread, a walk), so its sign is no fault; all other rules hold.
+    """
     prices, amounts = ([F.col(c) for c in names] for names in (("open", "high", "low", "close"), ("volume", "buy_vol", "sell_vol", "max_trade", "trades")))
     bad = F.col("time").isNull() | (F.col("time") % seconds != 0) | (F.col("time") < 0)
     for c in [*prices, *amounts]:
         bad = bad | c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))
-    for c in prices:
+    for c in [] if signed else prices:
         bad = bad | (c <= 0)
     for c in amounts:
         bad = bad | (c < 0)
     return F.coalesce(bad | (F.col("high") < F.greatest(*prices)) | (F.col("low") > F.least(*prices)), F.lit(True))
 
 
-def quality(bars: DataFrame, seconds: int) -> DataFrame:
-    """Per symbol: bars, invalid ones, span, gaps wider than the interval and the widest distance."""
-    step = bars.withColumn("step", F.col("time") - F.lag("time").over(by_time())).withColumn("bad", invalid())
+def quality(bars: DataFrame, seconds: int, signed: bool = False) -> DataFrame:
+    """Per symbol: bars, invalid ones (of prices, or of levels of any sign), span, gaps wider than the interval and the widest distance."""
+    step = bars.withColumn("step", F.col("time") - F.lag("time").over(by_time())).withColumn("bad", invalid(signed=signed))
     return step.groupBy("symbol").agg(
         F.count("*").alias("total"), F.count_if("bad").alias("invalid"), F.min("time").alias("start"), F.max("time").alias("end"),
         F.count_if(F.col("step") > seconds).alias("gaps"), F.coalesce(F.max(F.when(F.col("step") > seconds, F.col("step"))), F.lit(0)).alias("largest_gap"),

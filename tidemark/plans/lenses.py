@@ -1,7 +1,7 @@
 """Market-shaped views of the star-schema tables, in Spark and as DuckDB common table expressions.
 
 The price of the trades lens is an integer walk, exact in doubles, so results do not depend on the
-order of float sums.
+order of float sums. On larger tables it passes zero: it is a level of any sign.
 """
 
 from __future__ import annotations
