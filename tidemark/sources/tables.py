@@ -40,10 +40,10 @@ def write_bars(bars: DataFrame, folder: str) -> None:
     one_of_each(bars, ["symbol", "time"]).repartition("symbol").sortWithinPartitions("symbol", "time").write.mode("overwrite").option("header", True).csv(folder)
 
 
-def read_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Strict: a malformed row or one that breaks a bar's rules ends the read."""
+def read_bars(spark: SparkSession, folder: str, signed: bool = False) -> DataFrame:
+    """Strict: a malformed row or one that breaks a bar's rules ends the read. signed: levels of any sign, not prices."""
     rows = spark.read.schema(BAR_SCHEMA).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(folder)
-    broken = F.when(B.invalid(), F.raise_error(F.concat(F.lit("no bar: "), F.to_json(F.struct("symbol", "time"))))).otherwise(F.col("time"))
+    broken = F.when(B.invalid(signed=signed), F.raise_error(F.concat(F.lit("no bar: "), F.to_json(F.struct("symbol", "time"))))).otherwise(F.col("time"))
     return rows.withColumn("time", broken.cast("long"))
 
 
