@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES = ["b5_quality", "b6_manifest", "io1_csv_bars"]
+QUERIES = ["b5_quality", "b6_manifest", "io1_csv_bars", "io19_clean_history"]
 
 
 @pytest.fixture(scope="module")

@@ -136,11 +136,11 @@ def last_events(spark: SparkSession, folder: str, schema: str, wanted: str, limi
     return spark.read.schema(schema).json(folder).filter(F.col("schema") == wanted).orderBy(F.col("at").desc(), F.col("id").desc()).limit(limit)
 
 
-def clean_history(chunks: DataFrame) -> DataFrame:
-    """Fetched bars (symbol, time, open, high, low, close, volume, chunk): the last chunk's row of each time, invalid ones dropped, flow columns of 0."""
+def clean_history(chunks: DataFrame, signed: bool = False) -> DataFrame:
+    """Fetched bars (symbol, time, open, high, low, close, volume, chunk): the last chunk's row of each time, invalid ones (of prices, or of levels of any sign) dropped, flow columns of 0."""
     newest = latest(chunks, ["symbol", "time"], F.struct("chunk", "close")).drop("chunk")
     filled = newest.withColumns({"buy_vol": F.lit(0.0), "sell_vol": F.lit(0.0), "trades": F.lit(0).cast("long"), "max_trade": F.lit(0.0)})
-    return filled.filter(~B.invalid())
+    return filled.filter(~B.invalid(signed=signed))
 
 
 def content_key(rows: DataFrame) -> str:
