@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -46,6 +47,15 @@ def test_levels_of_any_sign(spark, walks, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in found.collect()) == expected
 
 
+def test_an_entry_at_zero_is_too_far_from_its_stop(spark, walks):
+    from tidemark.operators import entries as E
+    from tidemark.plans import lenses as L
+
+    bars = E.prepared(L.bars(spark, walks)).withColumn("atr_before", F.lit(4.0)).withColumn("top20", F.col("close") - 1).localCheckpoint()
+    found = {r.entry: r.reason for r in E.candidates(bars, "breakout", min_stop=None).filter("symbol = 'falls'").collect()}
+    assert found[0.0] == "stop_too_far" and found[2000.0 - 100] == "taken" and found[-100.0] == "taken"
+
+
 def test_the_walks_cross_zero(spark, walks):
     from tidemark.plans import lenses as L
 

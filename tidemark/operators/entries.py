@@ -88,7 +88,7 @@ def rule(mode: str) -> tuple[Column, Column, Column]:
         "sweep_reclaim": ((low < F.col("low12")) & (c > F.col("low12")) & (c > F.col("open")), c, low - 0.25 * F.col("atr_before")),
         "h3": (F.col("lows_rise") & (c > F.col("last_low")), c, F.least(low, F.col("last_low"))),
         "range_sweep_reclaim": (
-            (F.col("i") >= 50) & (low < F.col("low24")) & (c > F.col("low24")) & (F.abs(F.col("sma20") / F.col("sma50") - 1) <= 0.02) & (F.col("volume") >= 1.2 * F.col("vol20")) & (_touches() >= 2),
+            (F.col("i") >= 50) & (low < F.col("low24")) & (c > F.col("low24")) & (F.abs(I.ratio(F.col("sma20"), F.col("sma50")) - 1) <= 0.02) & (F.col("volume") >= 1.2 * F.col("vol20")) & (_touches() >= 2),
             c, low - 0.25 * F.col("atr_before"),
         ),
         "support": (c > F.col("support"), c, F.least(low, F.col("support")) - 0.001 * c),
@@ -109,7 +109,7 @@ def candidates(bars: DataFrame, mode: str, max_stop: float | None = 0.06, min_st
     """
     trigger, entry, stop = rule(mode)
     found = bars.withColumns({"__on": trigger, "entry": entry, "stop": stop}).filter("__on and stop is not null")
-    share = (F.col("entry") - F.col("stop")) / F.col("entry")
+    share = I.ratio(F.col("entry") - F.col("stop"), F.col("entry"))
     reason = F.when(F.col("stop") >= F.col("entry"), "price_below_stop")
     reason = reason.when(share > max_stop, "stop_too_far") if max_stop else reason
     reason = reason.when(share < min_stop, "stop_too_tight") if min_stop else reason
@@ -136,7 +136,7 @@ def break_reasons(bars: DataFrame, align: Column, trend: Column | None = None, m
     resistance is nearer than so many times the risk. bars: with_levels().
     """
     entry, stop = F.col("close"), F.col("pivot_price")
-    share, risk = (entry - stop) / entry, entry - stop
+    share, risk = I.ratio(entry - stop, entry), entry - stop
     reason = F.when(stop >= entry, "price_below_stop").when(~F.coalesce(align, F.lit(False)), "not_aligned")
     reason = reason.when(~F.coalesce(trend, F.lit(False)), "trend_gate") if trend is not None else reason
     reason = reason.when(share > max_stop, "stop_too_far").when(share < min_stop, "stop_too_tight")

@@ -24,6 +24,13 @@ def full(value: Column, column: str, lo: int, hi: int, series: WindowSpec | None
     return F.when(F.count(column).over(frame(lo, hi, series)) == hi - lo + 1, value)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as SQL has it where b is 0: infinite, or no number if a is 0 too."""
+    infinite = F.lit(float("inf"))
+    at_zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, infinite).when(a < 0, -infinite)
+    return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
+
+
 def sma(column: str, n: int, series: WindowSpec | None = None) -> Column:
     return full(F.avg(column).over(frame(1 - n, 0, series)), column, 1 - n, 0, series)
 
