@@ -62,3 +62,8 @@ def test_the_walks_cross_zero(spark, walks):
     closes = {r.symbol: r for r in L.bars(spark, walks).groupBy("symbol").agg({"close": "min", "low": "min", "high": "max"}).collect()}
     assert closes["falls"]["min(close)"] < 0 and closes["sinks"]["min(close)"] < 0 < closes["stays"]["min(close)"]
     assert L.bars(spark, walks).filter("close = 0").count() > 0 and not math.isnan(closes["stays"]["max(high)"])
+
+
+def test_gate_with_an_entry_at_zero(spark, walks):
+    found = entry.queries()["i19_volume_gate"](spark, walks).collect()
+    assert {r.verdict for r in found} <= {"train_fail", "not_selected", "holdout_fail", "pass"} and found
