@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
-QUERIES = ["b5_quality", "b6_manifest", "io1_csv_bars", "io19_clean_history"]
+QUERIES = ["b5_quality", "b6_manifest", "io1_csv_bars", "io19_clean_history", "b9_slippage"]
 
 
 @pytest.fixture(scope="module")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import indicators as I
+
 
 def stat(value: str) -> list[Column]:
     """n, mean, sample deviation, standard error, bounds of the 95 % interval, share above 0, total, best."""
@@ -109,14 +111,15 @@ def registry_ranking(entries: DataFrame, *keys: str) -> DataFrame:
     return entries.withColumn("place", F.row_number().over(order))
 
 
-def slippage(quotes: DataFrame, assumed: float, multiple: float = 2.0, *keys: str) -> DataFrame:
+def slippage(quotes: DataFrame, assumed: float, multiple: float = 2.0, *keys: str, signed: bool = False) -> DataFrame:
     """keys, samples, slip_1k, slip_10k, ratio, flagged: the mean distance of both sides from the mid of the quotes for a small order.
 
     quotes: (keys, bid_1k, ask_1k, bid_10k, ask_10k); rows with a quote missing or a mid of 0 or less don't count.
+    signed: quotes of a level of any sign, which all count.
     """
     mid = (F.col("bid_1k") + F.col("ask_1k")) / 2
-    whole = quotes.filter(F.col("bid_10k").isNotNull() & F.col("ask_10k").isNotNull() & (mid > 0))
-    side = lambda size: F.avg(((F.col(f"ask_{size}") - mid) / mid + (mid - F.col(f"bid_{size}")) / mid) / 2)
+    whole = quotes.filter(F.col("bid_10k").isNotNull() & F.col("ask_10k").isNotNull() & (mid.isNotNull() if signed else mid > 0))
+    side = lambda size: F.avg((I.ratio(F.col(f"ask_{size}") - mid, mid) + I.ratio(mid - F.col(f"bid_{size}"), mid)) / 2)
     found = whole.groupBy(*keys).agg(F.count("*").alias("samples"), side("1k").alias("slip_1k"), side("10k").alias("slip_10k"))
     ratio = F.col("slip_1k") / assumed
     return found.withColumns({"ratio": ratio, "flagged": ratio >= multiple})
