@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as J
+from tidemark.operators.indicators import ln, ratio
 
 
 def running(*keys: str, order: str = "time"):
@@ -137,14 +138,14 @@ def rebalanced_portfolio(panel: DataFrame, every: int, top: int, cost: float) ->
 
 
 def exposure(bars: DataFrame, state: Column, cost: float) -> DataFrame:
-    """Per symbol: compound growth of holding while the state of the bar before held, and of buy and hold, with costs."""
+    """Per symbol: compound growth of holding while the state of the bar before held, and of buy and hold, with costs; no number where a level changes its sign."""
     order = Window.partitionBy("symbol").orderBy("time")
-    held = bars.withColumn("s", F.coalesce(state, F.lit(False)).cast("int")).withColumns({"held": F.coalesce(F.lag("s").over(order), F.lit(0)), "ret": F.coalesce(F.col("close") / F.lag("close").over(order) - 1, F.lit(0.0))})
+    held = bars.withColumn("s", F.coalesce(state, F.lit(False)).cast("int")).withColumns({"held": F.coalesce(F.lag("s").over(order), F.lit(0)), "ret": F.coalesce(ratio(F.col("close"), F.lag("close").over(order)) - 1, F.lit(0.0))})
     flips = F.abs(F.col("held") - F.coalesce(F.lag("held").over(order), F.lit(0)))
     steps = held.withColumn("flip", flips)
     return steps.groupBy("symbol").agg(
-        F.sum("flip").alias("flips"), F.exp(F.sum(F.log(1 + F.col("held") * F.col("ret")) + F.col("flip") * F.log(F.lit(1 - cost)))).alias("growth"),
-        F.exp(F.sum(F.log(1 + F.col("ret"))) + 2 * F.log(F.lit(1 - cost))).alias("hold"),
+        F.sum("flip").alias("flips"), F.exp(F.sum(ln(1 + F.col("held") * F.col("ret")) + F.col("flip") * F.log(F.lit(1 - cost)))).alias("growth"),
+        F.exp(F.sum(ln(1 + F.col("ret"))) + 2 * F.log(F.lit(1 - cost))).alias("hold"),
     )
 
 

@@ -31,6 +31,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 
+def ln(x: Column) -> Column:
+    """The natural logarithm: no number below 0, infinitely low at 0."""
+    return F.when(x < 0, F.lit(float("nan"))).when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
 def sma(column: str, n: int, series: WindowSpec | None = None) -> Column:
     return full(F.avg(column).over(frame(1 - n, 0, series)), column, 1 - n, 0, series)
 
