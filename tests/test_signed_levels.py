@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
-QUERIES = ["b5_quality", "b6_manifest", "io1_csv_bars", "io19_clean_history", "b9_slippage", "c17_exposure", "w16_beta"]
+QUERIES = ["b5_quality", "b6_manifest", "io1_csv_bars", "io19_clean_history", "b9_slippage", "c17_exposure", "w16_beta", "io6_verify"]
 
 
 @pytest.fixture(scope="module")

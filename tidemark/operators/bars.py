@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.indicators import by_time
+from tidemark.operators.indicators import by_time, ratio
 
 
 def aggregate_trades(trades: DataFrame, seconds: int = 60) -> DataFrame:
@@ -100,8 +100,9 @@ def replace_range(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return stored.join(rebuilt, ["symbol", "time"], "left_anti").unionByName(one_of_each(rebuilt, ["symbol", "time"]))
 
 
-def deviation(stored: DataFrame, other: DataFrame) -> DataFrame:
-    """Per symbol: matching minutes and the largest relative deviations of close and volume."""
+def deviation(stored: DataFrame, other: DataFrame, signed: bool = False) -> DataFrame:
+    """Per symbol: matching minutes and the largest relative deviations of close and volume; of closes of any sign, if signed, else of positive ones."""
     met = stored.select("symbol", "time", "close", "volume").join(other.select("symbol", "time", F.col("close").alias("c"), F.col("volume").alias("v")), ["symbol", "time"])
     off = lambda a, b: F.max(F.when(F.col(b) > 0, F.abs(F.col(a) - F.col(b)) / F.col(b)))
-    return met.groupBy("symbol").agg(F.count("*").alias("matched"), off("close", "c").alias("close_off"), off("volume", "v").alias("volume_off"))
+    closes = F.max(ratio(F.abs(F.col("close") - F.col("c")), F.col("c"))) if signed else off("close", "c")
+    return met.groupBy("symbol").agg(F.count("*").alias("matched"), closes.alias("close_off"), off("volume", "v").alias("volume_off"))
