@@ -117,6 +117,20 @@ def test_reader_walks_from_page_to_page(tmp_path):
     assert ingest.PagesReader(f"{tmp_path}/nothing", "4", 2, []).latestOffset() == {"cursor": "4"}
 
 
+def test_many_pages_go_in_few_partitions(tmp_path, monkeypatch):
+    for k in range(600):
+        page(tmp_path, k, str(k + 1), [trade(k)])
+    (tmp_path / "pages" / "cursor=300" / "part-0.txt").write_text('{"last": "301", "rows": [{"seq": 300}]}')  # the cursor comes first here
+    reader, read, page_of = ingest.PagesReader(f"{tmp_path}/pages", "0", 2, ["seq"]), [], ingest._page
+    monkeypatch.setattr(ingest, "_page", lambda folder, cursor: read.append(cursor) or page_of(folder, cursor))
+    parts = reader.partitions({"cursor": "0"}, {"cursor": "600"})
+    assert len(parts) <= 256 and read == ["300"]  # the driver parses no page whose end tells the next cursor
+    assert [row for p in parts for row in reader.read(p)] == [(k,) for k in range(600)]
+    (tmp_path / "pages" / "cursor=400" / "part-0.txt").unlink()
+    with pytest.raises(FileNotFoundError):
+        reader.partitions({"cursor": "0"}, {"cursor": "600"})
+
+
 BAR = (1.0, 3.0, 0.5, 2.0, 1.0, 1.0, 0.0, 1, 1.0)
 
 

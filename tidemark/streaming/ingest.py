@@ -8,7 +8,9 @@ pages from there. The sink keeps a ledger: one file for each applied batch with
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,39 @@ def _page(folder: str, cursor: str) -> dict | None:
         return json.loads(file.read())
 
 
+#: A page's end that tells the next cursor; a page that is written in another order is parsed.
+_END = re.compile(rb'"last"\s*:\s*("[^"\\]*"|-?\d+)\s*\}\s*\Z')
+
+
+def _order(cursor: str) -> tuple[int, str]:
+    return len(cursor), cursor
+
+
+def _next(folder: str, cursor: str, file) -> str:
+    """The cursor after a page, from the end of its file."""
+    with _system(folder)[0].open_input_file(file.path) as data:
+        data.seek(max(0, file.size - 256))
+        found = _END.search(data.read())
+    return str(json.loads(found[1]) if found else _page(folder, cursor)["last"])
+
+
+def _following(folder: str, start: str, end: str) -> dict[str, str]:
+    """The next cursor of each page from start on, before end: one listing, then the ends of the files, several at a time."""
+    from pyarrow import fs
+
+    system, path = _system(folder)
+    files: dict[str, list] = {}
+    for x in system.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True)):
+        name = x.path.rsplit("/", 2)[1].removeprefix("cursor=")
+        if x.is_file and f"/cursor={name}/" in x.path and not x.base_name.startswith(("_", ".")) and _order(start) <= _order(name) < _order(end):
+            files.setdefault(name, []).append(x)
+    for name, held in files.items():
+        if len(held) > 1:
+            raise ValueError(f"page {name} has several files")
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(files, pool.map(lambda name: _next(folder, name, files[name][0]), files), strict=True))
+
+
 def _newest(folder: str) -> str | None:
     from pyarrow import fs
 
@@ -48,8 +83,10 @@ def _newest(folder: str) -> str | None:
 
 
 class Page(InputPartition):
-    def __init__(self, cursor: str):
-        self.cursor = cursor
+    """A page, and what comes after it in the same task."""
+
+    def __init__(self, cursor: str, *more: str):
+        self.cursor, self.cursors = cursor, (cursor, *more)
 
 
 class PagesReader(DataSourceStreamReader):
@@ -74,20 +111,22 @@ class PagesReader(DataSourceStreamReader):
         return {"cursor": self.upto}
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
-        """One partition for each page from start on, before end."""
+        """The pages from start on, before end: a partition each, or, of many, runs of up to 64 pages."""
         found, cursor = [], start["cursor"]
+        after = _following(self.folder, cursor, end["cursor"]) if cursor != end["cursor"] else {}
         while cursor != end["cursor"]:
-            page = _page(self.folder, cursor)
-            if page is None:
+            if cursor not in after:
                 raise FileNotFoundError(f"page {cursor} is missing")
-            found.append(Page(cursor))
-            cursor = str(page["last"])
+            found.append(cursor)
+            cursor = after[cursor]
         self.upto = max(self.upto or cursor, cursor, key=lambda x: (len(x), x))  # of a batch that is planned again after a restart
-        return found
+        run = min(64, -(-len(found) // 256) or 1)
+        return [Page(*found[k : k + run]) for k in range(0, len(found), run)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        for row in _page(self.folder, partition.cursor)["rows"]:
-            yield tuple(row.get(name) for name in self.names)
+        for cursor in partition.cursors:
+            for row in _page(self.folder, cursor)["rows"]:
+                yield tuple(row.get(name) for name in self.names)
 
     def commit(self, end: dict) -> None:
         """Spark's checkpoint is all that is kept."""
