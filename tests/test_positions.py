@@ -137,3 +137,12 @@ def test_summaries(spark, market):
 def test_no_entries(market):
     bars, entries, *_ = market
     assert X.simulate(bars, entries.limit(0), EXITS[:2]).count() == 0
+
+
+def test_a_series_whose_first_entry_stays_open(spark):
+    """It has no trades, and holds up no other series."""
+    bars = spark.createDataFrame([(s, i, 100.0, 100.5, 99.5, 100.0, None) for s in ("open", "ends") for i in range(10)], "symbol string, i long, open double, high double, low double, close double, pivot string")
+    entries = spark.createDataFrame([("open", 2, 100.0, 95.0), ("open", 5, 100.0, 99.6), ("ends", 2, 100.0, 99.6)], "symbol string, i long, entry double, stop double")
+    found = X.simulate(bars, entries, [X.Exit("live")]).collect()
+    assert [(r.symbol, r.trade, r.entry_i, r.exit_i, r.label) for r in found] == [("ends", 1, 2, 3, "stop")]
+    assert X.simulate(bars, entries.filter("symbol = 'open'"), [X.Exit("live")]).count() == 0

@@ -67,3 +67,21 @@ def test_the_walks_cross_zero(spark, walks):
 def test_gate_with_an_entry_at_zero(spark, walks):
     found = entry.queries()["i19_volume_gate"](spark, walks).collect()
     assert {r.verdict for r in found} <= {"train_fail", "not_selected", "holdout_fail", "pass"} and found
+
+
+def test_gate_with_a_symbol_whose_first_breakout_stays_open(spark, tmp_path):
+    """Hourly trades that go to and fro by one and break out upwards once; ``ends`` falls through its stop at once, ``open`` stays between stop and target."""
+    rows, n = [], 0
+    for hour in range(100):
+        for name in ("open", "ends"):
+            size = {40: 2, 41: 9 if name == "ends" else 1}.get(hour, 1)
+            k = 8 + hour % 2  # up in even hours
+            rows.append((n, datetime(2024, 1, 1) + timedelta(hours=hour), (size - 1 - k) % 10, name, 1.0, '{"k": %d}' % k))
+            n += 1
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?)", rows)
+    con.execute(f"COPY t TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found = entry.queries()["i19_volume_gate"](spark, str(tmp_path)).collect()
+    assert [(r.threshold, r.trades, r.assets, r.verdict) for r in found] == [(0.5, 1, 1, "train_fail")]
+    assert found[0].avg_r == pytest.approx((2000 - 2002 - 0.0045 * 4002) / 2)

@@ -154,7 +154,7 @@ def simulate(bars: DataFrame, entries: DataFrame, exits: list[Exit], by: tuple[s
                 break
             taken.append(k)
             free = i + 1 if same_bar else end + 1
-        return table.take(taken).append_column("trade", pa.array(range(1, len(taken) + 1), pa.int64()))
+        return table.take(pa.array(taken, pa.int64())).append_column("trade", pa.array(range(1, len(taken) + 1), pa.int64()))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", trade bigint"
     return found.groupBy(*by, "config").applyInArrow(chain, schema).withColumnRenamed("i", "entry_i")
