@@ -32,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart by a number of their own, as a doc_id may be null or occur again. Rows without
     words are no duplicates and stay.
     """
-    work = Workspace(spark, "single")
+    work = Workspace(spark, "single", slim=True)
     # written, so that a row has the same number each time it is read
     rows = work.put(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
     groups = near_dedup.near_duplicates(rows, width=5, percent=80, key="row").select(F.col("doc_id").alias("row"), "component_id")

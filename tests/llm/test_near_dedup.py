@@ -1,6 +1,9 @@
 import random
 import re
+import time
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -128,3 +131,59 @@ def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
     assert sorted(r.doc_id for r in stage.collect()) == list(range(20))
     assert sum("Join" in p for _, p in plans) > 5
     assert [name for name, p in plans if "Broadcast" in p] == []
+
+
+def test_blocks_go_out_in_waves(spark, monkeypatch):
+    """Copies of one text with many edits: similarities on both sides of the threshold, more of them than a wave takes."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 12)
+    monkeypatch.setattr(near_dedup, "LEAST_WAVE", 90_000)
+    monkeypatch.setattr(near_dedup, "WAVE_PART", 10**9)
+    names, put = [], Workspace.put
+    monkeypatch.setattr(Workspace, "put", lambda self, df, name, *by: names.append(name) or put(self, df, name, *by))
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(3):
+        base = [f"b{k}-{i}" for i in range(150)]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rng.randrange(2, 9)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([1, 1, 2])] = rng.choice([[], [rng.choice(vocab)]])
+            rows.append((len(rows), " ".join(words)))
+    found = run(spark, rows, 3, 85)
+    assert found == brute(rows, 3, 85)
+    assert 3 < len({c for _, _, c in found}) < len(rows) - 20
+    assert sum(x.startswith("more-") for x in names) > 1
+
+
+def test_shuffle_files_go_with_each_table(spark, monkeypatch):
+    """Else those of all steps stay until the driver happens to collect its garbage."""
+    folders = [Path(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: sum(1 for x in folders for _ in x.rglob("shuffle_*"))
+    left, put = {}, Workspace.put
+
+    def spied(self, df, name, *by):
+        before = files()
+        out = put(self, df, name, *by)
+        end = time.time() + (0 if any(left.values()) else 10)  # they are removed in the background
+        while files() > before and time.time() < end:
+            time.sleep(0.1)
+        left[name] = max(0, files() - before)
+        return out
+
+    monkeypatch.setattr(Workspace, "put", spied)
+    texts = [" ".join(f"w{k}-{j}" for j in range(80)) for k in range(20)]
+    rows = [(k, x, "en", "web", len(x)) for k, x in enumerate(texts + [x + " more" for x in texts])]
+    stage = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r.doc_id for r in stage.collect()) == list(range(20))
+    assert {"lists", "texts", "links", "result"} <= set(left)
+    assert not any(left.values())
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, 30_000, n)) for n in sizes] for sizes in ((0, 5, 9000, 20_000), (7000, 0, 3)))
+    assert near_dedup.overlaps(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert near_dedup.overlaps(left, left).diagonal().tolist() == [len(x) for x in left]
+    assert near_dedup.overlaps(left, []).shape == (4, 0)

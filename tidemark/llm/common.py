@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Bytes of text whose words are hashed at a time.
 BLOCK = 1 << 19
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,17 +39,26 @@ class Workspace:
     """Intermediate tables of one run, written to the shared folder and read again.
 
     A written table cuts the lineage: when an executor is lost, nothing before it is repeated.
+    slim: the shuffle files behind a table go once it is written, not when the driver collects its garbage.
     """
 
-    def __init__(self, spark: SparkSession, purpose: str):
+    def __init__(self, spark: SparkSession, purpose: str, slim: bool = False):
         self.spark = spark
+        self.slim = slim
         self.root = f"{shared_dir(spark)}/tidemark-{purpose}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name)) if partition_by else df.write.mode("overwrite").parquet(self.path(name))
+        before = self.spark.conf.get(_CLEANUP, None)
+        try:
+            if self.slim:
+                self.spark.conf.set(_CLEANUP, "true")
+            df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name)) if partition_by else df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            if self.slim:
+                self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

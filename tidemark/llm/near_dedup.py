@@ -16,7 +16,8 @@ Method
        rarest shingles of their full sets: similar sets share one of their n - ceil(similarity n) + 1 rarest, so
        pages that share a template but not enough of their text fall apart. What is still open is settled block by
        block: a task compares two blocks of members by exact similarity and returns a spanning forest of the links.
-       No list is cut.
+       Each block goes out once for each block that it meets, so these tasks run in waves, none of which shuffles
+       more than a share of the input. No list is cut.
     6. Links give components by large-star and small-star steps, round by round.
 
 Defined results: null and empty texts, and texts of separators only, have an empty set and are linked
@@ -30,20 +31,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, Workspace, met_by_sorting, shingle_sets, slices
+from tidemark.llm.common import SPACES, Workspace, distinct, met_by_sorting, shingle_sets, slices
 
 #: Retained values of a sketch.
 SKETCH = 64
 #: The estimate of a pair may be this many standard errors below the similarity asked for.
 ERRORS = 5.5
-#: Members of a block when what the leaders left open is settled.
-BLOCK_ROWS = 64
+#: Members and shingles of a block, at most, when what the leaders left open is settled.
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1 << 18
+#: A wave of blocks shuffles texts of this part of all shingles at most, or of ``LEAST_WAVE`` shingles.
+WAVE_PART = 8
+LEAST_WAVE = 1 << 24
 
 
 def signatures(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id", k: int = SKETCH) -> DataFrame:
@@ -208,7 +215,7 @@ def _open_members(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _clusters(lists: DataFrame, leaders: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, work: Workspace) -> DataFrame:
-    """(cluster, c, root): what is still to compare, by clusters of lists with common members.
+    """(cluster, c, root, n): what is still to compare, by clusters of lists with common members.
 
     A leader has met all the others of its list. The members of open lists are listed anew by full sets.
     """
@@ -226,61 +233,80 @@ def _clusters(lists: DataFrame, leaders: DataFrame, labels: DataFrame, texts: Da
     sets = work.put(met_by_sorting(doubtful, texts, "c").select("c", "text").mapInArrow(run, "c long, n long, sketch array<long>"), "sets")
     kept = work.put(_open_members(prefix_lists(sets, percent), labels), "open")
     clusters = components(kept.select(F.col("hub").alias("u"), F.col("c").alias("v")), work, "clusters")
-    return met_by_sorting(kept.select("c", "root").distinct(), clusters.select(F.col("node").alias("c"), F.col("root").alias("cluster")), "c")
+    sized = met_by_sorting(kept.select("c", "root").distinct(), sets.select("c", "n"), "c")
+    return met_by_sorting(sized, clusters.select(F.col("node").alias("c"), F.col("root").alias("cluster")), "c")
 
 
-def _block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _block_links(members: DataFrame, texts: DataFrame, width: int, percent: int, most: int, work: Workspace) -> DataFrame:
     """Links (u, v) between different components of a cluster, by exact Jaccard similarity.
 
-    The members of the cluster's largest component and the others are dealt into blocks of about
-    ``BLOCK_ROWS``; a task gets two blocks of others, or one of the others and one of the largest, so no
+    The members (cluster, c, root, n) of the cluster's largest component and the others are dealt into blocks of
+    about ``BLOCK_ROWS``; a task gets two blocks of others, or one of the others and one of the largest, so no
     task holds a whole cluster and pairs inside the largest component are never looked at. Of the
     links in its blocks a task gives a spanning forest.
+
+    most: shingles whose texts a wave of tasks shuffles, about; there are as many waves as that takes.
     """
-    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("size"))
-    shape = sizes.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("all"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS)).cast("int")
-    shape = shape.select("cluster", F.col("m.root").alias("main"), blocks(F.col("m.size")).alias("mains"), blocks(F.col("all") - F.col("m.size")).alias("others"))
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    shape = sizes.groupBy("cluster").agg(F.max(F.struct("size", "root", "n")).alias("m"), F.sum("size").alias("size"), F.sum("n").alias("n"))
+    blocks = lambda size, n: F.greatest(F.lit(1), F.ceil(size / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    shape = shape.select("cluster", F.col("m.root").alias("main"), blocks(F.col("m.size"), F.col("m.n")).alias("mains"), blocks(F.col("size") - F.col("m.size"), F.col("n") - F.col("m.n")).alias("others"))
     dealt = met_by_sorting(members, shape, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    dealt = work.put(dealt.withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")), "dealt")
+    sent_shingles = dealt.agg(F.sum(F.col("n") * (F.col("others") + F.when(F.col("in_main"), 0).otherwise(F.col("mains"))))).first()[0] or 0
+    waves = max(1, -(-sent_shingles // most))
     own, other = F.col("block"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     with_others = lambda f: F.transform(other("others"), f)
     tasks = F.when(F.col("in_main"), with_others(lambda o: F.struct(o.alias("i"), (-1 - own).alias("j")))).otherwise(
         F.concat(with_others(lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))), F.transform(other("mains"), lambda m: F.struct(own.alias("i"), (-1 - m).alias("j"))))
     )
-    sent = dealt.select("cluster", "c", "root", F.explode(tasks).alias("task")).select("cluster", "task.i", "task.j", "c", "root")
-    sent = met_by_sorting(sent, texts, "c")
+    first = ~F.col("in_main") & (F.col("block") == F.col("i"))
+    sent = dealt.withColumn("task", F.explode(tasks)).select("cluster", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "c", "root", "in_main", "block")
+    sent = sent.select("cluster", "i", "j", "c", "root", first.alias("first"), F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(waves)).alias("wave"))
 
     def run(table: pa.Table) -> pa.Table:
-        # members that come from both blocks of a pair (i, i) come once
-        table = table.combine_chunks()
-        members, roots = table.column("c").to_pylist(), table.column("root").to_pylist()
-        sets = [x for part in slices(table.select(["text"]).to_batches()[0], "text", 4 << 20) for x in shingle_sets(part.column("text"), width)]
-        both, size = overlaps(sets), np.asarray([len(x) for x in sets])
-        linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        links, tree = [], list(roots)  # a member stands for its component so far
-        for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        # a block that meets itself comes once, as the first of the two
+        parts = [table.filter(table.column("first")), table.filter(pc.invert(table.column("first")))]
+        sets = [[x for batch in part.select(["text"]).combine_chunks().to_batches() for some in slices(batch, "text", 4 << 20) for x in shingle_sets(some.column("text"), width)] for part in parts]
+        size = [np.asarray([len(x) for x in some]) for some in sets]
+        alone = not sets[1]
+        both = overlaps(sets[0], sets[0 if alone else 1])
+        linked = 100 * both >= percent * (size[0][:, None] + size[0 if alone else 1][None, :] - both)
+        members, tree = ([x for part in parts for x in part.column(name).to_pylist()] for name in ("c", "root"))  # a member stands for its component so far
+        rows, columns = np.nonzero(np.triu(linked, 1) if alone else linked)
+        links = []
+        for x, y in zip(rows.tolist(), (columns + (0 if alone else len(sets[0]))).tolist(), strict=True):
             p, q = tree[x], tree[y]
             if p != q:
                 links.append((members[x], members[y]))
                 tree = [p if t == q else t for t in tree]
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    return sent.groupBy("cluster", "i", "j").applyInArrow(run, "u long, v long")
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by matrix products over slices of the values."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for lo in range(0, len(values), 1 << 15):
-        a, b = np.searchsorted(column, [lo, lo + (1 << 15)])
-        has = np.zeros((len(sets), min(1 << 15, len(values) - lo)), np.float32)
-        has[owner[a:b], column[a:b] - lo] = 1
-        out += has @ has.T
+    found = [work.put(met_by_sorting(sent.filter(F.col("wave") == k).drop("wave"), texts, "c").groupBy("cluster", "i", "j").applyInArrow(run, "u long, v long"), f"more-{k}") for k in range(waves)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, by matrix products over slices of the values that both sides have."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out.astype(np.int64)
+    values = np.intersect1d(*(distinct(np.concatenate(sets)) for sets in (left, right)), assume_unique=True)
+    sides = []
+    for sets in (left, right):
+        owner, every = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        column = np.searchsorted(values, every)
+        met = np.flatnonzero(values[np.minimum(column, len(values) - 1)] == every) if len(values) else np.zeros(0, np.int64)
+        order = met[np.argsort(column[met], kind="stable")]
+        sides.append((owner[order], column[order]))
+    for lo in range(0, len(values), 1 << 13):
+        parts = []
+        for sets, (owner, column) in zip((left, right), sides, strict=True):
+            a, b = np.searchsorted(column, [lo, lo + (1 << 13)])
+            has = np.zeros((len(sets), min(1 << 13, len(values) - lo)), np.float32)
+            has[owner[a:b], column[a:b] - lo] = 1
+            parts.append(has)
+        out += parts[0] @ parts[1].T
     return np.rint(out).astype(np.int64)
 
 
@@ -290,7 +316,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     width: words of a shingle; percent: documents with 100 * |intersection| >= percent * |union|
     are linked.
     """
-    work = Workspace(docs.sparkSession, "near")
+    work = Workspace(docs.sparkSession, "near", slim=True)
     least = least_share(percent, k)
     signed = work.put(signatures(docs, width, text, key, k), "signed")
     # copies of one set become one class, known by a number; its sketch is that of any of them, its text the first row's
@@ -304,7 +330,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     links = work.put(_exact(_estimated(pairs, classes, least, k), texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     labels = components(links, work, "linked")
     members = work.put(_clusters(lists, leaders, labels, texts, width, percent, work), "members")
-    more = work.put(_block_links(members, texts, width, percent), "more")
+    work.drop("asked", "doubtful", "sets", "open")
+    most = max(LEAST_WAVE, (signed.agg(F.sum("n")).first()[0] or 0) // WAVE_PART)
+    more = _block_links(members, texts, width, percent, most, work)
+    work.drop("texts")
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), work, "all")
     named = met_by_sorting(classes.select("c", "cid", "least"), labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -312,7 +341,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     out = met_by_sorting(signed.select("doc_id", "n", "cid"), met_by_sorting(named, first, "root").select("cid", "component_id"), "cid", "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     found = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
-    result = Workspace(docs.sparkSession, "near").put(found, "result")
+    result = Workspace(docs.sparkSession, "near", slim=True).put(found, "result")
     work.clear()
     return result
 
